@@ -36,7 +36,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_key"),
-        F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int").alias("part"),
+        F.coalesce(F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"), F.lit(0)).alias("part"),
         F.col("text"),
     )
 

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequences import as_long, text_chunks
-from .windows import candidate_blocks, keyed, open_blocks, per_document, settle_blocks, span_mask, spans_by_document, tokens, with_texts
-from .sequences import window_hash
+from .sequences import as_long, window_hash
+from .shared import keyed, repeated_sketch, save
+from .windows import candidate_blocks, open_blocks, per_document, scan_blocks, settle_blocks, span_mask, spans_by_document
+
 
 
 def doubled(blocks: DataFrame) -> DataFrame:
@@ -35,23 +36,19 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     k = -(-length // 4)
     blocks = candidate_blocks(docs, "word", k, length)
     firsts, covered = settle_blocks(blocks, ["doc_key"])
-    rest = with_texts(docs, doubled(open_blocks(firsts)), ["lo", "n"])
+    sketch = docs.sparkSession.sparkContext.broadcast(repeated_sketch(doubled(open_blocks(firsts)), "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, parts, lists = batch.column("doc_key").to_numpy(), batch.column("part").to_numpy(), batch.column("blocks")
-            for i, j, data, offsets in text_chunks(batch.column("text")):
-                lanes, rows = tokens("word", data, offsets)
-                hashes = [window_hash(x, length) for x in lanes]
-                for r in range(i, j):
-                    own = lists[r].values
-                    lo, n = own.field(0).to_numpy(), own.field(1).to_numpy()
-                    at = np.unique(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
-                    w = [x[rows[r - i] + at] for x in hashes]
-                    yield pa.record_batch([as_long(w[0]), as_long(w[1]), pa.array(np.full(len(at), keys[r])), pa.array(np.full(len(at), parts[r])), pa.array(at.astype(np.int32))], names=["w1", "w2", "doc_key", "part", "lo"])
-
-    windows = rest.mapInArrow(run, "w1 long, w2 long, doc_key long, part int, lo int")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_key").alias("first"), F.max("doc_key").alias("last")).filter("first < last")
+        for c in scan_blocks(batches, "word", k, length, sketch.value, "id"):
+            n = c.hi - c.lo + 1
+            of = np.repeat(np.arange(len(n)), n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - c.lo, n)
+            w1, w2 = (window_hash(lane, length)[at] for lane in c.lanes)
+            yield pa.record_batch([as_long(w1), as_long(w2), pa.array(c.doc_key[of]), pa.array(c.part[of]), pa.array((at - c.rows[c.row[of]]).astype(np.int32))], names=["w1", "w2", "doc_key", "part", "lo"])
+
+    windows = save(docs.select("doc_key", "part", "text").mapInArrow(run, "w1 long, w2 long, doc_key long, part int, lo int"), "windows")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_key").alias("first"), F.max("doc_key").alias("last"))
+    first = save(first.filter("first < last").select("w1", "w2", "first"), "first-windows")
     late = windows.join(first, ["w1", "w2"]).filter("doc_key > first")
     return covered.select("doc_key", "part", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi")).unionByName(
         late.select("doc_key", "part", "lo", (F.col("lo") + length).alias("hi"))

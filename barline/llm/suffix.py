@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequences import text_chunks
-from .windows import candidate_blocks, keyed, open_blocks, per_document, settle_blocks, span_mask, spans_by_document, with_texts
+from .shared import in_sketch, keyed, repeated_sketch, save
+from .windows import candidate_blocks, open_blocks, per_document, scan_blocks, settle_blocks, span_mask, spans_by_document
 
 LEAD = 24
 #: Blocks that share a lead: beyond it, they are cut by the whole window (both ways are exact).
@@ -84,26 +84,21 @@ def _later_windows(table: pa.Table, length: int) -> pa.RecordBatch:
 
 
 def _contexts(docs: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
-    """The bytes of each open block, from its first window's start to its last window's end."""
+    """The bytes of each open block, from its first window's start to its last window's end,
+    with its lead; `crowded` tells the leads that have too many blocks for one bucket."""
+    spark = docs.sparkSession.sparkContext
+    blocks = save(blocks.select("anchor", "id", "rivals"), "open")
+    sketch = spark.broadcast(repeated_sketch(blocks, "id"))
+    crowd = spark.broadcast(repeated_sketch(blocks.filter(F.col("rivals") > BUCKET_BLOCKS).select("anchor").distinct(), "anchor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("blocks")
-            for i, j, data, offsets in text_chunks(batch.column("text")):
-                leads, spans, count, los = [], [], [], []
-                for r in range(i, j):
-                    own, base = lists[r].values, int(offsets[r - i])
-                    lo, at, n = (own.field(x).to_numpy() for x in range(3))
-                    count.append(len(lo))
-                    los.append(lo)
-                    leads += [data[p : p + LEAD].tobytes() for p in base + at]
-                    spans += [data[a:b].tobytes() for a, b in zip(base + lo, base + lo + n + length - 1)]
-                rows = np.repeat(np.arange(i, j), count)
-                keys, parts = batch.column("doc_key").to_numpy()[rows], batch.column("part").to_numpy()[rows]
-                rivals = np.concatenate([lists[r].values.field(3).to_numpy() for r in range(i, j)])
-                yield pa.record_batch([pa.array(leads, pa.binary()), pa.array(spans, pa.binary()), pa.array(keys), pa.array(parts), pa.array(np.concatenate(los).astype(np.int32)), pa.array(rivals)], names=["lead", "bytes", "doc_key", "part", "lo", "rivals"])
-
-    return with_texts(docs, blocks, ["lo", "at", "n", "rivals"]).mapInArrow(run, f"lead binary, bytes binary, {_WINDOW}, rivals long")
+        for c in scan_blocks(batches, "byte", LEAD, length, sketch.value, "id"):
+            leads = pa.array([c.data[p : p + LEAD].tobytes() for p in c.at], pa.binary())
+            spans = pa.array([c.data[a:b].tobytes() for a, b in zip(c.lo, c.hi + length)], pa.binary())
+            lo = pa.array((c.lo - c.rows[c.row]).astype(np.int32))
+            yield pa.record_batch([leads, spans, pa.array(c.doc_key), pa.array(c.part), lo, pa.array(in_sketch(crowd.value, c.anchor))], names=["lead", "bytes", "doc_key", "part", "lo", "crowded"])
+
+    return save(docs.select("doc_key", "part", "text").mapInArrow(run, f"lead binary, bytes binary, {_WINDOW}, crowded boolean"), "contexts")
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -151,12 +146,12 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
                 text = pa.array([data[s : s + length].tobytes() for s in starts], pa.binary())
                 yield pa.record_batch([text, pa.array(own.column("doc_key").to_numpy()[row]), pa.array(own.column("part").to_numpy()[row]), pa.array(lo.astype(np.int32))], names=["window", "doc_key", "part", "lo"])
 
-    leads = contexts.filter(F.col("rivals") <= BUCKET_BLOCKS)
+    leads = contexts.filter("NOT crowded")
     sorted_leads = leads.repartitionByRange("lead").sortWithinPartitions("lead")
     small = sorted_leads.mapInArrow(in_buckets, _WINDOW)
-    windows = contexts.filter(F.col("rivals") > BUCKET_BLOCKS).mapInArrow(as_windows, f"window binary, {_WINDOW}")
+    windows = contexts.filter("crowded").mapInArrow(as_windows, f"window binary, {_WINDOW}")
     place = F.struct("doc_key", "part", "lo")
-    first = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("window", "first")
+    first = save(windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("window", "first"), "first-windows")
     large = windows.join(first, "window").filter((F.col("doc_key") > F.col("first.doc_key")) | ((F.col("doc_key") == F.col("first.doc_key")) & (F.col("part") == F.col("first.part")) & (F.col("lo") > F.col("first.lo"))))
     late = small.unionByName(large.select("doc_key", "part", "lo"))
     return covered.select("doc_key", "part", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi")).unionByName(late.select("doc_key", "part", "lo", (F.col("lo") + length).alias("hi")))

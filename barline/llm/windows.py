@@ -9,16 +9,17 @@ window. Blocks that are equal as a whole are settled at once; what is left is sm
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequences import NO_HASH, anchors, as_long, byte_lanes, span_hash, text_chunks, token_rows, Words, window_hash
-from .shared import in_sketch, keyed, repeated_sketch, save
+from .sequences import NO_HASH, anchors, as_long, byte_lanes, mix, span_hash, text_chunks, token_rows, Words, window_hash
+from .shared import in_sketch, repeated_sketch, save
 
-BLOCKS = "anchor long, block long, doc_key long, part int, lo int, at int, n int, left long, right long"
+BLOCKS = "anchor long, block long, doc_key long, part int, lo int, at int, n int, id long, left long, right long"
 
 
 def tokens(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -39,39 +40,63 @@ def anchor_hashes(docs: DataFrame, unit: str, k: int, length: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "anchor long")
 
 
+@dataclass
+class Chunk:
+    """Blocks of a chunk of texts that a sketch lets through (row indices are within the chunk)."""
+
+    lanes: list[np.ndarray]
+    rows: np.ndarray
+    data: np.ndarray
+    row: np.ndarray
+    anchor: np.ndarray
+    at: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    id: np.ndarray
+    doc_key: np.ndarray
+    part: np.ndarray
+
+
+def scan_blocks(batches: Iterator[pa.RecordBatch], unit: str, k: int, length: int, sketch: np.ndarray, by: str) -> Iterator[Chunk]:
+    """Blocks of doc_key, part, text batches whose anchor (or own id) is in the sketch."""
+    for batch in batches:
+        keys, parts = batch.column("doc_key").to_numpy(), batch.column("part").to_numpy()
+        for i, _, data, offsets in text_chunks(batch.column("text")):
+            lanes, rows = tokens(unit, data, offsets)
+            at, h, lo, hi = anchors(lanes[0], rows, k, length)
+            row = token_rows(rows)[at] if len(at) else at
+            place = mix(mix(keys[i + row].view(np.uint64)) + (parts[i + row].astype(np.uint64) << np.uint64(40)) + (lo - rows[row]).astype(np.uint64))
+            hit = in_sketch(sketch, h if by == "anchor" else place)
+            if hit.any():
+                row = row[hit]
+                yield Chunk(lanes, rows, data, row, h[hit], at[hit], lo[hit], hi[hit], place[hit], keys[i + row], parts[i + row])
+
+
 def candidate_blocks(docs: DataFrame, unit: str, k: int, length: int) -> DataFrame:
     """Blocks whose anchor occurs at least twice anywhere (and a few more: see repeated_sketch).
 
-    `lo` is the first window start, `at` the anchor, `n` the number of windows; `left` and
-    `right` hash the doubled anchor, extended to either side (null past the text's edge).
+    `lo` is the first window start, `at` the anchor, `n` the number of windows, `id` a hash of
+    the block's place; `left` and `right` hash the doubled anchor, extended to either side (null
+    past the text's edge).
     """
     counts = anchor_hashes(docs, unit, k, length).groupBy("anchor").agg(F.count("*").alias("n"))
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_sketch(counts.filter("n > 1"), "anchor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, parts = batch.column("doc_key").to_numpy(), batch.column("part").to_numpy()
-            for i, _, data, offsets in text_chunks(batch.column("text")):
-                (lane, second), rows = tokens(unit, data, offsets)
-                at, h, lo, hi = anchors(lane, rows, k, length)
-                hit = in_sketch(sketch.value, h)
-                at, h, lo, hi = at[hit], h[hit], lo[hit], hi[hit]
-                if not len(at):
-                    continue
-                row = token_rows(rows)[at]
-                start = rows[row]
-                double = window_hash(lane, 2 * k)
-                sides = []
-                for p in (at - k, at):
-                    ok = (p >= start) & (p + 2 * k <= rows[row + 1])
-                    side = np.full(len(at), NO_HASH, dtype=np.uint64)
-                    side[ok] = double[p[ok]]
-                    sides.append(pa.array(side.view(np.int64), mask=~ok))
-                block = span_hash(second, lo, hi + length)
-                yield pa.record_batch(
-                    [as_long(h), as_long(block), pa.array(keys[i + row]), pa.array(parts[i + row]), *(pa.array(x.astype(np.int32)) for x in (lo - start, at - start, hi - lo + 1)), *sides],
-                    names=["anchor", "block", "doc_key", "part", "lo", "at", "n", "left", "right"],
-                )
+        for c in scan_blocks(batches, unit, k, length, sketch.value, "anchor"):
+            start, end = c.rows[c.row], c.rows[c.row + 1]
+            double = window_hash(c.lanes[0], 2 * k)
+            sides = []
+            for p in (c.at - k, c.at):
+                ok = (p >= start) & (p + 2 * k <= end)
+                side = np.full(len(p), NO_HASH, dtype=np.uint64)
+                side[ok] = double[p[ok]]
+                sides.append(pa.array(side.view(np.int64), mask=~ok))
+            block = span_hash(c.lanes[1], c.lo, c.hi + length)
+            yield pa.record_batch(
+                [as_long(c.anchor), as_long(block), pa.array(c.doc_key), pa.array(c.part), *(pa.array(x.astype(np.int32)) for x in (c.lo - start, c.at - start, c.hi - c.lo + 1)), as_long(c.id), *sides],
+                names=["anchor", "block", "doc_key", "part", "lo", "at", "n", "id", "left", "right"],
+            )
 
     return save(docs.select("doc_key", "part", "text").mapInArrow(run, BLOCKS), "blocks")
 
@@ -79,11 +104,12 @@ def candidate_blocks(docs: DataFrame, unit: str, k: int, length: int) -> DataFra
 def settle_blocks(blocks: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(first holder of each distinct block, blocks that an earlier holder covers whole).
 
-    `order` names the columns that say what "earlier" means. Holders are counted with
-    partial aggregation, so a block that a third of the documents share does not skew.
+    `order` names the columns that say what "earlier" means. Holders are counted with partial
+    aggregation and the firsts are written, so that the join back to the holders is one that
+    Spark can split where a third of the documents share a block.
     """
-    first = F.min(F.struct(*order, *[c for c in ("doc_key", "part", "lo", "at", "n", "left", "right") if c not in order]))
-    firsts = blocks.groupBy("anchor", "block").agg(first.alias("first"), F.count("*").alias("holders")).select("anchor", "block", "first.*", "holders")
+    first = F.min(F.struct(*order, "id", "left", "right"))
+    firsts = save(blocks.groupBy("anchor", "block").agg(first.alias("first"), F.count("*").alias("holders")).select("anchor", "block", "first.*", "holders"), "firsts")
     earliest = firsts.filter("holders > 1").select("anchor", "block", F.struct(*order).alias("earliest"))
     covered = blocks.join(earliest, ["anchor", "block"]).filter(F.struct(*order) > F.col("earliest"))
     return firsts, covered.select("doc_key", "part", "lo", "n")
@@ -96,14 +122,9 @@ def open_blocks(firsts: DataFrame) -> DataFrame:
     return firsts.join(rivals, "anchor")
 
 
-def with_texts(keyed_docs: DataFrame, blocks: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document that has open blocks, with the list of them (bounded by its length)."""
-    lists = blocks.groupBy("doc_key", "part").agg(F.collect_list(F.struct(*columns)).alias("blocks"))
-    return keyed_docs.join(lists, ["doc_key", "part"]).select("doc_id", "doc_key", "part", "text", "blocks")
-
-
 def spans_by_document(keyed_docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every document with its removed spans (lo, hi), null where none."""
+    """Every document with its removed spans (lo, hi), null where none; their number is
+    bounded by the document's length."""
     lists = spans.groupBy("doc_key", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return keyed_docs.join(lists, ["doc_key", "part"], "left").select("doc_id", "doc_key", "part", "text", "spans")
 
@@ -138,5 +159,3 @@ def per_document(df: DataFrame, schema: str, row: Callable) -> DataFrame:
 
     return df.mapInArrow(run, schema)
 
-
-__all__ = ["anchor_hashes", "candidate_blocks", "keyed", "open_blocks", "per_document", "settle_blocks", "span_mask", "spans_by_document", "tokens", "with_texts"]
