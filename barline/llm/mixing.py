@@ -21,6 +21,7 @@ MAX_PATTERNS = 20_000
 WORD = r"[^ \t-\r]+"
 #: Leading hash bits that make a bin.
 BIN_BITS = 12
+HASH_BITS = 62
 
 
 def word_count(text: Column) -> Column:
@@ -119,7 +120,7 @@ def mix(documents: DataFrame, members: Column, weights: tuple[float, ...] = (3,
     share their fate. No document is taken more than `repeats` times. Empty tables give none.
     """
     spark = documents.sparkSession
-    tagged = documents.withColumns({"__pattern": F.array_sort(F.array_distinct(members)), "__size": word_count(F.col("text")), "__u": F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed))})
+    tagged = documents.withColumns({"__pattern": F.array_sort(F.array_distinct(members)), "__size": word_count(F.col("text")), "__u": F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)), 64 - HASH_BITS)})
     sized = save(tagged.select("__pattern", "__size", "__u"), "sizes")
     sums = sized.groupBy("__pattern").agg(F.sum("__size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
@@ -132,22 +133,21 @@ def mix(documents: DataFrame, members: Column, weights: tuple[float, ...] = (3,
     plan = [(list(p), n, taken[p] // n if n else 0, taken[p] - n * (taken[p] // n) if n else 0) for p, n in patterns.items()]
     quota = F.broadcast(spark.createDataFrame(plan, "__pattern array<string>, words long, full int, rest long"))
 
-    bins = sized.groupBy("__pattern", "__u").agg(F.sum("__size").alias("w")).withColumn("bin", F.shiftright("__u", 64 - BIN_BITS))
+    bins = sized.groupBy("__pattern", "__u").agg(F.sum("__size").alias("w")).withColumn("bin", F.shiftright("__u", HASH_BITS - BIN_BITS))
     upto = Window.partitionBy("__pattern").orderBy("bin")
     by_bin = bins.groupBy("__pattern", "bin").agg(F.sum("w").alias("w")).withColumn("upto", F.sum("w").over(upto))
     edge = _joined(by_bin, quota).filter("upto > rest").groupBy("__pattern").agg(F.min("bin").alias("edge"), F.min(F.col("upto")).alias("most"), F.min_by("w", "bin").alias("own"))
-    within = bins.join(F.broadcast(edge), bins["__pattern"].eqNullSafe(edge["__pattern"]) & (bins["bin"] == edge["edge"])).select(bins["__pattern"], "__u", "w", "edge", (F.col("most") - F.col("own")).alias("before"))
+    within = _joined(bins, F.broadcast(edge)).filter("bin = edge").select("__pattern", "__u", "w", "edge", (F.col("most") - F.col("own")).alias("before"))
     running = within.withColumn("upto", F.col("before") + F.sum("w").over(Window.partitionBy("__pattern").orderBy("__u")))
     cut = _joined(running, quota).groupBy("__pattern").agg(
         F.max(F.when(F.col("upto") <= F.col("rest"), F.col("__u"))).alias("cut"), F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("got"), F.first("edge").alias("edge"), F.first("before").alias("before"), F.first("rest").alias("rest")
     )
-    last = cut.select("__pattern", F.coalesce("cut", F.shiftleft("edge", 64 - BIN_BITS) - 1).alias("cut"), (F.col("rest") - F.coalesce("got", "before")).alias("short"), (F.col("edge") == -(1 << (BIN_BITS - 1))).alias("lowest"), F.col("cut").isNull().alias("none"))
-    last = last.withColumn("none", F.col("none") & F.col("lowest")).drop("lowest")
+    last = cut.select("__pattern", F.coalesce("cut", F.shiftleft("edge", HASH_BITS - BIN_BITS) - 1).alias("cut"), (F.col("rest") - F.coalesce("got", "before")).alias("short"))
     last = save(last, "cuts")  # at most MAX_PATTERNS rows
-    fitting = _joined(bins, F.broadcast(last)).filter("(none OR __u > cut) AND w > 0 AND abs(w - short) < short").groupBy("__pattern").agg(F.min(F.struct(F.abs(F.col("w") - F.col("short")).alias("gap"), F.col("__u").alias("fit"))).alias("best"))
-    decided = last.alias("l").join(F.broadcast(fitting).alias("f"), F.expr("l.__pattern <=> f.__pattern"), "left").selectExpr("l.__pattern", "cut", "none", "f.best.fit AS fit")
-    choice = save(quota.alias("q").join(decided.alias("d"), F.expr("q.__pattern <=> d.__pattern"), "left").selectExpr("q.__pattern", "full", "rest", "cut", "none", "fit"), "choice")
-    more = F.when(F.col("rest") == 0, 0).when((~F.col("none") & (F.col("__u") <= F.col("cut"))) | F.coalesce(F.col("__u") == F.col("fit"), F.lit(False)), 1).otherwise(0)
+    fitting = _joined(bins, F.broadcast(last)).filter("__u > cut AND w > 0 AND abs(w - short) < short").groupBy("__pattern").agg(F.min(F.struct(F.abs(F.col("w") - F.col("short")).alias("gap"), F.col("__u").alias("fit"))).alias("best"))
+    decided = last.alias("l").join(F.broadcast(fitting).alias("f"), F.expr("l.__pattern <=> f.__pattern"), "left").selectExpr("l.__pattern", "cut", "f.best.fit AS fit")
+    choice = save(quota.alias("q").join(decided.alias("d"), F.expr("q.__pattern <=> d.__pattern"), "left").selectExpr("q.__pattern", "full", "rest", "cut", "fit"), "choice")
+    more = F.when(F.col("rest") == 0, 0).when((F.col("__u") <= F.col("cut")) | F.coalesce(F.col("__u") == F.col("fit"), F.lit(False)), 1).otherwise(0)
     out = _joined(tagged, F.broadcast(choice)).withColumns({"times": F.when(F.col("__size") > 0, F.col("full") + F.coalesce(more, F.lit(0))).otherwise(0).cast("int")})
     totals = spark.createDataFrame([(s, sizes[s], float(targets[s])) for s in sources], "source string, source_size long, target double")
     return out.select(*[F.col(c) for c in documents.columns], F.col("__size").alias("size"), "times"), totals

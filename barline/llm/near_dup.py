@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -19,10 +19,13 @@ from .shared import NO_ID, save
 _NO_IDS = 1 << 40
 
 
+def node_key() -> Column:
+    """doc_id as a node; a null id gets a key above all ids, from its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) - F.pmod(F.xxhash64("text"), F.lit(_NO_IDS)))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, a node key and the text; a null id gets a key above all ids, from its text."""
-    own = F.lit(NO_ID) - F.pmod(F.xxhash64("text"), F.lit(_NO_IDS))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), own).alias("node"), "text")
+    return docs.select(node_key().alias("node"), "text")
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -119,7 +122,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     return checked.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
-def near_duplicates(documents: DataFrame, similarity: float = 0.8, size: int = 5, rows: int = 6) -> DataFrame:
+def near_duplicates(documents: DataFrame, similarity: float = 0.8, size: int = 5, rows: int = 6, nodes_only: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over
     links, itself included) and kept (it is the one of its component that stays).
 
@@ -175,5 +178,21 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, size: int = 5
     found = components(done.filter("linked").select("a", "b").unionByName(repeated.select("a", "b")))
     home = named.select("node", "rep").distinct().join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("node").agg(F.min(F.coalesce("component", "rep")).alias("home"))
     out = signed.join(home, "node", "left").withColumn("home", F.coalesce("home", "node"))
+    if nodes_only:
+        return out.select("node", "home", (F.col("node") == F.col("home")).alias("kept"))
     real = lambda c: F.when(F.col(c) <= NO_ID - _NO_IDS, F.col(c))
     return out.select(real("node").alias("doc_id"), "n_shingles", real("home").alias("component_id"), (F.col("node") == F.col("home")).alias("kept"))
+
+
+def keep_first(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The rows of `documents` that stay: of each group of near-duplicates one row, of smallest
+    doc_id; of repeated rows of that id the first by text. Texts without words all stay."""
+    names = documents.columns
+    found = near_duplicates(documents, similarity, nodes_only=True)
+    tagged = documents.withColumn("__node", node_key())
+    kept = tagged.join(found.filter("kept").select(F.col("node").alias("__node")).distinct(), "__node", "left_semi")
+    once = save(kept.groupBy("__node").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("h")).filter("n > 1"), "repeats")
+    if not once.limit(1).count():
+        return kept.select(*names)
+    firsts = kept.join(once, "__node").filter(F.xxhash64("text") == F.col("h")).dropDuplicates(["__node"])
+    return kept.join(once, "__node", "left_anti").select(*names).unionByName(firsts.select(*names))

@@ -92,9 +92,14 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
 class Words:
     """Words of a chunk: byte spans, two hash lanes, and the first word of each row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, lanes: int = 2):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, lanes: int = 2, latin: bool = False):
         if lower:
             data = _LOWER[data]
+        if latin:  # À-Þ of two UTF-8 bytes
+            second = np.flatnonzero(data[:-1] == 0xC3) + 1
+            second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+            data = data.copy()
+            data[second] += 0x20
         self.data = data
         n = len(data)
         inside = ~IS_SPACE[data]
