@@ -1,0 +1 @@
+"""Batch operators on bars, archives' manifests and messages."""

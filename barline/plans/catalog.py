@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import candle_queries, message_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = candle_queries.QUERIES | message_queries.QUERIES
+SQL: dict[str, str] = candle_queries.SQL | message_queries.SQL

@@ -1,0 +1 @@
+"""Readers and writers: archives, pages, bar tables, run logs and envelopes."""

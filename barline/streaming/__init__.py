@@ -1,0 +1 @@
+"""Structured Streaming forms of sync, resampling and ingest."""
