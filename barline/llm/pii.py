@@ -225,7 +225,8 @@ def rewritten(text: str) -> str:
 def fit(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Weights:
     """Train on at most `sample` documents, chosen by a seeded hash of id and text."""
     near = documents.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text", F.lit(11)).alias("u"), "text")
-    texts = [r.text for r in near.orderBy("u", "text").limit(sample).collect()]
+    last = near.select("u").orderBy("u").limit(sample).agg(F.max("u")).first()[0]
+    texts = [r.text for r in near.filter(F.col("u") <= F.lit(last)).select("u", "text").distinct().orderBy("u", "text").limit(sample).collect()] if last is not None else []
     return train(texts)
 
 
