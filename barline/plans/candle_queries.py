@@ -18,10 +18,13 @@ from ..sources.archives import parse_kline_csv, parse_kline_json
 from ..sources.plan import archive_plan as plan_archives
 from ..sources.plan import daily_fallback as expand_days
 from ..sources.plan import page_plan as plan_pages
-from ..sources.tables import expected_partitions, partition_inventory as inventory, read_candles, write_candles
+from ..sources.tables import expected_partitions, page_candles, read_candles, write_candles
+from ..sources.tables import latest_run as newest_run
+from ..sources.tables import partition_inventory as inventory
 from ..streaming.resample import resample_stream
 from ..streaming.sync import catchup_split as split_catchup
 from ..streaming.sync import sync_window as window_to_sync
+from . import jobs
 from .bars import ALTERED, RANGES, SPOILT, altered, bars_1h, flat, spoilt, sql, table, whole_range
 
 QUERIES: dict = {}
@@ -489,3 +492,68 @@ def stream_resample(spark, sf_dir):
     query = resample_stream(stream, "1h", "4h").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(bars.schema).parquet(f"{root}/out").filter("open_time < TIMESTAMP '2199-01-01'")
+
+
+_MIDDLE = "(SELECT min(open_time) + (max(open_time) - min(open_time)) / 2 FROM bars)"
+
+
+def _middle(bars: DataFrame):
+    ends = bars.agg((F.unix_micros(F.min("open_time")) + F.unix_micros(F.max("open_time"))) / 2).first()[0]
+    return F.timestamp_micros(F.lit(int(ends)))
+
+
+@query(sql(f"SELECT {_COLS} FROM bars WHERE symbol = 'click' AND open_time >= {_MIDDLE} AND open_time < {_MIDDLE} + INTERVAL 3 DAY"))
+def scope_of_one_symbol(spark, sf_dir):
+    """Bars of one key in three days from the middle of the range."""
+    bars = bars_1h(spark, sf_dir)
+    start = _middle(bars)
+    return quality.in_scope(bars, {"symbol": "click"}, start, start + F.expr("INTERVAL 3 DAY"))
+
+
+@query(sql(f"SELECT {_COLS} FROM bars WHERE symbol = 'click' AND open_time > {_MIDDLE} ORDER BY open_time LIMIT 100"))
+def page_of_one_symbol(spark, sf_dir):
+    """The first 100 bars of one key after the middle of the range."""
+    bars = bars_1h(spark, sf_dir)
+    return page_candles(bars.filter("symbol = 'click'"), _middle(bars), 100)
+
+
+@query(sql(f"SELECT {_KEYS}, gap_start, gap_end, gap_end - gap_start <= INTERVAL 1 DAY AS repairable FROM (SELECT {_KEYS}, gap_start, CASE WHEN hour(gap_start) % 2 = 0 THEN gap_end + INTERVAL 1 DAY ELSE gap_end END AS gap_end FROM gaps)", _GAPS))
+def repairable_gaps(spark, sf_dir):
+    """Gaps against a one-day limit, those that start in even hours made a day longer."""
+    gaps = quality.interior_gaps(bars_1h(spark, sf_dir))
+    gaps = gaps.withColumn("gap_end", F.when(F.hour("gap_start") % 2 == 0, F.col("gap_end") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("gap_end")))
+    ok, refused = quality.split_repairable(gaps, most_days=1)
+    return ok.withColumn("repairable", F.lit(True)).unionByName(refused.withColumn("repairable", F.lit(False)))
+
+
+@query("""SELECT event_type, last(event_id ORDER BY ts, event_id) AS event_id, last(user_id ORDER BY ts, event_id) AS user_id FROM events GROUP BY event_type""")
+def latest_run(spark, sf_dir):
+    """The newest record of each event type, as of a run log."""
+    e = table(spark, sf_dir, "events").select("event_type", F.struct("ts", "event_id").alias("observed_at"), "event_id", "user_id")
+    return newest_run(e, ["event_type"]).select("event_type", "event_id", "user_id")
+
+
+@query(sql("""SELECT "interval", status, count(*) AS bars FROM (SELECT '1h' AS "interval", CASE WHEN b.symbol IS NULL THEN 'left_only' WHEN a.symbol IS NULL THEN 'right_only' WHEN a.close = b.close THEN 'equal' ELSE 'different' END AS status FROM bars a FULL JOIN altered b ON a.symbol = b.symbol AND a.open_time = b.open_time) GROUP BY ALL""", ALTERED))
+def compare_published(spark, sf_dir):
+    bars = bars_1h(spark, sf_dir)
+    return jobs.compare_published(bars, altered(bars))
+
+
+@query(sql("""SELECT (SELECT count(*) FROM (SELECT DISTINCT symbol, date_trunc('month', open_time) FROM bars)) AS partitions_expected, (SELECT count(*) FROM (SELECT DISTINCT symbol, date_trunc('month', open_time) FROM bars)) AS partitions_ok,
+    (SELECT count(*) FROM bars WHERE hour(open_time) = 7) AS cell_differences, FALSE AS passed"""))
+def verification_report(spark, sf_dir):
+    """Stored bars verified against bars whose close differs in one hour of the day."""
+    root = shared(spark, "bars")
+    bars = bars_1h(spark, sf_dir)
+    write_candles(bars, root)
+    other = bars.withColumn("close", F.when(F.hour("open_time") == 7, F.col("close") + 1).otherwise(F.col("close")).cast("decimal(38,18)"))
+    # each symbol's range is that of its bars
+    ranges = bars.groupBy(*KEY).agg(F.min("open_time").alias("start"), (F.max("open_time") + F.expr("INTERVAL 1 HOUR")).alias("end"))
+    return jobs.verify(spark, other, root, ranges, jobs.STORED_ARROW).select("partitions_expected", "partitions_ok", "cell_differences", "passed")
+
+
+@query(sql("""SELECT CAST(count(*) AS BIGINT) AS rows_in, CAST(count(*) FILTER (len(codes) = 0) AS BIGINT) AS rows_valid, CAST(count(DISTINCT code) AS BIGINT) AS codes_seen FROM (SELECT codes, unnest(CASE WHEN len(codes) = 0 THEN [NULL] ELSE codes[1:1] END) AS code FROM broken)""", SPOILT, _RULES))
+def run_counters(spark, sf_dir):
+    """Counters of one pass over bars with broken rows."""
+    rows = spoilt(bars_1h(spark, sf_dir)).withColumn("codes", quality.rule_codes())
+    return rows.agg(F.count("*").alias("rows_in"), F.count_if(F.size("codes") == 0).alias("rows_valid"), F.count_distinct(F.try_element_at("codes", F.lit(1))).alias("codes_seen"))

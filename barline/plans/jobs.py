@@ -11,10 +11,16 @@ from ..functions.intervals import touched_months
 from ..operators.merge import cell_diff, insert_only_merge, reconcile
 from ..operators.quality import clip_to_range, file_ranges, find_gaps, split_by_file, split_repairable, validate_range, validate_repair
 from ..operators.resample import resample_ladder
-from ..schemas import CANDLE, CANDLE_COLUMNS, KEY
+from ..schemas import CANDLE, CANDLE_COLUMNS, KEY, PRICES, VOLUMES
 from ..sources.archives import archive_lines, parse_kline_csv, read_files, read_sidecars, verify_checksums
 from ..sources.tables import check_schema, expected_partitions, partition_inventory, read_candles, write_candles
 
+#: Arrow types of a stored file: the contract less the partition columns.
+STORED_ARROW = {
+    "schema_version": "string", "open_time": "timestamp[us, tz=UTC]", **{c: "decimal128(38, 18)" for c in (*PRICES, *VOLUMES)}, "close_time": "timestamp[us, tz=UTC]",
+    "trade_count": "int64", "source": "string", "source_file": "string",
+}
+
 
 def import_archives(spark: SparkSession, path: str, existing: DataFrame, start: datetime, end: datetime, constants: dict[str, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(merged bars, rejected rows, file ranges) of landed archives whose checksums pass. Files with

@@ -203,3 +203,20 @@ def explode_artifacts(spark, sf_dir):
     all_ = F.array(*[F.struct(F.lit(f"n{i}").alias("name"), (F.lit("file:///x") if i == 0 else F.lit(None)).cast("string").alias("uri"), (F.lit(None) if i == 0 else F.lit("https://h/y")).cast("string").alias("url"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("kind")) for i in range(2)])
     rows = e.select("event_id", F.slice(all_, F.lit(1), (F.col("event_id") % 3).cast("int")).alias("artifacts"))
     return messages.explode_artifacts(rows, ["event_id"]).select("event_id", "position", "name", "uri")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 = 1 THEN 'lane' WHEN event_id % 4 = 2 THEN 'domain,key,lane' ELSE 'approval' END AS route_codes FROM events""")
+def routed_validation(spark, sf_dir):
+    """Events as routed tasks: right, on a wrong lane, of an unknown domain, and not approved."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id") % 4
+    domain = F.format_string("%02d", (F.col("event_id") % 9).cast("int"))
+    empty = F.array().cast("array<string>")
+    brief = F.struct(F.lit("o").alias("outcome"), *[empty.alias(x) for x in messages.BRIEF[1:]])
+    meta = F.struct(
+        F.when(n == 2, "99").otherwise(domain).alias("project_domain"), F.concat(F.lit("key-"), domain).alias("cloud_conversation_key"), F.concat(F.lit("lane/"), F.when(n == 1, "99").otherwise(domain)).alias("local_lane"),
+        F.lit("lead").alias("authority"), F.when(n == 3, "pending").otherwise("approved_for_local_implementation").alias("approval_state"), F.lit("FAST").alias("change_mode"), brief.alias("implementation_brief"),
+    )
+    doc = F.struct(F.lit("task").alias("type"), F.lit("planner").alias("sender"), F.lit("worker").alias("recipient"), meta.alias("metadata"))
+    routes = spark.createDataFrame([(f"{i:02d}", f"key-{i:02d}", f"lane/{i:02d}") for i in range(9)], "domain string, cloud_conversation_key string, local_lane string")
+    return messages.validate_routed(e.select("event_id", F.to_json(doc).alias("json")), "json", routes, "planner", "worker", "lead").select("event_id", "route_codes")
