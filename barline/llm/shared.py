@@ -9,8 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the sketch of repeated hashes: 16 MB, whatever the input's size.
+#: Bits of the largest sketch, as a power of two: 16 MB, whatever the input's size.
 SKETCH_BITS = 27
+#: A sketch is folded while at most one bit in so many is set.
+SPARSE = 64
 NO_ID = (1 << 63) - 1
 
 
@@ -44,8 +46,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_sketch(repeated: DataFrame, column: str) -> np.ndarray:
     """A Bloom bitmap (two probes) of a hash column, OR-ed by Spark word by word.
 
-    Its size is fixed by SKETCH_BITS, not by the data; false positives only let a
-    few more candidates through, and every candidate is compared exactly later.
+    Its size is bounded by SKETCH_BITS, not by the data (sparse bitmaps fold to smaller ones);
+    false positives only let more candidates through, and every candidate is compared
+    exactly later.
     """
     h = F.col(column)
     mask = (1 << SKETCH_BITS) - 1
@@ -58,11 +61,13 @@ def repeated_sketch(repeated: DataFrame, column: str) -> np.ndarray:
     )
     out = np.zeros(1 << (SKETCH_BITS - 5), dtype=np.uint32)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    while len(out) > 32 and int(np.bitwise_count(out).sum()) * SPARSE <= len(out) * 16:
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
     return out
 
 
 def in_sketch(sketch: np.ndarray, h: np.ndarray) -> np.ndarray:
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
+    mask = np.uint64(len(sketch) * 32 - 1)
     hit = np.ones(len(h), dtype=bool)
     for bit in (h & mask, (h >> np.uint64(SKETCH_BITS)) & mask):
         hit &= (sketch[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & 1 == 1

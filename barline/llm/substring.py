@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sequences import as_long, window_hash
-from .shared import keyed, repeated_sketch, save
-from .windows import candidate_blocks, open_blocks, per_document, scan_blocks, settle_blocks, span_mask, spans_by_document
+from .shared import keyed, save
+from .windows import candidate_blocks, open_blocks, per_document, place_sketch, scan_blocks, settle_blocks, span_mask, spans_by_document
 
 
 
@@ -34,12 +34,12 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """Word spans (doc_key, part, lo, hi) of all windows of `length` words that also start in
     a document with a smaller id. `docs` comes from `keyed`."""
     k = -(-length // 4)
-    blocks = candidate_blocks(docs, "word", k, length)
+    blocks = candidate_blocks(docs, "word", k, length, doubled=True)
     firsts, covered = settle_blocks(blocks, ["doc_key"])
-    sketch = docs.sparkSession.sparkContext.broadcast(repeated_sketch(doubled(open_blocks(firsts)), "id"))
+    sketch = docs.sparkSession.sparkContext.broadcast(place_sketch(doubled(open_blocks(firsts)), "lo"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in scan_blocks(batches, "word", k, length, sketch.value, "id"):
+        for c in scan_blocks(batches, "word", k, length, sketch.value, "place"):
             n = c.hi - c.lo + 1
             of = np.repeat(np.arange(len(n)), n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - c.lo, n)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import in_sketch, keyed, repeated_sketch, save
-from .windows import candidate_blocks, open_blocks, per_document, scan_blocks, settle_blocks, span_mask, spans_by_document
+from .windows import candidate_blocks, open_blocks, per_document, place_sketch, scan_blocks, settle_blocks, span_mask, spans_by_document
 
 LEAD = 24
 #: Blocks that share a lead: beyond it, they are cut by the whole window (both ways are exact).
@@ -87,12 +87,12 @@ def _contexts(docs: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
     """The bytes of each open block, from its first window's start to its last window's end,
     with its lead; `crowded` tells the leads that have too many blocks for one bucket."""
     spark = docs.sparkSession.sparkContext
-    blocks = save(blocks.select("anchor", "id", "rivals"), "open")
-    sketch = spark.broadcast(repeated_sketch(blocks, "id"))
+    blocks = save(blocks.select("anchor", "doc_key", "part", "lo", "rivals"), "open")
+    sketch = spark.broadcast(place_sketch(blocks, "lo"))
     crowd = spark.broadcast(repeated_sketch(blocks.filter(F.col("rivals") > BUCKET_BLOCKS).select("anchor").distinct(), "anchor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in scan_blocks(batches, "byte", LEAD, length, sketch.value, "id"):
+        for c in scan_blocks(batches, "byte", LEAD, length, sketch.value, "place"):
             leads = pa.array([c.data[p : p + LEAD].tobytes() for p in c.at], pa.binary())
             spans = pa.array([c.data[a:b].tobytes() for a, b in zip(c.lo, c.hi + length)], pa.binary())
             lo = pa.array((c.lo - c.rows[c.row]).astype(np.int32))
@@ -101,9 +101,21 @@ def _contexts(docs: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
     return save(docs.select("doc_key", "part", "text").mapInArrow(run, f"lead binary, bytes binary, {_WINDOW}, crowded boolean"), "contexts")
 
 
+def split_copies(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """(sketch of the rows that hold the first copy of their text, all later copies). A later copy
+    repeats its first one from end to end, so only first copies need suffixes; what the sketch
+    lets through besides is looked at again and changes nothing."""
+    place = F.struct("doc_key", "part")
+    texts = save(docs.select("doc_key", "part", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n_bytes")), "digests")
+    first = save(texts.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "first-copies")
+    later = texts.join(first.filter("copies > 1").select("digest", "first"), "digest").filter(place > F.col("first"))
+    return place_sketch(first.select("first.*")), later.select("doc_key", "part", "n_bytes").distinct()
+
+
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """Byte spans (doc_key, part, lo, hi) of all `length`-byte strings that also start earlier."""
-    blocks = candidate_blocks(docs, "byte", LEAD, length)
+    first_texts, copies = split_copies(docs)
+    blocks = candidate_blocks(docs, "byte", LEAD, length, only=first_texts)
     firsts, covered = settle_blocks(blocks, ["doc_key", "part", "lo"])
     contexts = _contexts(docs, open_blocks(firsts), length)
 
@@ -154,7 +166,9 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     first = save(windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("window", "first"), "first-windows")
     large = windows.join(first, "window").filter((F.col("doc_key") > F.col("first.doc_key")) | ((F.col("doc_key") == F.col("first.doc_key")) & (F.col("part") == F.col("first.part")) & (F.col("lo") > F.col("first.lo"))))
     late = small.unionByName(large.select("doc_key", "part", "lo"))
-    return covered.select("doc_key", "part", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi")).unionByName(late.select("doc_key", "part", "lo", (F.col("lo") + length).alias("hi")))
+    whole = copies.select("doc_key", "part", F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi")).filter(F.col("hi") >= length)
+    blocks_out = covered.select("doc_key", "part", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
+    return blocks_out.unionByName(late.select("doc_key", "part", "lo", (F.col("lo") + length).alias("hi"))).unionByName(whole)
 
 
 def suffix_array_dedup(documents: DataFrame, length: int = 100) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .sequences import NO_HASH, anchors, as_long, byte_lanes, mix, span_hash, text_chunks, token_rows, Words, window_hash
 from .shared import in_sketch, repeated_sketch, save
 
-BLOCKS = "anchor long, block long, doc_key long, part int, lo int, at int, n int, id long, left long, right long"
+BLOCKS = "anchor long, block long, doc_key long, part int, lo int, n int"
 
 
 def tokens(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -30,14 +30,39 @@ def tokens(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.nd
     return words.lanes, words.row_offsets
 
 
-def anchor_hashes(docs: DataFrame, unit: str, k: int, length: int) -> DataFrame:
+def place_hash(doc_key: np.ndarray, part: np.ndarray, lo: np.ndarray | int = 0) -> np.ndarray:
+    """Hash of a place in a document, for sketches of places."""
+    return mix(mix(doc_key.view(np.uint64)) + (part.astype(np.uint64) << np.uint64(40)) + np.asarray(lo).astype(np.uint64))
+
+
+def place_sketch(places: DataFrame, at: str | None = None) -> np.ndarray:
+    """repeated_sketch of the places (doc_key, part, and the column `at`) of a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, part, *lo = (batch.column(i).to_numpy() for i in range(batch.num_columns))
+            yield pa.record_batch([as_long(place_hash(key, part, *lo))], names=["id"])
+
+    columns = ["doc_key", "part", *([at] if at else [])]
+    return repeated_sketch(places.select(*columns).mapInArrow(run, "id long"), "id")
+
+
+def chosen_texts(batch: pa.RecordBatch, only: np.ndarray | None) -> pa.RecordBatch:
+    """The rows of a batch whose (doc_key, part) may be in a sketch; all without one."""
+    if only is None or not len(batch):
+        return batch
+    keep = in_sketch(only, place_hash(batch.column("doc_key").to_numpy(), batch.column("part").to_numpy()))
+    return batch.filter(pa.array(keep))
+
+
+def anchor_hashes(docs: DataFrame, unit: str, k: int, length: int, only=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column("text")):
+            for _, _, data, offsets in text_chunks(chosen_texts(batch, only and only.value).column("text")):
                 (lane, *_), rows = tokens(unit, data, offsets)
                 yield pa.record_batch([as_long(anchors(lane, rows, k, length)[1])], names=["anchor"])
 
-    return docs.select("text").mapInArrow(run, "anchor long")
+    return docs.select("doc_key", "part", "text").mapInArrow(run, "anchor long")
 
 
 @dataclass
@@ -52,53 +77,52 @@ class Chunk:
     at: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
-    id: np.ndarray
     doc_key: np.ndarray
     part: np.ndarray
 
 
-def scan_blocks(batches: Iterator[pa.RecordBatch], unit: str, k: int, length: int, sketch: np.ndarray, by: str) -> Iterator[Chunk]:
-    """Blocks of doc_key, part, text batches whose anchor (or own id) is in the sketch."""
-    for batch in batches:
+def scan_blocks(batches: Iterator[pa.RecordBatch], unit: str, k: int, length: int, sketch: np.ndarray, by: str, only: np.ndarray | None = None) -> Iterator[Chunk]:
+    """Blocks of doc_key, part, text batches whose anchor (or place) is in the sketch."""
+    for whole in batches:
+        batch = chosen_texts(whole, only)
         keys, parts = batch.column("doc_key").to_numpy(), batch.column("part").to_numpy()
         for i, _, data, offsets in text_chunks(batch.column("text")):
             lanes, rows = tokens(unit, data, offsets)
             at, h, lo, hi = anchors(lanes[0], rows, k, length)
             row = token_rows(rows)[at] if len(at) else at
-            place = mix(mix(keys[i + row].view(np.uint64)) + (parts[i + row].astype(np.uint64) << np.uint64(40)) + (lo - rows[row]).astype(np.uint64))
-            hit = in_sketch(sketch, h if by == "anchor" else place)
+            hit = in_sketch(sketch, h if by == "anchor" else place_hash(keys[i + row], parts[i + row], lo - rows[row]))
             if hit.any():
                 row = row[hit]
-                yield Chunk(lanes, rows, data, row, h[hit], at[hit], lo[hit], hi[hit], place[hit], keys[i + row], parts[i + row])
+                yield Chunk(lanes, rows, data, row, h[hit], at[hit], lo[hit], hi[hit], keys[i + row], parts[i + row])
 
 
-def candidate_blocks(docs: DataFrame, unit: str, k: int, length: int) -> DataFrame:
+def candidate_blocks(docs: DataFrame, unit: str, k: int, length: int, doubled: bool = False, only: np.ndarray | None = None) -> DataFrame:
     """Blocks whose anchor occurs at least twice anywhere (and a few more: see repeated_sketch).
 
-    `lo` is the first window start, `at` the anchor, `n` the number of windows, `id` a hash of
-    the block's place; `left` and `right` hash the doubled anchor, extended to either side (null
-    past the text's edge).
+    `lo` is the first window start and `n` the number of windows. With `doubled`, `left` and
+    `right` hash the anchor at twice its length, extended to either side (null past the text's
+    edge). `only` is a sketch of the rows to look at.
     """
-    counts = anchor_hashes(docs, unit, k, length).groupBy("anchor").agg(F.count("*").alias("n"))
-    sketch = docs.sparkSession.sparkContext.broadcast(repeated_sketch(counts.filter("n > 1"), "anchor"))
+    context = docs.sparkSession.sparkContext
+    rows_only = context.broadcast(only) if only is not None else None
+    counts = anchor_hashes(docs, unit, k, length, rows_only).groupBy("anchor").agg(F.count("*").alias("n"))
+    sketch = context.broadcast(repeated_sketch(counts.filter("n > 1"), "anchor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in scan_blocks(batches, unit, k, length, sketch.value, "anchor"):
+        for c in scan_blocks(batches, unit, k, length, sketch.value, "anchor", rows_only and rows_only.value):
             start, end = c.rows[c.row], c.rows[c.row + 1]
-            double = window_hash(c.lanes[0], 2 * k)
-            sides = []
-            for p in (c.at - k, c.at):
-                ok = (p >= start) & (p + 2 * k <= end)
-                side = np.full(len(p), NO_HASH, dtype=np.uint64)
-                side[ok] = double[p[ok]]
-                sides.append(pa.array(side.view(np.int64), mask=~ok))
             block = span_hash(c.lanes[1], c.lo, c.hi + length)
-            yield pa.record_batch(
-                [as_long(c.anchor), as_long(block), pa.array(c.doc_key), pa.array(c.part), *(pa.array(x.astype(np.int32)) for x in (c.lo - start, c.at - start, c.hi - c.lo + 1)), as_long(c.id), *sides],
-                names=["anchor", "block", "doc_key", "part", "lo", "at", "n", "id", "left", "right"],
-            )
+            columns = {"anchor": as_long(c.anchor), "block": as_long(block), "doc_key": pa.array(c.doc_key), "part": pa.array(c.part), "lo": pa.array((c.lo - start).astype(np.int32)), "n": pa.array((c.hi - c.lo + 1).astype(np.int32))}
+            if doubled:
+                double = window_hash(c.lanes[0], 2 * k)
+                for name, p in (("left", c.at - k), ("right", c.at)):
+                    ok = (p >= start) & (p + 2 * k <= end)
+                    side = np.full(len(p), NO_HASH, dtype=np.uint64)
+                    side[ok] = double[p[ok]]
+                    columns[name] = pa.array(side.view(np.int64), mask=~ok)
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
-    return save(docs.select("doc_key", "part", "text").mapInArrow(run, BLOCKS), "blocks")
+    return save(docs.select("doc_key", "part", "text").mapInArrow(run, BLOCKS + (", left long, right long" if doubled else "")), "blocks")
 
 
 def settle_blocks(blocks: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +132,7 @@ def settle_blocks(blocks: DataFrame, order: list[str]) -> tuple[DataFrame, DataF
     aggregation and the firsts are written, so that the join back to the holders is one that
     Spark can split where a third of the documents share a block.
     """
-    first = F.min(F.struct(*order, "id", "left", "right"))
+    first = F.min(F.struct(*order, *[c for c in ("part", "lo", "left", "right") if c in blocks.columns and c not in order]))
     firsts = save(blocks.groupBy("anchor", "block").agg(first.alias("first"), F.count("*").alias("holders")).select("anchor", "block", "first.*", "holders"), "firsts")
     earliest = firsts.filter("holders > 1").select("anchor", "block", F.struct(*order).alias("earliest"))
     covered = blocks.join(earliest, ["anchor", "block"]).filter(F.struct(*order) > F.col("earliest"))
