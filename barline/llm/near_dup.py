@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sequences import Words, mix, span_hash, text_chunks
-from .shared import NO_ID, save
+from .shared import NO_ID, in_sketch, repeated_sketch, save
 
 _NO_IDS = 1 << 40
+#: Stars per bucket before the exact closing takes over.
+STARS = 2
 
 
 def node_key() -> Column:
@@ -122,6 +124,56 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     return checked.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
+def candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of (at least) the given nodes, found by a scan with a sketch instead of a shuffle of
+    all texts; what the sketch lets through besides joins with nothing."""
+    sketch = docs.sparkSession.sparkContext.broadcast(repeated_sketch(nodes.select(F.xxhash64("node").alias("h")), "h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = in_sketch(sketch.value, batch.column("h").to_numpy().view(np.uint64))
+            yield batch.select(["node", "text"]).filter(pa.array(hit))
+
+    return save(docs.select(F.xxhash64("node").alias("h"), "node", "text").mapInArrow(run, "node long, text string"), "candidates")
+
+
+def rare_prefix_pairs(texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that can still be similar, by prefix filtering.
+
+    Two sets of similarity t share one of the n - ceil(t n) + 1 rarest shingles of either, for any
+    order of the shingles. Rarity is counted over these nodes, so most prefixes hold shingles that
+    occur once and pair with nothing. The sizes fix how many shingles a pair must share, so
+    the first shared one must stand early enough in both orders, and enough shingles must
+    occur twice at all: both are asked in the join. No similar pair among the nodes is missed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch.column("text")):
+                sets = shingle_sets(data, offsets, size)
+                n = np.array([len(s) for s in sets])
+                at = np.repeat(np.arange(j - i), n)
+                yield pa.record_batch([batch.column("node").slice(i, j - i).take(pa.array(at)), batch.column("component").slice(i, j - i).take(pa.array(at)), pa.array(n[at]), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "component", "n", "shingle"])
+
+    held = texts.join(nodes, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, n long, shingle long")
+    held = save(held, "shingles")
+    often = save(held.groupBy("shingle").agg(F.count("*").alias("df")), "shingle-counts")
+    ranked = held.join(often, "shingle").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"), F.count_if(F.col("df") > 1).alias("m"))  # bounded by the text's length
+    ranked = ranked.filter(F.col("m") * 100 >= F.col("n") * percent)
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = ranked.select("node", "component", "n", "m", F.posexplode(F.slice("s", F.lit(1), F.greatest(length, F.lit(1)).cast("int"))).alias("at", "x")).filter("x.df > 1")
+    prefix = save(prefix.select("node", "component", "n", "m", "at", F.col("x.shingle").alias("shingle")), "prefixes")
+    left, right = prefix.toDF("a", "ca", "na", "ma", "ta", "shingle"), prefix.toDF("b", "cb", "nb", "mb", "tb", "shingle")
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))  # of the intersection
+    similar = (F.least("ma", "mb") >= need) & (F.col("ta") <= F.col("na") - need) & (F.col("tb") <= F.col("nb") - need)
+    joined = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar)
+    return joined.select("a", "b").distinct()
+
+
+def _either_way(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "linked")).distinct()
+
+
 def near_duplicates(documents: DataFrame, similarity: float = 0.8, size: int = 5, rows: int = 6, nodes_only: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over
     links, itself included) and kept (it is the one of its component that stays).
@@ -129,54 +181,49 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, size: int = 5
     Documents link where the Jaccard similarity of their sets of `size`-word shingles is at
     least `similarity` (to the percent). Words are lower-cased over A-Z; a text of fewer words
     is one shingle; null and empty texts have no shingles and link with nothing. Equal sets
-    collapse to one representative first. In each bucket a star joins the smallest node to
-    the others; those it fails form the next star, until each bucket's members are
-    resolved, and buckets that still span several components compare across them, so no
-    linked pair that shares a bucket is lost. A null doc_id counts as larger than all ids and
-    comes back null. Rows that share a doc_id are one node, linked where either text links.
-    Repeated rows are each returned; extra columns are ignored.
+    collapse to one representative first. In each bucket a star joins the node that shares most
+    buckets to the others; those it fails form a second star. Buckets that still span several components are
+    closed exactly: prefix filtering finds every pair of their documents that may link across
+    components, so no linked pair that shares a bucket is lost. A null doc_id counts as larger
+    than all ids and comes back null. Rows that share a doc_id are one node, linked where
+    either text links. Repeated rows are each returned; extra columns are ignored.
     """
     percent = round(similarity * 100)
     docs = keyed(documents)
     signed = save(signatures(docs, size, rows, bands_for(similarity, rows)), "signatures")
     nodes = signed.filter("n_shingles > 0")
     sets = nodes.groupBy("d1", "d2").agg(F.min("node").alias("rep"))
-    named = nodes.join(sets, ["d1", "d2"])
-    reps = named.filter("node = rep").select("node", F.explode("buckets").alias("bucket")).distinct()
-    shared = reps.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = save(reps.join(shared, "bucket"), "members")
+    named = save(nodes.select("node", "d1", "d2").join(sets, ["d1", "d2"]).select("node", "rep").distinct(), "classes")
+    reps = nodes.join(sets, ["d1", "d2"]).filter("node = rep").select("node", F.explode("buckets").alias("bucket")).distinct()
+    shared = reps.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    placed = reps.join(shared, "bucket")
+    weights = placed.groupBy("node").agg(F.sum("n").alias("weight"))  # documents near the middle of a large group share most
+    members = save(placed.join(weights, "node").select("bucket", "node", "weight"), "members")
+    texts = candidate_texts(docs, members.select("node").distinct())
 
     done: DataFrame | None = None
     rest = members
-    while True:  # star rounds
-        stars = rest.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-        spokes = rest.join(stars.select("bucket", "a"), "bucket").filter("node <> a").select("bucket", "a", F.col("node").alias("b"))
+    for _ in range(STARS):
+        centre = F.max(F.struct("weight", (-F.col("node")).alias("a")))
+        stars = save(rest.groupBy("bucket").agg(centre.alias("c"), F.count("*").alias("n")).filter("n > 1").select("bucket", (-F.col("c.a")).alias("a")), "stars")
+        spokes = rest.join(stars, "bucket").filter("node <> a").select("bucket", "a", F.col("node").alias("b"), "weight")
         pairs = spokes.select("a", "b").distinct()
         if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        checked = save(confirm(docs, pairs, size, percent), "links")
+            pairs = pairs.join(_either_way(done).select("a", "b"), ["a", "b"], "left_anti")
+        checked = save(confirm(texts, pairs, size, percent), "links")
         done = checked if done is None else done.unionByName(checked)
-        failed = done.filter("NOT linked")
-        rest = save(spokes.join(failed, ["a", "b"]).select("bucket", F.col("b").alias("node")), "rest")
-        again = rest.groupBy("bucket").count().filter("count > 1").limit(1).count()
-        if not again:
-            break
-
-    while True:  # buckets that still span components
-        found = components(done.filter("linked").select("a", "b"))
-        placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        spread = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        placed = save(placed.join(spread, "bucket"), "spread")
-        left, right = placed.toDF("bucket", "a", "ca"), placed.toDF("bucket", "b", "cb")
-        pairs = left.join(right, "bucket").filter("ca <> cb AND a < b").select("a", "b").distinct()
-        pairs = save(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            break
-        done = done.unionByName(save(confirm(docs, pairs, size, percent), "links"))
-    same_id = named.filter("node <> rep").select(F.col("node").alias("b"), F.col("rep").alias("a"))
-    repeated = same_id.join(named.groupBy("node").agg(F.count_distinct("rep").alias("n")).filter("n > 1").select(F.col("node").alias("b")), "b", "left_semi")
-    found = components(done.filter("linked").select("a", "b").unionByName(repeated.select("a", "b")))
-    home = named.select("node", "rep").distinct().join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("node").agg(F.min(F.coalesce("component", "rep")).alias("home"))
+        rest = save(spokes.join(_either_way(done).filter("NOT linked").select("a", "b"), ["a", "b"]).select("bucket", F.col("b").alias("node"), "weight"), "rest")
+
+    found = components(done.filter("linked").select("a", "b"))
+    placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    spread = save(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket"), "spread")
+    unsure = save(placed.join(spread, "bucket").select("node", "component").distinct(), "unsure")
+    pairs = rare_prefix_pairs(texts, unsure, size, percent).join(_either_way(done).select("a", "b"), ["a", "b"], "left_anti")
+    done = done.unionByName(save(confirm(texts, save(pairs, "pairs"), size, percent), "links"))
+    several = named.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last").select("node", "a")
+    same_id = named.join(several, "node").filter("rep <> a").select("a", F.col("rep").alias("b"))  # an id with several texts
+    found = components(done.filter("linked").select("a", "b").unionByName(same_id))
+    home = named.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("node").agg(F.min(F.coalesce("component", "rep")).alias("home"))
     out = signed.join(home, "node", "left").withColumn("home", F.coalesce("home", "node"))
     if nodes_only:
         return out.select("node", "home", (F.col("node") == F.col("home")).alias("kept"))
