@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from barline.llm import suffix
+from barline.llm import near_dup, suffix
 from barline.llm.components import components
 from barline.llm.near_dup import densified, keep_first, near_duplicates, shingle_sets
 from barline.llm.sequences import anchors, text_chunks, window_hash
@@ -58,9 +58,10 @@ def test_substring_of_other_lengths(spark, rows):
         assert sorted(tuple(r)[:4] for r in substring_dedup(frame(spark, rows), length).collect()) == brute.substring(rows, length)
 
 
-@pytest.mark.parametrize("crowd", [1000, 1])
-def test_suffix(spark, rows, crowd, monkeypatch):
-    monkeypatch.setattr(suffix, "BUCKET_BLOCKS", crowd)  # both ways to cut a lead
+@pytest.mark.parametrize("crowd,piece", [(1000, 3000), (1, 3000), (1000, 1)])
+def test_suffix(spark, rows, crowd, piece, monkeypatch):
+    monkeypatch.setattr(suffix, "BUCKET_BLOCKS", crowd)  # all ways to cut a lead
+    monkeypatch.setattr(suffix, "SLICE_BLOCKS", piece)
     got = sorted(tuple(r)[:5] for r in suffix_array_dedup(frame(spark, rows)).collect())
     assert got == brute.suffix(rows)
 
@@ -83,6 +84,23 @@ def test_near_chain(spark):
     assert got == {d: c for d, (_, c) in brute.near(rows, 80).items()}
 
 
+@pytest.mark.parametrize("stars", [1, 2])
+def test_near_cluster(spark, stars, monkeypatch):
+    """Copies of one text with 0 to 5 edits each: similarities lie on both sides of the threshold."""
+    monkeypatch.setattr(near_dup, "STARS", stars)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for _ in range(r.randint(0, 5)):
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice([[], ["new"], [words[at], words[at]]])
+        rows.append((i, " ".join(words)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(frame(spark, rows), 0.85).collect()}
+    assert got == brute.near(rows, 85)
+
+
 def test_repeated_and_null_rows(spark):
     text = " ".join(f"w{i}" for i in range(80))
     other = " ".join(f"v{i}" for i in range(80))
