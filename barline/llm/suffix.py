@@ -21,7 +21,9 @@ from .windows import candidate_blocks, open_blocks, per_document, place_sketch,
 
 LEAD = 24
 #: Blocks that share a lead: beyond it, they are cut by the whole window (both ways are exact).
-BUCKET_BLOCKS = 1000
+BUCKET_BLOCKS = 100_000
+#: Blocks that are sorted at once; the windows of a larger lead go by their distance to it.
+SLICE_BLOCKS = 3000
 _WINDOW = "doc_key long, part int, lo int"
 
 
@@ -55,20 +57,26 @@ def _tokens(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return rows.view(">u8").astype(np.uint64)
 
 
-def _block_windows(table: pa.Table, length: int):
-    """Bytes of the blocks, and of every window in them: start in the bytes, row, start in its text."""
+def _block_windows(table: pa.Table, length: int, before: tuple[int, int] | None = None):
+    """Bytes of the blocks, and of every window in them: start in the bytes, row, start in its text.
+    `before` keeps the windows that start so many bytes before their lead."""
     column = table.column("bytes").combine_chunks()
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
     n = np.diff(offsets) - length + 1
-    row = np.repeat(np.arange(len(n)), n)
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first, last = np.zeros(len(n), dtype=np.int64), n
+    if before:
+        at = table.column("at").to_numpy().astype(np.int64)
+        first, last = np.clip(at - before[1] + 1, 0, n), np.clip(at - before[0] + 1, 0, n)
+    count = np.maximum(last - first, 0)
+    row = np.repeat(np.arange(len(n)), count)
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count)
     return data, offsets[row] + step, row, table.column("lo").to_numpy()[row] + step
 
 
-def _later_windows(table: pa.Table, length: int) -> pa.RecordBatch:
+def _later_windows(table: pa.Table, length: int, before: tuple[int, int] | None = None) -> pa.RecordBatch:
     """Windows of a bucket slice that start earlier too: sort, compare neighbours, keep the rest of each run."""
-    data, starts, row, lo = _block_windows(table, length)
+    data, starts, row, lo = _block_windows(table, length, before)
     keys = _tokens(data, starts, length)
     order = multikey_quicksort(keys)
     ranked = keys[order]
@@ -78,7 +86,7 @@ def _later_windows(table: pa.Table, length: int) -> pa.RecordBatch:
     doc, part = table.column("doc_key").to_numpy()[row][order], table.column("part").to_numpy()[row][order]
     at = lo[order]
     first = np.lexsort((at, part, doc, run))
-    head = first[np.append(True, run[first][1:] != run[first][:-1])]
+    head = first[np.append(True, run[first][1:] != run[first][:-1])] if len(first) else first
     later = (doc > doc[head][run]) | ((doc == doc[head][run]) & (part == part[head][run]) & (at > at[head][run]))
     return pa.record_batch([pa.array(x[later]) for x in (doc, part, at.astype(np.int32))], names=["doc_key", "part", "lo"])
 
@@ -96,9 +104,9 @@ def _contexts(docs: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
             leads = pa.array([c.data[p : p + LEAD].tobytes() for p in c.at], pa.binary())
             spans = pa.array([c.data[a:b].tobytes() for a, b in zip(c.lo, c.hi + length)], pa.binary())
             lo = pa.array((c.lo - c.rows[c.row]).astype(np.int32))
-            yield pa.record_batch([leads, spans, pa.array(c.doc_key), pa.array(c.part), lo, pa.array(in_sketch(crowd.value, c.anchor))], names=["lead", "bytes", "doc_key", "part", "lo", "crowded"])
+            yield pa.record_batch([leads, spans, pa.array(c.doc_key), pa.array(c.part), lo, pa.array((c.at - c.lo).astype(np.int32)), pa.array(in_sketch(crowd.value, c.anchor))], names=["lead", "bytes", "doc_key", "part", "lo", "at", "crowded"])
 
-    return save(docs.select("doc_key", "part", "text").mapInArrow(run, f"lead binary, bytes binary, {_WINDOW}, crowded boolean"), "contexts")
+    return save(docs.select("doc_key", "part", "text").mapInArrow(run, f"lead binary, bytes binary, {_WINDOW}, at int, crowded boolean"), "contexts")
 
 
 def split_copies(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
@@ -138,14 +146,20 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             yield from slices(pa.Table.from_batches(held))
 
     def slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Leads are whole in a slice; a slice has a few thousand blocks."""
+        """Leads are whole in a slice of a few thousand blocks. Equal windows stand equally far
+        before their lead, so a larger lead is sorted in parts by that distance."""
         leads = table.column("lead").combine_chunks().to_pylist()
         edges = [0] + [i for i in range(1, len(leads)) if leads[i] != leads[i - 1]] + [len(leads)]
         a = 0
         for prev, b in zip(edges, edges[1:]):
-            if b - a > 3000 and prev > a:
+            if b - a > SLICE_BLOCKS and prev > a:
                 yield _later_windows(table.slice(a, prev - a), length)
                 a = prev
+            if b - a > SLICE_BLOCKS:
+                wide = max(1, 40 * SLICE_BLOCKS // (b - a))
+                for lo in range(0, length - LEAD + 1, wide):
+                    yield _later_windows(table.slice(a, b - a), length, (lo, lo + wide))
+                a = b
         if len(leads) > a:
             yield _later_windows(table.slice(a), length)
 
