@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .sequences import as_long, window_hash
 from .shared import keyed, save
-from .windows import candidate_blocks, open_blocks, per_document, place_sketch, scan_blocks, settle_blocks, span_mask, spans_by_document
+from .windows import candidate_blocks, home_sketch, open_blocks, per_document, scan_blocks, settle_blocks, span_mask, spans_by_document
 
 
 
@@ -36,10 +36,12 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     k = -(-length // 4)
     blocks = candidate_blocks(docs, "word", k, length, doubled=True)
     firsts, covered = settle_blocks(blocks, ["doc_key"])
-    sketch = docs.sparkSession.sparkContext.broadcast(place_sketch(doubled(open_blocks(firsts)), "lo"))
+    # A document can hold its open block several times (rows of its id too), and no holder there covers
+    # another: all blocks of the anchor in the first holder's document are looked at.
+    sketch = docs.sparkSession.sparkContext.broadcast(home_sketch(doubled(open_blocks(firsts))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in scan_blocks(batches, "word", k, length, sketch.value, "place"):
+        for c in scan_blocks(batches, "word", k, length, sketch.value, "home"):
             n = c.hi - c.lo + 1
             of = np.repeat(np.arange(len(n)), n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - c.lo, n)

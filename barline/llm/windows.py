@@ -35,6 +35,22 @@ def place_hash(doc_key: np.ndarray, part: np.ndarray, lo: np.ndarray | int = 0)
     return mix(mix(doc_key.view(np.uint64)) + (part.astype(np.uint64) << np.uint64(40)) + np.asarray(lo).astype(np.uint64))
 
 
+def home_hash(anchor: np.ndarray, doc_key: np.ndarray) -> np.ndarray:
+    """Hash of an anchor in a document, for sketches of all its places there."""
+    return mix(mix(doc_key.view(np.uint64)) + anchor)
+
+
+def home_sketch(blocks: DataFrame) -> np.ndarray:
+    """repeated_sketch of the pairs (anchor, doc_key) of a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor, key = (batch.column(i).to_numpy() for i in range(2))
+            yield pa.record_batch([as_long(home_hash(anchor.view(np.uint64), key))], names=["id"])
+
+    return repeated_sketch(blocks.select("anchor", "doc_key").mapInArrow(run, "id long"), "id")
+
+
 def place_sketch(places: DataFrame, at: str | None = None) -> np.ndarray:
     """repeated_sketch of the places (doc_key, part, and the column `at`) of a table."""
 
@@ -82,7 +98,7 @@ class Chunk:
 
 
 def scan_blocks(batches: Iterator[pa.RecordBatch], unit: str, k: int, length: int, sketch: np.ndarray, by: str, only: np.ndarray | None = None) -> Iterator[Chunk]:
-    """Blocks of doc_key, part, text batches whose anchor (or place) is in the sketch."""
+    """Blocks of doc_key, part, text batches whose anchor, place or home (anchor and document) is in the sketch."""
     for whole in batches:
         batch = chosen_texts(whole, only)
         keys, parts = batch.column("doc_key").to_numpy(), batch.column("part").to_numpy()
@@ -90,7 +106,12 @@ def scan_blocks(batches: Iterator[pa.RecordBatch], unit: str, k: int, length: in
             lanes, rows = tokens(unit, data, offsets)
             at, h, lo, hi = anchors(lanes[0], rows, k, length)
             row = token_rows(rows)[at] if len(at) else at
-            hit = in_sketch(sketch, h if by == "anchor" else place_hash(keys[i + row], parts[i + row], lo - rows[row]))
+            if by == "anchor":
+                hit = in_sketch(sketch, h)
+            elif by == "home":
+                hit = in_sketch(sketch, home_hash(h, keys[i + row]))
+            else:
+                hit = in_sketch(sketch, place_hash(keys[i + row], parts[i + row], lo - rows[row]))
             if hit.any():
                 row = row[hit]
                 yield Chunk(lanes, rows, data, row, h[hit], at[hit], lo[hit], hi[hit], keys[i + row], parts[i + row])

@@ -53,6 +53,22 @@ def test_substring(spark, rows):
     assert got == brute.substring(rows)
 
 
+def test_substring_in_doubled_documents(spark):
+    """A passage twice in one document (or in two rows of its id) that also starts in a smaller id."""
+    r = random.Random(11)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(0, 60, 6):
+        passage = words(60)
+        section = words(30) + passage + words(30)
+        rows.append((i, " ".join(words(20) + passage + words(20))))
+        rows.append((i + 2, " ".join(section + words(25) + section)))
+        rows += [(i + 4, " ".join(words(9) + section)), (i + 4, " ".join(section + words(8)))]
+    got = sorted(tuple(x)[:4] for x in substring_dedup(frame(spark, rows)).collect())
+    assert got == brute.substring(rows)
+    assert sum(x[2] for x in got if x[0] % 6 == 2) == 10 * 120
+
+
 def test_substring_of_other_lengths(spark, rows):
     for length in (7, 20):
         assert sorted(tuple(r)[:4] for r in substring_dedup(frame(spark, rows), length).collect()) == brute.substring(rows, length)
