@@ -145,6 +145,7 @@ def rare_prefix_pairs(texts: DataFrame, nodes: DataFrame, size: int, percent: in
     occur once and pair with nothing. The sizes fix how many shingles a pair must share, so
     the first shared one must stand early enough in both orders, and enough shingles must
     occur twice at all: both are asked in the join. No similar pair among the nodes is missed.
+    A repeated row counts once; several texts of one node are sets of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +154,13 @@ def rare_prefix_pairs(texts: DataFrame, nodes: DataFrame, size: int, percent: in
                 sets = shingle_sets(data, offsets, size)
                 n = np.array([len(s) for s in sets])
                 at = np.repeat(np.arange(j - i), n)
-                yield pa.record_batch([batch.column("node").slice(i, j - i).take(pa.array(at)), batch.column("component").slice(i, j - i).take(pa.array(at)), pa.array(n[at]), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "component", "n", "shingle"])
+                own = [batch.column(c).slice(i, j - i).take(pa.array(at)) for c in ("node", "component", "row")]
+                yield pa.record_batch([*own, pa.array(n[at]), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "component", "row", "n", "shingle"])
 
-    held = texts.join(nodes, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, n long, shingle long")
-    held = save(held, "shingles")
+    rows = texts.join(nodes, "node").select("node", "component", "text").distinct().withColumn("row", F.monotonically_increasing_id())
+    held = save(rows.mapInArrow(run, "node long, component long, row long, n long, shingle long"), "shingles")
     often = save(held.groupBy("shingle").agg(F.count("*").alias("df")), "shingle-counts")
-    ranked = held.join(often, "shingle").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"), F.count_if(F.col("df") > 1).alias("m"))  # bounded by the text's length
+    ranked = held.join(often, "shingle").groupBy("node", "component", "row", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"), F.count_if(F.col("df") > 1).alias("m"))  # bounded by the text's length
     ranked = ranked.filter(F.col("m") * 100 >= F.col("n") * percent)
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = ranked.select("node", "component", "n", "m", F.posexplode(F.slice("s", F.lit(1), F.greatest(length, F.lit(1)).cast("int"))).alias("at", "x")).filter("x.df > 1")

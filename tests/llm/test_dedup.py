@@ -117,6 +117,26 @@ def test_near_cluster(spark, stars, monkeypatch):
     assert got == brute.near(rows, 85)
 
 
+def test_prefix_pairs_of_repeated_rows(spark):
+    """Similar pairs of which one row is repeated, or has a text of equal size under its id."""
+    r = random.Random(2)
+    rows, nodes, want = [], [], set()
+    for i in range(0, 80, 2):
+        words = [f"w{r.randrange(10**6)}" for _ in range(79)]
+        near = list(words)
+        near[r.choice([1, 77])] = "x"  # 2 of 75 shingles differ
+        near[r.choice([3, 75])] = "y"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(near))]
+        rows.append(rows[-2] if i % 4 else (i, " ".join(f"v{r.randrange(10**6)}" for _ in range(79))))
+        nodes += [(i, i), (i + 1, i + 1)]
+        a, b = brute.shingles(" ".join(words)), brute.shingles(" ".join(near))
+        if 100 * len(a & b) >= 85 * len(a | b):
+            want.add((i, i + 1))
+    texts = spark.createDataFrame(rows, "node long, text string")
+    pairs = near_dup.rare_prefix_pairs(texts, spark.createDataFrame(nodes, "node long, component long"), 5, 85)
+    assert len(want) > 20 and {(x.a, x.b) for x in pairs.collect()} >= want
+
+
 def test_repeated_and_null_rows(spark):
     text = " ".join(f"w{i}" for i in range(80))
     other = " ".join(f"v{i}" for i in range(80))
