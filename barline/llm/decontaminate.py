@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sequences import Words, as_long, text_chunks, token_rows, window_hash
-from .shared import in_sketch, keyed, repeated_sketch, save
+from .shared import in_sketch, keyed, part_of_text, repeated_sketch, save
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -78,7 +78,7 @@ def passages(docs: DataFrame, sketch, n: int, reach: int) -> DataFrame:
                     names=["doc_key", "part", "begin", "words", "seeds"],
                 )
 
-    return docs.select("doc_key", "part", "text").mapInArrow(run, "doc_key long, part int, begin long, words array<long>, seeds array<long>")
+    return docs.select("doc_key", "part", "text").mapInArrow(run, "doc_key long, part long, begin long, words array<long>, seeds array<long>")
 
 
 def smith_waterman(passage: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
@@ -148,7 +148,7 @@ def contaminated(documents: DataFrame, items: DataFrame, n: int = 3, least: floa
             begin = batch.column("begin").to_numpy()
             yield pa.record_batch([batch.column("doc_key"), batch.column("part"), batch.column("item_id"), pa.array(score.astype(float)), pa.array((begin + lo).astype(np.int64)), pa.array((begin + hi).astype(np.int64))], names=["doc_key", "part", "item_id", "score", "begin", "end"])
 
-    scored = pairs.select(*place, "item_id", "words", "item").mapInArrow(run, "doc_key long, part int, item_id long, score double, begin long, end long").filter(F.col("score") >= least)
+    scored = pairs.select(*place, "item_id", "words", "item").mapInArrow(run, "doc_key long, part long, item_id long, score double, begin long, end long").filter(F.col("score") >= least)
     best = scored.groupBy("doc_key", "part", "item_id").agg(F.max(F.struct("score", (-F.col("begin")).alias("at"), "end")).alias("b"))
     return best.select("doc_key", "part", F.when(F.col("doc_key") < F.lit((1 << 63) - 1), F.col("doc_key")).alias("doc_id"), "item_id", F.round("b.score", 6).alias("score"), (-F.col("b.at")).alias("begin"), F.col("b.end").alias("end"))
 
@@ -157,5 +157,5 @@ def clean_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `documents` that hold no test item, with their columns."""
     hit = save(contaminated(documents, items).select("doc_key", "part").distinct(), "contaminated")
     names = documents.columns
-    tagged = documents.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__part": F.coalesce(F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"), F.lit(0))})
+    tagged = documents.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__part": part_of_text()})
     return tagged.join(hit.toDF("__key", "__part"), ["__key", "__part"], "left_anti").select(*names)

@@ -32,13 +32,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def part_of_text() -> Column:
+    """The `part` of a row: all 64 bits of its text's hash, since a null id can be that of very many rows."""
+    return F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text with `doc_key` (a null id sorts last) and `part`, which tells apart
-    rows that share an id but not a text. Other columns are dropped, so clashes cannot occur."""
+    """doc_id and text with `doc_key` (a null id sorts last) and `part`, a 64-bit hash that tells
+    apart rows that share an id but not a text. Other columns are dropped, so clashes cannot occur."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_key"),
-        F.coalesce(F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"), F.lit(0)).alias("part"),
+        part_of_text().alias("part"),
         F.col("text"),
     )
 

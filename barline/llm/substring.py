@@ -48,7 +48,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
             w1, w2 = (window_hash(lane, length)[at] for lane in c.lanes)
             yield pa.record_batch([as_long(w1), as_long(w2), pa.array(c.doc_key[of]), pa.array(c.part[of]), pa.array((at - c.rows[c.row[of]]).astype(np.int32))], names=["w1", "w2", "doc_key", "part", "lo"])
 
-    windows = save(docs.select("doc_key", "part", "text").mapInArrow(run, "w1 long, w2 long, doc_key long, part int, lo int"), "windows")
+    windows = save(docs.select("doc_key", "part", "text").mapInArrow(run, "w1 long, w2 long, doc_key long, part long, lo int"), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("doc_key").alias("first"), F.max("doc_key").alias("last"))
     first = save(first.filter("first < last").select("w1", "w2", "first"), "first-windows")
     late = windows.join(first, ["w1", "w2"]).filter("doc_key > first")

@@ -24,7 +24,7 @@ LEAD = 24
 BUCKET_BLOCKS = 100_000
 #: Blocks that are sorted at once; the windows of a larger lead go by their distance to it.
 SLICE_BLOCKS = 3000
-_WINDOW = "doc_key long, part int, lo int"
+_WINDOW = "doc_key long, part long, lo int"
 
 
 def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
@@ -87,7 +87,8 @@ def _later_windows(table: pa.Table, length: int, before: tuple[int, int] | None
     at = lo[order]
     first = np.lexsort((at, part, doc, run))
     head = first[np.append(True, run[first][1:] != run[first][:-1])] if len(first) else first
-    later = (doc > doc[head][run]) | ((doc == doc[head][run]) & (part == part[head][run]) & (at > at[head][run]))
+    same_id = doc == doc[head][run]
+    later = (doc > doc[head][run]) | (same_id & ((part > part[head][run]) | ((part == part[head][run]) & (at > at[head][run]))))
     return pa.record_batch([pa.array(x[later]) for x in (doc, part, at.astype(np.int32))], names=["doc_key", "part", "lo"])
 
 
@@ -178,7 +179,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     windows = contexts.filter("crowded").mapInArrow(as_windows, f"window binary, {_WINDOW}")
     place = F.struct("doc_key", "part", "lo")
     first = save(windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("window", "first"), "first-windows")
-    large = windows.join(first, "window").filter((F.col("doc_key") > F.col("first.doc_key")) | ((F.col("doc_key") == F.col("first.doc_key")) & (F.col("part") == F.col("first.part")) & (F.col("lo") > F.col("first.lo"))))
+    large = windows.join(first, "window").filter(place > F.col("first"))
     late = small.unionByName(large.select("doc_key", "part", "lo"))
     whole = copies.select("doc_key", "part", F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi")).filter(F.col("hi") >= length)
     blocks_out = covered.select("doc_key", "part", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))

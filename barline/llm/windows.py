@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .sequences import NO_HASH, anchors, as_long, byte_lanes, mix, span_hash, text_chunks, token_rows, Words, window_hash
 from .shared import in_sketch, repeated_sketch, save
 
-BLOCKS = "anchor long, block long, doc_key long, part int, lo int, n int"
+BLOCKS = "anchor long, block long, doc_key long, part long, lo int, n int"
 
 
 def tokens(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -32,7 +32,7 @@ def tokens(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.nd
 
 def place_hash(doc_key: np.ndarray, part: np.ndarray, lo: np.ndarray | int = 0) -> np.ndarray:
     """Hash of a place in a document, for sketches of places."""
-    return mix(mix(doc_key.view(np.uint64)) + (part.astype(np.uint64) << np.uint64(40)) + np.asarray(lo).astype(np.uint64))
+    return mix(mix(mix(doc_key.view(np.uint64)) + part.view(np.uint64)) + np.asarray(lo).astype(np.uint64))
 
 
 def home_hash(anchor: np.ndarray, doc_key: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from barline.llm import near_dup, suffix
 from barline.llm.components import components
 from barline.llm.near_dup import densified, keep_first, near_duplicates, shingle_sets
 from barline.llm.sequences import anchors, text_chunks, window_hash
+from barline.llm.shared import keyed
 from barline.llm.substring import substring_dedup
 from barline.llm.suffix import multikey_quicksort, suffix_array_dedup
 
@@ -117,6 +118,26 @@ def test_near_cluster(spark, stars, monkeypatch):
     assert got == brute.near(rows, 85)
 
 
+@pytest.mark.parametrize("crowd,piece", [(1000, 3000), (1, 3000), (1000, 1)])
+def test_suffix_of_many_null_ids(spark, crowd, piece, monkeypatch):
+    """Rows without an id are documents of their own, in the order of their texts' hashes, however a lead is cut."""
+    monkeypatch.setattr(suffix, "BUCKET_BLOCKS", crowd)
+    monkeypatch.setattr(suffix, "SLICE_BLOCKS", piece)
+    r = random.Random(4)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = noise(160)
+    texts = [noise(80) + passage + noise(80) for _ in range(20)]
+    ordered = [x.text for x in spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.xxhash64("text")).collect()]
+    got = sorted(tuple(x)[1:5] for x in suffix_array_dedup(frame(spark, [(None, t) for t in texts])).collect())
+    assert got == sorted(x[1:] for x in brute.suffix(list(enumerate(ordered))))
+
+
+def test_rows_without_id_are_told_apart(spark):
+    """20,000 texts under null ids have as many keys (a 16-bit hash of the text left fewer)."""
+    texts = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    assert keyed(texts).select("doc_key", "part").distinct().count() == 20_000
+
+
 def test_prefix_pairs_of_repeated_rows(spark):
     """Similar pairs of which one row is repeated, or has a text of equal size under its id."""
     r = random.Random(2)
