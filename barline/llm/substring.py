@@ -17,17 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sequences import as_long, window_hash
-from .shared import keyed, save
-from .windows import candidate_blocks, home_sketch, open_blocks, per_document, scan_blocks, settle_blocks, span_mask, spans_by_document
-
+from .shared import keyed, repeated_sketch, save
+from .windows import candidate_blocks, home_sketch, let_through, open_blocks, per_document, scan_blocks, settle_blocks, span_mask
 
 
 def doubled(blocks: DataFrame) -> DataFrame:
     """The open blocks of which a doubled anchor, to the left or to the right, repeats."""
-    sides = blocks.select("anchor", "block", F.explode(F.array("left", "right")).alias("side")).filter("side IS NOT NULL")
-    twice = sides.groupBy("side").agg(F.count("*").alias("times")).filter("times > 1").select("side")
-    keys = sides.join(twice, "side", "left_semi").select("anchor", "block").distinct()
-    return blocks.join(keys, ["anchor", "block"], "left_semi")
+    sides = blocks.select(F.explode(F.array("left", "right")).alias("side")).filter("side IS NOT NULL")
+    twice = sides.groupBy("side").agg(F.count("*").alias("times")).filter("times > 1")
+    return let_through(blocks, ["left", "right"], repeated_sketch(twice, "side"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -38,7 +36,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     firsts, covered = settle_blocks(blocks, ["doc_key"])
     # A document can hold its open block several times (rows of its id too), and no holder there covers
     # another: all blocks of the anchor in the first holder's document are looked at.
-    sketch = docs.sparkSession.sparkContext.broadcast(home_sketch(doubled(open_blocks(firsts))))
+    sketch = docs.sparkSession.sparkContext.broadcast(home_sketch(doubled(save(open_blocks(firsts), "open"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in scan_blocks(batches, "word", k, length, sketch.value, "home"):
@@ -73,4 +71,4 @@ def substring_dedup(documents: DataFrame, length: int = 50) -> DataFrame:
         kept = b" ".join(w for w, g in zip(words, gone) if not g) if gone.any() else b" ".join(words)
         return doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()
 
-    return per_document(spans_by_document(docs, repeated_spans(docs, length)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string", row)
+    return per_document(docs, repeated_spans(docs, length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string", row)

@@ -1,9 +1,11 @@
 """Suffix-array deduplication over UTF-8 bytes.
 
-Candidate suffixes (those whose anchor repeats) are range-partitioned by their leading
-tokens with splitters sampled by Spark; each bucket sorts its suffixes by multikey quicksort
-on eight-byte tokens and compares neighbours. A lead too frequent for one bucket is cut
-further, by the whole window, and compared across buckets by grouping.
+Candidate suffixes (those whose 24-byte lead repeats) are cut to slices: the suffixes that start
+equally far before their lead, up to SLICE neighbours in one row, which all hold the same core
+bytes. Spark samples splitters and range-partitions the slices by their core and, inside equal
+cores, by their place, so that no frequent lead or core has to fit into one bucket. Each
+bucket sorts its slices by multikey quicksort on eight-byte tokens and compares equal suffixes;
+groups that touch a bucket's edge are compared across the boundaries.
 """
 
 from __future__ import annotations
@@ -16,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_sketch, keyed, repeated_sketch, save
-from .windows import candidate_blocks, open_blocks, per_document, place_sketch, scan_blocks, settle_blocks, span_mask, spans_by_document
+from .shared import keyed, save
+from .windows import candidate_blocks, open_blocks, per_document, place_sketch, scan_blocks, settle_blocks, span_mask
 
 LEAD = 24
-#: Blocks that share a lead: beyond it, they are cut by the whole window (both ways are exact).
-BUCKET_BLOCKS = 100_000
-#: Blocks that are sorted at once; the windows of a larger lead go by their distance to it.
-SLICE_BLOCKS = 3000
-_WINDOW = "doc_key long, part long, lo int"
+#: Suffix starts that share a row: the core of a slice is what all of them hold.
+SLICE = 16
+#: Slices that a bucket gets about, when Spark samples the splitters.
+BUCKET_SLICES = 150_000
+_PLACE = "doc_key long, part long, lo int"
 
 
 def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
@@ -41,7 +43,8 @@ def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
             order[lo:hi] = part[np.lexsort(keys[part, depth:].T[::-1])]
             continue
         token = keys[part, depth]
-        pivot = np.sort(token[:: max(1, len(token) // 63)])[len(token[:: max(1, len(token) // 63)]) // 2]
+        sample = np.sort(token[:: max(1, len(token) // 63)])
+        pivot = sample[len(sample) // 2]
         less, same, more = part[token < pivot], part[token == pivot], part[token > pivot]
         order[lo:hi] = np.concatenate([less, same, more])
         a, b = lo + len(less), lo + len(less) + len(same)
@@ -49,65 +52,95 @@ def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def _tokens(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Big-endian eight-byte tokens of data[start:start+length], zero-padded."""
-    width = -(-length // 8) * 8
-    rows = np.zeros((len(starts), width), dtype=np.uint8)
-    rows[:, :length] = data[starts[:, None] + np.arange(length)]
-    return rows.view(">u8").astype(np.uint64)
-
-
-def _block_windows(table: pa.Table, length: int, before: tuple[int, int] | None = None):
-    """Bytes of the blocks, and of every window in them: start in the bytes, row, start in its text.
-    `before` keeps the windows that start so many bytes before their lead."""
-    column = table.column("bytes").combine_chunks()
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
-    n = np.diff(offsets) - length + 1
-    first, last = np.zeros(len(n), dtype=np.int64), n
-    if before:
-        at = table.column("at").to_numpy().astype(np.int64)
-        first, last = np.clip(at - before[1] + 1, 0, n), np.clip(at - before[0] + 1, 0, n)
-    count = np.maximum(last - first, 0)
-    row = np.repeat(np.arange(len(n)), count)
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count)
-    return data, offsets[row] + step, row, table.column("lo").to_numpy()[row] + step
-
-
-def _later_windows(table: pa.Table, length: int, before: tuple[int, int] | None = None) -> pa.RecordBatch:
-    """Windows of a bucket slice that start earlier too: sort, compare neighbours, keep the rest of each run."""
-    data, starts, row, lo = _block_windows(table, length, before)
-    keys = _tokens(data, starts, length)
-    order = multikey_quicksort(keys)
-    ranked = keys[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
-    run = np.cumsum(new) - 1
-    doc, part = table.column("doc_key").to_numpy()[row][order], table.column("part").to_numpy()[row][order]
-    at = lo[order]
-    first = np.lexsort((at, part, doc, run))
-    head = first[np.append(True, run[first][1:] != run[first][:-1])] if len(first) else first
-    same_id = doc == doc[head][run]
-    later = (doc > doc[head][run]) | (same_id & ((part > part[head][run]) | ((part == part[head][run]) & (at > at[head][run]))))
-    return pa.record_batch([pa.array(x[later]) for x in (doc, part, at.astype(np.int32))], names=["doc_key", "part", "lo"])
-
-
-def _contexts(docs: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
-    """The bytes of each open block, from its first window's start to its last window's end,
-    with its lead; `crowded` tells the leads that have too many blocks for one bucket."""
-    spark = docs.sparkSession.sparkContext
-    blocks = save(blocks.select("anchor", "doc_key", "part", "lo", "rivals"), "open")
-    sketch = spark.broadcast(place_sketch(blocks, "lo"))
-    crowd = spark.broadcast(repeated_sketch(blocks.filter(F.col("rivals") > BUCKET_BLOCKS).select("anchor").distinct(), "anchor"))
+def _tokens(rows: np.ndarray) -> np.ndarray:
+    """Big-endian eight-byte tokens of an (n, width) byte matrix, zero-padded."""
+    padded = np.zeros((len(rows), max(1, -(-rows.shape[1] // 8)) * 8), dtype=np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    return padded.view(">u8").astype(np.uint64)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix as a binary column."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _slices(docs: DataFrame, blocks: DataFrame, length: int, width: int) -> DataFrame:
+    """The slices of the open blocks: core, outer (the `width` - 1 bytes on either side of it), side (which
+    starts, as their distance to the lead), place of the first possible start, and the starts that are there."""
+    sketch = docs.sparkSession.sparkContext.broadcast(place_sketch(blocks, "lo"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = length + width - 1
         for c in scan_blocks(batches, "byte", LEAD, length, sketch.value, "place"):
-            leads = pa.array([c.data[p : p + LEAD].tobytes() for p in c.at], pa.binary())
-            spans = pa.array([c.data[a:b].tobytes() for a, b in zip(c.lo, c.hi + length)], pa.binary())
-            lo = pa.array((c.lo - c.rows[c.row]).astype(np.int32))
-            yield pa.record_batch([leads, spans, pa.array(c.doc_key), pa.array(c.part), lo, pa.array((c.at - c.lo).astype(np.int32)), pa.array(in_sketch(crowd.value, c.anchor))], names=["lead", "bytes", "doc_key", "part", "lo", "at", "crowded"])
-
-    return save(docs.select("doc_key", "part", "text").mapInArrow(run, f"lead binary, bytes binary, {_WINDOW}, at int, crowded boolean"), "contexts")
+            near, far = (c.at - c.hi) // width, (c.at - c.lo) // width  # distances of the starts to their lead
+            count = far - near + 1
+            of = np.repeat(np.arange(len(count)), count)
+            side = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - near, count)
+            begin = c.at[of] - (side + 1) * width + 1  # of the slice's first possible start
+            first, last = np.maximum(c.lo[of], begin) - begin, np.minimum(c.hi[of], begin + width - 1) - begin
+            data = np.concatenate([np.zeros(reach, np.uint8), c.data, np.zeros(reach, np.uint8)])
+            for a in range(0, len(of), 20_000):
+                p = slice(a, a + 20_000)
+                rows = data[(begin[p] + reach)[:, None] + np.arange(reach)]
+                outer = np.concatenate([rows[:, : width - 1], rows[:, length:]], axis=1)
+                own = of[p]
+                columns = [_binary(rows[:, width - 1 : length]), _binary(outer), pa.array(side[p].astype(np.int32)), pa.array(c.doc_key[own]), pa.array(c.part[own]), pa.array((begin[p] - c.rows[c.row[own]]).astype(np.int32))]
+                yield pa.record_batch([*columns, pa.array(first[p].astype(np.int32)), pa.array(last[p].astype(np.int32))], names=["core", "outer", "side", "doc_key", "part", "lo", "first", "last"])
+
+    return save(docs.select("doc_key", "part", "text").mapInArrow(run, f"core binary, outer binary, side int, {_PLACE}, first int, last int"), "slices")
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    whole = column.combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2], dtype=np.uint8) if width else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]].reshape(len(whole), width)
+
+
+def _starts(mask: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, lo, n) of the runs of True in the rows of a mask over starts."""
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1]
+    return row, lo[row] + first, last - first
+
+
+def _sorted_bucket(table: pa.Table, length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Runs of starts of a bucket whose suffix also starts earlier in the bucket (`n` starts from
+    lo), and the earliest start of every suffix of its first and last group (`window`, n null)."""
+    core = _tokens(_matrix(table.column("core"), length - width + 1))
+    side, doc, part, lo, first, last = (table.column(c).to_numpy() for c in ("side", "doc_key", "part", "lo", "first", "last"))
+    keys = np.column_stack([core, side.astype(np.uint64)])
+    order = multikey_quicksort(keys)
+    new = np.append(True, (keys[order[1:]] != keys[order[:-1]]).any(axis=1))
+    group = np.cumsum(new) - 1
+    size = np.bincount(group)
+    edge = (group == 0) | (group == group[-1])
+    live = (size[group] > 1) | edge
+    order, group, edge = order[live], group[live], edge[live]
+    outer = _matrix(table.column("outer"), 2 * width - 2)[order]
+    doc, part, lo, first, last = doc[order], part[order], lo[order].astype(np.int64), first[order], last[order]
+    late = np.zeros((len(order), width), dtype=bool)
+    for j in range(width):
+        here = np.flatnonzero((first <= j) & (j <= last))
+        if not len(here):
+            continue
+        around = np.concatenate([outer[here, j : width - 1], outer[here, width - 1 : width - 1 + j]], axis=1)
+        tokens = _tokens(around)
+        at = np.lexsort((lo[here], part[here], doc[here], *tokens.T[::-1], group[here]))
+        rank = np.column_stack([group[here].astype(np.uint64), tokens])[at]
+        head = np.append(True, (rank[1:] != rank[:-1]).any(axis=1))
+        row = here[at]
+        lead = row[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        late[row, j] = (doc[row] != doc[lead]) | (part[row] != part[lead]) | (lo[row] != lo[lead])
+        heads = row[head & edge[row]]
+        if len(heads):
+            left, right = outer[heads, j : width - 1], outer[heads, width - 1 : width - 1 + j]
+            window = np.concatenate([left, _matrix(table.column("core"), length - width + 1)[order[heads]], right], axis=1)
+            yield pa.record_batch([_binary(window), pa.array(doc[heads]), pa.array(part[heads]), pa.array((lo[heads] + j).astype(np.int32)), pa.nulls(len(heads), pa.int32())], names=["window", "doc_key", "part", "lo", "n"])
+    row, start, n = _starts(late, lo)
+    yield pa.record_batch([pa.nulls(len(row), pa.binary()), pa.array(doc[row]), pa.array(part[row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["window", "doc_key", "part", "lo", "n"])
 
 
 def split_copies(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
@@ -123,67 +156,27 @@ def split_copies(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """Byte spans (doc_key, part, lo, hi) of all `length`-byte strings that also start earlier."""
+    width = min(SLICE, length - LEAD + 1)
     first_texts, copies = split_copies(docs)
     blocks = candidate_blocks(docs, "byte", LEAD, length, only=first_texts)
     firsts, covered = settle_blocks(blocks, ["doc_key", "part", "lo"])
-    contexts = _contexts(docs, open_blocks(firsts), length)
-
-    def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            lead = batch.column("lead")
-            if sum(len(x) for x in held) < 4096 or lead[0].as_py() == lead[len(lead) - 1].as_py():
-                continue
-            table = pa.Table.from_batches(held)
-            leads = table.column("lead")
-            last = leads[len(leads) - 1].as_py()
-            cut = len(leads) - 1
-            while leads[cut - 1].as_py() == last:
-                cut -= 1
-            yield from slices(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-        if held:
-            yield from slices(pa.Table.from_batches(held))
-
-    def slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Leads are whole in a slice of a few thousand blocks. Equal windows stand equally far
-        before their lead, so a larger lead is sorted in parts by that distance."""
-        leads = table.column("lead").combine_chunks().to_pylist()
-        edges = [0] + [i for i in range(1, len(leads)) if leads[i] != leads[i - 1]] + [len(leads)]
-        a = 0
-        for prev, b in zip(edges, edges[1:]):
-            if b - a > SLICE_BLOCKS and prev > a:
-                yield _later_windows(table.slice(a, prev - a), length)
-                a = prev
-            if b - a > SLICE_BLOCKS:
-                wide = max(1, 40 * SLICE_BLOCKS // (b - a))
-                for lo in range(0, length - LEAD + 1, wide):
-                    yield _later_windows(table.slice(a, b - a), length, (lo, lo + wide))
-                a = b
-        if len(leads) > a:
-            yield _later_windows(table.slice(a), length)
-
-    def as_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for a in range(0, len(table), 2000):
-                own = table.slice(a, 2000)
-                data, starts, row, lo = _block_windows(own, length)
-                text = pa.array([data[s : s + length].tobytes() for s in starts], pa.binary())
-                yield pa.record_batch([text, pa.array(own.column("doc_key").to_numpy()[row]), pa.array(own.column("part").to_numpy()[row]), pa.array(lo.astype(np.int32))], names=["window", "doc_key", "part", "lo"])
-
-    leads = contexts.filter("NOT crowded")
-    sorted_leads = leads.repartitionByRange("lead").sortWithinPartitions("lead")
-    small = sorted_leads.mapInArrow(in_buckets, _WINDOW)
-    windows = contexts.filter("crowded").mapInArrow(as_windows, f"window binary, {_WINDOW}")
+    slices = _slices(docs, open_blocks(firsts), length, width)
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if sum(map(len, held)):
+            yield from _sorted_bucket(pa.Table.from_batches(held), length, width)
+
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), slices.count() // BUCKET_SLICES)
+    dealt = slices.repartitionByRange(parts, "core", "side", "doc_key", "part", "lo")
+    found = save(dealt.mapInArrow(buckets, f"window binary, {_PLACE}, n int"), "late")
     place = F.struct("doc_key", "part", "lo")
-    first = save(windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("window", "first"), "first-windows")
-    large = windows.join(first, "window").filter(place > F.col("first"))
-    late = small.unionByName(large.select("doc_key", "part", "lo"))
-    whole = copies.select("doc_key", "part", F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi")).filter(F.col("hi") >= length)
-    blocks_out = covered.select("doc_key", "part", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
-    return blocks_out.unionByName(late.select("doc_key", "part", "lo", (F.col("lo") + length).alias("hi"))).unionByName(whole)
+    heads = found.filter("window IS NOT NULL")
+    first = save(heads.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("window", "first"), "boundary")
+    across = heads.join(first, "window").filter(place > F.col("first"))
+    runs = covered.unionByName(found.filter("window IS NULL").select("doc_key", "part", "lo", "n")).unionByName(across.select("doc_key", "part", "lo", F.lit(1).alias("n")))
+    whole = copies.filter(F.col("n_bytes") >= length).select("doc_key", "part", F.lit(0).alias("lo"), F.col("n_bytes").alias("hi"))
+    return runs.select("doc_key", "part", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi")).unionByName(whole)
 
 
 def suffix_array_dedup(documents: DataFrame, length: int = 100) -> DataFrame:
@@ -204,4 +197,4 @@ def suffix_array_dedup(documents: DataFrame, length: int = 100) -> DataFrame:
         runs = ",".join(f"{a}:{b}" for a, b in zip(edge[::2], edge[1::2]))
         return doc_id, len(raw), int(gone.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), runs
 
-    return per_document(spans_by_document(docs, repeated_spans(docs, length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string", row)
+    return per_document(docs, repeated_spans(docs, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string", row)

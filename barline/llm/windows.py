@@ -160,18 +160,28 @@ def settle_blocks(blocks: DataFrame, order: list[str]) -> tuple[DataFrame, DataF
     return firsts, covered.select("doc_key", "part", "lo", "n")
 
 
-def open_blocks(firsts: DataFrame) -> DataFrame:
-    """First holders whose anchor also occurs in a different block: only these can still
-    repeat a window in part. `rivals` counts the distinct blocks of the anchor."""
-    rivals = firsts.groupBy("anchor").agg(F.count("*").alias("rivals")).filter("rivals > 1")
-    return firsts.join(rivals, "anchor")
+def let_through(df: DataFrame, columns: list[str], sketch: np.ndarray) -> DataFrame:
+    """The rows of which any of the (long, maybe null) columns may be in a sketch. Joining on
+    such a column would gather a frequent value in one task; this is a filter."""
+    held = df.sparkSession.sparkContext.broadcast(sketch)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.zeros(len(batch), dtype=bool)
+            for c in columns:
+                column = batch.column(batch.schema.names.index(c))
+                known = np.asarray(column.is_valid())
+                hit |= known & in_sketch(held.value, column.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(hit))
 
-def spans_by_document(keyed_docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every document with its removed spans (lo, hi), null where none; their number is
-    bounded by the document's length."""
-    lists = spans.groupBy("doc_key", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return keyed_docs.join(lists, ["doc_key", "part"], "left").select("doc_id", "doc_key", "part", "text", "spans")
+    return df.mapInArrow(run, df.schema)
+
+
+def open_blocks(firsts: DataFrame) -> DataFrame:
+    """First holders whose anchor also occurs in a different block (and a few more): only these
+    can still repeat a window in part."""
+    rivals = firsts.groupBy("anchor").agg(F.count("*").alias("rivals")).filter("rivals > 1")
+    return let_through(firsts, ["anchor"], repeated_sketch(rivals, "anchor"))
 
 
 def span_mask(spans, n: int) -> np.ndarray:
@@ -185,22 +195,39 @@ def span_mask(spans, n: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def per_document(df: DataFrame, schema: str, row: Callable) -> DataFrame:
-    """row(doc_id, utf-8 bytes, spans) -> tuple, for each document of spans_by_document."""
+def per_document(docs: DataFrame, spans: DataFrame, schema: str, row: Callable) -> DataFrame:
+    """row(doc_id, utf-8 bytes, spans) -> tuple, for every document with its spans (lo, hi).
+
+    Only documents that a sketch of the spans' places lets through are shuffled to their spans
+    (whose number is bounded by the document's length); all others are settled in the scan.
+    """
     names = [x.split()[0] for x in schema.split(",")]
     types = {"long": pa.int64(), "string": pa.string()}
     kinds = [types[x.split()[1]] for x in schema.split(",")]
+    spans = save(spans.select("doc_key", "part", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi")), "spans")
+    touched = docs.sparkSession.sparkContext.broadcast(place_sketch(spans.select("doc_key", "part").distinct()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hit(batch: pa.RecordBatch) -> np.ndarray:
+        return in_sketch(touched.value, place_hash(batch.column("doc_key").to_numpy(), batch.column("part").to_numpy()))
+
+    def rows(batch: pa.RecordBatch, lists: pa.Array | None) -> Iterator[pa.RecordBatch]:
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())
+        for a in range(0, len(ids), 500):
+            out = [row(ids[i], texts[i].as_py() or b"", lists[i].values if lists is not None and lists[i].is_valid else None) for i in range(a, min(a + 500, len(ids)))]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            lists = batch.column("spans")
-            ids = batch.column("doc_id").to_pylist()
-            out = []
-            for i, doc_id in enumerate(ids):
-                spans = lists[i].values if lists[i].is_valid else None
-                out.append(row(doc_id, texts[i].as_py() or b"", spans))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
+            yield from rows(batch.filter(pa.array(~hit(batch))), None)
 
-    return df.mapInArrow(run, schema)
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(hit(batch)))
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from rows(batch, batch.column("spans"))
 
+    lists = spans.groupBy("doc_key", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    few = docs.mapInArrow(chosen, docs.schema).join(lists, ["doc_key", "part"], "left").select("doc_id", "text", "spans")
+    return docs.mapInArrow(untouched, schema).unionByName(few.mapInArrow(settled, schema))

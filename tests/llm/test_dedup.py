@@ -75,10 +75,10 @@ def test_substring_of_other_lengths(spark, rows):
         assert sorted(tuple(r)[:4] for r in substring_dedup(frame(spark, rows), length).collect()) == brute.substring(rows, length)
 
 
-@pytest.mark.parametrize("crowd,piece", [(1000, 3000), (1, 3000), (1000, 1)])
-def test_suffix(spark, rows, crowd, piece, monkeypatch):
-    monkeypatch.setattr(suffix, "BUCKET_BLOCKS", crowd)  # all ways to cut a lead
-    monkeypatch.setattr(suffix, "SLICE_BLOCKS", piece)
+@pytest.mark.parametrize("size,width", [(150_000, 16), (5, 16), (5, 1), (40, 77)])
+def test_suffix(spark, rows, size, width, monkeypatch):
+    monkeypatch.setattr(suffix, "BUCKET_SLICES", size)  # few and many boundaries
+    monkeypatch.setattr(suffix, "SLICE", width)
     got = sorted(tuple(r)[:5] for r in suffix_array_dedup(frame(spark, rows)).collect())
     assert got == brute.suffix(rows)
 
@@ -118,11 +118,11 @@ def test_near_cluster(spark, stars, monkeypatch):
     assert got == brute.near(rows, 85)
 
 
-@pytest.mark.parametrize("crowd,piece", [(1000, 3000), (1, 3000), (1000, 1)])
-def test_suffix_of_many_null_ids(spark, crowd, piece, monkeypatch):
-    """Rows without an id are documents of their own, in the order of their texts' hashes, however a lead is cut."""
-    monkeypatch.setattr(suffix, "BUCKET_BLOCKS", crowd)
-    monkeypatch.setattr(suffix, "SLICE_BLOCKS", piece)
+@pytest.mark.parametrize("size", [150_000, 3])
+def test_suffix_of_many_null_ids(spark, size, monkeypatch):
+    """Rows without an id are documents of their own, in the order of their texts' hashes; with small
+    buckets a passage that all of them hold is compared across boundaries."""
+    monkeypatch.setattr(suffix, "BUCKET_SLICES", size)
     r = random.Random(4)
     noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     passage = noise(160)
