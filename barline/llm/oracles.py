@@ -39,9 +39,11 @@ _BODIES = ", ".join("('{}', '{}')".format(k, b.replace("'", "''")) for k, bodies
 _TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 LICENSES = rf"""WITH templates(license, body) AS (VALUES {_BODIES}),
-files AS (SELECT doc_id, coalesce(text, '') AS body, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CAST(doc_id // 100 AS VARCHAR) AS dir, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CAST(doc_id // 100 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents),
-headed AS (SELECT *, array_to_string(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '(?i)licen[cs]e|copyright|permission is hereby granted|public domain|redistribution and use')), ' ') AS unit FROM files),
-units AS (SELECT DISTINCT unit FROM headed WHERE unit <> ''),
+placed AS (SELECT doc_id, coalesce(text, '') AS body, array_to_string([coalesce(source, 'none'), coalesce(lang, 'none'), CAST(doc_id // 100 AS VARCHAR), 'part' || CAST(doc_id % 3 AS VARCHAR)][1:CAST(doc_id % 4 AS INTEGER) + 1], '/') AS dir, doc_id % 10 = 0 AS named FROM documents),
+files AS MATERIALIZED (SELECT *, dir || '/' || CASE WHEN named THEN 'LICENSE-' ELSE '' END || CAST(doc_id AS VARCHAR) AS path,
+    CASE WHEN NOT named THEN array_to_string(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '(?i)licen[cs]e|copyright|permission is hereby granted|public domain|redistribution and use')), ' ') END AS header FROM placed),
+stated AS MATERIALIZED (SELECT doc_id, unnest(CASE WHEN named THEN list_filter(string_split_regex(body, '\n[ \t\r]*\n'), lambda x: regexp_matches(lower(x), '[a-z0-9]')) WHEN header <> '' THEN [header] ELSE [] END) AS unit FROM files),
+units AS (SELECT DISTINCT unit FROM stated),
 spread AS (SELECT unit, term, count(*) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '{_TERM}')) AS term FROM units) GROUP BY ALL),
 model AS (SELECT license, body, term, count(*) AS tf FROM (SELECT license, body, unnest(regexp_extract_all(lower(body), '{_TERM}')) AS term FROM templates) GROUP BY ALL),
 idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM units) + (SELECT count(*) FROM templates)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM (SELECT term FROM spread UNION ALL SELECT term FROM model) GROUP BY term),
@@ -49,10 +51,12 @@ wu AS (SELECT unit, term, tf * idf AS w FROM spread JOIN idf USING (term)),
 wm AS (SELECT license, body, term, tf * idf AS v FROM model JOIN idf USING (term)),
 scored AS (SELECT unit, license, round(dot / (nu * nm), 6) AS similarity FROM (SELECT unit, license, body, sum(w * v) AS dot FROM wu JOIN wm USING (term) GROUP BY ALL)
     JOIN (SELECT unit, sqrt(sum(w * w)) AS nu FROM wu GROUP BY unit) USING (unit) JOIN (SELECT license, body, sqrt(sum(v * v)) AS nm FROM wm GROUP BY ALL) USING (license, body) WHERE round(dot / (nu * nm), 6) >= 0.5),
-best AS (SELECT unit, arg_max(license, (similarity, -ord)) AS license, max(similarity) AS similarity FROM (SELECT *, row_number() OVER (ORDER BY license) AS ord FROM scored) GROUP BY unit),
-own AS (SELECT h.*, b.license, b.similarity, b.license IS NOT NULL AND len(regexp_extract_all(lower(unit), '{_TERM}')) >= 0.3 * len(regexp_extract_all(lower(h.body), '{_TERM}')) AS is_file FROM headed h LEFT JOIN best b USING (unit)),
-source_dirs AS (SELECT dir, min(license) AS inherited FROM own o WHERE is_file AND similarity = (SELECT max(similarity) FROM own p WHERE p.is_file AND p.dir = o.dir) GROUP BY dir)
-SELECT o.doc_id, path, coalesce(license, inherited) AS license, similarity, CASE WHEN license IS NOT NULL AND is_file THEN 'file' WHEN license IS NOT NULL THEN 'header' WHEN inherited IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
-    CASE WHEN license IS NULL AND inherited IS NOT NULL THEN o.dir END AS from_dir FROM own o LEFT JOIN source_dirs s ON s.dir = o.dir"""
+best AS (SELECT doc_id, min((-similarity, license)) AS x FROM stated JOIN scored USING (unit) GROUP BY doc_id),
+own AS MATERIALIZED (SELECT f.doc_id, path, dir, x[2] AS license, -x[1] AS similarity, x IS NOT NULL AND (named OR len(regexp_extract_all(lower(header), '{_TERM}')) >= 0.3 * len(regexp_extract_all(lower(f.body), '{_TERM}'))) AS is_file FROM files f LEFT JOIN best USING (doc_id)),
+source_dirs AS (SELECT dir AS from_dir, min((-similarity, license))[2] AS inherited FROM own WHERE is_file GROUP BY dir),
+up AS (SELECT DISTINCT dir, array_to_string(string_split(dir, '/')[1:unnest(generate_series(1, len(string_split(dir, '/'))))], '/') AS from_dir FROM own),
+near AS (SELECT dir, max((length(from_dir), from_dir, inherited)) AS n FROM up JOIN source_dirs USING (from_dir) GROUP BY dir)
+SELECT doc_id, path, coalesce(license, n[3]) AS license, similarity, CASE WHEN license IS NOT NULL AND is_file THEN 'file' WHEN license IS NOT NULL THEN 'header' WHEN n IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+    CASE WHEN license IS NULL THEN n[2] END AS from_dir FROM own LEFT JOIN near USING (dir)"""
 
 SQL = {"op1_substring_dedup": SUBSTRING, "op6_near_duplicates": NEAR, "op10_scan_licenses": LICENSES}

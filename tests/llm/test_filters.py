@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -285,3 +286,15 @@ def test_licenses(spark, files):
         ("6", "CC-BY-NC-4.0", "header", None), ("7", "MIT", "file", None), ("8", None, "none", None), ("9", None, "none", None), ("None", "MIT", "inherited", "a"),
     ], key=str)
     assert scan_licenses(files.filter("false")).count() == 0
+
+
+def test_full_licence_texts(spark):
+    """Whole licence texts are found under their own names among files that only mention licences."""
+    folder = pathlib.Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts on this machine")
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL": "GFDL-1.3", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL": "GPL-3.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL": "LGPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    rows = [(i, f"{n}/LICENSE", (folder / n).read_text()) for i, n in enumerate(names)] + [(100 + i, f"{n}/src/deep/x.c", "int x;") for i, n in enumerate(names)] + [(200, "prose/LICENSE", "A licence to tell stories.\n\nNo more than that.")]
+    got = {r.path: (r.license, r.origin, r.from_dir) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    want = {f"{n}/LICENSE": (k, "file", None) for n, k in names.items()} | {f"{n}/src/deep/x.c": (k, "inherited", n) for n, k in names.items()} | {"prose/LICENSE": (None, "none", None)}
+    assert got == want
