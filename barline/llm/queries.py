@@ -16,7 +16,7 @@ from .quality import quality_rules
 from .sharding import shard_documents
 from .substring import substring_dedup
 from .suffix import suffix_array_dedup
-from .url_rules import filter_urls
+from .url_rules import content_labels, filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    """Rules are mined from labels that the pages' visible texts give."""
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, content_labels(pages))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

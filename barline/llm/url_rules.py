@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from .shared import save
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BAD = "label=block"
-#: Labelled rows that a rule must hold at least, whatever the share.
-LEAST_ROWS = 20
+#: Bad rows that a rule must hold at least, whatever the share.
+LEAST_ROWS = 5
+#: Words by which a page's visible text names a trade that the corpus does not want.
+UNWANTED = ("casino", "bets", "betting", "pills", "viagra", "porn", "adult", "xxx", "ads")
 
 
 @dataclass(frozen=True)
@@ -52,59 +53,83 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def url_tokens(url: Column) -> Column:
-    """Distinct tokens of a URL: scheme, domain suffixes, path words, number length and query keys."""
+    """Distinct tokens of a URL: scheme, top level domain, host labels, path words, number length and query keys."""
     host, path = host_of(url), path_of(url)
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    top = F.when(F.size(labels) > 0, F.array(F.concat(F.lit("tld="), F.element_at(labels, -1)))).otherwise(F.array().cast("array<string>"))
     words = F.filter(F.split(F.lower(path), r"[^\p{L}\p{N}]+"), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
     digits = F.when(path.rlike("[0-9]"), F.array(F.concat(F.lit("digits="), F.length(F.regexp_extract(path, "([0-9]+)", 1)).cast("string")))).otherwise(F.array().cast("array<string>"))
     keys = F.transform(F.filter(F.split(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), "&"), lambda x: x != ""), lambda x: F.concat(F.lit("query="), F.split(x, "=")[0]))
     tokens = F.concat(
-        F.array(F.concat(F.lit("scheme="), F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1)))),
-        F.transform(domains, lambda x: F.concat(F.lit("domain="), x)), F.transform(words, lambda x: F.concat(F.lit("path="), x)), digits, keys,
+        F.array(F.concat(F.lit("scheme="), F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1)))), top,
+        F.transform(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: F.concat(F.lit("label="), x)), F.transform(words, lambda x: F.concat(F.lit("path="), x)), digits, keys,
     )
     return F.array_distinct(F.when(url.isNull(), F.array().cast("array<string>")).otherwise(tokens))
 
 
+def content_labels(pages: DataFrame, words: tuple[str, ...] = UNWANTED) -> DataFrame:
+    """(url, bad) for every page with a url and some html: bad where the visible text (no tags,
+    comments, scripts or styles) names an unwanted trade. The url itself is not looked at."""
+    visible = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    return pages.filter("url IS NOT NULL AND html IS NOT NULL").select("url", visible.rlike(rf"(?i)\b(?:{'|'.join(words)})\b").alias("bad"))
+
+
+def matches(held: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule, the columns of `held`) for every row whose `tokens` hold all tokens of a rule: an inverted
+    index from each rule's rarest token to the rule, then a containment check."""
+    posted = rules.select("rule", F.col("tokens").alias("needs"), "key")
+    met = held.select("*", F.explode("tokens").alias("key")).join(posted, "key")
+    return met.filter(F.size(F.array_except("needs", "tokens")) == 0).drop("key", "needs")
+
+
 def mine_rules(labelled: DataFrame, support: float, confidence: float, lift: float) -> DataFrame:
-    """Rules (rule, tokens, key, confidence) that imply a block, from rows of `tokens` and `bad`.
+    """Rules (rule, tokens, key, confidence) that imply a bad url, from rows of `tokens` and `bad`.
 
-    FP-growth runs over all labelled rows. Rules below the bounds go, and so do rules that a
-    shorter one with at least their confidence implies already. `key` is a rule's rarest token.
+    FP-growth mines the token combinations of the bad rows, without tokens that are no more
+    frequent there than among all rows (alone they tell nothing, and they multiply itemsets). All
+    labelled rows then give each combination's confidence. Rules below the bounds go, and so do
+    rules that a shorter one with at least their confidence implies already. `key` is a rule's
+    rarest token.
     """
-    baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")).filter(F.size("items") > 0)
-    rows = baskets.count()
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST_ROWS / max(rows, 1))), minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift))
-    rules = save(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence").withColumn("rule", F.xxhash64("tokens")), "rules")
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    keyed = rules.select("rule", "tokens", "confidence", F.explode("tokens").alias("token")).join(single, "token")
-    keyed = keyed.groupBy("rule").agg(F.first("tokens").alias("tokens"), F.first("confidence").alias("confidence"), F.min(F.struct("freq", "token"))["token"].alias("key"))
-    wide, narrow = keyed.alias("w"), keyed.alias("n")
-    implied = wide.select("*", F.explode("tokens").alias("t")).alias("w").join(narrow, F.col("w.t") == F.col("n.key"))
-    implied = implied.filter("w.rule <> n.rule AND size(n.tokens) < size(w.tokens) AND n.confidence >= w.confidence AND size(array_except(n.tokens, w.tokens)) = 0")
-    return keyed.join(implied.select(F.col("w.rule").alias("rule")).distinct(), "rule", "left_anti")
+    labelled = save(labelled.filter(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "labelled")
+    rows, bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
+    empty = labelled.sparkSession.createDataFrame([], "rule long, tokens array<string>, key string, confidence double")
+    if not bad:
+        return empty
+    least = max(support * rows, LEAST_ROWS)
+    single = labelled.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
+    single = save(single.filter((F.col("bad") >= least) & (F.col("bad") * float(rows) > F.col("n") * float(bad))).select("token", F.col("n").alias("freq")), "tokens")
+    numbered = labelled.filter("bad").select("row", F.explode("tokens").alias("token"))
+    baskets = save(numbered.join(single, "token").groupBy("row").agg(F.collect_set("token").alias("items")), "baskets")  # bounded by the url's length
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(baskets.count(), 1)), minConfidence=confidence).fit(baskets)
+    sets = model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad")).withColumn("rule", F.xxhash64("tokens"))
+    keyed = sets.select("rule", "tokens", "bad", F.explode("tokens").alias("token")).join(single, "token")
+    keyed = save(keyed.groupBy("rule", "tokens", "bad").agg(F.min(F.struct("freq", "token"))["token"].alias("key")), "itemsets")
+    held = matches(labelled.filter("NOT bad").select("tokens"), keyed).groupBy("rule").agg(F.count("*").alias("good"))
+    share = F.col("bad") / (F.col("bad") + F.coalesce("good", F.lit(0)))
+    rules = keyed.join(held, "rule", "left").withColumn("confidence", share).filter((F.col("confidence") >= confidence) & (F.col("confidence") >= lift * bad / rows))
+    rules = save(rules.select("rule", "tokens", "key", "confidence"), "rules")
+    wide = rules.select(F.col("rule").alias("w"), "tokens", F.col("confidence").alias("c"))
+    implied = matches(wide, rules).join(rules.select("rule", F.size("tokens").alias("n"), "confidence"), "rule").filter("n < size(tokens) AND confidence >= c")
+    return rules.join(implied.select(F.col("w").alias("rule")).distinct(), "rule", "left_anti")
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct urls that hold all tokens of a rule: an inverted index from each rule's rarest
-    token to the rule, then a containment check."""
-    held = urls.filter("url IS NOT NULL").select("url").distinct().withColumn("held", url_tokens(F.col("url")))
-    met = held.select("url", "held", F.explode("held").alias("key")).join(rules.select("key", "tokens"), "key")
-    return met.filter(F.size(F.array_except("tokens", "held")) == 0).select("url").distinct()
+    """Distinct urls that hold all tokens of a rule."""
+    held = urls.filter("url IS NOT NULL").select("url").distinct().withColumn("tokens", url_tokens(F.col("url")))
+    return matches(held, rules).select("url").distinct()
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, support: float = 0.005, confidence: float = 0.8, lift: float = 1.2) -> DataFrame:
-    """page_id, host, path, rule and verdict for every page.
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, support: float = 0.002, confidence: float = 0.8, lift: float = 1.2) -> DataFrame:
+    """page_id, host, path, rule and verdict for every page (page_id, url).
 
     The longest explicit rule that fits decides; elsewhere a page is blocked if a mined rule
-    matches its URL. Labels (doc_id, quality) belong to the page of the same id; quality 0 is a
-    block, null labels are left out. Where several labels name a page, any 0 makes it bad. Null
-    urls or urls without :// have empty host and path. Without labels nothing is mined.
-    Repeated rows are each judged; extra columns are ignored.
+    matches its URL. `labels` are rows of url and bad (see content_labels); null values are left
+    out, repeated rows count. Null urls or urls without :// have empty host and path. Without
+    bad labels nothing is mined and nothing but the explicit rules blocks. Repeated rows are
+    each judged; extra columns are ignored.
     """
-    bad = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
-    labelled = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").join(bad, "page_id").select(url_tokens(F.col("url")).alias("tokens"), "bad")
+    labelled = labels.filter("url IS NOT NULL AND bad IS NOT NULL").select(url_tokens(F.col("url")).alias("tokens"), "bad")
     mined = save(mine_rules(labelled, support, confidence, lift), "mined")
     hits = save(blocked_urls(pages, mined), "blocked").withColumn("hit", F.lit(True))
     host, path = host_of(F.col("url")), path_of(F.col("url"))

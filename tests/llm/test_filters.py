@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import json
 import math
 import pathlib
@@ -214,7 +215,7 @@ def test_url_rules(spark):
         ("http://h.com#/en/", "h.com", "", None, "allow"), ("a\nb://Q.org/es/\n1", "q.org", "/es/\n1", "org/es/", "block"), ("http://k.org/" + "p/" * 5000, "k.org", "/" + "p/" * 5000, None, "allow"),
     ]
     pages = spark.createDataFrame([(i if i else None, u[0]) for i, u in enumerate(urls)] + [(1, urls[1][0])], "page_id long, url string").withColumn("host", F.lit(0))
-    labels = spark.createDataFrame([(1, 0), (None, 0), (2, None)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(urls[0][0], True), (None, True), (urls[1][0], None)], "url string, bad boolean")
     got = url_rules.filter_urls(pages, labels).collect()
     want = [(i if i else None, *u[1:]) for i, u in enumerate(urls)] + [(1, *urls[1][1:])]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
@@ -231,14 +232,41 @@ def test_url_rules_are_mined(spark):
         return f"https://{host}/p/{i}" + ("?promo=1" if bad else r.choice(["", "?page=2"])), bad
 
     made = [(i, *url(i)) for i in range(800)]
-    pages = spark.createDataFrame([(i, u) for i, u, _ in made], "page_id long, url string")
-    labels = spark.createDataFrame([(i, int(not b)) for i, _, b in made[:400]], "doc_id long, quality int")
+    pages = spark.createDataFrame([(i, u) for i, u, _ in made] + [(None, None)], "page_id long, url string").withColumn("tokens", F.lit("clash")).withColumn("bad", F.lit("clash"))
+    labels = spark.createDataFrame([(u, b) for _, u, b in made[:400]], "url string, bad boolean")
     got = {r.page_id: r.verdict == "block" for r in url_rules.filter_urls(pages, labels).collect()}
-    assert got == {i: b for i, _, b in made}
-    rules = url_rules.mine_rules(pages.join(labels.withColumnRenamed("doc_id", "page_id"), "page_id").select(url_rules.url_tokens(F.col("url")).alias("tokens"), (F.col("quality") == 0).alias("bad")), 0.005, 0.8, 1.2)
-    held = pages.select("url", url_rules.url_tokens(F.col("url")).alias("t")).collect()
-    brute_hits = {u for u, t in held for x in rules.collect() if set(x.tokens) <= set(t)}
-    assert {r.url for r in url_rules.blocked_urls(pages, rules).collect()} == brute_hits
+    assert got == {i: b for i, _, b in made} | {None: False}
+
+
+def test_mined_rules_against_all_combinations(spark):
+    """FP-growth, confidence, pruning and index against every combination of tokens."""
+    r = random.Random(9)
+    rows = []
+    for _ in range(300):
+        t = sorted(r.sample("abcdefg", r.randint(1, 5)))
+        rows.append((t, ({"a", "b"} <= set(t) or "g" in t) != (r.random() < 0.08)))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    n, bad = len(rows), sum(b for _, b in rows)
+    some = [x for x in "abcdefg" if sum(b for t, b in rows if x in t) * n > bad * sum(x in t for t, _ in rows)]
+    want = {}
+    for size in range(1, 6):
+        for c in itertools.combinations(some, size):
+            of = [b for t, b in rows if set(c) <= set(t)]
+            if sum(of) >= max(5, 0.02 * n) and sum(of) / len(of) >= 0.7:
+                want[c] = sum(of) / len(of)
+    want = {c: v for c, v in want.items() if not any(set(d) < set(c) and w >= v for d, w in want.items())}
+    got = {tuple(x.tokens): x.confidence for x in url_rules.mine_rules(labelled, 0.02, 0.7, 1.2).collect()}
+    assert want and {c: round(v, 9) for c, v in got.items()} == {c: round(v, 9) for c, v in want.items()}
+    held = spark.createDataFrame([(f"http://{'.'.join(t)}.x/", ) for t, _ in rows], "url string").distinct()
+    rules = spark.createDataFrame([(i, [f"label={x}" for x in c], f"label={c[0]}", 1.0) for i, c in enumerate(want)], "rule long, tokens array<string>, key string, confidence double")
+    hits = {x.url for x in url_rules.blocked_urls(held, rules).collect()}
+    assert hits == {x.url for x in held.collect() if any(set(c) <= set(x.url[7:-3].split(".")) for c in want)}
+
+
+def test_content_labels(spark):
+    pages = [("u1", "<p>Casino nights</p>"), ("u2", "<script>casino()</script><a href='casino'>x</a><!-- pills -->"), ("u3", None), (None, "casino"), ("u4", "occasino"), ("u5", "")]
+    got = url_rules.content_labels(spark.createDataFrame(pages, "url string, html string")).collect()
+    assert sorted((x.url, x.bad) for x in got) == [("u1", True), ("u2", False), ("u4", False), ("u5", False)]
 
 
 def test_alignment():
