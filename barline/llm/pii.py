@@ -3,7 +3,8 @@
 The field splits the words around digits and @ signs into segments of bounded length; features
 of the whole span score each candidate segment, and one dynamic program chooses boundaries
 and types together. It is trained here, on the base patterns' spans in a bounded sample of
-documents and on rewritten forms of them that the patterns miss.
+passages and on rewritten forms of them that the patterns miss. An entity of over MAX_WORDS
+words is no candidate, neither in training nor in use.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: Words of the longest entity that the field considers.
 MAX_WORDS = 7
-#: Documents that the field is fitted on: those of smallest seeded hash that hold a digit or @.
-SAMPLE_DOCUMENTS = 600
+#: Passages that the field is fitted on: those of smallest seeded hash around a digit or @.
+SAMPLE_PASSAGES = 3000
+#: Words of a training passage; a longer region is cut between entities, none is left out.
+PASSAGE_WORDS = 30
 EPOCHS = 6
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -143,12 +146,15 @@ def _scores(weights: Weights, segments) -> list[list[tuple[int, list[float]]]]:
 
 
 def decode(weights: Weights, segments) -> list[tuple[int, int, int]]:
-    """Best segmentation: (first word, end word, kind index) of its entities."""
+    """Best segmentation: (first word, end word, kind index) of its entities. Ties go to "outside", then
+    to the earlier kind and the shorter segment; a field that was not fitted finds nothing."""
+    if not any(weights):
+        return []
     best, back = [0.0], [(0, 0)]
     for i, ends in enumerate(_scores(weights, segments), 1):
-        top = max((best[i - n] + s, n, k) for n, row in ends for k, s in enumerate(row) if s > -math.inf)
-        best.append(top[0])
-        back.append(top[1:])
+        score, k, n = max((best[i - n] + s, -k, -n) for n, row in ends for k, s in enumerate(row) if s > -math.inf)
+        best.append(score)
+        back.append((-n, -k))
     out, i = [], len(segments)
     while i:
         n, k = back[i]
@@ -188,9 +194,8 @@ def _gradient(weights: Weights, segments, gold: set[tuple[int, int, int]], rate:
                         weights[k][f] = weights[k].get(f, 0.0) + rate * step
 
 
-def labelled(text: str) -> list[tuple[list, set[tuple[int, int, int]]]]:
-    """Training regions of a text with the base spans as the true segmentation."""
-    found = base_spans(text)
+def labelled(text: str, found: list[tuple[int, int, int]]) -> list[tuple[list, set[tuple[int, int, int]]]]:
+    """Training regions of a text with the given spans as the true segmentation."""
     out = []
     for words in regions(text):
         gold, i = set(), 0
@@ -198,7 +203,7 @@ def labelled(text: str) -> list[tuple[list, set[tuple[int, int, int]]]]:
             entity = None
             for n in range(min(MAX_WORDS, len(words) - i), 0, -1):
                 span = trimmed(text, words[i][0], words[i + n - 1][1])
-                kind = next((k for a, k, b in found if (a, b) == span), None)
+                kind = next((k for a, k, b in found if trimmed(text, a, b) == span), None)
                 if kind is not None:
                     entity = (n, kind + 1)
                     break
@@ -209,50 +214,70 @@ def labelled(text: str) -> list[tuple[list, set[tuple[int, int, int]]]]:
     return out
 
 
-def rewritten(text: str) -> str:
-    """The same text with its personal data in forms that the base patterns miss."""
-    out, end = [], 0
+#: How each kind is rewritten for training: forms that its base pattern misses.
+REWRITES = {
+    0: (lambda x: x.replace("@", " at ").replace(".", " dot "), lambda x: x.replace("@", " [at] ").replace(".", " [dot] ")),
+    1: (lambda x: x.replace(".", "[.]"), lambda x: x.replace(".", "-")),
+    2: (lambda x: re.sub("[ -]", ".", x), lambda x: ".".join(re.findall(".{1,4}", re.sub("[ -]", "", x)))),
+    3: (lambda x: x.split(" ", 1)[-1] if " " in x else x[1:], lambda x: re.sub("[ ()-]+", ".", x[1:]).strip(".")),
+}
+
+
+def rewritten(text: str, form: int = 0) -> tuple[str, list[tuple[int, int, int]]]:
+    """(the same text with its personal data in forms that the base patterns miss, their spans)."""
+    out, spans, end, size = [], [], 0, 0
     for a, k, b in base_spans(text):
         if a < end:
             continue
-        s = text[a:b]
-        new = {0: s.replace("@", " at ").replace(".", " dot "), 3: s.split(" ", 1)[-1] if " (" in s else s}.get(k, s)
+        new = REWRITES[k][form % 2](text[a:b])
         out += [text[end:a], new]
-        end = b
-    return "".join([*out, text[end:]])
+        size += a - end
+        spans.append((size, k, size + len(new)))
+        size, end = size + len(new), b
+    return "".join([*out, text[end:]]), spans
+
+
+def passages(text: str) -> list[str]:
+    """The regions of a text, cut between entities to about PASSAGE_WORDS words."""
+    found = base_spans(text)
+    out = []
+    for words in regions(text):
+        first = 0
+        for i in range(1, len(words) + 1):
+            inside = i < len(words) and any(a < words[i][0] < b for a, _, b in found)
+            if i == len(words) or (i - first >= PASSAGE_WORDS and not inside):
+                out.append(text[words[first][0] : words[i - 1][1]])
+                first = i
+    return out
+
 
+def fit(documents: DataFrame, sample: int = SAMPLE_PASSAGES) -> Weights:
+    """Train on at most `sample` distinct passages of all documents, chosen by a seeded hash. Only the
+    passages reach the driver; documents without a digit or @ give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                found = [x for t in batch.column("text").slice(a, 500) for x in passages(t.as_py())]
+                yield pa.record_batch([pa.array(found, pa.string())], names=["passage"])
 
-def fit(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Weights:
-    """Train on at most `sample` documents, chosen by a seeded hash of id and text."""
-    near = documents.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text", F.lit(11)).alias("u"), "text")
-    last = near.select("u").orderBy("u").limit(sample).agg(F.max("u")).first()[0]
-    texts = [r.text for r in near.filter(F.col("u") <= F.lit(last)).select("u", "text").distinct().orderBy("u", "text").limit(sample).collect()] if last is not None else []
-    return train(texts)
+    near = documents.filter(F.col("text").rlike("[0-9@]")).select("text").mapInArrow(run, "passage string")
+    chosen = near.select(F.xxhash64("passage", F.lit(11)).alias("u"), "passage").groupBy("u").agg(F.min("passage").alias("passage"))
+    return train([r.passage for r in chosen.orderBy("u").limit(sample).collect()])
 
 
 def train(texts: list[str]) -> Weights:
+    """Weights from passages with their base spans, and from the passages rewritten."""
     data = []
-    for text in texts:
-        data += labelled(text)
-        # a rewritten entity keeps its kind: learn it from the words it is now made of
-        for a, k, b in base_spans(text):
-            lo, hi = text.rfind(" ", 0, max(0, a - 1)) + 1, text.find(" ", b + 1)
-            around = text[lo : hi if hi > 0 else len(text)]
-            changed = rewritten(around)
-            if k not in (0, 3) or changed == around:
-                continue
-            start = a - lo
-            stop = len(changed) - (len(around) - (b - lo))
-            for words in regions(changed):
-                inside = [i for i, (x, y) in enumerate(words) if x < stop and y > start]
-                if inside and len(inside) <= MAX_WORDS:
-                    gold = {(i, i + 1, 0) for i in range(len(words)) if i not in inside} | {(inside[0], inside[-1] + 1, k + 1)}
-                    data.append((candidates(changed, words), gold))
+    for i, text in enumerate(texts):
+        data += labelled(text, base_spans(text))
+        changed, spans = rewritten(text, i)
+        if spans:
+            data += labelled(changed, spans)
     weights: Weights = [{} for _ in range(len(KINDS) + 1)]
     for epoch in range(EPOCHS):
         for segments, gold in data:
-            if len(segments) <= 200:
-                _gradient(weights, segments, gold, 0.2 / (1 + epoch))
+            _gradient(weights, segments, gold, 0.2 / (1 + epoch))
     return weights
 
 
@@ -276,7 +301,8 @@ def find_personal_data(documents: DataFrame, weights: Weights | None = None) ->
     """doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256 and spans (base and field).
 
     Offsets count code points, ends are exclusive. Null and empty texts have no spans. Null ids
-    come back null, repeated rows are each judged, extra columns are ignored. One pass, no shuffle.
+    come back null, repeated rows are each judged, extra columns are ignored. One pass to fit, one to
+    find. Where several kinds' base spans share a start, they come in the order of KINDS.
     """
     docs = documents.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
     model = documents.sparkSession.sparkContext.broadcast(fit(docs) if weights is None else weights)

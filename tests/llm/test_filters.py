@@ -173,6 +173,30 @@ def test_field_learns_held_out_forms():
     spans = pii.find_spans("call (017) 555-7713 now", weights)
     assert spans[0] == [] and [(k, b - a) for a, k, b in spans[1]] == [(3, 14)]
     assert pii.find_spans("in 2024 we had 15 cats", weights)[1] == []
+    for form in (0, 1):  # recall and precision on forms that no base pattern finds
+        got = want = both = 0
+        for t in held:
+            changed, spans = pii.rewritten(t, form)
+            true = {(*pii.trimmed(changed, a, b), k) for a, k, b in spans}
+            found = {(a, b, k) for a, k, b in pii.find_spans(changed, weights)[1]}
+            got, want, both = got + len(found), want + len(true), both + len(found & true)
+        assert both / want > 0.9 and both / got > 0.9
+
+
+def test_field_without_training():
+    for weights in (pii.train([]), [{} for _ in range(5)], [{"words=1": 0.5}] + [{"words=1": 0.5}] * 4):
+        assert pii.find_spans("take the dot product of two rows, 12 in all", weights)[1] == []
+        assert pii.find_spans("mail a@b.org", weights)[1] == [(5, 0, 12)]
+
+
+def test_passages_keep_every_word_and_entity():
+    r = random.Random(2)
+    text = " ".join(pii_texts(r, 200))
+    cut = pii.passages(text)
+    assert max(len(x.split()) for x in cut) <= pii.PASSAGE_WORDS + pii.MAX_WORDS
+    assert sum(len(pii.base_spans(x)) for x in cut) == len(pii.base_spans(text))
+    numbers = " ".join(map(str, range(5000)))  # one long region
+    assert " ".join(pii.passages(numbers)) == numbers
 
 
 def test_segmentation_is_best():
@@ -195,6 +219,38 @@ def test_segmentation_is_best():
     assert math.isclose(total, best(len(words)), rel_tol=1e-9)
 
 
+def test_added_spans_against_all_segmentations(spark):
+    """The operator's spans against base patterns and a search of all segmentations, on short texts."""
+    r = random.Random(12)
+    weights = pii.train(pii_texts(r, 120))
+    parts = ["(017) 555-7713", "u at h dot org", "10[.]1[.]2[.]3", "word", "7", "x@y.org", "2024", "or"]
+    texts = [" ".join(r.choice(parts) for _ in range(3)) for _ in range(40)]
+
+    def all_ways(n):
+        if n == 0:
+            yield []
+        for m in range(1, min(n, pii.MAX_WORDS) + 1):
+            for rest in all_ways(n - m):
+                for k in range(5):
+                    if m == 1 or k:
+                        yield [*rest, (n - m, n, k)]
+
+    want = {}
+    for i, t in enumerate(texts):
+        base, spans = naive_spans(t), []
+        for words in pii.regions(t):
+            if len(words) > 6:
+                break
+            score = lambda a, b, k: sum(weights[k].get(f, 0.0) for f in pii.features(t, words[a][0], words[b - 1][1], b - a))  # noqa: E731, B023
+            best = max(all_ways(len(words)), key=lambda way: sum(score(*x) for x in way))
+            spans += [(*pii.trimmed(t, words[a][0], words[b - 1][1]), k - 1) for a, b, k in best if k]
+        else:
+            extra = [(a, k, b) for a, b, k in spans if a < b and not any(x < b and a < y for x, _, y in base)]
+            want[i] = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + extra))
+    got = {x.doc_id: x.spans for x in pii.find_personal_data(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), weights).collect()}
+    assert len(want) > 5 and {i: got[i] for i in want} == want
+
+
 def test_personal_data(spark):
     rows = [(i, t, "s") for i, t in enumerate(pii_texts(random.Random(3), 40))] + EDGE
     got = pii.find_personal_data(docs(spark, rows)).collect()
