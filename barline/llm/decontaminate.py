@@ -114,11 +114,11 @@ def contaminated(documents: DataFrame, items: DataFrame, n: int = 3, least: floa
     """doc_id, item_id, score, begin and end (words) for each document that holds a test item.
 
     Seeds are the items' n-grams of lower-cased (A-Z, À-Þ) words. A seed is rare if it occurs in the
-    corpus at most `factor` times as often as the median of its item's occurring seeds, so an
-    item leaked into a third of the corpus keeps its seeds. Passages that share two rare seeds
-    with an item (or all, where it has one) are aligned with it, and count from score `least`:
-    twice the matches less the edits, over twice the item's words. Items of fewer than n words
-    and null or empty texts match nothing. An item is reported once per document, by its best
+    corpus at most `factor` times as often as the upper quartile of its item's occurring seeds, so
+    an item leaked whole or in half into a third of the corpus keeps its seeds. Passages that share
+    a rare seed with an item and hold `least` of its words are aligned with it, and count from
+    score `least`: twice the matches less the edits, over twice the item's words. A copy without
+    n words in a row from its item, items of fewer than n words and null or empty texts match nothing. An item is reported once per document, by its best
     alignment. Null ids come back null; rows that share an id but not a text are told apart;
     repeated rows are reported once. Extra columns are ignored.
     """
@@ -129,21 +129,23 @@ def contaminated(documents: DataFrame, items: DataFrame, n: int = 3, least: floa
     all_seeds = spark.sparkContext.broadcast(repeated_sketch(seeds.select("seed").distinct(), "seed"))
     counts = seed_hits(docs, all_seeds, n).groupBy("seed").agg(F.count("*").alias("times"))
     usual = seeds.join(save(counts, "seed-counts"), "seed")
-    median = usual.groupBy("item_id").agg(F.percentile_approx("times", 0.5).alias("median"))
-    rare = usual.join(median, "item_id").filter(F.col("times") <= factor * F.col("median")).select("item_id", "seed")
+    quartile = usual.groupBy("item_id").agg(F.percentile_approx("times", 0.75).alias("quartile"))
+    rare = usual.join(quartile, "item_id").filter(F.col("times") <= factor * F.col("quartile")).select("item_id", "seed")
     rare = save(rare, "rare-seeds")
     reach = known.agg(F.max(F.size("item"))).first()[0] or 0
     some = spark.sparkContext.broadcast(repeated_sketch(rare.select("seed").distinct(), "seed"))
     found = save(passages(docs, some, n, reach), "passages")
-    need = known.select("item_id", "item", F.least(F.size("seeds"), F.lit(2)).alias("need"))
     place = ["doc_key", "part", "begin"]
-    met = found.select(*place, F.explode("seeds").alias("seed")).join(rare, "seed").groupBy(*place, "item_id").agg(F.count_distinct("seed").alias("hits"))
-    pairs = met.join(need, "item_id").filter("hits >= need").drop("hits", "need").join(found.drop("seeds").distinct(), place)
+    met = found.select(*place, F.explode("seeds").alias("seed")).join(rare, "seed").select(*place, "item_id").distinct()
+    pairs = met.join(known.select("item_id", "item"), "item_id").join(found.drop("seeds").distinct(), place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, item = batch.column("words"), batch.column("item")
-            out = [smith_waterman(words[i].values.to_numpy(), item[i].values.to_numpy()) for i in range(len(batch))]
+            out = []
+            for words, item in zip(batch.column("words"), batch.column("item")):
+                words, item = words.values.to_numpy(), item.values.to_numpy()
+                enough = np.isin(item, words).sum() >= least * len(item)  # each match is a word of the item
+                out.append(smith_waterman(words, item) if enough else (0.0, 0, 0))
             score, lo, hi = (np.array(x) for x in zip(*out)) if out else (np.zeros(0),) * 3
             begin = batch.column("begin").to_numpy()
             yield pa.record_batch([batch.column("doc_key"), batch.column("part"), batch.column("item_id"), pa.array(score.astype(float)), pa.array((begin + lo).astype(np.int64)), pa.array((begin + hi).astype(np.int64))], names=["doc_key", "part", "item_id", "score", "begin", "end"])

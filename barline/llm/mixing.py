@@ -9,14 +9,14 @@ pattern's flow, by hash thresholds that Spark finds from binned sums.
 from __future__ import annotations
 
 from collections import deque
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import save
 
-#: Most distinct membership patterns; more raise an error, nothing is dropped.
+#: Most distinct membership patterns; more raise an error, nothing is dropped. The flow of so many
+#: patterns over 40 sources takes the driver about two seconds.
 MAX_PATTERNS = 20_000
 WORD = r"[^ \t-\r]+"
 #: Leading hash bits that make a bin.
@@ -43,53 +43,61 @@ def target_words(sizes: dict, weights: dict, share: float, repeats: float) -> di
         fixed |= {s: repeats * sizes[s] for s in over}
 
 
-@dataclass
-class _Arc:
-    to: int
-    cap: int
-    cost: int
-    twin: int
-
-
-class MinCostFlow:
-    """Successive shortest augmenting paths over a small graph of patterns and sources."""
+class Flow:
+    """Maximum flow by blocking flows over shortest paths, on a graph of patterns and sources."""
 
     def __init__(self, n: int):
-        self.arcs: list[_Arc] = []
         self.out: list[list[int]] = [[] for _ in range(n)]
-
-    def add(self, a: int, b: int, cap: int, cost: int) -> int:
-        self.out[a].append(len(self.arcs))
-        self.arcs.append(_Arc(b, cap, cost, len(self.arcs) + 1))
-        self.out[b].append(len(self.arcs))
-        self.arcs.append(_Arc(a, 0, -cost, len(self.arcs) - 1))
-        return len(self.arcs) - 2
-
-    def run(self, s: int, t: int) -> None:
+        self.to: list[int] = []
+        self.cap: list[int] = []
+
+    def add(self, a: int, b: int, cap: int) -> int:
+        for u, v, c in ((a, b, cap), (b, a, 0)):
+            self.out[u].append(len(self.to))
+            self.to.append(v)
+            self.cap.append(c)
+        return len(self.to) - 2
+
+    def flow(self, arc: int) -> int:
+        return self.cap[arc ^ 1]
+
+    def _levels(self, s: int, t: int) -> list[int]:
+        level = [-1] * len(self.out)
+        level[s], queue = 0, deque([s])
+        while queue:
+            u = queue.popleft()
+            for e in self.out[u]:
+                if self.cap[e] and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[u] + 1
+                    queue.append(self.to[e])
+        return level
+
+    def augment(self, s: int, t: int) -> None:
         while True:
-            dist: list[float] = [float("inf")] * len(self.out)
-            via = [-1] * len(self.out)
-            dist[s], queue, queued = 0, deque([s]), {s}
-            while queue:
-                u = queue.popleft()
-                queued.discard(u)
-                for e in self.out[u]:
-                    arc = self.arcs[e]
-                    if arc.cap > 0 and dist[u] + arc.cost < dist[arc.to]:
-                        dist[arc.to], via[arc.to] = dist[u] + arc.cost, e
-                        if arc.to not in queued:
-                            queue.append(arc.to)
-                            queued.add(arc.to)
-            if via[t] < 0:
+            level = self._levels(s, t)
+            if level[t] < 0:
                 return
-            path, v = [], t
-            while v != s:
-                path.append(via[v])
-                v = self.arcs[self.arcs[via[v]].twin].to
-            push = min(self.arcs[e].cap for e in path)
-            for e in path:
-                self.arcs[e].cap -= push
-                self.arcs[self.arcs[e].twin].cap += push
+            tried = [0] * len(self.out)
+            path: list[int] = []
+            while True:
+                u = self.to[path[-1]] if path else s
+                if u == t:
+                    push = min(self.cap[e] for e in path)
+                    for e in path:
+                        self.cap[e] -= push
+                        self.cap[e ^ 1] += push
+                    path = path[: next(i for i, e in enumerate(path) if not self.cap[e])]
+                    continue
+                while tried[u] < len(self.out[u]):
+                    e = self.out[u][tried[u]]
+                    if self.cap[e] and level[self.to[e]] == level[u] + 1:
+                        path.append(e)
+                        break
+                    tried[u] += 1
+                else:
+                    if not path:
+                        break
+                    tried[self.to[path.pop() ^ 1]] += 1
 
 
 def route(patterns: dict[tuple, int], targets: dict, repeats: int) -> dict[tuple, int]:
@@ -98,26 +106,44 @@ def route(patterns: dict[tuple, int], targets: dict, repeats: int) -> dict[tuple
     names, sources = list(patterns), list(targets)
     at = {s: 1 + len(names) + i for i, s in enumerate(sources)}
     sink = 1 + len(names) + len(sources)
-    flow = MinCostFlow(sink + 1)
-    copies = {}
+    graph = Flow(sink + 1)
     for i, p in enumerate(names):
-        copies[p] = [flow.add(0, 1 + i, patterns[p], r) for r in range(repeats)]
         for s in p:
-            flow.add(1 + i, at[s], repeats * patterns[p], 0)
+            graph.add(1 + i, at[s], repeats * patterns[p])
     for s in sources:
-        flow.add(at[s], sink, round(targets[s]), 0)
-    flow.run(0, sink)
-    return {p: sum(flow.arcs[flow.arcs[e].twin].cap for e in copies[p]) for p in names}
-
-
-def mix(documents: DataFrame, members: Column, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(documents with the column `times` that the mix takes each, source totals).
+        graph.add(at[s], sink, round(targets[s]))
+    copies: dict[tuple, list[int]] = {p: [] for p in names}
+    for _ in range(repeats):  # costs stand on the first arc of a path only, so cheaper repetitions are filled first
+        for i, p in enumerate(names):
+            copies[p].append(graph.add(0, 1 + i, patterns[p]))
+        graph.augment(0, sink)
+    return {p: sum(map(graph.flow, copies[p])) for p in names}
+
+
+def _edges(bins: DataFrame, quota: DataFrame, before: DataFrame | None, bits: int) -> DataFrame:
+    """(pattern, edge, before, rest): the bin of `bits` leading hash bits in which each pattern's running
+    sum passes its quota, and the sum before it. `before` is that of the coarser bins."""
+    rows = bins.withColumn("bin", F.shiftright("__u", HASH_BITS - bits))
+    start = quota.select("__pattern", "rest", F.lit(0).cast("long").alias("before"))
+    if before is not None:
+        rows = _joined(rows, F.broadcast(before.select("__pattern", "edge"))).filter(F.shiftright("bin", BIN_BITS) == F.col("edge")).drop("edge")
+        start = before.select("__pattern", "rest", "before")
+    summed = _joined(rows.groupBy("__pattern", "bin").agg(F.sum("w").alias("w")), F.broadcast(start))  # 2**BIN_BITS bins to a pattern at most
+    running = summed.withColumn("upto", F.col("before") + F.sum("w").over(Window.partitionBy("__pattern").orderBy("bin")))
+    return running.filter("upto > rest").groupBy("__pattern").agg(F.min("bin").alias("edge"), F.min(F.col("upto") - F.col("w")).alias("before"), F.first("rest").alias("rest"))
+
+
+def mix(
+    documents: DataFrame, members: Column, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 7, times: str = "times", size: str = "size"
+) -> tuple[DataFrame, DataFrame]:
+    """(documents with the columns `size` and `times`: how often the mix takes each, source totals).
 
     `members` is an array column of the sources of a document (null is a source too). Sources
     in code-point order, null last, have the given weights in turn. Size is the number of
     words. Each pattern's flow is filled with whole documents in the order of a seeded hash of id
     and text, then with the one document that brings it nearest to the flow; equal rows
     share their fate. No document is taken more than `repeats` times. Empty tables give none.
+    Columns of the documents may have any names but those of `times` and `size`, and none in __.
     """
     spark = documents.sparkSession
     tagged = documents.withColumns({"__pattern": F.array_sort(F.array_distinct(members)), "__size": word_count(F.col("text")), "__u": F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)), 64 - HASH_BITS)})
@@ -130,27 +156,26 @@ def mix(documents: DataFrame, members: Column, weights: tuple[float, ...] = (3,
     sizes = {s: sum(n for p, n in patterns.items() if s in p) for s in sources}
     targets = target_words(sizes, {s: float(weights[i % len(weights)]) for i, s in enumerate(sources)}, share, repeats) if sources else {}
     taken = route(patterns, targets, repeats)
-    plan = [(list(p), n, taken[p] // n if n else 0, taken[p] - n * (taken[p] // n) if n else 0) for p, n in patterns.items()]
-    quota = F.broadcast(spark.createDataFrame(plan, "__pattern array<string>, words long, full int, rest long"))
-
-    bins = sized.groupBy("__pattern", "__u").agg(F.sum("__size").alias("w")).withColumn("bin", F.shiftright("__u", HASH_BITS - BIN_BITS))
-    upto = Window.partitionBy("__pattern").orderBy("bin")
-    by_bin = bins.groupBy("__pattern", "bin").agg(F.sum("w").alias("w")).withColumn("upto", F.sum("w").over(upto))
-    edge = _joined(by_bin, quota).filter("upto > rest").groupBy("__pattern").agg(F.min("bin").alias("edge"), F.min(F.col("upto")).alias("most"), F.min_by("w", "bin").alias("own"))
-    within = _joined(bins, F.broadcast(edge)).filter("bin = edge").select("__pattern", "__u", "w", "edge", (F.col("most") - F.col("own")).alias("before"))
+    plan = [(list(p), taken[p] // n if n else 0, taken[p] - n * (taken[p] // n) if n else 0) for p, n in patterns.items()]
+    quota = F.broadcast(spark.createDataFrame(plan, "__pattern array<string>, full int, rest long"))
+
+    bins = sized.groupBy("__pattern", "__u").agg(F.sum("__size").alias("w"))
+    coarse = save(_edges(bins, quota, None, BIN_BITS), "edges")
+    edge = save(_edges(bins, quota, coarse, 2 * BIN_BITS), "edges")  # at most MAX_PATTERNS rows, as all below
+    within = _joined(bins, F.broadcast(edge)).filter(F.shiftright("__u", HASH_BITS - 2 * BIN_BITS) == F.col("edge"))
     running = within.withColumn("upto", F.col("before") + F.sum("w").over(Window.partitionBy("__pattern").orderBy("__u")))
-    cut = _joined(running, quota).groupBy("__pattern").agg(
+    cut = running.groupBy("__pattern").agg(
         F.max(F.when(F.col("upto") <= F.col("rest"), F.col("__u"))).alias("cut"), F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("got"), F.first("edge").alias("edge"), F.first("before").alias("before"), F.first("rest").alias("rest")
     )
-    last = cut.select("__pattern", F.coalesce("cut", F.shiftleft("edge", HASH_BITS - BIN_BITS) - 1).alias("cut"), (F.col("rest") - F.coalesce("got", "before")).alias("short"))
-    last = save(last, "cuts")  # at most MAX_PATTERNS rows
+    last = cut.select("__pattern", F.coalesce("cut", F.shiftleft("edge", HASH_BITS - 2 * BIN_BITS) - 1).alias("cut"), (F.col("rest") - F.coalesce("got", "before")).alias("short"))
+    last = save(last, "cuts")
     fitting = _joined(bins, F.broadcast(last)).filter("__u > cut AND w > 0 AND abs(w - short) < short").groupBy("__pattern").agg(F.min(F.struct(F.abs(F.col("w") - F.col("short")).alias("gap"), F.col("__u").alias("fit"))).alias("best"))
     decided = last.alias("l").join(F.broadcast(fitting).alias("f"), F.expr("l.__pattern <=> f.__pattern"), "left").selectExpr("l.__pattern", "cut", "f.best.fit AS fit")
-    choice = save(quota.alias("q").join(decided.alias("d"), F.expr("q.__pattern <=> d.__pattern"), "left").selectExpr("q.__pattern", "full", "rest", "cut", "fit"), "choice")
-    more = F.when(F.col("rest") == 0, 0).when((F.col("__u") <= F.col("cut")) | F.coalesce(F.col("__u") == F.col("fit"), F.lit(False)), 1).otherwise(0)
-    out = _joined(tagged, F.broadcast(choice)).withColumns({"times": F.when(F.col("__size") > 0, F.col("full") + F.coalesce(more, F.lit(0))).otherwise(0).cast("int")})
+    choice = save(quota.alias("q").join(decided.alias("d"), F.expr("q.__pattern <=> d.__pattern"), "left").selectExpr("q.__pattern", "full AS __full", "rest AS __rest", "cut AS __cut", "fit AS __fit"), "choice")
+    more = F.when(F.col("__rest") == 0, 0).when((F.col("__u") <= F.col("__cut")) | F.coalesce(F.col("__u") == F.col("__fit"), F.lit(False)), 1).otherwise(0)
+    out = _joined(tagged, F.broadcast(choice)).withColumn("__times", F.when(F.col("__size") > 0, F.col("__full") + F.coalesce(more, F.lit(0))).otherwise(0).cast("int"))
     totals = spark.createDataFrame([(s, sizes[s], float(targets[s])) for s in sources], "source string, source_size long, target double")
-    return out.select(*[F.col(c) for c in documents.columns], F.col("__size").alias("size"), "times"), totals
+    return out.select(*[F.col(c) for c in documents.columns], F.col("__size").alias(size), F.col("__times").alias(times)), totals
 
 
 def _joined(df: DataFrame, small: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from .shared import NO_ID, in_sketch, repeated_sketch, save
 _NO_IDS = 1 << 40
 #: Stars per bucket before the exact closing takes over.
 STARS = 2
+#: Pairs of one centre, and holders of one shingle, that a task gets about.
+SPOKES = 1000
 
 
 def node_key() -> Column:
@@ -102,8 +104,13 @@ def signatures(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
 def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b, linked) for candidate pairs, by the exact overlap of their shingle sets."""
     texts = docs.select("node", "text")
-    first = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", F.col("text").alias("text_b"))
-    both = first.join(texts.withColumnRenamed("node", "a"), "a").select("a", "b", F.col("text").alias("text_a"), "text_b")
+    # a centre of very many pairs is dealt to one task for every so many of them
+    wide = save(pairs.groupBy("a").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("k")).filter("k > 1"), "wide-stars")
+    dealt = pairs.join(wide, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("k")), F.lit(0)).cast("int").alias("deal"))
+    centres = pairs.select("a").distinct().join(wide, "a", "left").select("a", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("deal"))
+    first = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "deal", F.col("text").alias("text_b"))
+    held = centres.join(texts.withColumnRenamed("node", "a"), "a").select("a", "deal", F.col("text").alias("text_a"))
+    both = first.join(held, ["a", "deal"]).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None)
@@ -164,11 +171,15 @@ def rare_prefix_pairs(texts: DataFrame, nodes: DataFrame, size: int, percent: in
     ranked = ranked.filter(F.col("m") * 100 >= F.col("n") * percent)
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = ranked.select("node", "component", "n", "m", F.posexplode(F.slice("s", F.lit(1), F.greatest(length, F.lit(1)).cast("int"))).alias("at", "x")).filter("x.df > 1")
-    prefix = save(prefix.select("node", "component", "n", "m", "at", F.col("x.shingle").alias("shingle")), "prefixes")
-    left, right = prefix.toDF("a", "ca", "na", "ma", "ta", "shingle"), prefix.toDF("b", "cb", "nb", "mb", "tb", "shingle")
+    # sets that can be similar are of one size class or of neighbouring ones; a frequent shingle is dealt out as well
+    size_class = F.floor(F.log("n") / math.log(100 / percent))
+    prefix = save(prefix.select("node", "component", "n", "m", "at", F.col("x.shingle").alias("shingle"), size_class.alias("size"), F.ceil(F.col("x.df") / SPOKES).cast("int").alias("k")), "prefixes")
+    left = prefix.select("*", F.pmod(F.xxhash64("node"), F.col("k")).alias("deal")).drop("k").toDF("a", "ca", "na", "ma", "ta", "shingle", "size", "deal")
+    right = prefix.withColumn("size", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1))).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).drop("k").toDF("b", "cb", "nb", "mb", "tb", "shingle", "size", "deal")
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))  # of the intersection
     similar = (F.least("ma", "mb") >= need) & (F.col("ta") <= F.col("na") - need) & (F.col("tb") <= F.col("nb") - need)
-    joined = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar)
+    same_key = (left["shingle"] == right["shingle"]) & (left["size"] == right["size"]) & (left["deal"] == right["deal"])
+    joined = left.join(right, same_key & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar)
     return joined.select("a", "b").distinct()
 
 
@@ -194,9 +205,11 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, size: int = 5
     docs = keyed(documents)
     signed = save(signatures(docs, size, rows, bands_for(similarity, rows)), "signatures")
     nodes = signed.filter("n_shingles > 0")
-    sets = nodes.groupBy("d1", "d2").agg(F.min("node").alias("rep"))
-    named = save(nodes.select("node", "d1", "d2").join(sets, ["d1", "d2"]).select("node", "rep").distinct(), "classes")
-    reps = nodes.join(sets, ["d1", "d2"]).filter("node = rep").select("node", F.explode("buckets").alias("bucket")).distinct()
+    # written, so that the joins below are plain ones that Spark can split where very many sets are equal
+    sets = save(nodes.groupBy("d1", "d2").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "sets")
+    rep = F.coalesce("rep", "node")
+    named = save(nodes.select("node", "d1", "d2").join(sets, ["d1", "d2"], "left").select("node", rep.alias("rep")).distinct(), "classes")
+    reps = nodes.join(sets, ["d1", "d2"], "left").filter(rep == F.col("node")).select("node", F.explode("buckets").alias("bucket")).distinct()
     shared = reps.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     placed = reps.join(shared, "bucket")
     weights = placed.groupBy("node").agg(F.sum("n").alias("weight"))  # documents near the middle of a large group share most
@@ -240,8 +253,8 @@ def keep_first(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     found = near_duplicates(documents, similarity, nodes_only=True)
     tagged = documents.withColumn("__node", node_key())
     kept = tagged.join(found.filter("kept").select(F.col("node").alias("__node")).distinct(), "__node", "left_semi")
-    once = save(kept.groupBy("__node").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("h")).filter("n > 1"), "repeats")
+    once = save(kept.groupBy("__node").agg(F.count("*").alias("__n"), F.min(F.xxhash64("text")).alias("__h")).filter("__n > 1"), "repeats")
     if not once.limit(1).count():
         return kept.select(*names)
-    firsts = kept.join(once, "__node").filter(F.xxhash64("text") == F.col("h")).dropDuplicates(["__node"])
+    firsts = kept.join(once, "__node").filter(F.xxhash64("text") == F.col("__h")).dropDuplicates(["__node"])
     return kept.join(once, "__node", "left_anti").select(*names).unionByName(firsts.select(*names))

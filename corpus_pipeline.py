@@ -14,29 +14,41 @@ from barline.llm.sharding import rendezvous_shards
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the line-first quality rules."""
-    return filter_documents(docs)
+    """Documents that pass the line-first quality rules, with their failed lines cut out (n_chars follows).
+
+    Null and empty texts are rejected; repeated rows are each judged; an empty table stays empty.
+    """
+    kept = filter_documents(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest id."""
+    """One document of each group of near-duplicates: the one of smallest id (null ids last).
+
+    Of repeated rows one stays, and of several texts under one id the one of smallest hash; texts
+    without words are in no group and all stay (one row per id).
+    """
     return keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts stay; repeated rows share
+    their fate; of rows with one id only those whose text holds an item go."""
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (a document taken twice is two rows)."""
-    chosen, _ = mix(docs, F.array(F.col("source").cast("string")))
-    times = F.expr("sequence(1, times)")
-    return chosen.filter("times > 0").withColumn("__copy", F.explode(times)).select(*docs.columns)
+    """Documents as often as the mix takes them (a document taken twice is two rows).
+
+    A null source is a source; texts without words are not taken; equal rows share their fate.
+    """
+    chosen, _ = mix(docs, F.array(F.col("source").cast("string")), times="__times", size="__size")
+    return chosen.filter("__times > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the shard (0 to 39) that their id belongs to."""
+    """The documents with the shard (0 to 39) that their id belongs to. Null ids share one shard; a
+    column `shard` is replaced; every row stays."""
     return rendezvous_shards(docs, ["doc_id"], [1.0] * 40)
 
 

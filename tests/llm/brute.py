@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -77,3 +78,52 @@ def smith_waterman(passage, item, match=2, mismatch=-1, gap=-1):
             row.append(max(0, prev[j - 1] + (match if p == w else mismatch), prev[j] + gap, row[j - 1] + gap))
         best, prev = max(best, *row), row
     return best / (match * len(item))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_PHRASES = r"(?i)\b(all rights reserved|cookie (policy|settings)|accept (all )?cookies|privacy policy|terms (of use|of service|and conditions)|click here|read more|sign (in|up)|log ?in|subscribe (now|to our)|add to cart|share (this|on)|follow us|skip to (main )?content|lorem ipsum|enable javascript|back to top)\b"
+
+
+def line_fault(line, seen, common=()):
+    """The first rule that a line fails, by words and patterns."""
+    words = re.findall(_WORD, line)
+    if not words:
+        return None
+    n = len(words)
+    if line in seen:
+        return "repeated"
+    seen.add(line)
+    if sum(w in "| » › > / • · :: - – —".split() for w in words) >= max(2, 0.25 * n):
+        return "navigation"
+    if sum(bool(re.search(r"[#*$%&|<>]{2,}$|!!+$", w)) for w in words) > 0.3 * n:
+        return "symbols"
+    if n >= 8 and sum(a == b for a, b in zip(words, words[1:])) > 0.3 * n:
+        return "stutter"
+    if (n <= 12 and re.search(_PHRASES, line)) or (n <= 20 and line in common):
+        return "boilerplate"
+    if n <= 4 and not re.search(r"""[.!?:;…。！？]['"”’»)\]]*$""", words[-1]):
+        return "punctuation"
+    if not re.search(r"[^\W\d_]", line):
+        return "letters"
+    return None
+
+
+def quality(text, common=()):
+    """(kept, lost words, failed rules, clean text); the base verdict included."""
+    text = text or ""
+    words = re.findall(_WORD, text)
+    grams: dict = {}
+    for i in range(len(words) - 7):
+        grams.setdefault(tuple(words[i : i + 8]), []).append(i)
+    inside = {j for at in grams.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    base_failed = len(words) < 20 or 100 * len(inside) > 30 * len(words)
+    seen, lost, clean, faults = set(), 0, [], set()
+    for line in text.split("\n"):
+        fault = line_fault(line, seen, common)
+        if fault:
+            lost += len(re.findall(_WORD, line))
+            faults.add(fault)
+        else:
+            clean.append(line)
+    kept = not base_failed and 2 * lost <= len(words) and len(words) - lost >= 20
+    return kept, lost, ",".join(sorted(faults)), "\n".join(clean)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from barline.llm import near_dup, suffix
 from barline.llm.components import components
+from barline.llm.decontaminate import contaminated
 from barline.llm.near_dup import densified, keep_first, near_duplicates, shingle_sets
-from barline.llm.sequences import anchors, text_chunks, window_hash
+from barline.llm.sequences import CHUNK_BYTES, anchors, text_chunks, window_hash
 from barline.llm.shared import keyed
 from barline.llm.substring import substring_dedup
 from barline.llm.suffix import multikey_quicksort, suffix_array_dedup
@@ -89,6 +90,53 @@ def test_near(spark, rows):
         assert got == brute.near(rows, percent)
 
 
+def test_buckets_miss_few_pairs_of_any_size():
+    """Pairs just at the threshold share a bucket but for about one in a thousand, short sets as well as long ones."""
+    rng = np.random.default_rng(0)
+    bands = near_dup.bands_for(0.85, 6)
+    for n, times in ((7, 4000), (14, 4000), (30, 3000), (100, 1500), (400, 600)):
+        sets = []
+        for _ in range(times):
+            x = rng.integers(0, 2**63, n).astype(np.uint64)
+            sets += [x, x[: -(-n * 85 // 100)]]
+        sig = densified(sets, 6 * bands).reshape(-1, bands, 6)
+        assert (sig[0::2] == sig[1::2]).all(axis=2).any(axis=1).mean() > 0.997
+
+
+def test_near_of_dealt_groups(spark, monkeypatch):
+    """A centre of many pairs and a frequent shingle, dealt to many tasks."""
+    monkeypatch.setattr(near_dup, "SPOKES", 3)
+    r = random.Random(18)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.randint(0, 4)):
+            words[r.randrange(60)] = f"x{r.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(frame(spark, rows), 0.85).collect()}
+    assert got == brute.near(rows, 85)
+
+
+def test_very_long_texts(spark):
+    """Texts beyond the bytes that are looked at together (2 MB), with passages that repeat in them."""
+    r = random.Random(31)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage = words(80)
+    long = words(150_000) + " " + passage + " " + words(150_000)
+    assert len(long) > CHUNK_BYTES
+    rows = [(1, long), (2, "start " + passage + " end"), (3, passage + " " + long), (4, long + " one more")]
+    sub = {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup(frame(spark, rows)).collect()}
+    assert sub == {1: (300_080, 0), 2: (82, 80), 3: (300_160, 300_160), 4: (300_082, 300_080)}
+    suf = {x.doc_id: (x.n_bytes, x.n_removed) for x in suffix_array_dedup(frame(spark, rows)).collect()}
+    size = {d: len(t) for d, t in rows}
+    assert suf[1] == (size[1], 0) and suf[4] == (size[4], len(long)) and suf[3][1] >= size[3] - 2
+    near = {x.doc_id: x.component_id for x in near_duplicates(frame(spark, rows)).collect()}
+    assert near == {1: 1, 2: 2, 3: 1, 4: 1}
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    assert sorted(x.doc_id for x in contaminated(frame(spark, rows), bench).collect()) == [1, 2, 3, 4]
+
+
 def test_near_chain(spark):
     """Links that pass only through a member that is not the centre of its bucket."""
     base = [f"w{i}" for i in range(60)]

@@ -70,6 +70,25 @@ def test_flow_is_cheapest():
     assert sum(max(0, taken[p] - s) for p, s in ((("a",), 6), (("a", "b"), 4), (("b",), 5))) == best[0]
 
 
+def test_flow_of_many_patterns():
+    """Against a linear search over all cuts: the flow is that of the smallest cut, and repeats as little."""
+    r = random.Random(3)
+    for _ in range(20):
+        sources = "abcd"
+        patterns = {p: r.randint(1, 30) for p in {tuple(sorted(r.sample(sources, r.randint(1, 3)))) for _ in range(6)}}
+        targets = {s: r.randint(0, 60) for s in {x for p in patterns for x in p}}
+
+        def most(copies):
+            cuts = []
+            for size in range(len(targets) + 1):
+                for full in itertools.combinations(targets, size):  # sources whose quota is cut; other patterns are cut whole
+                    cuts.append(sum(targets[s] for s in full) + sum(copies * n for p, n in patterns.items() if set(p) - set(full)))
+            return min(cuts)
+
+        taken = mixing.route(patterns, targets, 2)
+        assert sum(taken.values()) == most(2) and sum(min(taken[p], n) for p, n in patterns.items()) == most(1)
+
+
 def test_mix(spark):
     r = random.Random(2)
     rows = [(i, " ".join(["w"] * r.randint(1, 40)), r.choice(["a", "a", "a", "b", "é", None])) for i in range(600)] + [(700, "", "a"), (None, None, "b"), (None, "p q", "b"), (600, "same same", "a"), (600, "same same", "a")]
@@ -126,6 +145,44 @@ def test_quality(spark):
     assert quality.quality_rules(df.filter("false")).count() == 0
 
 
+def quality_texts(r, n):
+    """Lines of every kind, mixed at random."""
+    word = lambda: r.choice(["Haus", "été", "the", "a1", "42", "x***", "q!!", "b#", "|", "—", ">", "…", "漢字", "end.", "ok?»", "..."])
+    fixed = ["Home | News | About", "All rights reserved.", "Read more!", "", "  ", "\t|", "1 2 3.", "no no no no no no no no yes", "Sign\u00a0in", "同意。", "\x0b\x0c", "LOG IN here"]
+    return ["\n".join(r.choice(fixed) if r.random() < 0.4 else " ".join(word() for _ in range(r.randint(1, 30))) for _ in range(r.randint(1, 12))) + r.choice(["", "\n"]) for _ in range(n)]
+
+
+def test_quality_against_brute_force(spark):
+    texts = quality_texts(random.Random(21), 400) + [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    got = {x.doc_id: x for x in quality.quality_rules(docs(spark, [(i, t, str(i)) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        x = got[i]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == naive_quality(t), t
+        assert (x.kept, x.n_lost_words, x.failed_rules, x.clean_text) == brute.quality(t), t
+
+
+def test_boilerplate_is_learned(spark):
+    """A line of one source between different lines goes; one of a copied document, of another
+    source, or of few documents stays."""
+    r = random.Random(6)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n)) + "."
+    footer, rare = "Our office is open on all days of the week.", "A rare line of this table and nothing else."
+    copied = "\n".join(words(9) for _ in range(4))
+    rows = []
+    for i in range(300):
+        lines = [words(15), words(15), words(15)]
+        if i % 3 == 0:
+            lines.insert(r.randint(0, 3), footer)
+        if i % 100 == 0:
+            lines.insert(1, rare)
+        rows.append((i, "\n".join(lines), ["a", None][i % 3 == 0]))
+    rows += [(1000 + i, copied, None) for i in range(40)] + [(2000, words(30) + "\n" + footer, "a")]
+    got = {x.doc_id: x for x in quality.quality_rules(docs(spark, rows)).collect()}
+    for d, t, s in rows:
+        assert (got[d].kept, got[d].n_lost_words, got[d].failed_rules, got[d].clean_text) == brute.quality(t, {footer} if s is None else ()), d
+    assert sum(x.failed_rules == "boilerplate" for x in got.values()) == 100
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -353,6 +410,32 @@ def test_decontamination(spark):
     assert contaminated(df.filter("false"), bench).count() == 0 and contaminated(df, bench.filter("false")).count() == 0
 
 
+def test_decontamination_against_all_alignments(spark):
+    """Every document with every item: edits of 0 to 35 %, halves that are frequent, items side by side."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(r.randint(12, 24)))) for i in range(8)]
+    rows = []
+    for d in range(90):
+        parts = [word() for _ in range(r.randint(0, 40))]
+        for _, t in r.sample(items, r.randint(0, 2)):
+            w, share = t.split(), r.choice([0, 0.1, 0.2, 0.25, 0.3, 0.35])
+            w = [x for y in w for x in (r.choice([[], [word()], [y, word()]]) if r.random() < share else [y])]
+            parts += w + [word() for _ in range(r.randint(0, 12))]
+        if d % 3 == 0:
+            parts += items[0][1].split()[: len(items[0][1].split()) // 2 + 2]
+        rows.append((d, " ".join(parts)))
+    grams = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+    want = {}
+    for d, t in rows:
+        for i, item in items:
+            score = brute.smith_waterman(t.split(), item.split())
+            if score >= 0.5 and grams(t.split()) & grams(item.split()):
+                want[d, i] = round(score, 6)
+    got = {(x.doc_id, x.item_id): x.score for x in contaminated(docs(spark, [(d, t, "s") for d, t in rows]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 60 and got == want
+
+
 @pytest.fixture(scope="module")
 def files(spark):
     rows = [

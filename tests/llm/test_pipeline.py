@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from barline.llm.decontaminate import contaminated
 from barline.llm.mixing import target_words
-from barline.llm.quality import judge
 
 from . import brute
 
@@ -41,7 +40,7 @@ def data(spark, tmp_path_factory):
 
 def test_run_against_brute_force(spark, data):
     root, rows, items = data
-    good = [(d, t, s) for d, t, _, s, _ in rows if judge(t)[6]]
+    good = [(d, brute.quality(t)[3], s) for d, t, _, s, _ in rows if brute.quality(t)[0]]
     near = brute.near([(d, t) for d, t, _ in good], 80)
     kept = [(d, t, s) for d, t, s in good if near[d][1] == d]
 
@@ -51,6 +50,10 @@ def test_run_against_brute_force(spark, data):
 
     clean = [(d, t, s) for d, t, s in kept if not leaks(t)]
     assert 0 < len(clean) < len(kept) < len(good) < len(rows)
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    for (name, stage), want in zip(pipeline.STAGES, (good, kept, clean)):  # the first three exactly
+        docs = stage(spark, docs, root)
+        assert sorted((r.doc_id, r.text, r.source, r.n_chars) for r in docs.collect()) == sorted((d, t, s, len(t)) for d, t, s in want), name
     out = pipeline.run(spark, root).collect()
     assert {r.doc_id for r in out} <= {d for d, _, _ in clean}
     size = {d: len(t.split()) for d, t, _ in clean}
@@ -65,10 +68,11 @@ def test_run_against_brute_force(spark, data):
 
 def test_stages_keep_columns_and_bear_odd_rows(spark, data):
     root, _, _ = data
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "x " * 5000, "en", None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    names = "size times n h rest cut full fit shard text_hash edge before w bin pattern source_size row unit spans lo part".split()
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "x " * 5000, "en", None, 1)], "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit("clash") for n in names})
     for frame in (docs, docs.filter("false")):
         for _, stage in pipeline.STAGES[:-1]:
             assert stage(spark, frame, root).columns == docs.columns
         last = pipeline.STAGES[-1][1](spark, frame, root)
-        assert last.count() == frame.count() and "shard" in last.columns
+        assert last.count() == frame.count() and [c for c in last.columns if c != "shard"] == [c for c in docs.columns if c != "shard"]
     assert contaminated(docs, docs.select(F.col("doc_id").alias("item_id"), "text")).count() >= 0
