@@ -119,7 +119,7 @@ def test_near_of_dealt_groups(spark, monkeypatch):
 
 
 def test_very_long_texts(spark):
-    """Texts beyond the bytes that are looked at together (2 MB), with passages that repeat in them."""
+    """Texts beyond the bytes that are looked at together, with passages that repeat in them."""
     r = random.Random(31)
     words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
     passage = words(80)
