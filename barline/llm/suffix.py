@@ -159,7 +159,8 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     width = min(SLICE, length - LEAD + 1)
     first_texts, copies = split_copies(docs)
     blocks = candidate_blocks(docs, "byte", LEAD, length, only=first_texts)
-    firsts, covered = settle_blocks(blocks, ["doc_key", "part", "lo"])
+    firsts, covered = settle_blocks(blocks.filter("NOT again"), ["doc_key", "part", "lo"])
+    covered = covered.unionByName(blocks.filter("again").select("doc_key", "part", "lo", "n"))
     slices = _slices(docs, open_blocks(firsts), length, width)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .sequences import NO_HASH, anchors, as_long, byte_lanes, mix, span_hash, text_chunks, token_rows, Words, window_hash
 from .shared import in_sketch, repeated_sketch, save
 
-BLOCKS = "anchor long, block long, doc_key long, part long, lo int, n int"
+BLOCKS = "anchor long, block long, doc_key long, part long, lo int, n int, again boolean"
 
 
 def tokens(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -120,9 +120,10 @@ def scan_blocks(batches: Iterator[pa.RecordBatch], unit: str, k: int, length: in
 def candidate_blocks(docs: DataFrame, unit: str, k: int, length: int, doubled: bool = False, only: np.ndarray | None = None) -> DataFrame:
     """Blocks whose anchor occurs at least twice anywhere (and a few more: see repeated_sketch).
 
-    `lo` is the first window start and `n` the number of windows. With `doubled`, `left` and
-    `right` hash the anchor at twice its length, extended to either side (null past the text's
-    edge). `only` is a sketch of the rows to look at.
+    `lo` is the first window start and `n` the number of windows; `again` tells blocks that
+    their text holds further in front (a text that repeats itself is no hot key then). With
+    `doubled`, `left` and `right` hash the anchor at twice its length, extended to either side
+    (null past the text's edge). `only` is a sketch of the rows to look at.
     """
     context = docs.sparkSession.sparkContext
     rows_only = context.broadcast(only) if only is not None else None
@@ -133,7 +134,11 @@ def candidate_blocks(docs: DataFrame, unit: str, k: int, length: int, doubled: b
         for c in scan_blocks(batches, unit, k, length, sketch.value, "anchor", rows_only and rows_only.value):
             start, end = c.rows[c.row], c.rows[c.row + 1]
             block = span_hash(c.lanes[1], c.lo, c.hi + length)
-            columns = {"anchor": as_long(c.anchor), "block": as_long(block), "doc_key": pa.array(c.doc_key), "part": pa.array(c.part), "lo": pa.array((c.lo - start).astype(np.int32)), "n": pa.array((c.hi - c.lo + 1).astype(np.int32))}
+            order = np.lexsort((c.lo, block, c.anchor, c.row))
+            a, b = order[1:], order[:-1]
+            again = np.zeros(len(order), dtype=bool)
+            again[a] = (c.row[a] == c.row[b]) & (c.anchor[a] == c.anchor[b]) & (block[a] == block[b])
+            columns = {"anchor": as_long(c.anchor), "block": as_long(block), "doc_key": pa.array(c.doc_key), "part": pa.array(c.part), "lo": pa.array((c.lo - start).astype(np.int32)), "n": pa.array((c.hi - c.lo + 1).astype(np.int32)), "again": pa.array(again)}
             if doubled:
                 double = window_hash(c.lanes[0], 2 * k)
                 for name, p in (("left", c.at - k), ("right", c.at)):

@@ -118,6 +118,13 @@ def test_near_of_dealt_groups(spark, monkeypatch):
     assert got == brute.near(rows, 85)
 
 
+def test_texts_that_repeat_themselves(spark):
+    unit = "abcdefg, hijk. "
+    rows = [(1, unit * 60 + "end"), (2, "x" * 500), (3, "start " + unit * 40), (4, "a b " * 90), (5, "x" * 700 + unit * 9)]
+    assert sorted(tuple(r)[:5] for r in suffix_array_dedup(frame(spark, rows)).collect()) == brute.suffix(rows)
+    assert sorted(tuple(r)[:4] for r in substring_dedup(frame(spark, rows)).collect()) == brute.substring(rows)
+
+
 def test_very_long_texts(spark):
     """Texts beyond the bytes that are looked at together, with passages that repeat in them."""
     r = random.Random(31)
