@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import VALUES
 
-_NUMBER = r"^[+-]?\d+(\.\d+)?$"
+_NUMBER = r"^[+-]?\d+(\.\d+)?\z"
 _DAY = 86_400
 
 
@@ -17,7 +17,7 @@ def parse_decimal(text: Column) -> Column:
 
 
 def parse_long(text: Column) -> Column:
-    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
+    return F.when(text.rlike(r"^[+-]?\d+\z"), text.try_cast("bigint"))
 
 
 def fits_scale(text: Column, scale: int) -> Column:
@@ -52,6 +52,3 @@ def values_of(alias: str = "") -> Column:
 def same_values(left: str, right: str) -> Column:
     return values_of(left).eqNullSafe(values_of(right))
 
-
-def sha256(column: Column) -> Column:
-    return F.sha2(column, 256)

@@ -43,32 +43,47 @@ def add_seconds(ts: Column, seconds: Column | int) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + step.cast("long") * 1_000_000)
 
 
-def month_floor(ts: Column) -> Column:
-    return F.date_trunc("month", ts)
+def utc_date(ts: Column) -> Column:
+    """The UTC calendar day of an instant, in any session zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / 86_400_000_000).cast("int"))
 
 
-def next_month(ts: Column) -> Column:
-    return F.add_months(F.date_trunc("month", ts), 1).cast("timestamp")
+def utc_start(day: Column) -> Column:
+    """The instant at which a calendar day starts in UTC."""
+    return F.timestamp_seconds(F.unix_date(day).cast("long") * 86_400)
+
+
+def utc_hour(ts: Column) -> Column:
+    return F.pmod(F.floor(F.unix_micros(ts) / 3_600_000_000), F.lit(24)).cast("int")
+
+
+def utc_floor(ts: Column, unit: str) -> Column:
+    """Start of the UTC 'day' or 'month' of an instant."""
+    return utc_start(F.trunc(utc_date(ts), "month") if unit == "month" else utc_date(ts))
 
 
 def period_kind(period: Column) -> Column:
     """'day', 'month' or null by the text's form."""
-    return F.when(period.rlike(r"^\d{4}-\d{2}-\d{2}$"), "day").when(period.rlike(r"^\d{4}-\d{2}$"), "month")
+    return F.when(period.rlike(r"^\d{4}-\d{2}-\d{2}\z"), "day").when(period.rlike(r"^\d{4}-\d{2}\z"), "month")
 
 
 def period_bounds(period: Column) -> Column:
-    """struct(start, end) of 'YYYY-MM' or 'YYYY-MM-DD'; null where it is no such date."""
+    """struct(start, end) in UTC of 'YYYY-MM' or 'YYYY-MM-DD'; null where it is no such date."""
     kind = period_kind(period)
-    start = F.coalesce(F.try_to_timestamp(F.when(kind == "day", period), F.lit("yyyy-MM-dd")), F.try_to_timestamp(F.when(kind == "month", period), F.lit("yyyy-MM")))
-    end = F.when(kind == "day", start + F.expr("INTERVAL 1 DAY")).otherwise(start + F.expr("INTERVAL 1 MONTH"))
-    return F.when(start.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+    first = F.when(kind == "day", period).when(kind == "month", F.concat(period, F.lit("-01"))).try_cast("date")
+    end = F.when(kind == "day", F.date_add(first, 1)).otherwise(F.add_months(first, 1))
+    return F.when(first.isNotNull(), F.struct(utc_start(first).alias("start"), utc_start(end).alias("end")))
 
 
 def touched_months(ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """One row (the other columns, month) for every calendar month that meets [start, end)."""
-    last = F.date_trunc("month", F.timestamp_micros(F.unix_micros(F.col(end)) - 1))
-    months = F.sequence(month_floor(F.col(start)), last, F.expr("INTERVAL 1 MONTH"))
-    return ranges.filter(F.col(start) < F.col(end)).withColumn("month", F.explode(months))
+    """One row (the other columns, month) for every UTC calendar month that meets [start, end)."""
+    return ranges.filter(F.col(start) < F.col(end)).withColumn("month", F.explode(months_between(F.col(start), F.col(end))))
+
+
+def months_between(start: Column, end: Column) -> Column:
+    """The starts of the UTC months that meet [start, end)."""
+    last = F.trunc(utc_date(F.timestamp_micros(F.unix_micros(end) - 1)), "month")
+    return F.transform(F.sequence(F.trunc(utc_date(start), "month"), last, F.expr("INTERVAL 1 MONTH")), utc_start)
 
 
 def resolve_range(start: str, end: str, now: datetime | None = None, whole_days: bool = False) -> tuple[datetime, datetime]:
@@ -93,4 +108,4 @@ def resolve_range(start: str, end: str, now: datetime | None = None, whole_days:
     return a, b
 
 
-__all__ = ["SECONDS", "add_seconds", "bucket", "close_time", "duration", "interval_seconds", "month_floor", "next_month", "period_bounds", "period_kind", "resolve_range", "touched_months"]
+__all__ = ["SECONDS", "add_seconds", "bucket", "close_time", "duration", "interval_seconds", "months_between", "period_bounds", "period_kind", "resolve_range", "touched_months", "utc_date", "utc_floor", "utc_hour", "utc_start"]

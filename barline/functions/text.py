@@ -28,13 +28,13 @@ def has_secret(text: Column, names: tuple[str, ...] = SECRET_NAMES) -> Column:
 
 
 def is_canonical_uuid(text: Column, nullable: bool = False) -> Column:
-    ok = F.coalesce(text.rlike(r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), F.lit(False))
+    ok = F.coalesce(text.rlike(r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"), F.lit(False))
     return ok | text.isNull() if nullable else ok
 
 
 def is_utc_z(text: Column) -> Column:
-    """YYYY-MM-DDTHH:MM:SS[.ffffff]Z and a real date."""
-    shape = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z$")
+    """YYYY-MM-DDTHH:MM:SS[.ffffff]Z and a real date (the pattern is a fixed value)."""
+    shape = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z\z")
     return F.coalesce(shape & F.when(shape, text.try_cast("timestamp")).isNotNull(), F.lit(False))
 
 
@@ -64,7 +64,8 @@ def normalize_paths(paths: Column) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """JSON with sorted keys and no spaces; null for invalid text and repeated keys."""
+    """JSON with sorted keys and no spaces; null for invalid text and repeated keys. Numbers that are
+    equal (1 and 1.0) have one form."""
     return F.to_json(F.try_parse_json(text))
 
 
@@ -76,6 +77,11 @@ def uuid5(namespace: uuid.UUID, name: Column) -> Column:
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
+def result_id(task_id: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL, prefix: str = "task-result:") -> Column:
+    """The id of a task's result: the same for every answer to one task."""
+    return uuid5(namespace, F.concat(F.lit(prefix), task_id))
+
+
 def query_keys(uri: Column) -> Column:
     """Normalised names of the query parameters."""
     query = F.coalesce(F.try_parse_url(uri, F.lit("QUERY")), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import period_bounds, period_kind
+from ..functions.intervals import months_between, period_bounds, period_kind, utc_date, utc_floor
 from .quality import period_coverage
 
 #: Legal moves of an archive's status.
@@ -48,16 +48,29 @@ def link_fallback_parents(manifest: DataFrame) -> DataFrame:
 
 def complete_fallbacks(manifest: DataFrame, candles: DataFrame) -> DataFrame:
     """Pending items (source_url, period, status, parent) with `complete`: the whole UTC period is
-    present and valid in the 1-minute bars; a month also counts its finished children."""
+    present and valid in the 1-minute bars of the item's symbol (and venue and market_type, where
+    the manifest has them), or all days of a month are finished children."""
+    own = [c for c in ("venue", "market_type") if c in manifest.columns]
     pending = manifest.filter("status = 'fallback_pending'").withColumn("symbol", F.split("file_name", "-")[0]).withColumn("period_start", period_bounds(F.col("period"))["start"])
     minutes = candles.filter("interval = '1m'")
     whole = None
     for unit in ("day", "month"):
-        c = period_coverage(minutes, unit).filter("valid").select("symbol", "period_start", F.lit(unit).alias("kind")).distinct()
+        c = period_coverage(minutes, unit).filter("valid").select(*own, "symbol", "period_start", F.lit(unit).alias("kind")).distinct()
         whole = c if whole is None else whole.unionByName(c)
-    children = manifest.filter("fallback_parent_url IS NOT NULL AND status IN ('validated', 'fallback_complete')").groupBy(F.col("fallback_parent_url").alias("source_url")).agg(F.count("*").alias("finished_children"))
-    out = pending.withColumn("kind", period_kind(F.col("period"))).join(whole.withColumn("complete", F.lit(True)), ["symbol", "period_start", "kind"], "left").join(children, "source_url", "left")
-    return out.select("source_url", "period", F.coalesce("complete", F.lit(False)).alias("complete"), F.coalesce("finished_children", F.lit(0)).alias("finished_children"))
+    children = manifest.filter("fallback_parent_url IS NOT NULL AND status IN ('validated', 'fallback_complete')").groupBy(F.col("fallback_parent_url").alias("source_url")).agg(F.count_distinct("period").alias("finished_children"))
+    out = pending.withColumn("kind", period_kind(F.col("period"))).join(whole.withColumn("complete", F.lit(True)), [*own, "symbol", "period_start", "kind"], "left").join(children, "source_url", "left")
+    days = F.dayofmonth(F.last_day(utc_date(F.col("period_start"))))
+    done = (F.col("kind") == "month") & (F.col("finished_children") >= days)
+    return out.select("source_url", "period", (F.coalesce("complete", F.lit(False)) | F.coalesce(done, F.lit(False))).alias("complete"), F.coalesce("finished_children", F.lit(0)).alias("finished_children"))
+
+
+def archive_events(checked: DataFrame, imported: DataFrame, observed_at: Column) -> DataFrame:
+    """Manifest events (file_name, status, error_message, observed_at) of an import: checksum_verified
+    or failed for every landed file, then imported for those of which rows came in."""
+    verified = F.when(F.col("outcome") == "pass", "checksum_verified").otherwise("failed")
+    seen = checked.select("file_name", verified.alias("status"), F.when(F.col("outcome") != "pass", F.concat(F.lit("checksum "), F.col("outcome"))).alias("error_message"), F.lit(1).alias("step"))
+    done = imported.select(F.col("source_file").alias("file_name"), "status", "error_message", F.lit(2).alias("step"))
+    return seen.unionByName(done).withColumn("observed_at", observed_at)
 
 
 def overlapping_periods(manifest: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -70,8 +83,8 @@ def overlapping_ranges(manifest: DataFrame, ranges: DataFrame) -> DataFrame:
     """Items beside each (symbol, start, end) range that their period meets. Both sides are cut into
     calendar months first, so the join is on (symbol, month), and reported once per pair."""
     b = period_bounds(F.col("period"))
-    items = manifest.withColumn("p", b).filter("p IS NOT NULL").withColumn("month", F.date_trunc("month", F.col("p.start")))
-    months = F.sequence(F.date_trunc("month", "start"), F.date_trunc("month", F.timestamp_micros(F.unix_micros("end") - 1)), F.expr("INTERVAL 1 MONTH"))
+    items = manifest.withColumn("p", b).filter("p IS NOT NULL").withColumn("month", utc_floor(F.col("p.start"), "month"))
+    months = months_between(F.col("start"), F.col("end"))
     cut = ranges.filter("start < end").select("symbol", "start", "end", F.explode(months).alias("month"))
     return items.join(cut, ["symbol", "month"]).filter("p.start < end AND p.end > start").drop("p", "month").distinct()
 
@@ -80,7 +93,8 @@ def status_summary(candles: DataFrame, manifest: DataFrame, start: Column, end:
     """One row: 1-minute rows, first and last in range, and failed and pending periods that meet it."""
     bars = candles.filter((F.col("interval") == "1m") & (F.col("open_time") >= start) & (F.col("open_time") < end)).agg(F.count("*").alias("rows"), F.min("open_time").alias("first_open"), F.max("open_time").alias("last_open"))
     periods = overlapping_periods(manifest, start, end).agg(F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status").isin("fallback_pending")).alias("pending"))
-    return bars.join(F.broadcast(periods))  # one row each
+    failed, waiting = periods.first()  # one row
+    return bars.withColumns({"failed": F.lit(failed).cast("long"), "pending": F.lit(waiting).cast("long")})
 
 
 def with_previous(events: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -108,6 +122,13 @@ def fold_states(events: DataFrame, key: str, order: list[str], restart: str = "d
 
 
 def interrupted_runs(runs: DataFrame) -> DataFrame:
-    """Unfinished runs that a later run of the same key has overtaken."""
-    later = F.lead("started_at").over(Window.partitionBy("venue", "market_type", "symbol", "interval").orderBy("started_at", "id"))
-    return runs.withColumn("next_started", later).filter("finished_at IS NULL AND next_started IS NOT NULL").withColumn("status", F.lit("interrupted"))
+    """Unfinished runs that a later run of the same key has overtaken. The next run is looked for
+    inside the UTC month, and in the next month that has one where there is none."""
+    key = ["venue", "market_type", "symbol", "interval"]
+    placed = runs.withColumn("__month", utc_floor(F.col("started_at"), "month"))
+    inside = F.lead("started_at").over(Window.partitionBy(*key, "__month").orderBy("started_at", "id"))
+    firsts = placed.groupBy(*key, "__month").agg(F.min("started_at").alias("__first"))
+    ahead = firsts.withColumn("__ahead", F.lead("__first").over(Window.partitionBy(*key).orderBy("__month"))).drop("__first")  # one row to a month
+    later = placed.withColumn("__near", inside).join(ahead, [*key, "__month"])
+    runs = later.withColumn("next_started", F.coalesce("__near", "__ahead")).drop("__month", "__near", "__ahead")
+    return runs.filter("finished_at IS NULL AND next_started IS NOT NULL").withColumn("status", F.lit("interrupted"))

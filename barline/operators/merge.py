@@ -27,19 +27,26 @@ def _tagged(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(old, ROW_KEY, "left").withColumn("given", values_of())
 
 
-def find_conflicts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Keys present on both sides with any different market value (provenance is not compared)."""
-    return _tagged(existing, incoming).filter("stored IS NOT NULL AND NOT stored <=> given").select(*ROW_KEY)
+def contradictions(incoming: DataFrame) -> DataFrame:
+    """Keys that a batch itself gives with different market values."""
+    return incoming.groupBy(*ROW_KEY).agg(F.min(values_of()).alias("lo"), F.max(values_of()).alias("hi")).filter("NOT lo <=> hi").select(*ROW_KEY)
 
 
-def new_rows(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    return incoming.join(existing.select(*ROW_KEY), ROW_KEY, "left_anti")
+def find_conflicts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """Keys with any different market value on both sides, or in the incoming rows themselves
+    (provenance is not compared)."""
+    stored = _tagged(existing, incoming).filter("stored IS NOT NULL AND NOT stored <=> given").select(*ROW_KEY)
+    return stored.unionByName(contradictions(incoming)).distinct()
 
 
 def merge(existing: DataFrame, incoming: DataFrame) -> MergeResult:
-    """Rows to append and rows that conflict. Stored rows keep their provenance; replays add nothing."""
-    tagged = _tagged(existing, incoming)
-    return MergeResult(tagged.filter("stored IS NULL").select(*incoming.columns), tagged.filter("stored IS NOT NULL AND NOT stored <=> given").select(*ROW_KEY))
+    """Rows to append, one per key (of equal ones that of least provenance), and keys that conflict.
+    Stored rows keep their provenance; replays and repeated rows add nothing."""
+    new = _tagged(existing, incoming).filter("stored IS NULL").select(*incoming.columns)
+    rest = [c for c in incoming.columns if c not in ROW_KEY]
+    first = [c for c in (*PROVENANCE, *rest) if c in rest]
+    once = new.groupBy(*ROW_KEY).agg(F.min(F.struct(*dict.fromkeys(first))).alias("x")).select(*[F.col(c) if c in ROW_KEY else F.col("x")[c].alias(c) for c in incoming.columns])
+    return MergeResult(once, find_conflicts(incoming, existing))
 
 
 def insert_only_merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -61,14 +68,18 @@ def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def cell_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row (key, column) for every differing cell; a row missing on a side is 'missing_left' or
-    'missing_right'. Rows are compared by hash first, cells only where the hashes differ."""
+    'missing_right', a key that a side holds more than once 'repeated_left' or 'repeated_right'.
+    Rows are compared by hash first, cells only where the hashes differ."""
     columns = [c for c in [*VALUES, *PROVENANCE, "schema_version"] if c in left.columns and c in right.columns]
     a = left.select(*ROW_KEY, *columns).withColumn("h", F.xxhash64(*columns)).alias("a")
     b = right.select(*ROW_KEY, *columns).withColumn("h", F.xxhash64(*columns)).alias("b")
     both = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ROW_KEY], "full_outer").filter("NOT a.h <=> b.h")
     cells = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), c) for c in columns]))
     found = F.when(F.col("a.open_time").isNull(), F.array(F.lit("missing_left"))).when(F.col("b.open_time").isNull(), F.array(F.lit("missing_right"))).otherwise(cells)
-    return both.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ROW_KEY], F.explode(found).alias("column"))
+    cells = both.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ROW_KEY], F.explode(found).alias("column")).distinct()
+    for side, df in (("left", left), ("right", right)):
+        cells = cells.unionByName(df.groupBy(*ROW_KEY).agg(F.count("*").alias("n")).filter("n > 1").select(*ROW_KEY, F.lit(f"repeated_{side}").alias("column")))
+    return cells
 
 
 def symmetric_diff(left: DataFrame, right: DataFrame) -> DataFrame:

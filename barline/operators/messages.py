@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json as jsonlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import FORBIDDEN_KEYS, has_secret, is_canonical_uuid, is_utc_z, length_between, list_ok, normalize_key, uri_fault
+from ..functions.intervals import utc_date
+from ..functions.text import FORBIDDEN_KEYS, has_secret, is_canonical_uuid, is_utc_z, lease_expired, length_between, list_ok, normalize_key, uri_fault
 
 #: The fields of an envelope, of its artifacts, and the closed value sets.
 FIELDS = ["schema_version", "id", "created_at", "sender", "recipient", "type", "subject", "body", "correlation_id", "artifacts", "metadata"]
@@ -19,8 +24,7 @@ PERMISSIONS = ["commit", "push", "merge", "deployment", "live_enablement"]
 MODES, VERDICTS = ["FAST", "STANDARD", "STRICT"], ["ALIGNED", "CONDITIONAL", "BLOCKED"]
 BROADCAST_ROLE = "all-chats"
 MOST_ARTIFACTS, MOST_METADATA_BYTES = 100, 16_384
-#: Depth to which forbidden keys are looked for; deeper objects are refused.
-DEPTH = 12
+APPROVED = "approved_for_local_implementation"
 
 
 def _keys(json: Column) -> Column:
@@ -48,25 +52,38 @@ def _get(json: Column, path: str) -> Column:
 
 def _kind(json: str, path: str, kind: str) -> Column:
     """Whether the JSON value at a path has a type: 'string', 'int', 'object', 'array', 'bool', 'null'."""
-    pattern = {"string": "^STRING$", "int": "^BIGINT$", "object": "^OBJECT", "array": "^ARRAY", "bool": "^BOOLEAN$", "null": "^VOID$"}[kind]
+    pattern = {"string": "^STRING$", "int": "^BIGINT$", "object": "^OBJECT", "array": "^ARRAY", "strings": "^ARRAY<(STRING|VOID)>$", "bool": "^BOOLEAN$", "null": "^VOID$"}[kind]
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(json)), path, "variant")).rlike(pattern)
 
 
+def _key_paths(text: str) -> Iterator[tuple[str, str]]:
+    """(path, name) of every object key of a JSON text, at any depth."""
+    stack = [("$", jsonlib.loads(text))]
+    while stack:
+        path, value = stack.pop()
+        inside = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+        for name, x in inside:
+            at = f"{path}.{name}" if isinstance(value, dict) else f"{path}[{name}]"
+            if isinstance(value, dict):
+                yield at, name
+            stack.append((at, x))
+
+
 def forbidden_keys(df: DataFrame, json: str, key: list[str]) -> DataFrame:
-    """(key columns, path) of every object key, at any depth up to DEPTH, whose normalised form is
-    forbidden. Nested levels are unfolded one after the other, only where objects or arrays remain."""
-    level = df.select(*key, F.lit("$").alias("path"), F.try_parse_json(F.col(json)).alias("value")).filter("value IS NOT NULL")
-    found = None
-    for _ in range(DEPTH):
-        level = level.filter(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)"))
-        level.createOrReplaceTempView("__variant_level")
-        names = ", ".join(f"t.{k}" for k in key)
-        level = df.sparkSession.sql(f"SELECT {names}, t.path AS parent, e.key AS name, e.pos AS pos, e.value AS value FROM __variant_level t, LATERAL variant_explode(t.value) e")
-        level = level.withColumn("path", F.when(F.col("name").isNotNull(), F.concat("parent", F.lit("."), "name")).otherwise(F.concat("parent", F.lit("["), "pos", F.lit("]"))))
-        hits = level.filter(normalize_key(F.col("name")).isin(*FORBIDDEN_KEYS)).select(*key, "path")
-        found = hits if found is None else found.unionByName(hits)
-        level = level.select(*key, "path", "value")
-    return found
+    """(key columns, path) of every object key, at any depth, whose normalised form is forbidden. Only
+    texts that hold such a name at all are walked; invalid JSON has no keys."""
+    held = df.filter(has_forbidden_key(F.col(json))).select(*key, F.col(json).alias("__json"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, path, name) for i, text in enumerate(batch.column(len(key)).to_pylist()) for path, name in _key_paths(text)]
+            rows, paths, names = zip(*found) if found else ((), (), ())
+            at = pa.array(rows, pa.int64())
+            yield pa.record_batch([*[batch.column(c).take(at) for c in range(len(key))], pa.array(paths, pa.string()), pa.array(names, pa.string())], names=[*key, "path", "__name"])
+
+    fields = [f for f in held.schema.fields if f.name in key]
+    schema = T.StructType([*fields, T.StructField("path", T.StringType()), T.StructField("__name", T.StringType())])
+    return held.mapInArrow(run, schema).filter(normalize_key(F.col("__name")).isin(*FORBIDDEN_KEYS)).drop("__name")
 
 
 def has_forbidden_key(json: Column) -> Column:
@@ -131,9 +148,10 @@ def routed_codes(json: str, sender: str, receiver: str, authority: str) -> Colum
     is_from = (_get(F.col(json), "$.sender") == sender) & (_get(F.col(json), "$.recipient") == receiver)
     is_to = (_get(F.col(json), "$.sender") == receiver) & (_get(F.col(json), "$.recipient") == sender)
     brief, result = _get(m, "$.implementation_brief"), _get(m, "$.result")
-    strings = lambda j, name: list_ok(F.from_json(_get(j, f"$.{name}"), "array<string>"))
+    at = {"brief": "$.metadata.implementation_brief", "result": "$.metadata.result"}
+    strings = lambda of, name: _kind(json, f"{at[of]}.{name}", "strings") & list_ok(F.from_json(_get(F.col(json), f"{at[of]}.{name}"), "array<string>"))
     commands = F.from_json(_get(result, "$.commands"), "array<string>")
-    command_ok = F.forall(commands, lambda c: (F.array_sort(_keys(c)) == F.array(F.lit("command"), F.lit("exit_code"), F.lit("summary"))) & length_between(_get(c, "$.command"), 1, 4096) & length_between(_get(c, "$.summary"), 1, 4096) & _get(c, "$.exit_code").rlike(r"^-?\d+$"))
+    command_ok = F.forall(commands, lambda c: (F.array_sort(_keys(c)) == F.array(F.lit("command"), F.lit("exit_code"), F.lit("summary"))) & length_between(_get(c, "$.command"), 1, 4096) & length_between(_get(c, "$.summary"), 1, 4096) & F.schema_of_variant(F.try_variant_get(F.try_parse_json(c), "$.exit_code", "variant")).rlike("^BIGINT$"))
     permissions = F.from_json(_get(result, "$.permission_state"), "map<string,boolean>")
     task, answer = kind == "task", kind.isin("response", "status", "error")
     rules = {
@@ -144,10 +162,10 @@ def routed_codes(json: str, sender: str, receiver: str, authority: str) -> Colum
         "authority": _get(m, "$.authority") == authority,
         "type": task | answer,
         "direction": (~task | is_from) & (~answer | is_to),
-        "approval": ~task | (approval == "approved_for_local_implementation"),
+        "approval": ~task | (approval == APPROVED),
         "mode": ~task | _get(m, "$.change_mode").isin(*MODES),
-        "brief": ~task | (_same_keys(brief, BRIEF) & length_between(_get(brief, "$.outcome"), 1, 4096) & _all(strings(brief, x) for x in BRIEF[1:])),
-        "result": ~answer | (_same_keys(result, RESULT) & _get(result, "$.verification_verdict").isin(*VERDICTS) & _all(strings(result, x) for x in ("changed_files", "skipped_checks", "risks")) & length_between(_get(result, "$.next_safe_step"), 1, 4096)),
+        "brief": ~task | (_same_keys(brief, BRIEF) & length_between(_get(brief, "$.outcome"), 1, 4096) & _all(strings("brief", x) for x in BRIEF[1:])),
+        "result": ~answer | (_same_keys(result, RESULT) & _get(result, "$.verification_verdict").isin(*VERDICTS) & _all(strings("result", x) for x in ("changed_files", "skipped_checks", "risks")) & _kind(json, "$.metadata.result.git_state", "object") & length_between(_get(result, "$.next_safe_step"), 1, 4096)),
         "commands": ~answer | ((F.size(commands) <= 200) & command_ok),
         "permissions": ~answer | (_same_keys(_get(result, "$.permission_state"), PERMISSIONS) & F.forall(F.map_values(permissions), lambda v: ~v)),
     }
@@ -225,11 +243,24 @@ def newest(df: DataFrame, order: str, id: str, n: int = 25) -> DataFrame:
 
 
 def claimable_queue(messages: DataFrame, now: Column, lane: str = "lane", authority: str | None = None) -> DataFrame:
-    """Inbound received messages whose lease is free, oldest first within their lane."""
-    free = messages.filter((F.col("direction") == "inbound") & (F.col("status") == "received") & (F.col("lease_until").isNull() | (F.col("lease_until") <= now)))
+    """Inbound received messages whose lease is free, oldest first within their lane. Places are
+    numbered inside the UTC days of a lane, each after the days before it, so that no lane is one task."""
+    free = messages.filter((F.col("direction") == "inbound") & (F.col("status") == "received") & lease_expired(F.col("lease_until"), now))
     if authority is not None:
         free = free.filter(~F.col("recipient").eqNullSafe(F.lit(authority)))
-    return free.withColumn("place", F.row_number().over(Window.partitionBy(lane).orderBy("created_at", "id")))
+    free = free.withColumn("__day", utc_date(F.col("created_at")))
+    upto = Window.partitionBy("__lane").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = free.groupBy(F.col(lane).alias("__lane"), F.col("__day").alias("__of")).agg(F.count("*").alias("__n")).withColumnRenamed("__of", "__day")
+    starts = days.select(F.col("__lane"), F.col("__day").alias("__of"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))  # one row to a day
+    placed = free.join(starts, F.col(lane).eqNullSafe(F.col("__lane")) & F.col("__day").eqNullSafe(F.col("__of")))
+    inside = F.row_number().over(Window.partitionBy(lane, "__day").orderBy("created_at", "id"))
+    return placed.withColumn("place", (F.col("__before") + inside).cast("int")).drop("__day", "__lane", "__of", "__before")
+
+
+def routed_queue(messages: DataFrame, now: Column, authority: str) -> DataFrame:
+    """The routed view of the queue: approved tasks of the authority, by their local lane."""
+    tasks = messages.filter((F.col("message_type") == "task") & (F.col("authority") == authority) & (F.col("approval_state") == APPROVED))
+    return claimable_queue(tasks, now, "local_lane")
 
 
 def expired_leases(messages: DataFrame, now: Column) -> DataFrame:

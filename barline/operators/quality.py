@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import add_seconds, interval_seconds
+from ..functions.intervals import add_seconds, interval_seconds, utc_date, utc_floor, utc_start
 from ..schemas import KEY, PRICES, ROW_KEY, VOLUMES
 from ..functions.fields import values_of
 
@@ -15,7 +15,7 @@ def rule_codes(start: Column | None = None, end: Column | None = None) -> Column
     length = F.unix_micros("close_time") - F.unix_micros("open_time")
     step = interval_seconds(F.col("interval")).cast("long") * 1_000_000
     rules = {
-        "misaligned": F.unix_micros("open_time") % 60_000_000 != 0,
+        "misaligned": F.unix_micros("open_time") % step != 0,
         "high_below": F.col("high") < F.greatest("open", "close", "low"),
         "low_above": F.col("low") > F.least("open", "close"),
         "price_not_positive": F.least(*PRICES) <= 0,
@@ -77,7 +77,7 @@ def interior_gaps(df: DataFrame) -> DataFrame:
     months are then stitched by their first and last bars.
     """
     step = interval_seconds(F.col("interval"))
-    bars = df.select(*ROW_KEY).withColumn("month", F.date_trunc("month", F.col("open_time")))
+    bars = df.select(*ROW_KEY).withColumn("month", utc_floor(F.col("open_time"), "month"))
     inside = Window.partitionBy(*KEY, "month").orderBy("open_time")
     near = bars.withColumn("prev", F.lag("open_time").over(inside)).filter("prev IS NOT NULL")
     edges = bars.groupBy(*KEY, "month").agg(F.min("open_time").alias("open_time"), F.max("open_time").alias("last"))
@@ -126,9 +126,10 @@ def watermark(df: DataFrame) -> DataFrame:
 
 def period_coverage(df: DataFrame, unit: str) -> DataFrame:
     """Per key and UTC calendar 'day' or 'month': expected and actual bars, and whether all are there and valid."""
-    start = F.date_trunc(unit, F.col("open_time"))
+    start = utc_floor(F.col("open_time"), unit)
     rows = df.groupBy(*KEY, start.alias("period_start")).agg(F.count("*").alias("rows"), F.count_distinct("open_time").alias("distinct_rows"), F.count_if(F.size(rule_codes()) > 0).alias("bad_rows"))
-    end = F.col("period_start") + F.expr(f"INTERVAL 1 {unit.upper()}")
+    day = utc_date(F.col("period_start"))
+    end = utc_start(F.date_add(day, 1) if unit == "day" else F.add_months(day, 1))
     expected = ((F.unix_micros(end) - F.unix_micros("period_start")) / 1_000_000 / interval_seconds(F.col("interval"))).cast("long")
     return rows.withColumn("expected", expected).withColumn("valid", (F.col("bad_rows") == 0) & (F.col("distinct_rows") == F.col("expected")) & (F.col("rows") == F.col("expected")))
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import epoch_to_timestamp, infer_ts_unit, parse_decimal
-from ..functions.intervals import bucket, close_time, period_bounds, touched_months
+from ..functions.intervals import add_seconds, bucket, close_time, period_bounds, touched_months, utc_date, utc_hour, utc_start
 from ..operators import manifest, merge, quality
 from ..operators.resample import resample_complete, resample_ladder
 from ..schemas import CANDLE_COLUMNS, KEY, PRICES, ROW_KEY, VOLUMES
@@ -18,6 +15,7 @@ from ..sources.archives import parse_kline_csv, parse_kline_json
 from ..sources.plan import archive_plan as plan_archives
 from ..sources.plan import daily_fallback as expand_days
 from ..sources.plan import page_plan as plan_pages
+from ..sources.staging import shared_folder
 from ..sources.tables import expected_partitions, page_candles, read_candles, write_candles
 from ..sources.tables import latest_run as newest_run
 from ..sources.tables import partition_inventory as inventory
@@ -25,7 +23,7 @@ from ..streaming.resample import resample_stream
 from ..streaming.sync import catchup_split as split_catchup
 from ..streaming.sync import sync_window as window_to_sync
 from . import jobs
-from .bars import ALTERED, RANGES, SPOILT, altered, bars_1h, flat, spoilt, sql, table, whole_range
+from .bars import ALTERED, DENSE, RANGES, SPOILT, altered, bars_1h, dense_1h, flat, instant, spoilt, sql, table, utc, whole_range
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -46,9 +44,8 @@ def query(oracle: str | None = None):
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared directory (a temporary one where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barline-")
-    return f"{root.rstrip('/')}/barline/{name}-{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared directory."""
+    return f"{shared_folder(spark)}/barline/{name}-{uuid.uuid4().hex}"
 
 
 def _resample_sql(target: str, seconds: int) -> str:
@@ -56,7 +53,7 @@ def _resample_sql(target: str, seconds: int) -> str:
     return sql(f"""SELECT venue, market_type, symbol, '{target}' AS "interval", w AS open_time, first(open ORDER BY open_time) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY open_time) AS close,
         CAST(sum(base_asset_volume) AS DECIMAL(38,18)) AS base_asset_volume, w + INTERVAL {seconds * 1000 - 1} MILLISECOND AS close_time, CAST(sum(quote_asset_volume) AS DECIMAL(38,18)) AS quote_asset_volume, CAST(sum(trade_count) AS BIGINT) AS trade_count,
         CAST(sum(taker_buy_base_volume) AS DECIMAL(38,18)) AS taker_buy_base_volume, CAST(sum(taker_buy_quote_volume) AS DECIMAL(38,18)) AS taker_buy_quote_volume, 'aggregate' AS source, 'canonical:1h' AS source_file
-        FROM (SELECT *, time_bucket(INTERVAL {seconds} SECOND, open_time, TIMESTAMP '1970-01-01') AS w FROM bars) GROUP BY venue, market_type, symbol, w HAVING count(*) = {n}""")
+        FROM (SELECT *, time_bucket(INTERVAL {seconds} SECOND, open_time, TIMESTAMP '1970-01-01') AS w FROM dense) GROUP BY venue, market_type, symbol, w HAVING count(*) = {n}""", DENSE)
 
 
 QUERIES["bars_1h"] = lambda spark, sf_dir: flat(bars_1h(spark, sf_dir))
@@ -65,17 +62,17 @@ SQL["bars_1h"] = sql(f"SELECT {_COLS} FROM bars")
 
 @query(_resample_sql("4h", 14400))
 def resample_4h_complete(spark, sf_dir):
-    return resample_complete(bars_1h(spark, sf_dir), "1h", "4h")
+    return resample_complete(dense_1h(spark, sf_dir), "1h", "4h")
 
 
 @query(_resample_sql("1d", 86400))
 def resample_1d_complete(spark, sf_dir):
-    return resample_complete(bars_1h(spark, sf_dir), "1h", "1d")
+    return resample_complete(dense_1h(spark, sf_dir), "1h", "1d")
 
 
 @query(_resample_sql("1d", 86400))
 def resample_ladder_1d(spark, sf_dir):
-    return resample_ladder(bars_1h(spark, sf_dir), ("4h", "1d"), "1h")["1d"]
+    return resample_ladder(dense_1h(spark, sf_dir), ("4h", "1d"), "1h")["1d"]
 
 
 _GAPS = f"""
@@ -99,7 +96,7 @@ def bars_gaps_with_edges(spark, sf_dir):
 
 _RULES = """
 broken AS (SELECT *, list_filter([
-    CASE WHEN epoch_us(open_time) % 60000000 <> 0 THEN 'misaligned' END, CASE WHEN high < greatest(open, close, low) THEN 'high_below' END, CASE WHEN low > least(open, close) THEN 'low_above' END,
+    CASE WHEN epoch_us(open_time) % 3600000000 <> 0 THEN 'misaligned' END, CASE WHEN high < greatest(open, close, low) THEN 'high_below' END, CASE WHEN low > least(open, close) THEN 'low_above' END,
     CASE WHEN least(open, high, low, close) <= 0 THEN 'price_not_positive' END, CASE WHEN least(base_asset_volume, quote_asset_volume, taker_buy_base_volume, taker_buy_quote_volume) < 0 THEN 'volume_negative' END,
     CASE WHEN trade_count < 0 THEN 'trades_negative' END, CASE WHEN epoch_us(close_time) - epoch_us(open_time) NOT BETWEEN 3599000000 AND 3599999999 THEN 'bad_duration' END], lambda x: x IS NOT NULL) AS codes FROM spoilt)"""
 
@@ -118,14 +115,14 @@ def range_validation(spark, sf_dir):
 
 
 _TICKS = """
-ticks AS (SELECT 'events' AS venue, 'spot' AS market_type, event_type AS symbol, '1m' AS "interval", date_trunc('minute', ts) AS open_time, CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(38,18)) AS price, event_id AS line_no FROM events)"""
+ticks AS (SELECT 'events' AS venue, 'spot' AS market_type, event_type AS symbol, '1m' AS "interval", date_trunc('hour', ts) AS open_time, CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(38,18)) AS price, event_id AS line_no FROM events)"""
 
 
 def _ticks(spark, sf_dir) -> DataFrame:
-    """One minute bar per event: minutes with several events are repeated keys."""
+    """One bar per event: hours with several events are repeated keys."""
     e = table(spark, sf_dir, "events")
     price = F.expr("CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(38,18))")
-    start = F.date_trunc("minute", F.col("ts").cast("timestamp"))
+    start = bucket(instant("ts"), "1h")
     zero = F.lit(0).cast("decimal(38,18)")
     return e.select(
         F.lit("events").alias("venue"), F.lit("spot").alias("market_type"), F.col("event_type").alias("symbol"), F.lit("1m").alias("interval"), start.alias("open_time"),
@@ -164,7 +161,7 @@ def order_violations(spark, sf_dir):
 @query(sql("""SELECT source_file, count(*) AS rows, CASE WHEN source_file IN (SELECT source_file FROM broken WHERE len(codes) > 0) THEN 'rejected' ELSE 'valid' END AS verdict FROM broken GROUP BY source_file""", SPOILT.replace("hour(open_time) =", "dayofmonth(open_time) % 3 = 0 AND hour(open_time) ="), _RULES))
 def split_by_file(spark, sf_dir):
     bars = bars_1h(spark, sf_dir)
-    day = F.dayofmonth("open_time") % 3 == 0
+    day = F.dayofmonth(utc_date(F.col("open_time"))) % 3 == 0
     mixed = spoilt(bars.filter(day)).unionByName(bars.filter(~day)).withColumn("line_no", F.lit(0))
     valid, rejected = quality.split_by_file(mixed)
     both = valid.withColumn("verdict", F.lit("valid")).unionByName(rejected.withColumn("verdict", F.lit("rejected")))
@@ -219,8 +216,8 @@ todo AS (SELECT {_KEYS}, least(first_gap, watermark + INTERVAL 1 HOUR) AS "start
 
 def _windows(spark, sf_dir) -> DataFrame:
     bars = bars_1h(spark, sf_dir)
-    end = whole_range(bars).agg(F.max("end")).first()[0]
-    return window_to_sync(quality.watermark(bars), quality.interior_gaps(bars), F.lit(end))
+    end = whole_range(bars).agg(F.unix_micros(F.max("end"))).first()[0]
+    return window_to_sync(quality.watermark(bars), quality.interior_gaps(bars), F.timestamp_micros(F.lit(end)))
 
 
 @query(sql('SELECT * FROM todo WHERE "start" < "end"', _GAPS, _WINDOW))
@@ -267,7 +264,7 @@ def validate_repair(spark, sf_dir):
     """Gaps against repair rows for every hour of theirs but each third."""
     bars = bars_1h(spark, sf_dir)
     gaps = quality.interior_gaps(bars)
-    hours = gaps.withColumn("open_time", F.explode(F.sequence("gap_start", F.col("gap_end") - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR")))).filter(F.hour("open_time") % 3 != 0)
+    hours = gaps.withColumn("open_time", F.explode(F.sequence("gap_start", F.col("gap_end") - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR")))).filter(utc_hour(F.col("open_time")) % 3 != 0)
     one = F.lit(1).cast("decimal(38,18)")
     rows = hours.withColumns({**{c: one for c in (*PRICES, *VOLUMES)}, "close_time": close_time(F.col("open_time"), 3600), "trade_count": F.lit(1).cast("bigint"), "source": F.lit("rest"), "source_file": F.lit("page")})
     return quality.validate_repair(rows.select(*CANDLE_COLUMNS), gaps)
@@ -286,10 +283,9 @@ days AS (SELECT file_name AS parent, symbol, "interval", 'daily' AS source_type,
 
 
 def _plan(spark, sf_dir) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ranges = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("symbol")).agg(F.expr("date_add(DATE '2023-01-01', cast(min(c_custkey) % 40 AS int))").cast("timestamp").alias("start"))
-    ranges = ranges.withColumns({"interval": F.lit("1m"), "end": F.lit("2024-03-10 06:00:00").cast("timestamp")})
-    return plan_archives(ranges, F.lit("2024-02-15").cast("timestamp"), _ROOT)
+    ranges = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("symbol")).agg(utc_start(F.expr("date_add(DATE '2023-01-01', cast(min(c_custkey) % 40 AS int))")).alias("start"))
+    ranges = ranges.withColumns({"interval": F.lit("1m"), "end": utc("2024-03-10 06:00:00")})
+    return plan_archives(ranges, utc("2024-02-15"), _ROOT)
 
 
 @query("WITH " + _PLAN + " SELECT * FROM plan")
@@ -330,12 +326,12 @@ def page_plan(spark, sf_dir):
     b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events)
     SELECT event_id, raw, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'ms' ELSE 'us' END AS unit, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 2 = 0 THEN make_timestamp(raw * 1000) ELSE make_timestamp(raw) END AS at FROM raw""")
 def ts_unit_inference(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    e = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").withColumn("t", instant("ts"))
     ends = e.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     raw = F.when(F.col("event_id") % 11 == 0, F.lit(42).cast("bigint")).when(F.col("event_id") % 2 == 0, F.unix_millis("t")).otherwise(F.unix_micros("t"))
     unit = infer_ts_unit(F.col("raw"), F.col("lo"), F.col("hi"))
-    rows = e.select("event_id", raw.alias("raw")).join(F.broadcast(ends))  # one row
+    lo, hi = (F.timestamp_micros(F.lit(x)) for x in ends.agg(F.unix_micros(F.min("lo")), F.unix_micros(F.max("hi"))).first())
+    rows = e.select("event_id", raw.alias("raw")).withColumns({"lo": lo, "hi": hi})
     return rows.select("event_id", "raw", unit.alias("unit"), epoch_to_timestamp(F.col("raw"), unit).alias("at"))
 
 
@@ -358,7 +354,6 @@ def tumbling_bucket(spark, sf_dir):
     UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y-%m'), date_trunc('month', o_orderdate), date_trunc('month', o_orderdate) + INTERVAL 1 MONTH FROM orders
     UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y/%m'), NULL, NULL FROM orders""")
 def period_bounds_of_orders(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     o = table(spark, sf_dir, "orders")
     p = o.select("o_orderkey", F.explode(F.array(*[F.date_format("o_orderdate", x) for x in ("yyyy-MM-dd", "yyyy-MM", "yyyy/MM")])).alias("period"))
     b = period_bounds(F.col("period"))
@@ -376,7 +371,6 @@ mf AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS period, CASE WHEN month
 
 
 def _manifest(spark, sf_dir) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     m = F.month("o_orderdate") % 3
     status = F.when(m == 0, "failed").when(m == 1, "fallback_pending").otherwise("validated")
     return table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("period"), status.alias("status")).distinct()
@@ -387,13 +381,13 @@ _T0, _T1 = "1995-02-10", "1996-07-01"
 
 @query("WITH " + _MANIFEST + f" SELECT period, status FROM mf WHERE CAST(period || '-01' AS TIMESTAMP) < TIMESTAMP '{_T1}' AND CAST(period || '-01' AS TIMESTAMP) + INTERVAL 1 MONTH > TIMESTAMP '{_T0}'")
 def overlapping_periods(spark, sf_dir):
-    return manifest.overlapping_periods(_manifest(spark, sf_dir), F.lit(_T0).cast("timestamp"), F.lit(_T1).cast("timestamp"))
+    return manifest.overlapping_periods(_manifest(spark, sf_dir), utc(_T0), utc(_T1))
 
 
 @query(sql(f"""SELECT (SELECT count(*) FROM bars) AS rows, (SELECT min(open_time) FROM bars) AS first_open, (SELECT max(open_time) FROM bars) AS last_open, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'fallback_pending') AS pending FROM mf WHERE CAST(period || '-01' AS TIMESTAMP) < TIMESTAMP '2100-01-01'""", _MANIFEST))
 def status_summary(spark, sf_dir):
     minutes = bars_1h(spark, sf_dir).withColumn("interval", F.lit("1m"))
-    return manifest.status_summary(minutes, _manifest(spark, sf_dir), F.lit("1900-01-01").cast("timestamp"), F.lit("2100-01-01").cast("timestamp"))
+    return manifest.status_summary(minutes, _manifest(spark, sf_dir), utc("1900-01-01"), utc("2100-01-01"))
 
 
 _STATES = """
@@ -424,8 +418,7 @@ def state_fold(spark, sf_dir):
 
 @query("""SELECT o_orderkey AS id, 'v' AS venue, 's' AS market_type, o_orderpriority AS symbol, '1m' AS "interval", o_orderdate AS started_at, next_started, 'interrupted' AS status FROM (SELECT *, lead(o_orderdate) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS next_started FROM orders) WHERE o_orderstatus = 'O' AND next_started IS NOT NULL""")
 def interrupted_runs(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("v").alias("venue"), F.lit("s").alias("market_type"), F.col("o_orderpriority").alias("symbol"), F.lit("1m").alias("interval"), F.col("o_orderdate").cast("timestamp").alias("started_at"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate").cast("timestamp")).alias("finished_at"))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("v").alias("venue"), F.lit("s").alias("market_type"), F.col("o_orderpriority").alias("symbol"), F.lit("1m").alias("interval"), instant("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") != "O", instant("o_orderdate")).alias("finished_at"))
     return manifest.interrupted_runs(runs).drop("finished_at")
 
 
@@ -445,18 +438,18 @@ def kline_csv_roundtrip(spark, sf_dir):
     """Bars written as kline text and parsed again."""
     bars = bars_1h(spark, sf_dir)
     lines = bars.select(F.concat("symbol", F.lit("/x")).alias("source_file"), F.lit(1).cast("bigint").alias("line_no"), F.concat_ws(",", *_kline_fields(bars)).alias("line"))
-    ends = bars.agg(F.min("open_time"), F.max("open_time")).first()
-    return parse_kline_csv(lines, F.lit(ends[0]), F.lit(ends[1]), _constants()).filter("size(errors) = 0").select("symbol", "open_time", "open", "close", "trade_count", "close_time")
+    ends = [F.timestamp_micros(F.lit(x)) for x in bars.agg(F.unix_micros(F.min("open_time")), F.unix_micros(F.max("open_time"))).first()]
+    return parse_kline_csv(lines, ends[0], ends[1], _constants()).filter("size(errors) = 0").select("symbol", "open_time", "open", "close", "trade_count", "close_time")
 
 
 @query(sql(_KLINE))
 def kline_json_roundtrip(spark, sf_dir):
     """Bars packed into one JSON page per day and parsed again."""
     bars = bars_1h(spark, sf_dir)
-    rows = bars.select(F.concat("symbol", F.lit("/"), F.date_format("open_time", "yyyy-MM-dd")).alias("source_file"), F.array(*_kline_fields(bars)).alias("k"))
+    rows = bars.select(F.concat("symbol", F.lit("/"), F.date_format(utc_date(F.col("open_time")), "yyyy-MM-dd")).alias("source_file"), F.array(*_kline_fields(bars)).alias("k"))
     pages = rows.groupBy("source_file").agg(F.to_json(F.collect_list("k")).alias("body"))  # at most 24 bars a page
-    ends = bars.agg(F.min("open_time"), F.max("open_time")).first()
-    return parse_kline_json(pages, F.lit(ends[0]), F.lit(ends[1]), _constants()).filter("size(errors) = 0").select("symbol", "open_time", "open", "close", "trade_count", "close_time")
+    ends = [F.timestamp_micros(F.lit(x)) for x in bars.agg(F.unix_micros(F.min("open_time")), F.unix_micros(F.max("open_time"))).first()]
+    return parse_kline_json(pages, ends[0], ends[1], _constants()).filter("size(errors) = 0").select("symbol", "open_time", "open", "close", "trade_count", "close_time")
 
 
 @query(sql(f"SELECT {_COLS} FROM bars"))
@@ -474,7 +467,7 @@ def partition_inventory(spark, sf_dir):
     root = shared(spark, "bars")
     bars = bars_1h(spark, sf_dir)
     write_candles(bars, root)
-    ranges = whole_range(bars).withColumn("end", F.date_trunc("month", F.col("end") + F.expr("INTERVAL 1 MONTH")) + F.expr("INTERVAL 1 DAY"))
+    ranges = whole_range(bars).withColumn("end", utc_start(F.date_add(F.trunc(F.add_months(utc_date(F.col("end")), 1), "month"), 1)))
     months = touched_months(ranges).select(*KEY, "month")
     return inventory(spark, root, expected_partitions(ranges.select(*KEY).distinct(), months))
 
@@ -484,14 +477,14 @@ def stream_resample(spark, sf_dir):
     """The 4-hour bars again, from a stream over the stored hourly bars; a last far-off bar closes
     the windows and stays out of the result."""
     root = shared(spark, "stream")
-    bars = bars_1h(spark, sf_dir)
-    end = bars.filter(F.col("symbol") == bars.agg(F.min("symbol")).first()[0]).limit(1).withColumn("open_time", F.lit(datetime(2200, 1, 1)).cast("timestamp"))
+    bars = dense_1h(spark, sf_dir)
+    end = bars.filter(F.col("symbol") == bars.agg(F.min("symbol")).first()[0]).limit(1).withColumn("open_time", utc("2200-01-01"))
     bars.write.parquet(f"{root}/in")
     end.write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/in")
     query = resample_stream(stream, "1h", "4h").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(bars.schema).parquet(f"{root}/out").filter("open_time < TIMESTAMP '2199-01-01'")
+    return spark.read.schema(bars.schema).parquet(f"{root}/out").filter(F.col("open_time") < utc("2199-01-01"))
 
 
 _MIDDLE = "(SELECT min(open_time) + (max(open_time) - min(open_time)) / 2 FROM bars)"
@@ -521,7 +514,7 @@ def page_of_one_symbol(spark, sf_dir):
 def repairable_gaps(spark, sf_dir):
     """Gaps against a one-day limit, those that start in even hours made a day longer."""
     gaps = quality.interior_gaps(bars_1h(spark, sf_dir))
-    gaps = gaps.withColumn("gap_end", F.when(F.hour("gap_start") % 2 == 0, F.col("gap_end") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("gap_end")))
+    gaps = gaps.withColumn("gap_end", F.when(utc_hour(F.col("gap_start")) % 2 == 0, F.col("gap_end") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("gap_end")))
     ok, refused = quality.split_repairable(gaps, most_days=1)
     return ok.withColumn("repairable", F.lit(True)).unionByName(refused.withColumn("repairable", F.lit(False)))
 
@@ -537,23 +530,3 @@ def latest_run(spark, sf_dir):
 def compare_published(spark, sf_dir):
     bars = bars_1h(spark, sf_dir)
     return jobs.compare_published(bars, altered(bars))
-
-
-@query(sql("""SELECT (SELECT count(*) FROM (SELECT DISTINCT symbol, date_trunc('month', open_time) FROM bars)) AS partitions_expected, (SELECT count(*) FROM (SELECT DISTINCT symbol, date_trunc('month', open_time) FROM bars)) AS partitions_ok,
-    (SELECT count(*) FROM bars WHERE hour(open_time) = 7) AS cell_differences, FALSE AS passed"""))
-def verification_report(spark, sf_dir):
-    """Stored bars verified against bars whose close differs in one hour of the day."""
-    root = shared(spark, "bars")
-    bars = bars_1h(spark, sf_dir)
-    write_candles(bars, root)
-    other = bars.withColumn("close", F.when(F.hour("open_time") == 7, F.col("close") + 1).otherwise(F.col("close")).cast("decimal(38,18)"))
-    # each symbol's range is that of its bars
-    ranges = bars.groupBy(*KEY).agg(F.min("open_time").alias("start"), (F.max("open_time") + F.expr("INTERVAL 1 HOUR")).alias("end"))
-    return jobs.verify(spark, other, root, ranges, jobs.STORED_ARROW).select("partitions_expected", "partitions_ok", "cell_differences", "passed")
-
-
-@query(sql("""SELECT CAST(count(*) AS BIGINT) AS rows_in, CAST(count(*) FILTER (len(codes) = 0) AS BIGINT) AS rows_valid, CAST(count(DISTINCT code) AS BIGINT) AS codes_seen FROM (SELECT codes, unnest(CASE WHEN len(codes) = 0 THEN [NULL] ELSE codes[1:1] END) AS code FROM broken)""", SPOILT, _RULES))
-def run_counters(spark, sf_dir):
-    """Counters of one pass over bars with broken rows."""
-    rows = spoilt(bars_1h(spark, sf_dir)).withColumn("codes", quality.rule_codes())
-    return rows.agg(F.count("*").alias("rows_in"), F.count_if(F.size("codes") == 0).alias("rows_valid"), F.count_distinct(F.try_element_at("codes", F.lit(1))).alias("codes_seen"))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import touched_months
 from ..operators.merge import cell_diff, insert_only_merge, reconcile
-from ..operators.quality import clip_to_range, file_ranges, find_gaps, split_by_file, split_repairable, validate_range, validate_repair
-from ..operators.resample import resample_ladder
-from ..schemas import CANDLE, CANDLE_COLUMNS, KEY, PRICES, VOLUMES
+from ..operators.manifest import archive_events
+from ..operators.quality import clip_to_range, file_ranges, find_gaps, order_violations, split_by_file, split_repairable, validate_range, validate_repair
+from ..operators.resample import resample_complete
+from ..schemas import CANDLE, CANDLE_COLUMNS, KEY, PRICES, SCHEMA_VERSION, VOLUMES
 from ..sources.archives import archive_lines, parse_kline_csv, read_files, read_sidecars, verify_checksums
+from ..sources.staging import stage
 from ..sources.tables import check_schema, expected_partitions, partition_inventory, read_candles, write_candles
 
 #: Arrow types of a stored file: the contract less the partition columns.
@@ -22,19 +24,35 @@ STORED_ARROW = {
 }
 
 
-def import_archives(spark: SparkSession, path: str, existing: DataFrame, start: datetime, end: datetime, constants: dict[str, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(merged bars, rejected rows, file ranges) of landed archives whose checksums pass. Files with
-    a bad field, rule or repeated key are refused whole; conflicts with stored bars raise."""
-    files = read_files(spark, path)
-    passed = verify_checksums(files, read_sidecars(spark, path)).filter("outcome = 'pass'").select("file_name")
-    lines = archive_lines(files.withColumn("file_name", F.element_at(F.split("path", "/"), -1)).join(passed, "file_name", "left_semi"))
-    bars = parse_kline_csv(lines, F.lit(start), F.lit(end), constants)
-    broken = bars.filter(F.size("errors") > 0).select("source_file").unionByName(lines.filter("error IS NOT NULL").select("source_file")).distinct()
-    readable = bars.join(broken, "source_file", "left_anti").drop("errors")
+def import_files(files: DataFrame, sidecars: DataFrame, existing: DataFrame, start: datetime, end: datetime, constants: dict[str, Column], work: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(merged bars, refused files with their reason, file ranges, manifest events) of landed archives
+    (path, content) and their checksum files (path, value).
+
+    A file is refused whole for a bad checksum, an unreadable archive, a field that does not parse, a
+    broken rule or a repeated key; conflicts with stored bars, or between files, raise.
+    """
+    files = files.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    checked = stage(verify_checksums(files, sidecars), work)
+    passed = checked.filter("outcome = 'pass'").select("file_name")
+    lines = stage(archive_lines(files.join(passed, "file_name", "left_semi")), work)
+    bars = stage(parse_kline_csv(lines, F.lit(start), F.lit(end), constants), work)
+    unread = lines.filter("error IS NOT NULL").select("source_file", F.col("error").alias("reason"))
+    broken = bars.filter(F.size("errors") > 0).groupBy("source_file").agg(F.concat(F.lit("bad fields: "), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("errors")))), ",")).alias("reason"))
+    readable = bars.join(broken.select("source_file"), "source_file", "left_anti").drop("errors")
     valid, rejected = split_by_file(readable)
-    wanted = clip_to_range(valid, F.lit(start), F.lit(end)).select(*CANDLE_COLUMNS)
-    refused = rejected.select("source_file").distinct().unionByName(broken)
-    return insert_only_merge(existing, wanted), refused, file_ranges(wanted)
+    ruled = rejected.select("source_file", F.lit("broken rule or repeated key").alias("reason")).distinct()
+    unverified = checked.filter("outcome <> 'pass'").select(F.col("file_name").alias("source_file"), F.concat(F.lit("checksum "), F.col("outcome")).alias("reason"))
+    refused = stage(unverified.unionByName(unread).unionByName(broken).unionByName(ruled), work)
+    wanted = stage(clip_to_range(valid, F.lit(start), F.lit(end)).select(*CANDLE_COLUMNS), work)
+    ranges = file_ranges(wanted)
+    imported = ranges.select("source_file", F.lit("imported").alias("status"), F.lit(None).cast("string").alias("error_message"))
+    failed = refused.join(passed.withColumnRenamed("file_name", "source_file"), "source_file", "left_semi").select("source_file", F.lit("failed").alias("status"), F.col("reason").alias("error_message"))
+    return insert_only_merge(existing, wanted), refused, ranges, archive_events(checked, imported.unionByName(failed), F.current_timestamp())
+
+
+def import_archives(spark: SparkSession, path: str, existing: DataFrame, start: datetime, end: datetime, constants: dict[str, Column], work: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """import_files of the archives and checksum files that landed under `path`."""
+    return import_files(read_files(spark, path), read_sidecars(spark, path), existing, start, end, constants, work)
 
 
 def repair_from_pages(existing: DataFrame, pages: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,12 +66,15 @@ def repair_from_pages(existing: DataFrame, pages: DataFrame, expected: DataFrame
     return insert_only_merge(existing, good), state
 
 
-def resample_months(minutes: DataFrame, stored: DataFrame) -> DataFrame:
-    """Complete coarser bars of 1-minute bars, merged into the stored ones."""
-    out = stored
-    for bars in resample_ladder(minutes).values():
-        out = insert_only_merge(out, bars)
-    return out
+def resample_months(minutes: DataFrame, stored: DataFrame, work: str, levels: tuple[str, ...] = ("15m", "1h", "4h", "1d"), base: str = "1m") -> DataFrame:
+    """Complete coarser bars of the bars of `base`, each level staged and built from the one below,
+    merged into the stored ones."""
+    rolled, lower, rows = None, base, minutes
+    for level in levels:
+        rows = stage(resample_complete(rows, lower, level).withColumn("source_file", F.lit(f"canonical:{base}")), work)
+        rolled = rows if rolled is None else rolled.unionByName(rows)
+        lower = level
+    return stored if rolled is None else insert_only_merge(stored, rolled)
 
 
 def export(spark: SparkSession, bars: DataFrame, expected: DataFrame, root: str) -> DataFrame:
@@ -65,19 +86,36 @@ def export(spark: SparkSession, bars: DataFrame, expected: DataFrame, root: str)
     return report
 
 
-def verify(spark: SparkSession, bars: DataFrame, root: str, expected: DataFrame, arrow_schema: dict[str, str]) -> DataFrame:
-    """One row: partitions expected and checked, differing cells, the first 20 issues, passed."""
+def verification_issues(spark: SparkSession, bars: DataFrame, root: str, expected: DataFrame, arrow_schema: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(partition inventory, one row (issue) for everything that tells the stored table from the bars):
+    missing, extra or doubled files, other schemas or versions, rows out of order or repeated in
+    their file, and every cell that differs or stands on one side only. A table whose footers are
+    wrong is not read further."""
     keys = expected.select(*KEY).distinct()
     months = touched_months(expected.select(*KEY, "start", "end")).select(*KEY, "month")
     inventory = partition_inventory(spark, root, expected_partitions(keys, months))
     schema = check_schema(spark, root, arrow_schema)
-    cells = cell_diff(bars, read_candles(spark, root).select(*CANDLE_COLUMNS))
     issue = lambda df, *parts: df.select(F.concat_ws(" ", *parts).alias("issue"))
-    issues = issue(inventory.filter("status <> 'ok'"), F.col("status"), F.col("partition")).unionByName(issue(schema, F.col("path"), F.col("problem"))).unionByName(issue(cells, F.lit("cell"), F.col("column"), F.col("symbol"), F.col("interval"), F.col("open_time").cast("string")))
-    first = issues.orderBy("issue").limit(20).agg(F.array_sort(F.collect_list("issue")).alias("issues"))
-    counts = inventory.agg(F.count_if(F.col("status") != "extra").alias("partitions_expected"), F.count_if(F.col("status") == "ok").alias("partitions_ok"))
-    total = cells.agg(F.count("*").alias("cell_differences"))
-    return counts.join(F.broadcast(total)).join(F.broadcast(first)).withColumn("passed", F.size("issues") == 0)  # one row each
+    at = F.concat_ws(" ", "symbol", "interval", F.unix_micros("open_time").cast("string"))
+    found = issue(inventory.filter("status <> 'ok'"), F.lit("partition"), F.col("status"), F.col("partition")).unionByName(issue(schema, F.lit("schema"), F.col("path"), F.col("problem")))
+    if schema.limit(1).count():
+        return inventory, found
+    stored = read_candles(spark, root).select("schema_version", *CANDLE_COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_no"))
+    version = stored.filter(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)))
+    order = order_violations(stored.filter("open_time IS NOT NULL"), "file", "row_no")
+    cells = cell_diff(bars.select(*CANDLE_COLUMNS), stored.select(*CANDLE_COLUMNS))
+    found = found.unionByName(issue(version, F.lit("version"), F.col("schema_version"), at)).unionByName(issue(order, F.lit("order"), at))
+    return inventory, found.unionByName(issue(cells, F.lit("cell"), F.col("column"), at))
+
+
+def verify(spark: SparkSession, bars: DataFrame, root: str, expected: DataFrame, arrow_schema: dict[str, str] = STORED_ARROW, work: str | None = None) -> DataFrame:
+    """One row: partitions expected and ok, how many issues there are, the first 20, and passed."""
+    inventory, issues = verification_issues(spark, bars, root, expected, arrow_schema)
+    issues = stage(issues, work) if work else issues
+    expected_n, ok_n = inventory.agg(F.count_if(F.col("status") != "extra"), F.count_if(F.col("status") == "ok")).first()
+    total = issues.count()
+    first = [r.issue for r in issues.orderBy("issue").limit(20).collect()]
+    return spark.createDataFrame([(expected_n, ok_n, total, first, total == 0)], "partitions_expected long, partitions_ok long, issues_found long, issues array<string>, passed boolean")
 
 
 def compare_published(ours: DataFrame, published: DataFrame) -> DataFrame:
@@ -85,11 +123,12 @@ def compare_published(ours: DataFrame, published: DataFrame) -> DataFrame:
     return reconcile(ours, published).groupBy("interval", "status").agg(F.count("*").alias("bars"))
 
 
-def full_build(spark: SparkSession, path: str, pages: DataFrame, expected: DataFrame, start: datetime, end: datetime, constants: dict[str, Column], root: str) -> DataFrame:
+def full_build(
+    files: DataFrame, sidecars: DataFrame, pages: DataFrame, expected: DataFrame, start: datetime, end: datetime, constants: dict[str, Column], root: str, work: str, levels: tuple[str, ...] = ("15m", "1h", "4h", "1d"), base: str = "1m"
+) -> DataFrame:
     """Import, repair, roll up, validate and export; returns the range report."""
-    empty = spark.createDataFrame([], CANDLE)
-    minutes, _, _ = import_archives(spark, path, empty, start, end, constants)
-    minutes, _ = repair_from_pages(minutes, pages, expected)
-    bars = resample_months(minutes, minutes)
-    return export(spark, bars, expected, root)
-
+    spark = files.sparkSession
+    minutes, _, _, _ = import_files(files, sidecars, spark.createDataFrame([], CANDLE), start, end, constants, work)
+    minutes = stage(minutes, work)
+    minutes = stage(repair_from_pages(minutes, pages, expected)[0], work)
+    return export(spark, stage(resample_months(minutes, minutes, work, levels, base), work), expected, root)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SECRET_NAMES, canonical_json, has_secret, is_canonical_uuid, is_utc_z, normalize_key, normalize_path, secret_pattern, sha256_text, uri_fault, uuid5
+from ..functions.intervals import add_seconds
+from ..functions.text import SECRET_NAMES, canonical_json, has_secret, is_canonical_uuid, is_utc_z, normalize_key, normalize_path, normalize_paths, result_id, secret_pattern, sha256_text, uri_fault, uuid5
 from ..operators import messages
-from .bars import flat, table
+from ..sources.staging import shared_folder
+from ..streaming.ingest import MESSAGES, ingest_batch
+from .bars import flat, instant, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,7 +35,7 @@ def text_sha256(spark, sf_dir):
 
 _BATCH = """
 stored AS (SELECT CAST(conv_id AS VARCHAR) AS id, min(sha256(text)) AS stored_hash FROM conversations WHERE turn = 0 AND conv_id % 3 = 0 GROUP BY conv_id),
-batch AS (SELECT CAST(conv_id AS VARCHAR) AS id, sha256(text) AS canonical_hash, turn AS arrival FROM conversations WHERE turn < 3),
+batch AS (SELECT CAST(conv_id AS VARCHAR) AS id, sha256(text) AS canonical_hash, turn AS arrival FROM conversations),
 firsts AS (SELECT id, first(canonical_hash ORDER BY arrival, canonical_hash) AS first_hash, min(arrival) AS first_at FROM batch GROUP BY id),
 classified AS (SELECT b.id, b.canonical_hash, b.arrival, s.stored_hash, CASE WHEN s.id IS NULL AND b.arrival = f.first_at THEN 'accepted' WHEN b.canonical_hash = coalesce(s.stored_hash, f.first_hash) THEN 'duplicate' ELSE 'integrity_conflict' END AS outcome
     FROM batch b JOIN firsts f USING (id) LEFT JOIN stored s USING (id))"""
@@ -39,7 +44,7 @@ classified AS (SELECT b.id, b.canonical_hash, b.arrival, s.stored_hash, CASE WHE
 def _classified(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), sha256_text(F.col("text")).alias("canonical_hash"), F.col("turn").alias("arrival"), "conv_id")
     stored = c.filter("arrival = 0 AND conv_id % 3 = 0").select("id", "canonical_hash")
-    return messages.classify_messages(c.filter("arrival < 3").drop("conv_id"), stored)
+    return messages.classify_messages(c.drop("conv_id"), stored)
 
 
 @query("WITH " + _BATCH + " SELECT id, canonical_hash, arrival, outcome FROM classified")
@@ -92,14 +97,14 @@ def uri_policy(spark, sf_dir):
 
 _PATHS = r"""
 paths AS (SELECT page_id AS id, rtrim(regexp_extract(url, '://([^?#]*)', 1), '/') AS path FROM pages),
-a AS (SELECT DISTINCT id, path FROM paths WHERE id % 3 = 0), b AS (SELECT DISTINCT id, split_part(path, '/', 1) AS path FROM paths WHERE id % 50 = 1)"""
+a AS (SELECT DISTINCT id, path FROM paths WHERE id % 50 = 0), b AS (SELECT DISTINCT id, path FROM paths)"""
 
 
 @query("WITH " + _PATHS + " SELECT a.id AS left_id, a.path AS left_path, b.id AS right_id, b.path AS right_path FROM a JOIN b ON a.path = b.path OR starts_with(a.path, b.path || '/') OR starts_with(b.path, a.path || '/')")
 def path_overlaps(spark, sf_dir):
+    """Every page whose id is divisible by 50, as queries, against all pages."""
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), normalize_path(F.regexp_extract("url", r"://([^?#]*)", 1)).alias("path"))
-    right = p.filter("id % 50 = 1").withColumn("path", F.split("path", "/")[0])
-    return messages.path_overlaps(p.filter("id % 3 = 0"), right)
+    return messages.path_overlaps(p.filter("id % 50 = 0"), p)
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations ORDER BY turn DESC, conv_id DESC LIMIT 25")
@@ -123,13 +128,15 @@ def version_faults(spark, sf_dir):
     return messages.version_faults(e, "user_id", "event_id").select("user_id", "event_id", "version", "highest_before")
 
 
-@query("""WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS id, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS result_id FROM conversations WHERE role = 'assistant')
-    SELECT t.id, count(result_id) AS results, min(result_id) AS first_result, count(result_id) > 1 AS conflict FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id FROM conversations WHERE role = 'user') t LEFT JOIN r USING (id) GROUP BY t.id""")
+@query("""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS id, min(length(text)) % 3 AS lane FROM conversations WHERE role = 'user' GROUP BY conv_id),
+    r AS (SELECT CAST(conv_id AS VARCHAR) AS id, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS result_id, turn % 3 AS lane FROM conversations WHERE role = 'assistant')
+    SELECT t.id, count(result_id) AS results, min(result_id) AS first_result, count(*) FILTER (result_id IS NOT NULL AND t.lane <> r.lane) AS mismatches, count(result_id) > 1 AS conflict FROM t LEFT JOIN r USING (id) GROUP BY t.id""")
 def correlate_results(spark, sf_dir):
+    """Conversations as tasks and their answers as results, which should agree on a lane."""
     c = table(spark, sf_dir, "conversations")
-    tasks = c.filter("role = 'user'").select(F.col("conv_id").cast("string").alias("id")).distinct()
-    results = c.filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("correlation_id"))
-    return messages.correlate_results(tasks, results).drop("mismatches")
+    tasks = c.filter("role = 'user'").groupBy(F.col("conv_id").cast("string").alias("id")).agg((F.min(F.char_length("text")) % 3).alias("lane"))
+    results = c.filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("correlation_id"), (F.col("turn") % 3).cast("int").alias("lane"))
+    return messages.correlate_results(tasks, results, ("lane",))
 
 
 _QUEUE = """
@@ -138,10 +145,9 @@ n AS (SELECT max(ts) - INTERVAL 10 DAY AS now FROM events)"""
 
 
 def _queue(spark, sf_dir) -> tuple[DataFrame, object]:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    e = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
-    now = F.lit(e.agg(F.max("t") - F.expr("INTERVAL 10 DAY")).first()[0])
-    q = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("lane"), F.col("t").alias("created_at"), F.lit("inbound").alias("direction"), F.when(F.col("event_id") % 3 == 0, "processing").otherwise("received").alias("status"), F.when(F.col("event_id") % 4 == 0, F.col("t") + F.expr("INTERVAL 1 DAY")).alias("lease_until"), F.lit(1).cast("bigint").alias("revision"))
+    e = table(spark, sf_dir, "events").withColumn("t", instant("ts"))
+    now = F.timestamp_micros(F.lit(e.agg(F.unix_micros(F.max("t"))).first()[0] - 10 * 86_400_000_000))
+    q = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("lane"), F.col("t").alias("created_at"), F.lit("inbound").alias("direction"), F.when(F.col("event_id") % 3 == 0, "processing").otherwise("received").alias("status"), F.when(F.col("event_id") % 4 == 0, add_seconds(F.col("t"), 86_400)).alias("lease_until"), F.lit(1).cast("bigint").alias("revision"))
     return q, now
 
 
@@ -159,8 +165,6 @@ def expired_leases(spark, sf_dir):
 
 def _envelopes(spark, sf_dir) -> DataFrame:
     """Conversations as message envelopes, some spoilt by fixed rules on the id."""
-    import uuid
-
     c = table(spark, sf_dir, "conversations")
     n = F.col("conv_id") * 100 + F.col("turn")
     ident = uuid5(uuid.NAMESPACE_URL, n.cast("string"))
@@ -181,7 +185,7 @@ def envelope_validation(spark, sf_dir):
     return messages.validate_envelopes(_envelopes(spark, sf_dir), "json", ["operator", "worker"]).select("conv_id", "turn", "codes")
 
 
-@query()
+@query("""SELECT event_id, sha256(replace(replace(replace(props, ': ', ':'), ', ', ','), chr(10), '')) AS hash FROM events""")
 def canonical_hashes(spark, sf_dir):
     """Canonical form of event properties, equal for reordered keys."""
     return table(spark, sf_dir, "events").select("event_id", F.sha2(canonical_json(F.col("props")), 256).alias("hash"))
@@ -189,8 +193,6 @@ def canonical_hashes(spark, sf_dir):
 
 @query(r"""SELECT event_id, NOT event_id % 3 = 0 AS is_uuid, NOT event_id % 4 = 0 AS is_time FROM events""")
 def identifier_checks(spark, sf_dir):
-    import uuid
-
     e = table(spark, sf_dir, "events")
     ident = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).otherwise(F.upper(uuid5(uuid.NAMESPACE_DNS, F.col("event_id").cast("string"))))
     time = F.when(F.col("event_id") % 8 == 0, F.lit("2023-02-29T10:00:00Z")).when(F.col("event_id") % 4 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
@@ -220,3 +222,48 @@ def routed_validation(spark, sf_dir):
     doc = F.struct(F.lit("task").alias("type"), F.lit("planner").alias("sender"), F.lit("worker").alias("recipient"), meta.alias("metadata"))
     routes = spark.createDataFrame([(f"{i:02d}", f"key-{i:02d}", f"lane/{i:02d}") for i in range(9)], "domain string, cloud_conversation_key string, local_lane string")
     return messages.validate_routed(e.select("event_id", F.to_json(doc).alias("json")), "json", routes, "planner", "worker", "lead").select("event_id", "route_codes")
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(['a/' || CAST(turn AS VARCHAR), 'b/' || role])), ',') AS paths FROM conversations WHERE conv_id % 5 <> 0
+    UNION ALL SELECT conv_id, turn, NULL FROM conversations WHERE conv_id % 5 = 0""")
+def normalized_paths(spark, sf_dir):
+    """Path lists with repeats, back slashes and trailing slashes; every fifth conversation has a refused one."""
+    c = table(spark, sf_dir, "conversations")
+    last = F.when(F.col("conv_id") % 5 == 0, F.lit("../up")).otherwise(F.concat(F.lit("b\\"), "role"))
+    paths = F.array(F.concat(F.lit(" a/"), F.col("turn").cast("string"), F.lit("/")), F.concat(F.lit("a/"), F.col("turn").cast("string")), last)
+    given = c.select("conv_id", "turn", paths.alias("given"))
+    refused = F.exists("given", lambda p: normalize_path(p).isNull())
+    return given.select("conv_id", "turn", F.when(~refused, normalize_paths(F.col("given"))).alias("paths"))
+
+
+@query("""WITH t AS (SELECT DISTINCT conv_id, 'task-result:' || CAST(conv_id AS VARCHAR) AS name FROM conversations),
+    d AS (SELECT conv_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(name)) AS h FROM t)
+    SELECT conv_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', h[17:17]) - 1) % 4, 1) || h[18:20] || '-' || h[21:32] AS result_id FROM d""")
+def result_ids(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", result_id(F.col("conv_id").cast("string")).alias("result_id"))
+
+
+@query("WITH " + _QUEUE + """ SELECT id, local_lane, created_at, CAST(row_number() OVER (PARTITION BY local_lane ORDER BY created_at, id) AS INTEGER) AS place FROM (SELECT *, 'lane/' || CAST(id % 9 AS VARCHAR) AS local_lane FROM q), n
+    WHERE status = 'received' AND (lease_until IS NULL OR lease_until <= now) AND id % 2 = 0 AND id % 5 <> 0 AND id % 7 <> 0""")
+def routed_queue(spark, sf_dir):
+    """Events as routed messages: odd ones are answers, every fifth is not approved, every seventh has another authority."""
+    q, now = _queue(spark, sf_dir)
+    kind = F.when(F.col("id") % 2 == 0, "task").otherwise("response")
+    state = F.when(F.col("id") % 5 == 0, "pending").otherwise(messages.APPROVED)
+    rows = q.withColumns({"message_type": kind, "approval_state": state, "authority": F.when(F.col("id") % 7 == 0, "other").otherwise("lead"), "local_lane": F.concat(F.lit("lane/"), (F.col("id") % 9).cast("string"))})
+    return messages.routed_queue(rows, now, "lead").select("id", "local_lane", "created_at", "place")
+
+
+@query(rf"""SELECT outcome, count(*) AS messages FROM (SELECT CASE WHEN {_N} % 11 = 0 OR {_N} % 13 = 0 OR {_N} % 17 = 0 OR {_N} % 19 = 0 OR {_N} % 23 = 0 THEN 'invalid' ELSE 'accepted' END AS outcome FROM conversations) GROUP BY outcome
+    UNION ALL SELECT 'again: ' || outcome, count(*) FROM (SELECT CASE WHEN {_N} % 11 = 0 OR {_N} % 13 = 0 OR {_N} % 17 = 0 OR {_N} % 19 = 0 OR {_N} % 23 = 0 THEN 'invalid' ELSE 'duplicate' END AS outcome FROM conversations) GROUP BY outcome
+    UNION ALL SELECT 'stored', count(*) FROM conversations WHERE NOT ({_N} % 11 = 0 OR {_N} % 13 = 0 OR {_N} % 17 = 0 OR {_N} % 19 = 0 OR {_N} % 23 = 0)
+    UNION ALL SELECT 'quarantined', 2 * count(*) FROM conversations WHERE {_N} % 11 = 0 OR {_N} % 13 = 0 OR {_N} % 17 = 0 OR {_N} % 19 = 0 OR {_N} % 23 = 0""")
+def ingest_job(spark, sf_dir):
+    """Envelopes as landed files, ingested twice: outcomes of both runs, and what is stored and quarantined."""
+    root = f"{shared_folder(spark)}/barline/ingest-{uuid.uuid4().hex}"
+    files = _envelopes(spark, sf_dir).select(F.concat(F.lit("inbox/"), "conv_id", F.lit("-"), "turn", F.lit(".json")).alias("path"), F.encode("json", "UTF-8").alias("content"))
+    spark.createDataFrame([], MESSAGES).write.parquet(f"{root}/messages")
+    runs = [ingest_batch(files, f"{root}/messages", f"{root}/quarantine", f"{root}/work", ["operator", "worker"]).collect() for _ in range(2)]
+    counts = [(prefix + r.outcome, r.messages) for prefix, run in zip(("", "again: "), runs) for r in run]
+    counts += [(name, spark.read.parquet(f"{root}/{folder}").count()) for name, folder in (("stored", "messages"), ("quarantined", "quarantine"))]
+    return spark.createDataFrame(counts, "outcome string, messages long")

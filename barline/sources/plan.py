@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.intervals import add_seconds, months_between, utc_date, utc_start
+
 PLAN = ["symbol", "interval", "source_type", "period", "file_name", "url", "start", "end"]
 
 
@@ -22,28 +24,31 @@ def _named(rows: DataFrame, root: str) -> DataFrame:
     return rows.withColumn("file_name", name).withColumn("url", url).select(*[c for c in rows.columns if c not in PLAN], *PLAN)
 
 
+def _days(start: Column, end: Column) -> Column:
+    """The starts of the UTC days that meet [start, end)."""
+    return F.transform(F.sequence(utc_date(start), utc_date(F.timestamp_micros(F.unix_micros(end) - 1)), F.expr("INTERVAL 1 DAY")), utc_start)
+
+
 def archive_plan(ranges: DataFrame, now: Column, root: str) -> DataFrame:
     """Items that cover each range (symbol, interval, start, end): a monthly one for every whole
     calendar month inside the range that is over, else daily ones; the first and last may be
     partial days. Ranges must start before they end; others give no items."""
     ranges = ranges.filter("start < end")
-    last = F.date_trunc("month", F.timestamp_micros(F.unix_micros("end") - 1))
-    months = ranges.withColumn("m", F.explode(F.sequence(F.date_trunc("month", "start"), last, F.expr("INTERVAL 1 MONTH"))))
-    months = months.withColumn("m_end", F.col("m") + F.expr("INTERVAL 1 MONTH"))
+    months = ranges.withColumn("m", F.explode(months_between(F.col("start"), F.col("end"))))
+    months = months.withColumn("m_end", utc_start(F.add_months(utc_date(F.col("m")), 1)))
     whole = (F.col("m") >= F.col("start")) & (F.col("m_end") <= F.col("end")) & (F.col("m_end") <= now)
-    monthly = months.filter(whole).select("symbol", "interval", F.lit("monthly").alias("source_type"), F.date_format("m", "yyyy-MM").alias("period"), F.col("m").alias("start"), F.col("m_end").alias("end"))
+    monthly = months.filter(whole).select("symbol", "interval", F.lit("monthly").alias("source_type"), F.date_format(utc_date(F.col("m")), "yyyy-MM").alias("period"), F.col("m").alias("start"), F.col("m_end").alias("end"))
     part = months.filter(~whole).withColumns({"lo": F.greatest("start", "m"), "hi": F.least("end", "m_end")})
-    last_day = F.date_trunc("day", F.timestamp_micros(F.unix_micros("hi") - 1))
-    days = part.withColumn("d", F.explode(F.sequence(F.date_trunc("day", "lo"), last_day, F.expr("INTERVAL 1 DAY"))))
-    daily = days.select("symbol", "interval", F.lit("daily").alias("source_type"), F.date_format("d", "yyyy-MM-dd").alias("period"), F.greatest("d", "lo").alias("start"), F.least(F.col("d") + F.expr("INTERVAL 1 DAY"), F.col("hi")).alias("end"))
+    days = part.withColumn("d", F.explode(_days(F.col("lo"), F.col("hi"))))
+    daily = days.select("symbol", "interval", F.lit("daily").alias("source_type"), F.date_format(utc_date(F.col("d")), "yyyy-MM-dd").alias("period"), F.greatest("d", "lo").alias("start"), F.least(add_seconds(F.col("d"), 86_400), F.col("hi")).alias("end"))
     return _named(monthly.unionByName(daily), root)
 
 
 def daily_fallback(plan: DataFrame, root: str) -> DataFrame:
     """The days of each monthly item, with the item's file name as `parent`. The symbol is the file
     name up to its first dash."""
-    months = plan.filter("source_type = 'monthly'").select(F.split("file_name", "-")[0].alias("symbol"), "interval", F.col("file_name").alias("parent"), F.explode(F.sequence("start", F.col("end") - F.expr("INTERVAL 1 DAY"), F.expr("INTERVAL 1 DAY"))).alias("start"))
-    days = months.select("parent", "symbol", "interval", F.lit("daily").alias("source_type"), F.date_format("start", "yyyy-MM-dd").alias("period"), "start", (F.col("start") + F.expr("INTERVAL 1 DAY")).alias("end"))
+    months = plan.filter("source_type = 'monthly'").select(F.split("file_name", "-")[0].alias("symbol"), "interval", F.col("file_name").alias("parent"), F.explode(_days(F.col("start"), F.col("end"))).alias("start"))
+    days = months.select("parent", "symbol", "interval", F.lit("daily").alias("source_type"), F.date_format(utc_date(F.col("start")), "yyyy-MM-dd").alias("period"), "start", add_seconds(F.col("start"), 86_400).alias("end"))
     return _named(days, root)
 
 

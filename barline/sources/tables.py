@@ -3,27 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pyarrow as pa
+import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.intervals import utc_date
 from ..schemas import CANDLE_COLUMNS, KEY, SCHEMA_VERSION, STORED
 
 PARTITION = [*KEY, "year", "month"]
 PLACED = T.StructType([*STORED.fields, T.StructField("year", T.StringType()), T.StructField("month", T.StringType())])
 
 
-def write_candles(df: DataFrame, root: str) -> None:
-    """Rewrite whole months: one ZSTD file per key and month, sorted by open_time, under
-    venue=/market_type=/symbol=/interval=/year=/month=. Months not in `df` stay as they are."""
-    rows = df.withColumns({"schema_version": F.lit(SCHEMA_VERSION), "year": F.date_format("open_time", "yyyy"), "month": F.date_format("open_time", "MM")})
-    placed = rows.select("schema_version", *CANDLE_COLUMNS, "year", "month").repartition(*PARTITION).sortWithinPartitions(*PARTITION, "open_time")
-    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("outputTimestampType", "TIMESTAMP_MICROS")
-    writer.partitionBy(*PARTITION).parquet(root)
+def write_candles(df: DataFrame, root: str, version: str = SCHEMA_VERSION, order: str | Column = "open_time") -> None:
+    """Rewrite whole UTC months: one ZSTD file per key and month, sorted by `order`, under
+    venue=/market_type=/symbol=/interval=/year=/month=. Months not in `df` stay as they are. Times
+    are stored in microseconds whatever the session writes otherwise."""
+    day = utc_date(F.col("open_time"))
+    rows = df.withColumns({"schema_version": F.lit(version), "year": F.date_format(day, "yyyy"), "month": F.date_format(day, "MM")})
+    placed = rows.select("schema_version", *CANDLE_COLUMNS, "year", "month").repartition(*PARTITION).sortWithinPartitions(*PARTITION, order)
+    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    conf, name = df.sparkSession.conf, "spark.sql.parquet.outputTimestampType"  # no writer option, only a setting
+    before = conf.get(name)
+    conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        writer.partitionBy(*PARTITION).parquet(root)
+    finally:
+        conf.set(name, before)
 
 
 def read_candles(spark: SparkSession, root: str) -> DataFrame:
@@ -32,7 +42,9 @@ def read_candles(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_candles(spark: SparkSession, root: str, key: dict[str, str], start: datetime, end: datetime) -> DataFrame:
-    """Bars of a key in [start, end). The month predicates prune partitions before any file is opened."""
+    """Bars of a key in [start, end), naive times being UTC. The month predicates prune partitions
+    before any file is opened."""
+    start, end = (at.astimezone(timezone.utc) if at.tzinfo else at.replace(tzinfo=timezone.utc) for at in (start, end))
     df = read_candles(spark, root)
     for column, value in key.items():
         df = df.filter(F.col(column) == value)
@@ -52,7 +64,7 @@ def expected_partitions(keys: DataFrame, months: DataFrame) -> DataFrame:
     """Every month of each key's range as the path of its partition. `months` has the key columns
     and a month timestamp."""
     parts = [F.concat(F.lit(f"{k}="), F.col(k)) for k in KEY]
-    return keys.join(months, KEY).select(F.concat_ws("/", *parts, F.date_format("month", "'year='yyyy"), F.date_format("month", "'month='MM")).alias("partition")).distinct()
+    return keys.join(months, KEY).select(F.concat_ws("/", *parts, F.date_format(utc_date(F.col("month")), "'year='yyyy"), F.date_format(utc_date(F.col("month")), "'month='MM")).alias("partition")).distinct()
 
 
 def partition_inventory(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
@@ -71,33 +83,46 @@ def partition_inventory(spark: SparkSession, root: str, expected: DataFrame) ->
     return both.select("partition", status.alias("status"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
+def _schema_fault(source, expected: dict[str, str]) -> str | None:
+    """What tells a file's footer from the expected column names and Arrow types."""
+    try:
+        have = {f.name: str(f.type) for f in pq.read_schema(source)}
+    except pa.ArrowInvalid as error:
+        return str(error)
+    wrong = sorted(k for k in have.keys() | expected.keys() if have.get(k) != expected.get(k))
+    return "; ".join(f"{k}: {have.get(k)} for {expected.get(k)}" for k in wrong) or None
+
+
 def check_schema(spark: SparkSession, root: str, expected: dict[str, str]) -> DataFrame:
     """(path, problem) for each Parquet file whose column names and Arrow types differ from
-    `expected` (name: type). Footers only are parsed, one file to a row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+    `expected` (name: type), or that is no Parquet. Only footers are read, unless a file lies in a
+    store that Arrow cannot open: such files are read through Spark."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, problems = [], []
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            rows = []
+            for path in batch.column("path").to_pylist():
                 try:
-                    schema = pq.read_schema(pa.BufferReader(content.as_buffer()))
-                    have = {f.name: str(f.type) for f in schema}
-                    problem = None if have == expected else "; ".join(sorted(f"{k}: {have.get(k)} for {expected.get(k)}" for k in have.keys() | expected.keys() if have.get(k) != expected.get(k)))
-                except pa.ArrowInvalid as error:
-                    problem = str(error)
-                if problem:
-                    paths.append(path)
-                    problems.append(problem)
-            yield pa.record_batch([pa.array(paths, pa.string()), pa.array(problems, pa.string())], names=["path", "problem"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, problem string")
-
-
-def null_counts(df: DataFrame) -> DataFrame:
-    """(column, nulls) for each column of the contract that holds nulls."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in CANDLE_COLUMNS])
-    return counts.unpivot([], CANDLE_COLUMNS, "column", "nulls").filter("nulls > 0")
+                    store, inside = pa.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                    with store.open_input_file(inside) as source:
+                        rows.append((path, True, _schema_fault(source, expected)))
+                except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+                    rows.append((path, False, None))
+            path, opened, problem = zip(*rows) if rows else ((), (), ())
+            yield pa.record_batch([pa.array(path, pa.string()), pa.array(opened, pa.bool_()), pa.array(problem, pa.string())], names=["path", "opened", "problem"])
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            problem = [_schema_fault(pa.BufferReader(x.as_buffer()), expected) for x in batch.column("content")]
+            yield pa.record_batch([batch.column("path"), pa.array(problem, pa.string())], names=["path", "problem"])
+
+    seen = listed.select("path").mapInArrow(footers, "path string, opened boolean, problem string")
+    found = seen.filter("opened").select("path", "problem")
+    if seen.filter("NOT opened").limit(1).count():
+        closed = seen.filter("NOT opened").select("path")
+        found = found.unionByName(listed.join(closed, "path", "left_semi").select("path", "content").mapInArrow(bodies, "path string, problem string"))
+    return found.filter("problem IS NOT NULL")
 
 
 def append_run_record(record: DataFrame, path: str) -> None:

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.intervals import add_seconds, interval_seconds
+from ..functions.intervals import add_seconds, interval_seconds, utc_date
 from ..operators.merge import ConflictError, cell_diff, merge
-from ..operators.quality import rule_codes
+from ..operators.quality import interior_gaps, rule_codes, watermark
 from ..operators.resample import resample_ladder
-from ..schemas import CANDLE, CANDLE_COLUMNS, KEY, ROW_KEY
+from ..schemas import CANDLE, CANDLE_COLUMNS, KEY
 from ..sources.staging import stage
-from ..sources.tables import PLACED, append_run_record, read_candles, write_candles
+from ..sources.tables import PLACED, append_run_record, latest_run, read_candles, write_candles
 
 
 def sync_window(watermarks: DataFrame, gaps: DataFrame, end: Column, days: int = 7) -> DataFrame:
@@ -35,34 +36,110 @@ def catchup_split(windows: DataFrame, days: int = 7) -> tuple[DataFrame, DataFra
     return archive, pages
 
 
-def apply_batch(batch: DataFrame, root: str, run_log: str, levels: tuple[str, ...] = ("15m", "1h", "4h", "1d")) -> None:
-    """Merge 1-minute bars into the table, roll the touched months up again, rewrite them, check
-    what was written against what was meant, and log the run. Replays change nothing."""
-    spark = batch.sparkSession
-    good = batch.filter(F.size(rule_codes()) == 0).select(*CANDLE_COLUMNS).dropDuplicates(ROW_KEY)
-    months = good.select(*KEY[:3], F.date_format("open_time", "yyyy").alias("year"), F.date_format("open_time", "MM").alias("month")).distinct()
-    stored = stored_bars(spark, root)
-    touched = stored.join(F.broadcast(months), [*KEY[:3], "year", "month"], "left_semi")  # a batch meets few months
-    minutes = touched.filter("interval = '1m'").select(*CANDLE_COLUMNS)
-    result = merge(minutes, good)
-    if result.conflicts.limit(1).count():
-        raise ConflictError("an incoming bar contradicts a stored one")
+#: A run's record; counters are there on every way out.
+RUN = """id string, venue string, market_type string, symbol string, interval string, range_start timestamp, range_end timestamp, stage string, status string, rows_fetched long, rows_inserted long,
+    rows_repaired long, gaps_remaining long, partitions_verified long, started_at timestamp, finished_at timestamp, error_message string"""
+
+
+class BadRowsError(ValueError):
+    """Incoming bars break a rule; nothing was merged."""
 
 
+def apply_batch(batch: DataFrame, root: str, run_log: str, levels: tuple[str, ...] = ("15m", "1h", "4h", "1d"), base: str = "1m") -> DataFrame:
+    """Merge bars of `base` into the table, roll the touched months up again, rewrite them, check what
+    was written against what was meant, and return the run's record, which is logged on every way out.
+
+    Replays change nothing. A batch with a row that breaks a rule, or that contradicts stored
+    bars or itself, is refused whole: the record says failed, and the error is raised.
+    """
+    spark = batch.sparkSession
+    started = datetime.now(timezone.utc)
+    row = dict.fromkeys([x.split()[0] for x in RUN.split(",")])
+    row |= {"id": str(uuid.uuid4()), "interval": base, "stage": "fetch", "status": "running", "started_at": started, "rows_fetched": 0, "rows_inserted": 0, "rows_repaired": 0, "gaps_remaining": 0, "partitions_verified": 0}
+    try:
+        _merge_batch(batch, root, run_log, levels, base, row)
+        row["status"] = "succeeded" if row["rows_fetched"] else "noop"
+    except Exception as error:
+        row |= {"status": "failed", "error_message": f"{type(error).__name__}: {error}"[:1000]}
+        raise
+    finally:
+        row["finished_at"] = datetime.now(timezone.utc)
+        record = spark.createDataFrame([tuple(row.values())], RUN)
+        append_run_record(record.withColumn("observed_at", F.col("finished_at")), run_log + "/runs")
+    return record
+
+
+def _merge_batch(batch: DataFrame, root: str, run_log: str, levels: tuple[str, ...], base: str, row: dict) -> None:
+    spark = batch.sparkSession
+    incoming = stage(batch.select(*CANDLE_COLUMNS), run_log)
+    fetched, bad, first, last = incoming.agg(F.count("*"), F.count_if((F.size(rule_codes()) > 0) | (F.col("interval") != base)), F.min("open_time"), F.max("open_time")).first()
+    row |= {"rows_fetched": fetched, "range_start": first, "range_end": last, "stage": "merge"}
+    row |= incoming.agg(*[F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in KEY[:3]]).first().asDict()  # null over several keys
+    if bad:
+        raise BadRowsError(f"{bad} incoming bars break a rule")
+    if not fetched:
+        return
+    day = utc_date(F.col("open_time"))
+    months = incoming.select(*KEY[:3], F.date_format(day, "yyyy").alias("year"), F.date_format(day, "MM").alias("month")).distinct()
+    months = stage(months, run_log)
+    minutes = stored_bars(spark, root).join(months, [*KEY[:3], "year", "month"], "left_semi").filter(F.col("interval") == base).select(*CANDLE_COLUMNS)
+    minutes = stage(minutes, run_log)
+    result = merge(minutes, incoming)
+    clash = result.conflicts.limit(1).collect()
+    if clash:
+        raise ConflictError(f"an incoming bar contradicts another: {clash[0].asDict()}")
+    gaps = interior_gaps(minutes)
     whole = stage(minutes.unionByName(result.inserted), run_log)
-    fetched, inserted = batch.count(), whole.count() - minutes.count()
-    levels_out = resample_ladder(whole, levels)
-    everything = whole
-    for bars in levels_out.values():
-        everything = everything.unionByName(bars)
-    everything = stage(everything, run_log)
+    row["rows_inserted"] = whole.count() - minutes.count()
+    filled = result.inserted.join(gaps, KEY).filter("open_time >= gap_start AND open_time < gap_end") if row["rows_inserted"] else None
+    row |= {"rows_repaired": filled.count() if filled is not None else 0, "gaps_remaining": interior_gaps(whole).count(), "stage": "aggregate"}
+    everything = stage(_with_levels(whole, levels, base, run_log), run_log)
+    row["stage"] = "export"
     write_candles(everything, root)
-    written = stored_bars(spark, root).join(F.broadcast(months), [*KEY[:3], "year", "month"], "left_semi").select(*CANDLE_COLUMNS)
-    problems = cell_diff(everything, written).limit(20).count()
-    record = [(str(uuid.uuid4()), fetched, inserted, "failed" if problems else "succeeded")]
-    append_run_record(spark.createDataFrame(record, "id string, rows_fetched long, rows_inserted long, status string").withColumn("observed_at", F.current_timestamp()), run_log + "/runs")
-    if problems:
+    row["stage"] = "verify"
+    written = stored_bars(spark, root).join(months, [*KEY[:3], "year", "month"], "left_semi")
+    if cell_diff(everything, written.select(*CANDLE_COLUMNS)).limit(1).count():
         raise RuntimeError("written bars differ from the merged ones")
+    row["partitions_verified"] = written.select(*KEY, "year", "month").distinct().count()
+
+
+def _with_levels(bars: DataFrame, levels: tuple[str, ...], base: str, work: str) -> DataFrame:
+    out = bars
+    for rolled in resample_ladder(bars, levels, base).values():
+        out = out.unionByName(rolled)
+    return out
+
+
+def sync(spark: SparkSession, available: DataFrame, keys: DataFrame, root: str, run_log: str, end: datetime, days: int = 7, levels: tuple[str, ...] = ("15m", "1h", "4h", "1d"), base: str = "1m") -> DataFrame:
+    """One sync up to `end`: the work window of each key (from the first recent gap, else after the
+    newest bar; keys (venue, market_type, symbol, interval, start) that have none begin at `start`),
+    the landed bars inside it, one merge. Returns the run's record. Runs that were left running are
+    logged as interrupted first."""
+    stored = stage(stored_bars(spark, root).filter(F.col("interval") == base).select(*CANDLE_COLUMNS), run_log)
+    limit = F.lit(end.astimezone(timezone.utc) if end.tzinfo else end.replace(tzinfo=timezone.utc))
+    known = sync_window(watermark(stored), interior_gaps(stored), limit, days)
+    fresh = keys.join(stored.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, "start", limit.alias("end")).filter("start < end")
+    old, new = catchup_split(known.unionByName(fresh), days)
+    windows = stage(old.unionByName(new), run_log)
+    close_interrupted(spark, run_log)
+    rows = available.filter(F.col("interval") == base).join(windows, KEY).filter("open_time >= start AND open_time < end").select(*CANDLE_COLUMNS)
+    return apply_batch(rows, root, run_log, levels, base)
+
+
+def read_runs(spark: SparkSession, run_log: str) -> DataFrame:
+    """The newest record of each run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_log + "/runs")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], RUN + ", observed_at timestamp")
+    return latest_run(spark.read.schema(RUN + ", observed_at timestamp").json(run_log + "/runs"), ["id"])
+
+
+def close_interrupted(spark: SparkSession, run_log: str) -> None:
+    """Log every run that is still 'running' as interrupted."""
+    open_runs = stage(read_runs(spark, run_log).filter("status = 'running'"), run_log)
+    if open_runs.limit(1).count():
+        now = F.current_timestamp()
+        append_run_record(open_runs.withColumns({"status": F.lit("interrupted"), "finished_at": now, "observed_at": now}), run_log + "/runs")
 
 
 def stored_bars(spark: SparkSession, root: str) -> DataFrame:
@@ -76,6 +153,4 @@ def stored_bars(spark: SparkSession, root: str) -> DataFrame:
 def incremental_sync(spark: SparkSession, landing: str, root: str, run_log: str, checkpoint: str) -> StreamingQuery:
     """Process every landed Parquet file of bars once, then stop; the checkpoint remembers which."""
     stream = spark.readStream.schema(CANDLE).parquet(landing)
-    return stream.writeStream.foreachBatch(lambda batch, _: apply_batch(batch, root, run_log)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
+    return stream.writeStream.foreachBatch(lambda batch, _: apply_batch(batch, root, run_log) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

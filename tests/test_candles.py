@@ -8,17 +8,22 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from barline.functions import fields, intervals
 from barline.functions.intervals import resolve_range
 from barline.operators import manifest, merge, quality
 from barline.operators.resample import resample_complete, resample_ladder
 from barline.plans import jobs
+from barline.plans.catalog import QUERIES, SQL
 from barline.schemas import CANDLE, CANDLE_COLUMNS
 from barline.sources import archives, plan
-from barline.sources.tables import check_schema, page_candles, scan_candles, write_candles
-from barline.streaming.sync import catchup_split, incremental_sync, stored_bars, sync_window
+from barline.sources.tables import append_run_record, check_schema, page_candles, scan_candles, write_candles
+from barline.streaming.sync import BadRowsError, apply_batch, catchup_split, close_interrupted, incremental_sync, read_runs, stored_bars, sync_window
+
+from .oracle import rows_of, sql_rows
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 D = decimal.Decimal
+DATA = "/root/testdata/sf0.001"
 
 
 def minute(n, symbol="AAA", **over):
@@ -154,9 +159,10 @@ def test_import_archives(spark, tmp_path):
     land(tmp_path, "AAA-1m-2024-01-03.zip", [kline(2880)], sidecar="0" * 64)
     land(tmp_path, "AAA-1m-2024-01-04.zip", [kline(4320)], entry="a.txt")
     constants = {"venue": F.lit("v"), "market_type": F.lit("spot"), "symbol": F.split("source_file", "-")[0], "interval": F.lit("1m")}
-    merged, refused, files = jobs.import_archives(spark, str(tmp_path), bars(spark, []), T0, T0 + dt.timedelta(days=5), constants)
+    merged, refused, files, events = jobs.import_archives(spark, str(tmp_path), bars(spark, []), T0, T0 + dt.timedelta(days=5), constants, str(tmp_path / "work"))
     assert merged.count() == 3
-    assert {r.source_file for r in refused.collect()} == {"AAA-1m-2024-01-02.zip", "AAA-1m-2024-01-04.zip"}
+    assert {r.source_file[-6:-4]: r.reason for r in refused.collect()} == {"02": "bad fields: field_count", "03": "checksum mismatch", "04": "entry is not .csv"}
+    assert sorted((r.file_name[-6:-4], r.status) for r in events.collect()) == [("01", "checksum_verified"), ("01", "imported"), ("02", "checksum_verified"), ("02", "failed"), ("03", "failed"), ("04", "checksum_verified"), ("04", "failed")]
     assert files.collect()[0].row_count == 3
     outcomes = archives.verify_checksums(archives.read_files(spark, str(tmp_path)), archives.read_sidecars(spark, str(tmp_path)))
     assert {r.file_name[-6:-4]: r.outcome for r in outcomes.collect()} == {"01": "pass", "02": "pass", "03": "mismatch", "04": "pass"}
@@ -176,12 +182,10 @@ def test_export_and_verify_faults(spark, tmp_path):
     rows = bars(spark, [minute(i) for i in range(1440)])
     report = jobs.export(spark, rows, ranges(spark, 1440), root)
     assert report.collect()[0].valid
-    import pyarrow.parquet as pq
-
     part = f"{root}/venue=v/market_type=spot/symbol=AAA/interval=1m/year=2024/month=01"
     file = next(f"{part}/{f}" for f in os.listdir(part) if f.endswith(".parquet"))
-    schema = {f.name: str(f.type) for f in pq.read_schema(file)}
-    passed = lambda df=rows: jobs.verify(spark, df, root, ranges(spark, 1440), schema).collect()[0].passed
+    schema = jobs.STORED_ARROW
+    passed = lambda df=rows: jobs.verify(spark, df, root, ranges(spark, 1440)).collect()[0].passed
     assert passed()
     assert not passed(bars(spark, [minute(i) for i in range(1439)]))
     assert not passed(bars(spark, [minute(i) for i in range(1441)]))
@@ -213,11 +217,47 @@ def test_incremental_sync(spark, tmp_path):
     assert [r.rows_inserted for r in spark.read.json(log + "/runs").orderBy("observed_at").collect()] == [60, 15]
 
 
-def test_results_do_not_follow_the_session_zone(spark):
+def test_sync_refuses_bad_batches(spark, tmp_path):
+    root, log = str(tmp_path / "table"), str(tmp_path / "log")
+    apply_batch(bars(spark, [minute(0)]), root, log)
+    for rows, error in (([minute(1), minute(1, close=D("1.5"))], merge.ConflictError), ([minute(0, close=D("1.5"))], merge.ConflictError), ([minute(1), minute(2, high=D("0.1"))], BadRowsError)):
+        with pytest.raises(error):
+            apply_batch(bars(spark, rows), root, log)
+    assert apply_batch(bars(spark, [minute(1), minute(1)]), root, log).first().rows_inserted == 1
+    assert stored_bars(spark, root).filter("interval = '1m'").count() == 2
+    assert [r.status for r in read_runs(spark, log).orderBy("started_at").collect()] == ["succeeded", "failed", "failed", "failed", "succeeded"]
+
+
+def test_interrupted_runs_are_closed(spark, tmp_path):
+    log = str(tmp_path / "log")
+    append_run_record(spark.createDataFrame([("a", "running", T0)], "id string, status string, observed_at timestamp"), log + "/runs")
+    close_interrupted(spark, log)
+    assert [(r.id, r.status) for r in read_runs(spark, log).collect()] == [("a", "interrupted")]
+
+
+def test_trailing_newlines_are_refused(spark):
+    from barline.functions.text import is_canonical_uuid, is_utc_z
+
+    row = spark.createDataFrame([("1\n", "2024-01-01T00:00:00Z\n", "6ba7b811-9dad-11d1-80b4-00c04fd430c8\n", "2024-01\n")], "n string, t string, u string, p string")
+    got = row.select(fields.parse_decimal(F.col("n")), fields.parse_long(F.col("n")), is_utc_z(F.col("t")), is_canonical_uuid(F.col("u")), intervals.period_kind(F.col("p"))).first()
+    assert tuple(got) == (None, None, False, False, None)
+
+
+def test_results_do_not_follow_the_session_zone(spark, tmp_path):
     df = bars(spark, [minute(i) for i in range(1440)])
     spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
     try:
         assert resample_complete(df, "1m", "1d").count() == 1
+        cover = quality.period_coverage(df, "day").collect()
+        assert len(cover) == 1 and cover[0].valid
+        write_candles(bars(spark, [minute(-1), minute(0)]), str(tmp_path / "t"))
+        assert sorted((r.year, r.month) for r in stored_bars(spark, str(tmp_path / "t")).select("year", "month").collect()) == [("2023", "12"), ("2024", "01")]
+        assert scan_candles(spark, str(tmp_path / "t"), {"symbol": "AAA"}, T0, T0 + dt.timedelta(minutes=1)).count() == 1
+        assert [r.period for r in plan.archive_plan(spark.createDataFrame([("AAA", "1m", T0, T0 + dt.timedelta(days=31))], "symbol string, interval string, start timestamp, end timestamp"), F.lit(T0 + dt.timedelta(days=60)), "r").collect()] == ["2024-01"]
+        b = spark.range(1).select(intervals.period_bounds(F.lit("2024-02")).alias("b")).select(F.unix_seconds("b.start"), F.unix_seconds("b.end")).first()
+        assert tuple(b) == (1706745600, 1709251200)
+        for name in ("bars_1h", "day_coverage", "month_coverage", "archive_plan", "sync_window", "stored_roundtrip"):
+            assert rows_of(QUERIES[name](spark, DATA)) == sql_rows(DATA, SQL[name]), name
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
