@@ -70,26 +70,32 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def unit_key(unit: Column) -> Column:
+    """128 bits that stand for a unit's text, so that texts are not carried beside their terms."""
+    return F.unhex(F.md5(unit))
+
+
 def match_templates(texts: DataFrame, templates: DataFrame, least: float) -> DataFrame:
-    """(unit, license, similarity): the template of highest TF-IDF cosine for each distinct unit
+    """(key, license, similarity): the template of highest TF-IDF cosine for each distinct unit
     text, from `least` up; the first name wins a tie. Weights are tf * (ln((1 + N) / (1 + df)) + 1)
     over the distinct units and the templates."""
-    units = save(texts.select("unit").distinct(), "units")
-    n = float(units.count() + templates.count())
-    spread = units.select("unit", F.explode(terms(F.col("unit"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
-    spread = save(spread, "unit-terms")
+    units = texts.groupBy(unit_key(F.col("unit")).alias("key")).agg(F.min("unit").alias("unit"))
+    spread = save(units.select("key", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").cast("int").alias("tf")), "unit-terms")
+    n = float(texts.select(F.count_distinct(unit_key(F.col("unit")))).first()[0] + templates.count())
     model = templates.select("license", "body", F.explode(terms(F.col("body"))).alias("term")).groupBy("license", "body", "term").agg(F.count("*").alias("tf"))
     df = spread.select("term").unionByName(model.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", (F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    w_model = save(model.join(idf, "term").select("license", "body", "term", (F.col("tf") * F.col("idf")).alias("v")), "template-weights")
-    w_units = save(spread.join(idf, "term").select("unit", "term", (F.col("tf") * F.col("idf")).alias("w")), "unit-weights")
-    norm_u = w_units.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nu"))
+    idf = save(df.select("term", (F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")), "idf")
+    w_model = save(model.join(idf, "term").select("license", "body", "term", "idf", (F.col("tf") * F.col("idf")).alias("v")), "template-weights")
     norm_m = w_model.groupBy("license", "body").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nm"))
-    dots = w_units.join(w_model, "term").groupBy("unit", "license", "body").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cosine = F.round(F.col("dot") / (F.col("nu") * F.col("nm")), 6)
-    scored = dots.join(norm_u, "unit").join(norm_m, ["license", "body"]).select("unit", "license", cosine.alias("similarity")).filter(F.col("similarity") >= least)
-    best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("x"))
-    return best.select("unit", "x.license", (-F.col("x.s")).alias("similarity"))
+    dots = spread.join(w_model, "term").groupBy("key", "license", "body").agg(F.sum(F.col("tf") * F.col("idf") * F.col("v")).alias("dot"))
+    dots = save(dots.join(norm_m, ["license", "body"]).select("key", "license", (F.col("dot") / F.col("nm")).alias("part")), "dots")
+    # the norm of a unit is needed only where a term is shared
+    near = spread.join(dots.select("key").distinct(), "key", "left_semi").join(idf, "term")
+    norm_u = near.groupBy("key").agg(F.sqrt(F.sum(F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf"))).alias("nu"))
+    cosine = F.round(F.col("part") / F.col("nu"), 6)
+    scored = dots.join(norm_u, "key").select("key", "license", cosine.alias("similarity")).filter(F.col("similarity") >= least)
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("x"))
+    return best.select("key", "x.license", (-F.col("x.s")).alias("similarity"))
 
 
 def inherited(directories: DataFrame, licensed: DataFrame) -> DataFrame:
@@ -122,7 +128,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
     rows = save(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", "dir", whole.alias("whole"), "units"), "files")
     stated = rows.select("row", F.explode(F.array_distinct("units")).alias("unit"))
     found = save(match_templates(stated, model, least), "matches")
-    hits = stated.join(found, "unit").groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("x"))
+    hits = stated.select("row", unit_key(F.col("unit")).alias("key")).join(found, "key").groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("x"))
     own = rows.join(hits, "row", "left").select("doc_id", "path", "dir", F.col("x.license").alias("license"), (-F.col("x.s")).alias("similarity"), (F.col("x").isNotNull() & F.col("whole")).alias("is_file"))
     own = save(own, "own")
     source = own.filter("is_file AND path IS NOT NULL").groupBy(F.col("dir").alias("from_dir")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license"))["license"].alias("inherited"))

@@ -17,11 +17,13 @@ NO_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a temporary one does for a
+    local session only; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="barline-")
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
