@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,23 @@ SKETCH_BITS = 27
 #: A sketch is folded while at most one bit in so many is set.
 SPARSE = 64
 NO_ID = (1 << 63) - 1
+#: Bytes of rows that Spark hands a Python worker at a time, however long the texts of a partition are.
+BATCH_BYTES = 4_000_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES while a table is written or a sketch is folded. A limit that the
+    session has set itself is kept, and an unset one is unset again afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None):
+        yield
+        return
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/barline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -60,12 +80,10 @@ def repeated_sketch(repeated: DataFrame, column: str) -> np.ndarray:
     h = F.col(column)
     mask = (1 << SKETCH_BITS) - 1
     probes = F.array(h.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(h, SKETCH_BITS).bitwiseAND(F.lit(mask)))
-    words = (
-        repeated.select(F.explode(probes).alias("bit"))
-        .groupBy(F.shiftright("bit", 5).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 AS int))")).alias("bits"))
-        .toArrow()
-    )
+    bits = repeated.select(F.explode(probes).alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word"))
+    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 AS int))")).alias("bits"))
+    with small_batches(repeated.sparkSession):
+        words = bits.toArrow()
     out = np.zeros(1 << (SKETCH_BITS - 5), dtype=np.uint32)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     while len(out) > 32 and int(np.bitwise_count(out).sum()) * SPARSE <= len(out) * 16:
