@@ -25,7 +25,7 @@ LEAD = 24
 #: Suffix starts that share a row: the core of a slice is what all of them hold.
 SLICE = 16
 #: Slices that a bucket gets about, when Spark samples the splitters.
-BUCKET_SLICES = 150_000
+BUCKET_SLICES = 60_000
 _PLACE = "doc_key long, part long, lo int"
 
 
