@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 500_000
+CHUNK_BYTES = 250_000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 NO_HASH = np.uint64(0)
@@ -35,7 +35,7 @@ def _power(n: int, inverse: bool = False) -> np.ndarray:
         base = np.full(size, _P_INV if inverse else _P, dtype=np.uint64)
         base[0] = 1
         have = np.multiply.accumulate(base)
-        if size <= 8 * CHUNK_BYTES:
+        if size <= 16 * CHUNK_BYTES:
             _powers[key] = have
     return have[:n]
 
