@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .alignment import align_documents
 from .decontaminate import contaminated
 from .licenses import scan_documents
 from .mixing import mix_documents
@@ -65,11 +66,16 @@ def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_mix_sources, op3_filter_urls, op4_suffix_array_dedup, op5_shard,
         op6_near_duplicates, op7_decontaminate, op8_quality_rules, op9_personal_data, op10_scan_licenses,
+        op11_align_tokenizers,
     )
 }
 
