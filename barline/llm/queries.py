@@ -14,6 +14,7 @@ from .mixing import mix_documents
 from .near_dup import near_duplicates
 from .pii import find_personal_data
 from .quality import quality_rules
+from .secrets import find_secrets, secrets_sql
 from .sharding import shard_documents
 from .substring import substring_dedup
 from .suffix import suffix_array_dedup
@@ -70,13 +71,17 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_mix_sources, op3_filter_urls, op4_suffix_array_dedup, op5_shard,
         op6_near_duplicates, op7_decontaminate, op8_quality_rules, op9_personal_data, op10_scan_licenses,
-        op11_align_tokenizers,
+        op11_align_tokenizers, op13_scan_secrets,
     )
 }
 
-SQL: dict[str, str] = oracles.SQL
+SQL: dict[str, str] = oracles.SQL | {"op13_scan_secrets": secrets_sql()}
