@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles
+from . import oracles, spelling
 from .alignment import align_documents
 from .decontaminate import contaminated
 from .licenses import scan_documents
@@ -71,6 +71,10 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_group_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -80,8 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_substring_dedup, op2_mix_sources, op3_filter_urls, op4_suffix_array_dedup, op5_shard,
         op6_near_duplicates, op7_decontaminate, op8_quality_rules, op9_personal_data, op10_scan_licenses,
-        op11_align_tokenizers, op13_scan_secrets,
+        op11_align_tokenizers, op12_group_spellings, op13_scan_secrets,
     )
 }
 
-SQL: dict[str, str] = oracles.SQL | {"op13_scan_secrets": secrets_sql()}
+SQL: dict[str, str] = oracles.SQL | {"op12_group_spellings": spelling.SQL, "op13_scan_secrets": secrets_sql()}
