@@ -88,8 +88,9 @@ def forbidden_keys(df: DataFrame, json: str, key: list[str]) -> DataFrame:
 
 def has_forbidden_key(json: Column) -> Column:
     """Whether any key of the JSON text, at any depth, normalises to a forbidden name. Looks at every
-    quoted name before a colon of the canonical text, without its escaped characters."""
-    plain = F.regexp_replace(F.to_json(F.try_parse_json(json)), r"\\.", "")
+    quoted name before a colon of the canonical text. Letters and digits are never escaped there, so an
+    escaped character counts as any other that is none: as `_`."""
+    plain = F.regexp_replace(F.to_json(F.try_parse_json(json)), r"\\(?:u[0-9A-Fa-f]{4}|.)", "_")
     names = F.regexp_extract_all(plain, F.lit(r'"([^"]*+)"\s*:'), F.lit(1))
     return F.coalesce(F.exists(names, lambda n: normalize_key(n).isin(*FORBIDDEN_KEYS)), F.lit(False))
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intervals import add_seconds, bucket, close_time, utc_date, utc_floor, utc_hour
-from ..schemas import CANDLE_COLUMNS, KEY
+from ..operators.quality import interior_gaps
+from ..schemas import CANDLE_COLUMNS, KEY, PRICES, VOLUMES
 
 PRICE = "CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(38,18))"
 
@@ -82,10 +83,18 @@ def dense_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*CANDLE_COLUMNS)
 
 
-def first_hours(bars: DataFrame, hours: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(the bars in the first hours of each key, ranges): dense bars have no gap there."""
-    ranges = bars.groupBy(*KEY).agg(F.min("open_time").alias("start")).withColumn("end", add_seconds(F.col("start"), hours * 3600))
-    return bars.join(ranges, KEY).filter("open_time < end").select(*CANDLE_COLUMNS), ranges
+def solid_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense bars with every gap between them filled by idle hours at price 1."""
+    dense = dense_1h(spark, sf_dir)
+    one, none = (F.lit(x).cast("decimal(38,18)") for x in (1, 0))
+    idle = interior_gaps(dense).select(*KEY, F.explode(F.sequence("gap_start", add_seconds(F.col("gap_end"), -3600), F.expr("INTERVAL 1 HOUR"))).alias("open_time"))
+    idle = idle.withColumns({**dict.fromkeys(PRICES, one), **dict.fromkeys(VOLUMES, none), "trade_count": F.lit(0).cast("long"), "close_time": close_time(F.col("open_time"), 3600), "source": F.lit("idle"), "source_file": F.concat(F.lit("idle-"), F.date_format(utc_date(F.col("open_time")), "yyyy-MM-dd"))})
+    return dense.unionByName(idle.select(*CANDLE_COLUMNS))
+
+
+def ranges_of(bars: DataFrame) -> DataFrame:
+    """Each key from its first bar to the end of its last."""
+    return bars.groupBy(*KEY).agg(F.min("open_time").alias("start"), add_seconds(F.max("open_time"), 3600).alias("end"))
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -113,8 +122,10 @@ DENSE = """
 dense AS (SELECT venue, market_type, symbol, "interval", h AS open_time, min(open) AS open, max(high) AS high, min(low) AS low, max(close) AS close, CAST(sum(base_asset_volume) AS DECIMAL(38,18)) AS base_asset_volume,
        h + INTERVAL 3599999 MILLISECOND AS close_time, CAST(sum(quote_asset_volume) AS DECIMAL(38,18)) AS quote_asset_volume, CAST(sum(trade_count) AS BIGINT) AS trade_count,
        CAST(sum(taker_buy_base_volume) AS DECIMAL(38,18)) AS taker_buy_base_volume, CAST(sum(taker_buy_quote_volume) AS DECIMAL(38,18)) AS taker_buy_quote_volume, 'events' AS source, 'dense-' || strftime(h, '%Y-%m-%d') AS source_file
-       FROM (SELECT *, unnest(generate_series(open_time, open_time + INTERVAL 29 HOUR, INTERVAL 1 HOUR)) AS h FROM bars) GROUP BY venue, market_type, symbol, "interval", h),
-early AS (SELECT d.* FROM dense d JOIN (SELECT symbol, min(open_time) AS s FROM dense GROUP BY symbol) USING (symbol) WHERE open_time < s + INTERVAL 30 HOUR)"""
+       FROM (SELECT *, unnest(generate_series(open_time, open_time + INTERVAL 29 HOUR, INTERVAL 1 HOUR)) AS h FROM bars) GROUP BY venue, market_type, symbol, "interval", h)"""
+SOLID = """
+idle AS (SELECT venue, market_type, symbol, "interval", unnest(generate_series(a, b - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS open_time FROM (SELECT *, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) + INTERVAL 1 HOUR AS a, open_time AS b FROM dense) WHERE b > a),
+solid AS (SELECT * FROM dense UNION ALL SELECT venue, market_type, symbol, "interval", open_time, 1, 1, 1, 1, 0, open_time + INTERVAL 3599999 MILLISECOND, 0, 0, 0, 0, 'idle', 'idle-' || strftime(open_time, '%Y-%m-%d') FROM idle)"""
 ALTERED = """
 altered AS (SELECT * REPLACE (CASE WHEN hour(open_time) = 7 THEN CAST(close + 1 AS DECIMAL(38,18)) ELSE close END AS close) FROM bars WHERE hour(open_time) % 5 <> 0
        UNION ALL SELECT * REPLACE (symbol || '-new' AS symbol) FROM bars WHERE hour(open_time) = 5)"""

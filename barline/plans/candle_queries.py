@@ -19,7 +19,7 @@ from ..sources.staging import shared_folder
 from ..sources.tables import expected_partitions, page_candles, read_candles, write_candles
 from ..sources.tables import latest_run as newest_run
 from ..sources.tables import partition_inventory as inventory
-from ..streaming.resample import resample_stream
+from ..streaming.resample import STATE_STORE, resample_early, resample_stream
 from ..streaming.sync import catchup_split as split_catchup
 from ..streaming.sync import sync_window as window_to_sync
 from . import jobs
@@ -487,6 +487,22 @@ def stream_resample(spark, sf_dir):
     return spark.read.schema(bars.schema).parquet(f"{root}/out").filter(F.col("open_time") < utc("2199-01-01"))
 
 
+@query(_resample_sql("4h", 14400))
+def stream_resample_early(spark, sf_dir):
+    """The 4-hour bars once more, from a stream that no later bar closes: each comes with its last child,
+    long before the watermark (seven days behind) passes it."""
+    root = shared(spark, "early")
+    bars = dense_1h(spark, sf_dir)
+    bars.write.parquet(f"{root}/in")
+    session = spark.newSession()
+    session.conf.set(*STATE_STORE)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = session.readStream.schema(bars.schema).parquet(f"{root}/in")
+    query = resample_early(stream, "1h", "4h").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(bars.schema).parquet(f"{root}/out")
+
+
 _MIDDLE = "(SELECT min(open_time) + (max(open_time) - min(open_time)) / 2 FROM bars)"
 
 

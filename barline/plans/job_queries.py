@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import add_seconds, utc_date, utc_hour
@@ -17,9 +17,11 @@ from ..operators import manifest, merge
 from ..schemas import CANDLE, CANDLE_COLUMNS, KEY
 from ..sources.archives import archive_lines, parse_kline_csv, verify_checksums
 from ..sources.tables import read_candles, write_candles
-from ..streaming.sync import read_runs, stored_bars, sync
+from ..sources.summaries import read_summary, stored_bars, stored_gaps
+from ..streaming.runs import read_runs, run_events
+from ..streaming.sync import GapsRemain, sync
 from . import jobs
-from .bars import ALTERED, DENSE, altered, bars_1h, dense_1h, first_hours, flat, sql
+from .bars import ALTERED, DENSE, SOLID, altered, bars_1h, dense_1h, flat, ranges_of, solid_1h, sql
 from .candle_queries import _COLS, _KEYS, _kline_fields, shared
 
 QUERIES: dict = {}
@@ -164,62 +166,118 @@ def aggregate_job(spark, sf_dir):
     return jobs.resample_months(dense, dense, shared(spark, "rolled"), ("4h", "1d"), "1h").select("symbol", "interval", "open_time", "low", "high", "trade_count")
 
 
-@query(sql(f"SELECT {_COLS} FROM early", DENSE))
+@query(sql(f"SELECT {_COLS} FROM solid", DENSE, SOLID))
 def export_job(spark, sf_dir):
-    """The first thirty hours of each symbol, exported and read back."""
+    """Gap-free bars, validated, exported and read back."""
     root = shared(spark, "export")
-    bars, ranges = first_hours(dense_1h(spark, sf_dir))
-    jobs.export(spark, bars, ranges, root)
+    bars = jobs.stage(solid_1h(spark, sf_dir), shared(spark, "solid"))
+    jobs.export(spark, bars, ranges_of(bars), root)
     return read_candles(spark, root).select(*CANDLE_COLUMNS)
 
 
-@query(sql(_rolled("early"), DENSE))
+@query(sql(_rolled("solid"), DENSE, SOLID))
 def full_build(spark, sf_dir):
     """Archives without every seventh hour, pages with those: import, repair, roll up, export."""
     root = shared(spark, "build")
-    bars, ranges = first_hours(dense_1h(spark, sf_dir))
+    bars = jobs.stage(solid_1h(spark, sf_dir), shared(spark, "solid"))
     gone = utc_hour(F.col("open_time")) % 7 == 0
     files, sums = landed(bars.filter(~gone))
-    jobs.full_build(files, sums, bars.filter(gone), ranges, *_YEARS, constants(), root, shared(spark, "work"), ("4h", "1d"), "1h")
+    jobs.full_build(files, sums, bars.filter(gone), ranges_of(bars), *_YEARS, constants(), root, shared(spark, "work"), ("4h", "1d"), "1h")
     return read_candles(spark, root).select("symbol", "interval", "open_time", "low", "high", "trade_count")
 
 
-@query(sql("""SELECT 1 AS run, 'succeeded' AS status, count(*) AS rows_fetched, count(*) AS rows_inserted, CAST(0 AS BIGINT) AS rows_repaired, count(DISTINCT symbol || strftime(open_time, '%Y-%m')) + count(DISTINCT CASE WHEN whole4 THEN symbol || strftime(open_time, '%Y-%m') END) + 0 AS partitions_verified, NULL::VARCHAR AS error
-    FROM (SELECT *, count(*) OVER (PARTITION BY symbol, time_bucket(INTERVAL 4 HOUR, open_time, TIMESTAMP '1970-01-01')) = 4 AS whole4 FROM early WHERE open_time < (SELECT min(open_time) FROM early) + INTERVAL 12 HOUR)
-    UNION ALL SELECT 2, 'noop', 0, 0, 0, 0, NULL
-    UNION ALL SELECT 3, 'failed', 2 * count(*), 0, 0, 0, 'ConflictError' FROM early WHERE open_time >= (SELECT min(open_time) FROM early) + INTERVAL 12 HOUR
-    UNION ALL SELECT 4, 'failed', count(*), 0, 0, 0, 'BadRowsError' FROM early WHERE open_time >= (SELECT min(open_time) FROM early) + INTERVAL 12 HOUR""", DENSE))
-def sync_runs(spark, sf_dir):
-    """Run records of four syncs: twelve hours, the same again, a batch that contradicts itself, one with
-    broken rows. The first two cover one window, so the second has nothing to do."""
+class Killed(BaseException):
+    """Stands for a process that dies: no handler of errors sees it."""
+
+
+#: The six syncs are looked at by several queries; a session runs them once for each input.
+_DONE: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def _syncs(spark, sf_dir) -> tuple[str, str]:
+    """(table, run log) after six syncs of the dense bars: the first twelve hours; the same again; all the rest in a
+    batch that contradicts itself, in one with broken rows, in one whose process dies before the
+    months are written; and then whole. The last one finds gaps that nothing fills."""
+    made = (spark.sparkContext.applicationId, sf_dir)
+    if made in _DONE:
+        return _DONE[made]
     root, log = shared(spark, "sync"), shared(spark, "sync-log")
-    bars, ranges = first_hours(dense_1h(spark, sf_dir))
-    bars = jobs.stage(bars, log)
-    keys = ranges.select(*KEY, "start")
-    first = bars.agg(F.unix_micros(F.min("open_time"))).first()[0]
-    noon, end = (datetime.fromtimestamp(first / 1_000_000 + h * 3600, timezone.utc) for h in (12, 20_000))
+    bars = jobs.stage(dense_1h(spark, sf_dir), log)
+    keys = bars.groupBy(*KEY).agg(F.min("open_time").alias("start"))
+    first, last = bars.agg(F.unix_micros(F.min("open_time")), F.unix_micros(F.max("open_time"))).first()
+    noon, end = (datetime.fromtimestamp(at / 1_000_000 + h * 3600, timezone.utc) for at, h in ((first, 12), (last, 1)))
     twice = bars.unionByName(bars.withColumn("trade_count", F.col("trade_count") + 1))
     broken = bars.withColumn("low", F.col("high") + 1).withColumn("low", F.col("low").cast("decimal(38,18)"))
-    for batch, until in ((bars, noon), (bars, noon), (twice, end), (broken, end)):
+
+    def dies(stage: str) -> None:
+        if stage == "export":
+            raise Killed
+
+    for batch, until, on_stage in ((bars, noon, None), (bars, noon, None), (twice, end, None), (broken, end, None), (bars, end, dies), (bars, end, None)):
         try:
-            sync(spark, batch, keys, root, log, until, levels=("4h", "1d"), base="1h")
-        except ValueError:
-            pass  # the record tells
-    runs = read_runs(spark, log).orderBy("started_at").collect()
-    rows = [(i + 1, r.status, r.rows_fetched, r.rows_inserted, r.rows_repaired, r.partitions_verified, r.error_message and r.error_message.split(":")[0]) for i, r in enumerate(runs)]
-    return spark.createDataFrame(rows, "run int, status string, rows_fetched long, rows_inserted long, rows_repaired long, partitions_verified long, error string")
+            sync(spark, batch, keys, root, log, until, levels=("4h", "1d"), base="1h", on_stage=on_stage)
+        except (ValueError, GapsRemain, Killed):
+            pass  # the records tell
+    _DONE[made] = root, log
+    return root, log
+
+
+_SYNCS = f"""
+ends AS (SELECT min(open_time) + INTERVAL 12 HOUR AS noon, max(open_time) + INTERVAL 1 HOUR AS stop FROM dense),
+late AS (SELECT dense.* FROM dense, ends WHERE open_time >= noon),
+steps AS (SELECT symbol, open_time, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS prev FROM dense),
+left_open AS (SELECT (SELECT count(*) FROM steps WHERE open_time > prev + INTERVAL 1 HOUR) + (SELECT count(*) FROM (SELECT max(open_time) AS m FROM dense GROUP BY symbol), ends WHERE m + INTERVAL 1 HOUR < stop) AS gaps),
+rolled AS ({_rolled("dense")}),
+starts AS (SELECT symbol, greatest(min(open_time), noon) AS s FROM dense, ends GROUP BY symbol, noon),
+held AS (SELECT count(DISTINCT ("interval", symbol, date_trunc('month', open_time))) AS parts FROM rolled JOIN starts USING (symbol) WHERE date_trunc('month', open_time) >= date_trunc('month', s)),
+early AS (SELECT dense.* FROM dense, ends WHERE open_time < noon)"""
+
+
+@query(sql("""SELECT 1 AS run, 'succeeded' AS status, count(*) AS rows_fetched, count(*) AS rows_inserted, CAST(0 AS BIGINT) AS rows_repaired, CAST(0 AS BIGINT) AS gaps_remaining, count(DISTINCT symbol || strftime(open_time, '%Y-%m')) + count(DISTINCT CASE WHEN whole4 THEN symbol || strftime(open_time, '%Y-%m') END) AS partitions_verified, NULL::VARCHAR AS error
+    FROM (SELECT *, count(*) OVER (PARTITION BY symbol, time_bucket(INTERVAL 4 HOUR, open_time, TIMESTAMP '1970-01-01')) = 4 AS whole4 FROM early)
+    UNION ALL SELECT 2, 'noop', 0, 0, 0, 0, 0, NULL
+    UNION ALL SELECT 3, 'failed', 2 * count(*), 0, 0, 0, 0, 'ConflictError' FROM late
+    UNION ALL SELECT 4, 'failed', count(*), 0, 0, 0, 0, 'BadRowsError' FROM late
+    UNION ALL SELECT 5, 'interrupted', count(*), count(*), 0, any_value(gaps), 0, NULL FROM late, left_open
+    UNION ALL SELECT 6, CASE WHEN any_value(gaps) > 0 THEN 'failed' ELSE 'succeeded' END, count(*), count(*), 0, any_value(gaps), any_value(parts), CASE WHEN any_value(gaps) > 0 THEN 'GapsRemain' END FROM late, left_open, held""", DENSE, _SYNCS))
+def sync_runs(spark, sf_dir):
+    """The folded record of each of the six syncs."""
+    runs = read_runs(spark, _syncs(spark, sf_dir)[1]).orderBy("started_at").collect()
+    rows = [(i + 1, r.status, r.rows_fetched, r.rows_inserted, r.rows_repaired, r.gaps_remaining, r.partitions_verified, r.error_message and r.error_message.split(":")[0]) for i, r in enumerate(runs)]
+    return spark.createDataFrame(rows, "run int, status string, rows_fetched long, rows_inserted long, rows_repaired long, gaps_remaining long, partitions_verified long, error string")
+
+
+_STAGES = [("starting", "merge", "validate", "aggregate", "export", "verify", "complete"), ("starting", "complete"), ("starting", "merge", "merge"), ("starting", "starting"), ("starting", "merge", "validate", "aggregate", "export", "export"), ("starting", "merge", "validate", "aggregate", "export", "verify", "")]
+_ENDS = ["'succeeded'", "'noop'", "'failed'", "'failed'", "'interrupted'", "CASE WHEN gaps > 0 THEN 'failed' ELSE 'succeeded' END"]
+_EVENTS = " UNION ALL ".join(
+    f"""SELECT {i + 1} AS run, {k} AS step, {"CASE WHEN gaps > 0 THEN 'verify' ELSE 'complete' END" if not stage else f"'{stage}'"} AS stage, {_ENDS[i] if k == len(stages) - 1 else "'running'"} AS status, CAST({"0" if k == 0 else f"CASE {i} WHEN 0 THEN (SELECT count(*) FROM early) WHEN 1 THEN 0 WHEN 2 THEN 2 * (SELECT count(*) FROM late) ELSE (SELECT count(*) FROM late) END"} AS BIGINT) AS rows_fetched FROM left_open"""
+    for i, stages in enumerate(_STAGES) for k, stage in enumerate(stages)
+)
+
 
+@query(sql(_EVENTS, DENSE, _SYNCS))
+def sync_stages(spark, sf_dir):
+    """Every record that the six syncs left: one before the work, one a stage, one at the end; the one that
+    died has its end from the next one."""
+    events = run_events(spark, _syncs(spark, sf_dir)[1])
+    number = F.dense_rank().over(Window.orderBy("started_at"))  # six runs
+    return events.select(number.alias("run"), "step", "stage", "status", "rows_fetched")
 
-@query(sql(_rolled("early"), DENSE))
+
+@query(sql(_rolled("dense"), DENSE))
 def sync_table(spark, sf_dir):
-    """The table after syncs that end at different hours."""
-    root, log = shared(spark, "sync"), shared(spark, "sync-log")
-    bars, ranges = first_hours(dense_1h(spark, sf_dir))
-    bars = jobs.stage(bars, log)
-    first = bars.agg(F.unix_micros(F.min("open_time"))).first()[0]
-    for hours in (14, 20_000):
-        sync(spark, bars, ranges.select(*KEY, "start"), root, log, datetime.fromtimestamp(first / 1_000_000 + hours * 3600, timezone.utc), levels=("4h", "1d"), base="1h")
-    return stored_bars(spark, root).select("symbol", "interval", "open_time", "low", "high", "trade_count")
+    """The table after the six syncs."""
+    return stored_bars(spark, _syncs(spark, sf_dir)[0]).select("symbol", "interval", "open_time", "low", "high", "trade_count")
+
+
+@query(sql("""SELECT symbol, "interval", count(*) AS rows, min(open_time) AS first_open, max(open_time) AS last_open, CAST(coalesce(sum(gap), 0) AS BIGINT) AS gaps FROM (
+    SELECT *, CASE WHEN open_time > lag(open_time) OVER (PARTITION BY symbol, "interval" ORDER BY open_time) + CASE "interval" WHEN '1h' THEN INTERVAL 1 HOUR WHEN '4h' THEN INTERVAL 4 HOUR ELSE INTERVAL 24 HOUR END THEN 1 ELSE 0 END AS gap FROM rolled) GROUP BY ALL""", DENSE, _SYNCS))
+def sync_summaries(spark, sf_dir):
+    """What the summaries of the months tell of the table after the six syncs, without reading it."""
+    summary = read_summary(spark, _syncs(spark, sf_dir)[1] + "/months")
+    ends = summary.groupBy(*KEY).agg(F.sum("rows").alias("rows"), F.min("first_open").alias("first_open"), F.max("last_open").alias("last_open"))
+    gaps = stored_gaps(summary).groupBy(*KEY).agg(F.count("*").alias("gaps"))
+    return ends.join(gaps, KEY, "left").select("symbol", "interval", "rows", "first_open", "last_open", F.coalesce("gaps", F.lit(0)).alias("gaps"))
 
 
 @query(sql(f"SELECT {_KEYS}, open_time FROM bars WHERE hour(open_time) = 7"))

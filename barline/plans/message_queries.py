@@ -73,11 +73,17 @@ def json_exact_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", x["missing"].alias("missing"), x["extra"].alias("extra"))
 
 
-@query("""SELECT event_id, '$.meta[0].' || k AS path FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'API-Key' ELSE 'Secret Key' END AS k FROM events WHERE event_id % 7 = 0)""")
+#: Forbidden names in the forms that JSON can give them: as JSON text, and as SQL.
+_FORBIDDEN = [("API-Key", "'API-Key'"), ("Secret Key", "'Secret Key'"), (r"api\"key", """'api"key'"""), (r"api\\key", r"'api\key'"), (r"api\nkey", "'api' || chr(10) || 'key'"), (r"\u0061pi\u0001\u006bey", "'api' || chr(1) || 'key'"), (r"\tSecret\t/Key\"", """chr(9) || 'Secret' || chr(9) || '/Key"'""")]
+
+
+@query("SELECT event_id, '$.meta[0].' || CASE event_id // 7 % 7 " + " ".join(f"WHEN {i} THEN {name}" for i, (_, name) in enumerate(_FORBIDDEN)) + " END AS path FROM events WHERE event_id % 7 = 0")
 def forbidden_keys(spark, sf_dir):
-    """Event properties wrapped in a nested object; every seventh carries a forbidden name."""
-    name = F.when(F.col("event_id") % 7 != 0, "plain").when(F.col("event_id") % 2 == 0, "API-Key").otherwise("Secret Key")
-    e = table(spark, sf_dir, "events").withColumn("json", F.concat(F.lit('{"meta": [{"'), name, F.lit('": 1}], "props": '), F.coalesce("props", F.lit("{}")), F.lit("}")))
+    """Event properties wrapped in a nested object; every seventh carries a forbidden name, plain or with
+    quotes, back slashes, line breaks and other escaped characters in it."""
+    forms = F.array(*[F.lit(x) for x, _ in _FORBIDDEN])
+    name = F.when(F.col("event_id") % 7 != 0, F.lit(r"pl\"ain")).otherwise(forms[(F.floor(F.col("event_id") / 7) % 7).cast("int")])
+    e = table(spark, sf_dir, "events").withColumn("json", F.concat(F.lit('{"meta": [{"'), name, F.lit('": "a \\\\\\"token\\\\\\": b"}], "props": '), F.coalesce("props", F.lit("{}")), F.lit("}")))
     return messages.forbidden_keys(e, "json", ["event_id"])
 
 

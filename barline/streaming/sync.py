@@ -1,21 +1,28 @@
-"""Incremental sync: work windows, and a landing-folder stream that merges and rewrites touched months."""
+"""Incremental sync: work windows, and a landing-folder stream that merges and rewrites touched months.
+
+Only months that the work touches are read. What the rest of the table holds is known from the
+summaries that are written with each month (`<run log>/months`); a run that died may have left months
+newer than their summaries, so the next run first summarizes the months that run named.
+"""
 
 from __future__ import annotations
 
-import uuid
-from datetime import datetime, timezone
+from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.intervals import add_seconds, interval_seconds, utc_date
+from ..functions.intervals import add_seconds, interval_seconds, touched_months, utc_date
 from ..operators.merge import ConflictError, cell_diff, merge
-from ..operators.quality import interior_gaps, rule_codes, watermark
+from ..operators.quality import find_gaps, interior_gaps, rule_codes
 from ..operators.resample import resample_ladder
-from ..schemas import CANDLE, CANDLE_COLUMNS, KEY
-from ..sources.staging import stage
-from ..sources.tables import PLACED, append_run_record, latest_run, read_candles, write_candles
+from ..schemas import CANDLE, CANDLE_COLUMNS, KEY, ROW_KEY
+from ..sources.staging import exists, stage
+from ..sources.summaries import append_summary, month_of, read_summary, stored_bars, stored_ends, stored_gaps, stored_months
+from ..sources.tables import write_candles
+from .runs import Run, close_interrupted, read_runs
 
 
 def sync_window(watermarks: DataFrame, gaps: DataFrame, end: Column, days: int = 7) -> DataFrame:
@@ -36,118 +43,159 @@ def catchup_split(windows: DataFrame, days: int = 7) -> tuple[DataFrame, DataFra
     return archive, pages
 
 
-#: A run's record; counters are there on every way out.
-RUN = """id string, venue string, market_type string, symbol string, interval string, range_start timestamp, range_end timestamp, stage string, status string, rows_fetched long, rows_inserted long,
-    rows_repaired long, gaps_remaining long, partitions_verified long, started_at timestamp, finished_at timestamp, error_message string"""
+class BadRowsError(ValueError):
+    """Incoming or recently stored bars break a rule; nothing was merged."""
+
 
+class BootstrapRequired(ValueError):
+    """A key has no stored bar and no start to begin at."""
 
-class BadRowsError(ValueError):
-    """Incoming bars break a rule; nothing was merged."""
 
+class GapsRemain(RuntimeError):
+    """What could be merged was, but the work range still has gaps."""
 
-def apply_batch(batch: DataFrame, root: str, run_log: str, levels: tuple[str, ...] = ("15m", "1h", "4h", "1d"), base: str = "1m") -> DataFrame:
+
+MONTH = [*KEY[:3], "year", "month"]
+
+
+def apply_batch(batch: DataFrame, root: str, run_log: str, levels: tuple[str, ...] = ("15m", "1h", "4h", "1d"), base: str = "1m", on_stage: Callable[[str], None] | None = None) -> DataFrame:
     """Merge bars of `base` into the table, roll the touched months up again, rewrite them, check what
-    was written against what was meant, and return the run's record, which is logged on every way out.
+    was written against what was meant, and return the run's record.
 
-    Replays change nothing. A batch with a row that breaks a rule, or that contradicts stored
-    bars or itself, is refused whole: the record says failed, and the error is raised.
+    The run is logged before the work, at every stage and on every way out; `on_stage` is told each
+    stage after it is logged. Replays change nothing. A batch with a row that breaks a rule, or that
+    contradicts stored bars or itself, is refused whole: the record says failed, and the error is raised.
     """
-    spark = batch.sparkSession
-    started = datetime.now(timezone.utc)
-    row = dict.fromkeys([x.split()[0] for x in RUN.split(",")])
-    row |= {"id": str(uuid.uuid4()), "interval": base, "stage": "fetch", "status": "running", "started_at": started, "rows_fetched": 0, "rows_inserted": 0, "rows_repaired": 0, "gaps_remaining": 0, "partitions_verified": 0}
+    recover(batch.sparkSession, root, run_log)
+    run = Run(batch.sparkSession, run_log, on_stage, interval=base)
+    return _logged(run, lambda: _merge_batch(batch, root, run_log, levels, base, run, None))
+
+
+def _logged(run: Run, work: Callable[[], None]) -> DataFrame:
+    """Do the work and end the run by what comes of it; a killed process ends nothing."""
     try:
-        _merge_batch(batch, root, run_log, levels, base, row)
-        row["status"] = "succeeded" if row["rows_fetched"] else "noop"
+        work()
     except Exception as error:
-        row |= {"status": "failed", "error_message": f"{type(error).__name__}: {error}"[:1000]}
+        run.finish("failed", error)
         raise
-    finally:
-        row["finished_at"] = datetime.now(timezone.utc)
-        record = spark.createDataFrame([tuple(row.values())], RUN)
-        append_run_record(record.withColumn("observed_at", F.col("finished_at")), run_log + "/runs")
-    return record
+    return run.finish("succeeded" if run.row["rows_fetched"] else "noop")
 
 
-def _merge_batch(batch: DataFrame, root: str, run_log: str, levels: tuple[str, ...], base: str, row: dict) -> None:
+def recover(spark: SparkSession, root: str, run_log: str) -> None:
+    """Close the runs that died, and summarize the months that they may have rewritten. A table that was
+    written without summaries is summarized whole, once."""
+    left = close_interrupted(spark, run_log)
+    path = f"{run_log}/months"
+    if not exists(spark, path):
+        if exists(spark, root):
+            append_summary(stored_bars(spark, root), path)
+        return
+    for work in left:
+        append_summary(stored_months(spark, root, spark.read.parquet(work)), path)
+
+
+def _merge_batch(batch: DataFrame, root: str, run_log: str, levels: tuple[str, ...], base: str, run: Run, windows: DataFrame | None) -> None:
     spark = batch.sparkSession
-    incoming = stage(batch.select(*CANDLE_COLUMNS), run_log)
-    fetched, bad, first, last = incoming.agg(F.count("*"), F.count_if((F.size(rule_codes()) > 0) | (F.col("interval") != base)), F.min("open_time"), F.max("open_time")).first()
-    row |= {"rows_fetched": fetched, "range_start": first, "range_end": last, "stage": "merge"}
-    row |= incoming.agg(*[F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in KEY[:3]]).first().asDict()  # null over several keys
-    if bad:
-        raise BadRowsError(f"{bad} incoming bars break a rule")
-    if not fetched:
+    seen = Observation()
+    ends = [F.struct(F.min(c), F.max(c)).alias(c) for c in KEY[:3]]
+    facts = [F.count(F.lit(1)).alias("rows"), F.count_if((F.size(rule_codes()) > 0) | (F.col("interval") != base)).alias("bad"), F.min(F.unix_micros("open_time")).alias("first"), F.max(F.unix_micros("open_time")).alias("last")]
+    incoming = stage(batch.select(*CANDLE_COLUMNS).observe(seen, *facts, *ends), run_log)
+    got = seen.get
+    run.note(rows_fetched=got["rows"], **{c: low for c in KEY[:3] for low, high in [got[c]] if low == high})  # null over several keys
+    if got["rows"] and windows is None:
+        run.note(**{f"range_{x}": datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=got[y]) for x, y in (("start", "first"), ("end", "last"))})
+    if got["bad"]:
+        raise BadRowsError(f"{got['bad']} incoming bars break a rule")
+    months = month_of(incoming).select(*MONTH)
+    if windows is not None:
+        day = utc_date(F.col("month"))
+        months = months.unionByName(touched_months(windows).select(*KEY[:3], F.date_format(day, "yyyy").alias("year"), F.date_format(day, "MM").alias("month")))
+    elif not got["rows"]:
         return
-    day = utc_date(F.col("open_time"))
-    months = incoming.select(*KEY[:3], F.date_format(day, "yyyy").alias("year"), F.date_format(day, "MM").alias("month")).distinct()
-    months = stage(months, run_log)
-    minutes = stored_bars(spark, root).join(months, [*KEY[:3], "year", "month"], "left_semi").filter(F.col("interval") == base).select(*CANDLE_COLUMNS)
-    minutes = stage(minutes, run_log)
-    result = merge(minutes, incoming)
+    months = months.distinct()
+    work = f"{run_log}/touched/{run.row['id']}"
+    months.write.parquet(work)
+    months = spark.read.schema(months.schema).parquet(work)
+    run.advance("merge", work=work)
+    stored = stage(stored_months(spark, root, months).filter(F.col("interval") == base).select(*CANDLE_COLUMNS), run_log)
+    result = merge(stored, incoming)
     clash = result.conflicts.limit(1).collect()
     if clash:
         raise ConflictError(f"an incoming bar contradicts another: {clash[0].asDict()}")
-    gaps = interior_gaps(minutes)
-    whole = stage(minutes.unionByName(result.inserted), run_log)
-    row["rows_inserted"] = whole.count() - minutes.count()
-    filled = result.inserted.join(gaps, KEY).filter("open_time >= gap_start AND open_time < gap_end") if row["rows_inserted"] else None
-    row |= {"rows_repaired": filled.count() if filled is not None else 0, "gaps_remaining": interior_gaps(whole).count(), "stage": "aggregate"}
-    everything = stage(_with_levels(whole, levels, base, run_log), run_log)
-    row["stage"] = "export"
-    write_candles(everything, root)
-    row["stage"] = "verify"
-    written = stored_bars(spark, root).join(months, [*KEY[:3], "year", "month"], "left_semi")
-    if cell_diff(everything, written.select(*CANDLE_COLUMNS)).limit(1).count():
-        raise RuntimeError("written bars differ from the merged ones")
-    row["partitions_verified"] = written.select(*KEY, "year", "month").distinct().count()
-
-
-def _with_levels(bars: DataFrame, levels: tuple[str, ...], base: str, work: str) -> DataFrame:
+    known = stored_ends(read_summary(spark, f"{run_log}/months").filter(F.col("interval") == base)).drop("interval")
+    added = Observation()
+    between = result.inserted.join(known, KEY[:3], "left").withColumn("__fills", F.coalesce((F.col("open_time") > F.col("first_open")) & (F.col("open_time") < F.col("watermark")), F.lit(False)))
+    fresh = stage(between.observe(added, F.count(F.lit(1)).alias("rows"), F.count_if("__fills").alias("fills")).select(*CANDLE_COLUMNS), run_log)
+    run.note(rows_inserted=added.get["rows"], rows_repaired=added.get["fills"])
+    whole = stored.unionByName(fresh)
+    run.advance("validate")
+    run.note(gaps_remaining=(interior_gaps(whole) if windows is None else find_gaps(whole, windows)).count())
+    if added.get["rows"]:
+        run.advance("aggregate")
+        everything = stage(_with_levels(whole, levels, base), run_log)
+        run.advance("export")
+        write_candles(everything, root)
+        append_summary(everything, f"{run_log}/months")
+        run.advance("verify")
+        written = stored_months(spark, root, months)
+        if cell_diff(everything, written.select(*CANDLE_COLUMNS)).limit(1).count():
+            raise RuntimeError("written bars differ from the merged ones")
+        run.note(partitions_verified=written.select(*KEY, "year", "month").distinct().count())
+    if windows is not None and run.row["gaps_remaining"]:
+        raise GapsRemain(f"{run.row['gaps_remaining']} gaps remain in the work range")
+
+
+def _with_levels(bars: DataFrame, levels: tuple[str, ...], base: str) -> DataFrame:
     out = bars
     for rolled in resample_ladder(bars, levels, base).values():
         out = out.unionByName(rolled)
     return out
 
 
-def sync(spark: SparkSession, available: DataFrame, keys: DataFrame, root: str, run_log: str, end: datetime, days: int = 7, levels: tuple[str, ...] = ("15m", "1h", "4h", "1d"), base: str = "1m") -> DataFrame:
+def sync(
+    spark: SparkSession, available: DataFrame, keys: DataFrame, root: str, run_log: str, end: datetime, days: int = 7, levels: tuple[str, ...] = ("15m", "1h", "4h", "1d"), base: str = "1m", on_stage: Callable[[str], None] | None = None
+) -> DataFrame:
     """One sync up to `end`: the work window of each key (from the first recent gap, else after the
-    newest bar; keys (venue, market_type, symbol, interval, start) that have none begin at `start`),
-    the landed bars inside it, one merge. Returns the run's record. Runs that were left running are
-    logged as interrupted first."""
-    stored = stage(stored_bars(spark, root).filter(F.col("interval") == base).select(*CANDLE_COLUMNS), run_log)
-    limit = F.lit(end.astimezone(timezone.utc) if end.tzinfo else end.replace(tzinfo=timezone.utc))
-    known = sync_window(watermark(stored), interior_gaps(stored), limit, days)
-    fresh = keys.join(stored.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, "start", limit.alias("end")).filter("start < end")
-    old, new = catchup_split(known.unionByName(fresh), days)
-    windows = stage(old.unionByName(new), run_log)
-    close_interrupted(spark, run_log)
-    rows = available.filter(F.col("interval") == base).join(windows, KEY).filter("open_time >= start AND open_time < end").select(*CANDLE_COLUMNS)
-    return apply_batch(rows, root, run_log, levels, base)
-
-
-def read_runs(spark: SparkSession, run_log: str) -> DataFrame:
-    """The newest record of each run."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_log + "/runs")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], RUN + ", observed_at timestamp")
-    return latest_run(spark.read.schema(RUN + ", observed_at timestamp").json(run_log + "/runs"), ["id"])
-
-
-def close_interrupted(spark: SparkSession, run_log: str) -> None:
-    """Log every run that is still 'running' as interrupted."""
-    open_runs = stage(read_runs(spark, run_log).filter("status = 'running'"), run_log)
-    if open_runs.limit(1).count():
-        now = F.current_timestamp()
-        append_run_record(open_runs.withColumns({"status": F.lit("interrupted"), "finished_at": now, "observed_at": now}), run_log + "/runs")
-
-
-def stored_bars(spark: SparkSession, root: str) -> DataFrame:
-    """The table at `root`, empty where nothing was written yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], PLACED)
-    return read_candles(spark, root)
+    newest bar), the landed bars inside it, one merge. Returns the run's record.
+
+    Keys (venue, market_type, symbol, interval, start) without stored bars begin at `start`; where it is
+    null they need a bootstrap first, and the run fails. Runs that died are closed as interrupted. A
+    run is refused while stored bars of the last `days` days break a rule or repeat a key, and it fails
+    when its work range still has gaps at the end, with what could be merged in place.
+    """
+    recover(spark, root, run_log)
+    limit_at = end.astimezone(timezone.utc) if end.tzinfo else end.replace(tzinfo=timezone.utc)
+    limit = F.lit(limit_at)
+    summary = stage(read_summary(spark, f"{run_log}/months").filter(F.col("interval") == base), run_log)
+    stored = stored_ends(summary)
+    known = sync_window(stored.drop("first_open"), stored_gaps(summary), limit, days)
+    unknown = keys.join(stored, KEY, "left_anti")
+    fresh = unknown.select(*KEY, "start", limit.alias("end")).filter("start < end")
+    windows = stage(known.unionByName(fresh), run_log)
+    first = windows.agg(F.unix_micros(F.min("start"))).first()[0]
+    begin = None if first is None else datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=first)
+    run = Run(spark, run_log, on_stage, interval=base, range_start=begin, range_end=limit_at)
+
+    def work() -> None:
+        empty = [tuple(r) for r in unknown.filter("start IS NULL").select(*KEY).limit(1).collect()]
+        if empty:
+            run.note(stage="bootstrap_required")
+            raise BootstrapRequired(f"{empty[0]} has no stored bars; give a start or run the historical import first")
+        if begin is None:
+            return
+        recent = touched_months(windows.select(*KEY[:3], F.greatest("start", F.lit(limit_at - timedelta(days=days))).alias("start"), "end"))
+        day = utc_date(F.col("month"))
+        months = stage(recent.select(*KEY[:3], F.date_format(day, "yyyy").alias("year"), F.date_format(day, "MM").alias("month")).distinct(), run_log)
+        if summary.join(months, MONTH, "left_semi").filter("bad_rows > 0").limit(1).count():
+            raise BadRowsError("recently stored bars break a rule")
+        if stored_months(spark, root, months).filter(F.col("interval") == base).groupBy(*ROW_KEY).count().filter("count > 1").limit(1).count():
+            raise BadRowsError("recently stored bars repeat a key")
+        # older than `days` days from archives, the rest from pages; both have landed in `available`
+        old, new = catchup_split(windows, days)
+        rows = available.filter(F.col("interval") == base).join(old.unionByName(new), KEY).filter("open_time >= start AND open_time < end").select(*CANDLE_COLUMNS)
+        _merge_batch(rows, root, run_log, levels, base, run, windows)
+
+    return _logged(run, work)
 
 
 def incremental_sync(spark: SparkSession, landing: str, root: str, run_log: str, checkpoint: str) -> StreamingQuery:

@@ -214,7 +214,7 @@ def test_incremental_sync(spark, tmp_path):
     bars(spark, [minute(i) for i in range(50, 75)]).write.mode("append").parquet(landing)
     incremental_sync(spark, landing, root, log, check).awaitTermination()
     assert {r.interval: r["count"] for r in stored_bars(spark, root).groupBy("interval").count().collect()} == {"1m": 75, "15m": 5, "1h": 1}
-    assert [r.rows_inserted for r in spark.read.json(log + "/runs").orderBy("observed_at").collect()] == [60, 15]
+    assert [r.rows_inserted for r in read_runs(spark, log).orderBy("started_at").collect()] == [60, 15]
 
 
 def test_sync_refuses_bad_batches(spark, tmp_path):
