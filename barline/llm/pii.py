@@ -12,20 +12,25 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words of the longest entity that the field considers.
-MAX_WORDS = 7
+#: Words of the longest entity that the field considers (an address spelt out with three dots in it).
+MAX_WORDS = 9
 #: Passages that the field is fitted on: those of smallest seeded hash around a digit or @.
 SAMPLE_PASSAGES = 3000
 #: Words of a training passage; a longer region is cut between entities, none is left out.
 PASSAGE_WORDS = 30
 EPOCHS = 6
+#: Words of all training regions, rewritten ones included: passages beyond them are not trained on, so that
+#: passages full of personal data take no longer than others.
+SAMPLE_WORDS = 100_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -34,6 +39,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TRIGGER = re.compile(r"[0-9@]|\bdot\b")
+_SPELT = re.compile(r"\bdot\b")
 _DIGITS = re.compile(r"[0-9]+")
 _NON_DIGIT = re.compile(r"[^0-9]")
 
@@ -75,21 +81,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def regions(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words near a digit or @ (one word of context on either side), as word spans."""
+class Cover:
+    """Spans, sorted by start: whether one of them meets a range, in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = [a for a, _, _ in spans]
+        self.ends = list(accumulate((b for _, _, b in spans), max))
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+
+def regions(text: str, base: Cover | None = None) -> list[list[tuple[int, int]]]:
+    """Runs of words near a digit, an @ or a spelt dot, as word spans: two words on either side, and before a
+    spelt dot as many as an entity can have. Words that `base` covers are in none."""
     if not _TRIGGER.search(text):
         return []
     words = [m.span() for m in _WORD.finditer(text)]
-    out: list[list[tuple[int, int]]] = []
-    until = -1
+    free = [base is None or not base.meets(a, b) for a, b in words]
+    near = bytearray(len(words))
+    wall = 0
     for i, (a, b) in enumerate(words):
-        if _TRIGGER.search(text, a, b):
-            lo = max(i - 2, until)
-            if out and lo <= until:
-                out[-1] += words[until : i + 3]
+        if not free[i]:
+            wall = i + 1
+        elif _TRIGGER.search(text, a, b):
+            back = MAX_WORDS - 1 if _SPELT.search(text, a, b) else 2
+            for j in range(max(i - back, wall), min(i + 3, len(words))):
+                near[j] = 1
+    out: list[list[tuple[int, int]]] = []
+    for i, span in enumerate(words):
+        if near[i] and free[i]:
+            if i and near[i - 1] and free[i - 1]:
+                out[-1].append(span)
             else:
-                out.append(words[max(lo, 0) : i + 3])
-            until = min(i + 3, len(words))
+                out.append([span])
     return out
 
 
@@ -102,6 +128,15 @@ def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def spelt(words: list[str]) -> bool:
+    """name (dot name)* at name (dot name)+, at and dot bare or in brackets."""
+    bare = [w.strip("[]()") for w in words]
+    if len(bare) % 2 == 0 or "at" not in bare[1::2]:
+        return False
+    joints, at = bare[1::2], bare[1::2].index("at")
+    return at < len(joints) - 1 and all(x == "dot" for i, x in enumerate(joints) if i != at) and all(w[:1].isalnum() and w not in ("at", "dot") for w in bare[::2])
+
+
 def features(text: str, a: int, b: int, words: int) -> tuple[str, ...]:
     """Features of a whole candidate span."""
     a, b = trimmed(text, a, b)
@@ -114,15 +149,16 @@ def features(text: str, a: int, b: int, words: int) -> tuple[str, ...]:
     out = [f"words={words}", f"digits={n if n < 20 else 20}", f"letters={min(letters, 3)}", f"groups={len(groups) if len(groups) < 7 else 7}"]
     if at:
         out += ["at", "at.domain" if "." in domain.strip(".") and local and " " not in s else "at.other"]
-    if re.fullmatch(r"\S+ ?[\[(]?at[\])]? ?\S+( ?[\[(]?dot[\])]? ?\S+)+", s):
-        out.append("spelt")
+    if words > 4 and spelt(s.split()):
+        tail = len(s.rsplit(None, 1)[-1])
+        out += ["spelt", f"tail={tail if tail < 5 else 5}"]
     if not letters and n:
         out.append("shape=" + "-".join(str(len(g)) for g in groups[:6]))
         seps = set(_DIGITS.sub("", s))
         out += [f"sep={c}" for c in sorted(seps)] + ["solid" if not seps else "split"]
         if 12 <= n <= 19:
             out.append("luhn" if luhn(digits) else "notluhn")
-        if len(groups) == 4 and seps == {"."}:
+        if len(groups) == 4 and len(set(_DIGITS.split(s)[1:-1])) == 1:
             out.append("quad" if all(len(g) < 4 and int(g) < 256 for g in groups) else "notquad")
     if s and s[0] in "+(":
         out.append("opens" + s[0])
@@ -197,13 +233,13 @@ def _gradient(weights: Weights, segments, gold: set[tuple[int, int, int]], rate:
 def labelled(text: str, found: list[tuple[int, int, int]]) -> list[tuple[list, set[tuple[int, int, int]]]]:
     """Training regions of a text with the given spans as the true segmentation."""
     out = []
+    kinds = {trimmed(text, a, b): k for a, k, b in reversed(found)}
     for words in regions(text):
         gold, i = set(), 0
         while i < len(words):
             entity = None
             for n in range(min(MAX_WORDS, len(words) - i), 0, -1):
-                span = trimmed(text, words[i][0], words[i + n - 1][1])
-                kind = next((k for a, k, b in found if trimmed(text, a, b) == span), None)
+                kind = kinds.get(trimmed(text, words[i][0], words[i + n - 1][1]))
                 if kind is not None:
                     entity = (n, kind + 1)
                     break
@@ -214,37 +250,77 @@ def labelled(text: str, found: list[tuple[int, int, int]]) -> list[tuple[list, s
     return out
 
 
+def plain_address(address: str, labels: int = 2) -> str:
+    """The address with the letters of its local part and the last labels of its domain alone."""
+    local, _, domain = address.partition("@")
+    return (re.sub("[^A-Za-z]+", "", local) or "mail") + "@" + ".".join(domain.split(".")[-labels:])
+
+
 #: How each kind is rewritten for training: forms that its base pattern misses.
 REWRITES = {
-    0: (lambda x: x.replace("@", " at ").replace(".", " dot "), lambda x: x.replace("@", " [at] ").replace(".", " [dot] ")),
+    0: (
+        lambda x: x.replace("@", " at ").replace(".", " dot "), lambda x: x.replace("@", " [at] ").replace(".", " [dot] "),
+        lambda x: plain_address(x).replace("@", " at ").replace(".", " dot "), lambda x: plain_address(x).replace("@", " [at] ").replace(".", " [dot] "),
+        lambda x: plain_address(x, 3).replace("@", " at ").replace(".", " dot "), lambda x: plain_address(x, 3).replace("@", " (at) ").replace(".", " (dot) "),
+        lambda x: x[:1] + "." + plain_address(x).replace("@", " at ").replace(".", " dot "),
+    ),
     1: (lambda x: x.replace(".", "[.]"), lambda x: x.replace(".", "-")),
     2: (lambda x: re.sub("[ -]", ".", x), lambda x: ".".join(re.findall(".{1,4}", re.sub("[ -]", "", x)))),
     3: (lambda x: x.split(" ", 1)[-1] if " " in x else x[1:], lambda x: re.sub("[ ()-]+", ".", x[1:]).strip(".")),
 }
 
 
-def rewritten(text: str, form: int = 0) -> tuple[str, list[tuple[int, int, int]]]:
-    """(the same text with its personal data in forms that the base patterns miss, their spans)."""
+#: What is no personal data, made from the digits of what is: dates, times, amounts, versions, ranges, codes.
+DECOYS = (
+    lambda d: f"20{d[:2]}-{int(d[2:4]) % 12 + 1:02}-{int(d[4:6]) % 28 + 1:02}",
+    lambda d: f"{int(d[:2]) % 28 + 1:02}.{int(d[2:4]) % 12 + 1:02}.19{d[4:6]}",
+    lambda d: f"{int(d[:2]) % 12 + 1}/{int(d[2:4]) % 28 + 1}/20{d[4:6]}",
+    lambda d: f"{int(d[:2]) % 24:02}:{int(d[2:4]) % 60:02}:{int(d[4:6]) % 60:02}",
+    lambda d: f"{int(d[0]) + 1},{d[1:4]}.{d[4:6]}",
+    lambda d: f"${int(d[0]) + 1},{d[1:4]},{d[4:7]}",
+    lambda d: f"{int(d[:2]) + 1},{d[2:5]},{d[5:8]}.{d[:2]}",
+    lambda d: f"{d[0]}.{d[1:6]}",
+    lambda d: f"{d[0]}.{d[1]}.{d[2:4]}",
+    lambda d: f"v{d[0]}.{d[1:3]}",
+    lambda d: f"{d[:2]}-{int(d[:2]) + 2}, {d[2:4]}-{int(d[2:4]) + 3}",
+    lambda d: f"{d[:5]}-{d[3:7]}",
+    lambda d: f"19{d[:2]}-20{d[2:4]}",
+    lambda d: f"no. {d[:6]}",
+    lambda d: f"{d[:3]} {d[3:6]}",
+    lambda d: f"{d[:2]}%",
+    lambda d: "look at the dot product",
+    lambda d: "met at a dot matrix",
+    lambda d: f"978-{d[0]}-{d[1:3]}-{d[3:8]}{d[0]}-{d[1]}",
+)
+
+
+def rewritten(text: str, form: int = 0, decoys: bool = False) -> tuple[str, list[tuple[int, int, int]]]:
+    """(the same text with its personal data in forms that the base patterns miss, their spans), or with
+    what is none in its place, and no spans."""
     out, spans, end, size = [], [], 0, 0
     for a, k, b in base_spans(text):
         if a < end:
             continue
-        new = REWRITES[k][form % 2](text[a:b])
+        if decoys:
+            seed = int.from_bytes(hashlib.sha256(f"{form}:{text[a:b]}".encode()).digest()[:8])
+            new = DECOYS[(form + len(spans)) % len(DECOYS)](f"{seed % 10**8:08}")
+        else:
+            new = REWRITES[k][form % len(REWRITES[k])](text[a:b])
         out += [text[end:a], new]
         size += a - end
         spans.append((size, k, size + len(new)))
         size, end = size + len(new), b
-    return "".join([*out, text[end:]]), spans
+    return "".join([*out, text[end:]]), [] if decoys else spans
 
 
 def passages(text: str) -> list[str]:
     """The regions of a text, cut between entities to about PASSAGE_WORDS words."""
-    found = base_spans(text)
+    found = Cover(base_spans(text))
     out = []
     for words in regions(text):
         first = 0
         for i in range(1, len(words) + 1):
-            inside = i < len(words) and any(a < words[i][0] < b for a, _, b in found)
+            inside = i < len(words) and found.meets(words[i][0], words[i][0])
             if i == len(words) or (i - first >= PASSAGE_WORDS and not inside):
                 out.append(text[words[first][0] : words[i - 1][1]])
                 first = i
@@ -267,13 +343,20 @@ def fit(documents: DataFrame, sample: int = SAMPLE_PASSAGES) -> Weights:
 
 
 def train(texts: list[str]) -> Weights:
-    """Weights from passages with their base spans, and from the passages rewritten."""
-    data = []
+    """Weights from passages with their base spans, from the passages rewritten, and from the passages with decoys."""
+    data: list = []
+    words = 0
     for i, text in enumerate(texts):
+        if words > SAMPLE_WORDS:
+            break
+        before = len(data)
         data += labelled(text, base_spans(text))
         changed, spans = rewritten(text, i)
         if spans:
             data += labelled(changed, spans)
+            changed, _ = rewritten(text, i // 2, decoys=True)
+            data += labelled(changed, base_spans(changed))
+        words += sum(len(segments) for segments, _ in data[before:])
     weights: Weights = [{} for _ in range(len(KINDS) + 1)]
     for epoch in range(EPOCHS):
         for segments, gold in data:
@@ -284,11 +367,11 @@ def train(texts: list[str]) -> Weights:
 def find_spans(text: str, weights: Weights) -> tuple[list, list]:
     """(base spans, all spans) of a text: the field's entities join where no base span overlaps."""
     base = base_spans(text)
-    extra = []
-    for words in regions(text):
+    extra, cover = [], Cover(base)
+    for words in regions(text, cover):
         for i, j, k in decode(weights, candidates(text, words)):
             a, b = trimmed(text, words[i][0], words[j - 1][1])
-            if a < b and not any(x < b and a < y for x, _, y in base):
+            if a < b:
                 extra.append((a, k, b))
     return base, sorted(base + extra)
 

@@ -4,6 +4,7 @@ import json
 import math
 import pathlib
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -308,6 +309,47 @@ def test_added_spans_against_all_segmentations(spark):
     assert len(want) > 5 and {i: got[i] for i in want} == want
 
 
+#: What the field must leave alone: dates, amounts, versions, ranges, codes, and words that spell no address.
+NO_DATA = ["2024-01-02", "12.05.1987", "1,234.50", "3.14159", "1.2.3", "10-12, 14-16", "90210-1234", "look at the dot product of two", "open from 9:00 to 17:30 on 2023-05-06", "a sum of 12,345,678.90 dollars", "in 2024 we had 15 cats"]
+
+
+def test_field_on_forms_of_the_given_documents(spark):
+    """Fitted on half of the documents; the other half's own entities, rewritten, are found and nothing else is."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    weights = pii.fit(table.filter("doc_id % 2 = 0"), 1500)
+    hit = want = got = 0
+    for (text,) in table.filter("doc_id % 2 = 1 AND text rlike '@'").select("text").limit(150).collect():
+        plain = re.sub("[A-Za-z0-9._%+-]+@", lambda m: (re.sub("[^A-Za-z]", "", m[0]) or "mail") + "@", text)  # local parts without digits
+        for form in range(4):
+            changed, spans = pii.rewritten(plain, form)
+            true = {(*pii.trimmed(changed, a, b), k) for a, k, b in spans}
+            found = {(a, b, k) for a, k, b in pii.find_spans(changed, weights)[1]}
+            hit, want, got = hit + len(true & found), want + len(true), got + len(found)
+    assert want > 400 and hit / want > 0.95 and hit / got > 0.95
+    for text in NO_DATA:
+        assert pii.find_spans(text, weights)[1] == [], text
+    for text in ("jane at example dot org", "john [at] example [dot] org", "john dot smith at example dot com", "please write to jane at example dot org at once"):
+        assert [k for _, k, _ in pii.find_spans(text, weights)[1]] == [0], text
+
+
+def test_long_texts_of_addresses_take_seconds(spark):
+    text = " ".join(f"u{i}@mail.example.org" for i in range(120_000))
+    assert len(text) > 2_500_000
+    weights = pii.train(pii_texts(random.Random(1), 60))
+    begin = time.perf_counter()
+    row = pii.find_personal_data(docs(spark, [(1, text, "s")]), weights).first()
+    assert row.n_email == 120_000 and time.perf_counter() - begin < 60
+    assert len(pii.passages(text)) >= 120_000 / (pii.PASSAGE_WORDS + 1)
+
+
+def test_regions_reach_whole_entities():
+    text = "a b please write to john dot smith at example dot com at once or never"
+    (words,) = pii.regions(text)
+    assert text[words[0][0] : words[-1][1]] == "a b please write to john dot smith at example dot com at"
+    cover = pii.Cover([(0, 0, 9), (20, 0, 30)])
+    assert [cover.meets(a, b) for a, b in ((9, 20), (8, 9), (29, 40), (30, 31), (5, 5), (9, 9))] == [False, True, True, False, True, False]
+
+
 def test_personal_data(spark):
     rows = [(i, t, "s") for i, t in enumerate(pii_texts(random.Random(3), 40))] + EDGE
     got = pii.find_personal_data(docs(spark, rows)).collect()
