@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 import decimal
 import hashlib
 import io
@@ -14,10 +15,12 @@ from barline.operators import manifest, merge, quality
 from barline.operators.resample import resample_complete, resample_ladder
 from barline.plans import jobs
 from barline.plans.catalog import QUERIES, SQL
-from barline.schemas import CANDLE, CANDLE_COLUMNS
+from barline.schemas import CANDLE, CANDLE_COLUMNS, KEY
 from barline.sources import archives, plan
 from barline.sources.tables import append_run_record, check_schema, page_candles, scan_candles, write_candles
-from barline.streaming.sync import BadRowsError, apply_batch, catchup_split, close_interrupted, incremental_sync, read_runs, stored_bars, sync_window
+from barline.sources.summaries import append_summary, read_summary, stored_bars, stored_months
+from barline.streaming.runs import close_interrupted, read_runs
+from barline.streaming.sync import BadRowsError, BootstrapRequired, GapsRemain, apply_batch, catchup_split, incremental_sync, sync, sync_window
 
 from .oracle import rows_of, sql_rows
 
@@ -235,6 +238,101 @@ def test_interrupted_runs_are_closed(spark, tmp_path):
     assert [(r.id, r.status) for r in read_runs(spark, log).collect()] == [("a", "interrupted")]
 
 
+class Killed(BaseException):
+    """Stands for a process that dies."""
+
+
+def days(spark, first, count, **over):
+    return bars(spark, [minute((first + d) * 1440 + h * 60, **over) for d in range(count) for h in range(24)]).withColumn("interval", F.lit("1h")).withColumn("close_time", F.timestamp_micros(F.unix_micros("open_time") + 3_599_999_000))
+
+
+def hourly_sync(spark, rows, root, log, until, keys=None, **options):
+    none = spark.createDataFrame([], "venue string, market_type string, symbol string, interval string, start timestamp")
+    return sync(spark, rows, none if keys is None else keys, root, log, T0 + dt.timedelta(days=until), levels=("4h",), base="1h", **options)
+
+
+def test_sync_reads_touched_months_only(spark, tmp_path):
+    root, log = str(tmp_path / "table"), str(tmp_path / "log")
+    keys = days(spark, 0, 1).groupBy(*KEY).agg(F.min("open_time").alias("start"))
+    hourly_sync(spark, days(spark, 0, 75), root, log, 75, keys)  # January to mid-March
+    files = sorted(p for p in (tmp_path / "table").rglob("*.parquet") if "month=03" not in str(p))
+    assert len(files) == 4
+    for p in files:
+        p.write_bytes(b"no Parquet: whoever opens this fails")
+    for p in (tmp_path / "table").rglob(".*.crc"):
+        p.unlink()
+    got = hourly_sync(spark, days(spark, 74, 6), root, log, 80).first()
+    assert (got.status, got.rows_fetched, got.rows_inserted, got.partitions_verified, got.gaps_remaining) == ("succeeded", 120, 120, 2, 0)
+
+
+def test_touched_months_are_partition_filters(spark, tmp_path):
+    write_candles(days(spark, 0, 40), str(tmp_path))
+    months = spark.createDataFrame([("v", "spot", "AAA", "2024", "02")], "venue string, market_type string, symbol string, year string, month string")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        got = stored_months(spark, str(tmp_path), months)
+        filters = re.search(r"PartitionFilters: \[(.*)", got._jdf.queryExecution().executedPlan().toString())[1].split("PushedFilters")[0]
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert all(x in filters for x in ("year#", "2024", "month#", "02", "symbol#", "AAA")) and got.count() == 9 * 24
+
+
+def test_a_run_that_dies_is_closed_and_its_months_are_summarized(spark, tmp_path, monkeypatch):
+    from barline.streaming import sync as module
+
+    root, log = str(tmp_path / "table"), str(tmp_path / "log")
+    keys = days(spark, 0, 1).groupBy(*KEY).agg(F.min("open_time").alias("start"))
+    hourly_sync(spark, days(spark, 0, 2), root, log, 2, keys)
+
+    def dies(*_):
+        raise Killed
+
+    with monkeypatch.context() as m:
+        m.setattr(module, "append_summary", dies)  # the months are written, their summaries are not
+        with pytest.raises(Killed):
+            hourly_sync(spark, days(spark, 2, 2), root, log, 4)
+    assert [r.status for r in read_runs(spark, log).orderBy("started_at").collect()] == ["succeeded", "running"]
+    assert hourly_sync(spark, days(spark, 2, 2), root, log, 4).first().status == "noop"  # what died had written all
+    assert [(r.status, r.stage) for r in read_runs(spark, log).orderBy("started_at").collect()] == [("succeeded", "complete"), ("interrupted", "export"), ("noop", "complete")]
+    assert {r.interval: r.rows for r in read_summary(spark, log + "/months").collect()} == {"1h": 96, "4h": 24}
+    # What ended a run stays: the lost process cannot come back and call itself a success.
+    old = read_runs(spark, log).filter("status = 'interrupted'")
+    append_run_record(old.withColumns({"status": F.lit("succeeded"), "observed_at": F.current_timestamp()}), log + "/runs")
+    assert read_runs(spark, log).filter("status = 'succeeded'").count() == 1
+
+
+def test_sync_fails_on_gaps_bad_rows_and_missing_history(spark, tmp_path):
+    root, log = str(tmp_path / "table"), str(tmp_path / "log")
+    keys = days(spark, 0, 1).groupBy(*KEY).agg(F.min("open_time").alias("start"))
+    with pytest.raises(BootstrapRequired):
+        hourly_sync(spark, days(spark, 0, 1), root, log, 1, keys.withColumn("start", F.lit(None).cast("timestamp")))
+    with pytest.raises(GapsRemain):
+        hourly_sync(spark, days(spark, 0, 2).filter("hour(open_time) <> 5"), root, log, 2, keys)
+    last = read_runs(spark, log).orderBy(F.desc("started_at")).first()
+    assert (last.status, last.gaps_remaining, last.rows_inserted) == ("failed", 2, 46) and stored_bars(spark, root).filter("interval = '1h'").count() == 46
+    mended = hourly_sync(spark, days(spark, 0, 3), root, log, 3).first()  # begins again at the first gap
+    assert (mended.status, mended.rows_repaired, mended.rows_inserted) == ("succeeded", 2, 26)
+    write_candles(days(spark, 0, 3).withColumn("high", F.lit(0).cast("decimal(38,18)")), root)
+    append_summary(days(spark, 0, 3).withColumn("high", F.lit(0).cast("decimal(38,18)")), log + "/months")
+    with pytest.raises(BadRowsError):
+        hourly_sync(spark, days(spark, 3, 1), root, log, 4)
+    assert [r.stage for r in read_runs(spark, log).orderBy("started_at").collect()] == ["bootstrap_required", "verify", "complete", "starting"]
+
+
+def test_merge_and_comparison_shuffle_each_side_once(spark):
+    a, b = bars(spark, [minute(0)]), bars(spark, [minute(1)])
+    conf = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(venue")
+        assert exchanges(merge.merge(a, b).inserted) == 2
+        assert exchanges(merge.cell_diff(a, b)) == 2
+    finally:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+
+
 def test_trailing_newlines_are_refused(spark):
     from barline.functions.text import is_canonical_uuid, is_utc_z
 
