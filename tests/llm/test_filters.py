@@ -478,6 +478,37 @@ def test_decontamination_against_all_alignments(spark):
     assert len(want) > 60 and got == want
 
 
+def test_a_phrase_of_many_items_pairs_nothing(spark, monkeypatch):
+    """Items that share a question phrase, and documents that hold it without any item: no alignment is tried.
+    An edited copy among them, and one of an item that is mostly the phrase, are still found."""
+    from barline.llm import decontaminate
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    phrase = "which of the following is the best answer to"
+    items = [(i, f"{phrase} {' '.join(word() for _ in range(12))}") for i in range(60)] + [(60, f"{phrase} all"), (61, " ".join(word() for _ in range(400)))]
+    rows = [(d, f"{' '.join(word() for _ in range(20))} {phrase} {' '.join(word() for _ in range(20))}") for d in range(400)]
+    copy = items[7][1].split()
+    copy[3], copy[13] = "other", "words"
+    rows += [(1000, f"some text {' '.join(copy)} and more"), (1001, f"x {items[61][1]} y")]
+    pairs = []
+    save = decontaminate.save
+
+    def counted(df, name):
+        out = save(df, name)
+        if name == "passages":
+            pairs.append(out.select(F.sum(F.size("keys"))).first()[0])
+        return out
+
+    monkeypatch.setattr(decontaminate, "save", counted)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in contaminated(docs(spark, [(d, t, "s") for d, t in rows]), bench).collect()}
+    assert {k for k in got if k[1] != 60} == {(1000, 7), (1001, 61)} and got[1001, 61] == 1.0
+    assert {d for d, i in got if i == 60} == {d for d, _ in rows} - {1001}  # nine of its ten words are the phrase
+    got = {(x.doc_id, x.item_id) for x in contaminated(docs(spark, [(d, t, "s") for d, t in rows]), bench.filter("item_id <> 60")).collect()}
+    assert got == {(1000, 7), (1001, 61)} and pairs[1] < 1000
+
+
 @pytest.fixture(scope="module")
 def files(spark):
     rows = [
