@@ -11,6 +11,7 @@ from ..functions.intervals import add_seconds
 from ..functions.text import SECRET_NAMES, canonical_json, has_secret, is_canonical_uuid, is_utc_z, normalize_key, normalize_path, normalize_paths, result_id, secret_pattern, sha256_text, uri_fault, uuid5
 from ..operators import messages
 from ..sources.staging import shared_folder
+from ..sources.tables import DECISIONS, put_decisions
 from ..streaming.ingest import MESSAGES, ingest_batch
 from .bars import flat, instant, table
 
@@ -169,6 +170,10 @@ def expired_leases(spark, sf_dir):
     return messages.expired_leases(q, now).select("id", "lane", "status", "revision")
 
 
+def text_map(**pairs: str):
+    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+
+
 def _envelopes(spark, sf_dir) -> DataFrame:
     """Conversations as message envelopes, some spoilt by fixed rules on the id."""
     c = table(spark, sf_dir, "conversations")
@@ -177,7 +182,7 @@ def _envelopes(spark, sf_dir) -> DataFrame:
     parts = {
         "schema_version": F.when(n % 11 == 0, F.lit(2)).otherwise(F.lit(1)), "id": F.when(n % 13 == 0, F.lit("no-uuid")).otherwise(ident), "created_at": F.when(n % 17 == 0, F.lit("2024-02-30T00:00:00Z")).otherwise(F.lit("2024-02-29T00:00:00Z")),
         "sender": F.when(n % 19 == 0, F.lit("stranger")).otherwise(F.lit("operator")), "recipient": F.lit("worker"), "type": F.lit("task"), "subject": F.when(n % 23 == 0, F.lit("")).otherwise(F.col("role")), "body": F.col("text"),
-        "correlation_id": F.lit(None).cast("string"), "artifacts": F.array().cast("array<string>"), "metadata": F.struct(F.col("conv_id").alias("conv")),
+        "correlation_id": F.lit(None).cast("string"), "artifacts": F.array_compact(F.array(F.when(F.col("turn") % 2 == 0, text_map(kind="doc", name="n", url="https://h/y")), F.when(F.col("turn") % 3 == 0, text_map(name="a", uri="file:///x", sha256="0" * 64)))), "metadata": F.struct(F.col("conv_id").alias("conv")),
     }
     kept = [(k, v) for k, v in parts.items()]
     return c.select("conv_id", "turn", F.to_json(F.struct(*[v.alias(k) for k, v in kept]), {"ignoreNullFields": "false"}).alias("json"))
@@ -260,16 +265,37 @@ def routed_queue(spark, sf_dir):
     return messages.routed_queue(rows, now, "lead").select("id", "local_lane", "created_at", "place")
 
 
-@query(rf"""SELECT outcome, count(*) AS messages FROM (SELECT CASE WHEN {_N} % 11 = 0 OR {_N} % 13 = 0 OR {_N} % 17 = 0 OR {_N} % 19 = 0 OR {_N} % 23 = 0 THEN 'invalid' ELSE 'accepted' END AS outcome FROM conversations) GROUP BY outcome
-    UNION ALL SELECT 'again: ' || outcome, count(*) FROM (SELECT CASE WHEN {_N} % 11 = 0 OR {_N} % 13 = 0 OR {_N} % 17 = 0 OR {_N} % 19 = 0 OR {_N} % 23 = 0 THEN 'invalid' ELSE 'duplicate' END AS outcome FROM conversations) GROUP BY outcome
-    UNION ALL SELECT 'stored', count(*) FROM conversations WHERE NOT ({_N} % 11 = 0 OR {_N} % 13 = 0 OR {_N} % 17 = 0 OR {_N} % 19 = 0 OR {_N} % 23 = 0)
-    UNION ALL SELECT 'quarantined', 2 * count(*) FROM conversations WHERE {_N} % 11 = 0 OR {_N} % 13 = 0 OR {_N} % 17 = 0 OR {_N} % 19 = 0 OR {_N} % 23 = 0""")
+_BAD = " OR ".join(f"{_N} % {n} = 0" for n in (11, 13, 17, 19, 23))
+
+
+@query(rf"""SELECT prefix || CASE WHEN {_BAD} THEN 'invalid' ELSE good END AS outcome, count(*) AS messages FROM conversations, (VALUES ('', 'accepted'), ('repeated: ', 'duplicate'), ('again: ', 'duplicate')) AS t(prefix, good) GROUP BY ALL
+    UNION ALL SELECT 'stored', count(*) FROM conversations WHERE NOT ({_BAD})
+    UNION ALL SELECT 'artifacts', CAST(sum(CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM conversations WHERE NOT ({_BAD})
+    UNION ALL SELECT 'quarantined', 2 * count(*) FROM conversations WHERE {_BAD}""")
 def ingest_job(spark, sf_dir):
-    """Envelopes as landed files, ingested twice: outcomes of both runs, and what is stored and quarantined."""
+    """Envelopes as landed files: one batch, the same batch repeated, and the same files as another batch. The repetition
+    adds nothing; the other batch logs its own rejects."""
     root = f"{shared_folder(spark)}/barline/ingest-{uuid.uuid4().hex}"
     files = _envelopes(spark, sf_dir).select(F.concat(F.lit("inbox/"), "conv_id", F.lit("-"), "turn", F.lit(".json")).alias("path"), F.encode("json", "UTF-8").alias("content"))
     spark.createDataFrame([], MESSAGES).write.parquet(f"{root}/messages")
-    runs = [ingest_batch(files, f"{root}/messages", f"{root}/quarantine", f"{root}/work", ["operator", "worker"]).collect() for _ in range(2)]
-    counts = [(prefix + r.outcome, r.messages) for prefix, run in zip(("", "again: "), runs) for r in run]
-    counts += [(name, spark.read.parquet(f"{root}/{folder}").count()) for name, folder in (("stored", "messages"), ("quarantined", "quarantine"))]
+    counts = []
+    for prefix, batch in (("", "1"), ("repeated: ", "1"), ("again: ", "2")):
+        run = ingest_batch(files, f"{root}/messages", f"{root}/quarantine", f"{root}/work", ["operator", "worker"], batch, f"{root}/artifacts").collect()
+        counts += [(prefix + r.outcome, r.messages) for r in run]
+    counts += [(name, spark.read.parquet(f"{root}/{folder}").count()) for name, folder in (("stored", "messages"), ("artifacts", "artifacts"), ("quarantined", "quarantine"))]
     return spark.createDataFrame(counts, "outcome string, messages long")
+
+
+@query("""WITH puts AS (SELECT CAST(conv_id AS VARCHAR) AS id, turn, text AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2, turn) AS place, count(*) FILTER (turn % 2 = 0) OVER (PARTITION BY conv_id) AS evens FROM conversations)
+    SELECT id, CAST(CASE WHEN turn % 2 = 0 THEN place ELSE evens + 100 + place - evens END AS INTEGER) AS version, CASE WHEN turn % 2 = 0 THEN 'proposed' ELSE 'accepted' END AS status, sha256(body) AS body FROM puts""")
+def decision_versions(spark, sf_dir):
+    """Conversations as decisions: even turns are versions in their order; then odd ones, the first of them a
+    hundred above the newest and the rest after it."""
+    path = f"{shared_folder(spark)}/barline/decisions-{uuid.uuid4().hex}"
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), "turn", F.concat(F.lit("t"), "turn").alias("title"), F.sha2("text", 256).alias("body"), F.lit(None).cast("string").alias("source_message_id"))
+    none = F.lit(None).cast("int")
+    put_decisions(c.filter("turn % 2 = 0").withColumns({"version": none, "status": F.lit("proposed")}), path, "turn")
+    evens = c.groupBy("id").agg(F.count_if(F.col("turn") % 2 == 0).alias("evens"), F.min(F.when(F.col("turn") % 2 == 1, F.col("turn"))).alias("first"))
+    odd = c.filter("turn % 2 = 1").join(evens, "id").withColumns({"version": F.when(F.col("turn") == F.col("first"), F.col("evens") + 101).cast("int"), "status": F.lit("accepted")})
+    put_decisions(odd, path, "turn")
+    return spark.read.schema(DECISIONS).parquet(path).select("id", "version", "status", "body")

@@ -8,12 +8,13 @@ from datetime import datetime, timezone
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.intervals import utc_date
 from ..schemas import CANDLE_COLUMNS, KEY, SCHEMA_VERSION, STORED
+from .staging import exists
 
 PARTITION = [*KEY, "year", "month"]
 PLACED = T.StructType([*STORED.fields, T.StructField("year", T.StringType()), T.StructField("month", T.StringType())])
@@ -135,6 +136,59 @@ def latest_run(runs: DataFrame, key: list[str], order: str = "observed_at") -> D
     return runs.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(*key, "x.*")
 
 
-def write_quarantine(rejected: DataFrame, path: str) -> None:
-    """Append (occurred_at, kind, source_uri, message_id, raw_sha256, error_text) events."""
-    rejected.select("occurred_at", "kind", "source_uri", "message_id", "raw_sha256", "error_text").write.mode("append").parquet(path)
+QUARANTINE = "event_id string, occurred_at timestamp, kind string, source_uri string, message_id string, raw_sha256 string, error_text string, batch string"
+
+
+def write_quarantine(rejected: DataFrame, path: str, batch: str) -> None:
+    """Append (occurred_at, kind, source_uri, message_id, raw_sha256, error_text) events of a batch, each once.
+
+    An event's key holds the batch and all of the event but its time. What the batch has logged before
+    is looked up in its own partition and not logged again.
+    """
+    spark = rejected.sparkSession
+    facts = ["kind", "source_uri", "message_id", "raw_sha256", "error_text"]
+    key = F.sha2(F.to_json(F.struct(F.lit(batch).alias("batch"), *facts)), 256).alias("event_id")
+    events = rejected.select(key, "occurred_at", *facts, F.lit(batch).alias("batch")).dropDuplicates(["event_id"])
+    if exists(spark, path):
+        logged = spark.read.schema(QUARANTINE).parquet(path).filter(F.col("batch") == batch).select("event_id")
+        events = events.join(logged, "event_id", "left_anti")
+    events.write.mode("append").partitionBy("batch").parquet(path)
+
+
+def write_artifacts(artifacts: DataFrame, path: str, batch: str) -> None:
+    """The artifacts of a batch's messages, as one partition that is written anew each time."""
+    rows = artifacts.withColumn("batch", F.lit(batch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+DECISIONS = "id string, version int, title string, status string, body string, source_message_id string"
+#: States of a decision.
+DECISION_STATES = ("proposed", "accepted", "superseded", "rejected")
+
+
+def put_decisions(rows: DataFrame, path: str, order: str) -> None:
+    """Append decisions (id, version, title, status, body, source_message_id): a null version is the one after
+    the newest, in `order` within the batch. Rows of an unknown status, and versions that are not above all stored and
+    earlier ones, are refused, and with them the batch."""
+    spark = rows.sparkSession
+    stored = spark.read.schema(DECISIONS).parquet(path) if exists(spark, path) else spark.createDataFrame([], DECISIONS)
+    newest = stored.groupBy("id").agg(F.max("version").alias("latest"))
+    given = rows.join(newest, "id", "left").withColumn("latest", F.coalesce("latest", F.lit(0)))
+    here = Window.partitionBy("id").orderBy(order)
+    # Numbered rows rise by one from the newest version or the last explicit one before them.
+    reset = F.max(F.when(F.col("version").isNotNull(), F.struct(F.col("at").alias("at"), F.col("version").alias("v")))).over(here)
+    placed = given.withColumn("at", F.row_number().over(here)).withColumn("reset", reset)
+    number = F.when(F.col("reset").isNull(), F.col("latest") + F.col("at")).otherwise(F.col("reset.v") + F.col("at") - F.col("reset.at"))
+    placed = placed.withColumn("number", number.cast("int"))
+    before = F.coalesce(F.max("number").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("latest"))
+    checked = placed.withColumn("fault", F.when(~F.coalesce(F.col("status").isin(*DECISION_STATES), F.lit(False)), "status").when((F.col("number") <= before) | (F.col("number") < 1), "version"))
+    bad = checked.filter("fault IS NOT NULL").limit(1).collect()
+    if bad:
+        raise ValueError(f"decision {bad[0].id} version {bad[0].number}: bad {bad[0].fault}")
+    checked.select("id", F.col("number").alias("version"), "title", "status", "body", "source_message_id").write.mode("append").parquet(path)
+
+
+def get_decision(spark: SparkSession, path: str, id: str, version: int | None = None) -> DataFrame:
+    """One version of a decision, by default the newest; no row if there is none. The id is pushed to the scan."""
+    rows = spark.read.schema(DECISIONS).parquet(path).filter(F.col("id") == id)
+    return rows.filter(F.col("version") == version) if version is not None else rows.orderBy(F.desc("version")).limit(1)

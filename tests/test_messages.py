@@ -1,4 +1,6 @@
 import json
+
+import pytest
 import uuid
 
 from pyspark.sql import functions as F
@@ -90,6 +92,50 @@ def test_ingest(spark, tmp_path):
     assert sorted(r.kind for r in spark.read.parquet(out["quarantine"]).collect()) == ["integrity_conflict", "invalid"]
 
 
+def test_a_batch_takes_effect_once(spark, tmp_path, monkeypatch):
+    """A process that dies between the appends, and the batch run again under its id."""
+    from barline.streaming import ingest
+
+    out = {x: str(tmp_path / x) for x in ("messages", "quarantine", "work", "artifacts")}
+    spark.createDataFrame([], ingest.MESSAGES).write.parquet(out["messages"])
+    good = envelope() | {"artifacts": [{"kind": "doc", "name": "n", "url": "https://h/y"}]}
+    files = spark.createDataFrame([(f"{n}.json", json.dumps(x).encode()) for n, x in (("a", good), ("b", good | {"body": "other"}), ("c", {}))], "path string, content binary")
+    run = lambda batch: {r.outcome: r.messages for r in ingest.ingest_batch(files, out["messages"], out["quarantine"], out["work"], ROLES, batch, out["artifacts"]).collect()}
+    count = lambda name: spark.read.parquet(out[name]).count()
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    for step in ("write_artifacts", "write_quarantine"):
+        with monkeypatch.context() as m:
+            m.setattr(ingest, step, dies)
+            with pytest.raises(KeyboardInterrupt):
+                run("7")
+        assert count("messages") == 1
+    assert run("7") == {"duplicate": 1, "integrity_conflict": 1, "invalid": 1}
+    assert [count(x) for x in ("messages", "artifacts", "quarantine")] == [1, 1, 2]
+    before = sorted(spark.read.parquet(out["quarantine"]).collect())
+    run("7")
+    assert sorted(spark.read.parquet(out["quarantine"]).collect()) == before
+    run("8")
+    assert [count(x) for x in ("messages", "artifacts", "quarantine")] == [1, 1, 4]
+    assert ingest.find_message(spark, out["messages"], good["id"].upper()).first().source_uri == "a.json" and ingest.find_message(spark, out["messages"], "x").count() == 0
+
+
+def test_decisions(spark, tmp_path):
+    from barline.sources.tables import get_decision, put_decisions
+
+    path = str(tmp_path / "decisions")
+    put = lambda *rows: put_decisions(spark.createDataFrame([(i, v, "t", s, f"body {n}", None, n) for n, (i, v, s) in enumerate(rows)], "id string, version int, title string, status string, body string, source_message_id string, n int"), path, "n")
+    put(("a", None, "proposed"), ("a", None, "accepted"), ("b", 4, "proposed"), ("b", None, "rejected"))
+    assert [(r.version, r.body) for r in get_decision(spark, path, "a").collect()] == [(2, "body 1")]
+    assert get_decision(spark, path, "a", 1).first().status == "proposed" and get_decision(spark, path, "b").first().version == 5
+    for rows in ([("a", 2, "proposed")], [("a", None, "open")], [("c", 0, "proposed")], [("c", 3, "proposed"), ("c", 3, "accepted")], [("c", None, "proposed"), ("a", 1, "proposed")]):
+        with pytest.raises(ValueError):
+            put(*rows)
+    assert spark.read.parquet(path).count() == 4 and get_decision(spark, path, "c").count() == 0
+
+
 def test_versions_and_queue(spark):
     v = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 3, 2)], "id string, n int, version int")
     assert [r.n for r in messages.version_faults(v, "id", "n").collect()] == [3]
