@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keyed, save
-from .windows import candidate_blocks, open_blocks, per_document, place_sketch, scan_blocks, settle_blocks, span_mask
+from .shared import in_sketch, keyed, save
+from .windows import candidate_blocks, open_blocks, per_document, place_hash, place_sketch, scan_blocks, settle_blocks, span_mask
 
 LEAD = 24
 #: Suffix starts that share a row: the core of a slice is what all of them hold.
@@ -143,21 +143,39 @@ def _sorted_bucket(table: pa.Table, length: int, width: int) -> Iterator[pa.Reco
     yield pa.record_batch([pa.nulls(len(row), pa.binary()), pa.array(doc[row]), pa.array(part[row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["window", "doc_key", "part", "lo", "n"])
 
 
-def split_copies(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
-    """(sketch of the rows that hold the first copy of their text, all later copies). A later copy
-    repeats its first one from end to end, so only first copies need suffixes; what the sketch
-    lets through besides is looked at again and changes nothing."""
+def split_copies(docs: DataFrame) -> tuple[np.ndarray, DataFrame, np.ndarray | None]:
+    """(sketch of the rows that hold the first copy of their text, all later copies, sketch of the rows
+    that come more than once, None without any). A later copy repeats its first one from end to end, so only first copies
+    need suffixes; what the first sketch lets through besides is looked at again and changes nothing."""
     place = F.struct("doc_key", "part")
     texts = save(docs.select("doc_key", "part", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n_bytes")), "digests")
     first = save(texts.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "first-copies")
     later = texts.join(first.filter("copies > 1").select("digest", "first"), "digest").filter(place > F.col("first"))
-    return place_sketch(first.select("first.*")), later.select("doc_key", "part", "n_bytes").distinct()
+    again = save(texts.groupBy("doc_key", "part").count().filter("count > 1").select("doc_key", "part"), "repeated-rows")
+    return place_sketch(first.select("first.*")), later.select("doc_key", "part", "n_bytes").distinct(), place_sketch(again) if again.limit(1).count() else None
+
+
+def once(docs: DataFrame, repeated: np.ndarray) -> DataFrame:
+    """Each (doc_key, part) once. Only rows in the sketch of repeated ones move, one a task and place; equal rows
+    would give equal slices, which no splitter can tell apart."""
+    sketch = docs.sparkSession.sparkContext.broadcast(repeated)
+
+    @F.pandas_udf("boolean")
+    def may_repeat(doc_key, part):
+        import pandas as pd
+
+        return pd.Series(in_sketch(sketch.value, place_hash(doc_key.to_numpy(), part.to_numpy())))
+
+    tagged = docs.withColumn("__again", may_repeat("doc_key", "part"))
+    moved = tagged.filter("__again").dropDuplicates(["doc_key", "part"])
+    return tagged.filter("NOT __again").unionByName(moved).drop("__again")
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """Byte spans (doc_key, part, lo, hi) of all `length`-byte strings that also start earlier."""
     width = min(SLICE, length - LEAD + 1)
-    first_texts, copies = split_copies(docs)
+    first_texts, copies, repeated = split_copies(docs)
+    docs = docs if repeated is None else once(docs, repeated)
     blocks = candidate_blocks(docs, "byte", LEAD, length, only=first_texts)
     firsts, covered = settle_blocks(blocks.filter("NOT again"), ["doc_key", "part", "lo"])
     covered = covered.unionByName(blocks.filter("again").select("doc_key", "part", "lo", "n"))

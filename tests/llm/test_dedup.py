@@ -296,3 +296,17 @@ def test_shingles_match_brute_force():
     (_, _, data, offsets), = text_chunks(pa.array(texts))
     sets = shingle_sets(data, offsets, 5)
     assert [len(s) for s in sets] == [len(brute.shingles(t)) for t in texts] and sets[1].tolist() == sets[3].tolist()
+
+
+def test_equal_rows_make_no_hot_bucket(spark, monkeypatch):
+    """Thousands of equal rows of one id, with a passage that other documents hold too: sliced once."""
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(150))
+    rows = [(5, "start " + passage + " end")] * 3000 + [(1, "one " + passage), (9, passage + " nine")] * 2
+    made = []
+    slices = suffix._slices
+    monkeypatch.setattr(suffix, "_slices", lambda *a: made.append(slices(*a)) or made[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = suffix_array_dedup(df).collect()
+    assert len(got) == len(rows) and {(x.doc_id, x.n_removed) for x in got} == {(1, 0), (5, 151), (9, 151)}  # with the space beside it
+    assert made[0].count() < 100
