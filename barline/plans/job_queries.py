@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +39,9 @@ def query(oracle: str):
     return register
 
 
-def landed(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The bars as landed zip archives (path, content), one for each symbol and UTC month, with a header,
-    and their checksum files (path, value)."""
+def landed(bars: DataFrame, comment: str = "") -> tuple[DataFrame, DataFrame]:
+    """The bars as landed zip archives (path, content), one for each symbol and UTC month, with a header and a
+    comment, and their checksum files (path, value)."""
     name = F.concat_ws("-", "symbol", "interval", F.date_format(utc_date(F.col("open_time")), "yyyy-MM"))
     lines = bars.select(name.alias("name"), "open_time", F.concat_ws(",", *_kline_fields(bars)).alias("line"))
     texts = lines.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("open_time", "line"))).alias("x"))  # at most a month of hours
@@ -54,6 +55,7 @@ def landed(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
                 raw = io.BytesIO()
                 with zipfile.ZipFile(raw, "w") as z:
                     z.writestr(zipfile.ZipInfo(name + ".csv"), text)
+                    z.comment = comment.encode()
                 content.append(raw.getvalue())
             paths = [f"landed/{x}.zip" for x in batch.column(0).to_pylist()]
             sums = [hashlib.sha256(x).hexdigest() for x in content]
@@ -137,6 +139,39 @@ def import_ranges(spark, sf_dir):
     return _import(spark, sf_dir)[2]
 
 
+def land(files: DataFrame, sums: DataFrame, folder: str) -> None:
+    """Write archives and their checksum files to a folder, each in the task that holds it."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pa.fs.FileSystem.from_uri(folder if "://" in folder or not folder.startswith("/") else f"file://{folder}")
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                with store.open_output_stream(f"{base}/{path.rsplit('/', 1)[-1]}") as out:
+                    out.write(content)
+            yield pa.record_batch([pa.array([len(batch)])], names=["files"])
+
+    both = files.unionByName(sums.select("path", F.encode("value", "UTF-8").alias("content")))
+    both.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
+@query(sql(f"""SELECT run, CASE WHEN run = 2 THEN 0 WHEN run = 3 THEN count(DISTINCT CASE WHEN symbol = 'click' THEN {_FILE} END) ELSE count(DISTINCT {_FILE}) END AS files_read, count(*) AS bars FROM bars, (VALUES (1), (2), (3)) AS t(run) GROUP BY run"""))
+def import_again(spark, sf_dir):
+    """The bars as archives in a folder, imported three times by the manifest: at first all files are read, then
+    none, then those whose archive and checksum file have changed (the same bars, packed anew)."""
+    folder, log, work = shared(spark, "landed"), shared(spark, "manifest"), shared(spark, "import")
+    bars = jobs.stage(bars_1h(spark, sf_dir), work)
+    land(*landed(bars), folder)
+    merged, rows = spark.createDataFrame([], CANDLE), []
+    for run in (1, 2, 3):
+        if run == 3:
+            land(*landed(bars.filter("symbol = 'click'"), comment="packed anew"), folder)
+        merged, _, paths = jobs.import_by_manifest(spark, folder, merged, *_YEARS, constants(), work, log)
+        merged = jobs.stage(merged, work)
+        rows.append((run, len(paths), merged.count()))
+    return spark.createDataFrame(rows, "run int, files_read long, bars long")
+
+
 _HOLED = f"""
 holed AS (SELECT * FROM dense WHERE hour(open_time) % 5 <> 0),
 steps AS (SELECT {_KEYS}, open_time, lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS prev FROM holed),

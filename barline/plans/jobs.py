@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import touched_months
 from ..operators.merge import cell_diff, insert_only_merge, reconcile
-from ..operators.manifest import archive_events
+from ..operators.manifest import archive_events, missing_archives
 from ..operators.quality import clip_to_range, file_ranges, find_gaps, order_violations, split_by_file, split_repairable, validate_range, validate_repair
 from ..operators.resample import resample_complete
 from ..schemas import CANDLE, CANDLE_COLUMNS, KEY, PRICES, SCHEMA_VERSION, VOLUMES
-from ..sources.archives import archive_lines, parse_kline_csv, read_files, read_sidecars, verify_checksums
-from ..sources.staging import stage
+from ..sources.archives import archive_lines, expected_checksums, parse_kline_csv, read_files, read_sidecars, verify_checksums
+from ..sources.staging import exists, stage
 from ..sources.tables import check_schema, expected_partitions, partition_inventory, read_candles, write_candles
 
 #: Arrow types of a stored file: the contract less the partition columns.
@@ -55,6 +55,45 @@ def import_archives(spark: SparkSession, path: str, existing: DataFrame, start:
     return import_files(read_files(spark, path), read_sidecars(spark, path), existing, start, end, constants, work)
 
 
+MANIFEST = "file_name string, status string, error_message string, step int, observed_at timestamp, checksum string"
+#: States in which a file's bars are in the table.
+IMPORTED = ("imported", "validated", "fallback_complete")
+
+
+def read_manifest(spark: SparkSession, log: str) -> DataFrame:
+    """The newest state of each archive file, folded from the events that imports have appended."""
+    events = spark.read.schema(MANIFEST).parquet(log) if exists(spark, log) else spark.createDataFrame([], MANIFEST)
+    newest = F.max_by(F.struct("status", "error_message", "checksum"), F.struct("observed_at", "step"))
+    return events.groupBy("file_name").agg(newest.alias("x")).select("file_name", "x.*")
+
+
+def import_by_manifest(
+    spark: SparkSession, path: str, existing: DataFrame, start: datetime, end: datetime, constants: dict[str, Column], work: str, log: str, plan: DataFrame | None = None, days: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(merged bars, refused files, paths read) of the archives under `path` that the manifest at `log` does not
+    hold as imported under the checksum of their checksum file; the events are appended to it.
+
+    Only names and checksum files are read of the others. With a `plan` (and the `days` of its
+    months) only planned files are taken, and for an absent month its days. A file whose checksum
+    file changed, that failed before or that has none is read again.
+    """
+    landed = read_files(spark, path).select("path").withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    sidecars = read_sidecars(spark, path)
+    sums = expected_checksums(sidecars)
+    if plan is not None:
+        wanted = missing_archives(plan, landed, days if days is not None else plan.limit(0).withColumn("parent", F.lit("")))
+        landed = landed.join(wanted.select("file_name"), "file_name", "left_semi")
+    held = read_manifest(spark, log).filter(F.col("status").isin(*IMPORTED)).select("file_name", F.col("checksum").alias("expected"))
+    fresh = landed.join(sums, "file_name", "left").join(held, ["file_name", "expected"], "left_anti")
+    paths = [r.path for r in fresh.select("path").orderBy("path").collect()]  # names alone, which a file index holds anyway
+    if not paths:
+        return existing, spark.createDataFrame([], "source_file string, reason string"), []
+    merged, refused, _, events = import_files(read_files(spark, paths), sidecars, existing, start, end, constants, work)
+    named = events.join(sums.withColumnRenamed("expected", "checksum"), "file_name", "left")
+    named.select("file_name", "status", "error_message", "step", "observed_at", "checksum").write.mode("append").parquet(log)
+    return merged, refused, paths
+
+
 def repair_from_pages(existing: DataFrame, pages: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merged bars, gaps with their repair status): gaps of the expected ranges filled from page
     rows; a gap merges only if its rows cover it complete and valid. Over-long gaps raise."""

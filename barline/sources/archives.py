@@ -19,7 +19,7 @@ FIELDS = ["open_time", "open", "high", "low", "close", "base_asset_volume", "clo
 _DECIMALS = [f for f in FIELDS if f not in ("open_time", "close_time", "trade_count", "ignored")]
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
+def read_files(spark: SparkSession, path: str | list[str], pattern: str = "*.zip") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
@@ -85,12 +85,17 @@ def verify_checksums(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     (path, value): the first token is the SHA-256. Outcomes: pass, mismatch, missing, malformed."""
     name = F.element_at(F.split("path", "/"), -1)
     actual = files.select(name.alias("file_name"), F.sha2("content", 256).alias("actual"))
-    token = F.lower(F.split(F.trim("value"), r"\s+")[0])
-    expected = sidecars.select(F.regexp_replace(name, r"\.(sha256|CHECKSUM)$", "").alias("file_name"), token.alias("expected"))
+    expected = expected_checksums(sidecars)
     outcome = F.when(F.col("expected").isNull(), "missing").when(~F.col("expected").rlike("^[0-9a-f]{64}$"), "malformed").when(F.col("expected") == F.col("actual"), "pass").otherwise("mismatch")
     return actual.join(expected, "file_name", "left").select("file_name", "expected", "actual", outcome.alias("outcome"))
 
 
+def expected_checksums(sidecars: DataFrame) -> DataFrame:
+    """(file_name, expected) of checksum files (path, value): their first token, for the file that their name speaks of."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(sha256|CHECKSUM)$", "")
+    return sidecars.select(name.alias("file_name"), F.lower(F.split(F.trim("value"), r"\s+")[0]).alias("expected"))
+
+
 def read_sidecars(spark: SparkSession, path: str, pattern: str = "*.sha256") -> DataFrame:
     return read_files(spark, path, pattern).select("path", F.decode("content", "UTF-8").alias("value"))
 

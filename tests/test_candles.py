@@ -333,6 +333,40 @@ def test_merge_and_comparison_shuffle_each_side_once(spark):
             spark.conf.set(k, v)
 
 
+def test_imported_archives_are_not_read_again(spark, tmp_path):
+    folder, log, work = (str(tmp_path / x) for x in ("landed", "manifest", "work"))
+    os.mkdir(folder)
+
+    def put(name, lines, sidecar=True):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            z.writestr(zipfile.ZipInfo(name.replace(".zip", ".csv")), "\n".join(lines))
+        (tmp_path / "landed" / name).write_bytes(raw.getvalue())
+        if sidecar:
+            (tmp_path / "landed" / (name + ".sha256")).write_text(hashlib.sha256(raw.getvalue()).hexdigest() + "  " + name)
+
+    made = dict(venue=F.lit("v"), market_type=F.lit("spot"), symbol=F.lit("AAA"), interval=F.lit("1m"))
+    span = (T0, T0 + dt.timedelta(days=40))
+    run = lambda have, **options: jobs.import_by_manifest(spark, folder, have, *span, made, work, log, **options)
+    put("AAA-1m-2024-01-01.zip", [kline(0), kline(1)])
+    put("AAA-1m-2024-01-02.zip", [kline(1440, open="x")])
+    bars_, refused, paths = run(spark.createDataFrame([], CANDLE))
+    assert (bars_.count(), refused.count(), len(paths)) == (2, 1, 2)
+    stored = jobs.stage(bars_, work)
+    (tmp_path / "landed" / "AAA-1m-2024-01-01.zip").write_bytes(b"whoever reads this refuses it")
+    put("AAA-1m-2024-01-02.zip", [kline(1440)])  # mended: another checksum
+    bars_, refused, paths = run(stored)
+    assert [p.rsplit("/", 1)[-1] for p in paths] == ["AAA-1m-2024-01-02.zip"] and (bars_.count(), refused.count()) == (3, 0)
+    assert run(stored)[2] == []
+    assert {r.file_name: r.status for r in jobs.read_manifest(spark, log).collect()} == {"AAA-1m-2024-01-01.zip": "imported", "AAA-1m-2024-01-02.zip": "imported"}
+    # A plan takes an absent month's days, and nothing that it does not name.
+    put("AAA-1m-2024-01-03.zip", [kline(2880)])
+    put("AAA-1m-2024-02-01.zip", [kline(31 * 1440)])
+    items = spark.createDataFrame([("monthly", "AAA-1m-2024-01.zip")], "source_type string, file_name string")
+    each = spark.createDataFrame([("daily", f"AAA-1m-2024-01-{d:02}.zip", "AAA-1m-2024-01.zip") for d in range(1, 32)], "source_type string, file_name string, parent string")
+    assert [p.rsplit("/", 1)[-1] for p in run(stored, plan=items, days=each)[2]] == ["AAA-1m-2024-01-03.zip"]
+
+
 def test_trailing_newlines_are_refused(spark):
     from barline.functions.text import is_canonical_uuid, is_utc_z
 
