@@ -64,6 +64,25 @@ def complete_fallbacks(manifest: DataFrame, candles: DataFrame) -> DataFrame:
     return out.select("source_url", "period", (F.coalesce("complete", F.lit(False)) | F.coalesce(done, F.lit(False))).alias("complete"), F.coalesce("finished_children", F.lit(0)).alias("finished_children"))
 
 
+def reconcile_pending(manifest: DataFrame, candles: DataFrame) -> DataFrame:
+    """Events (source_url, status, step) that complete pending items: first days whose bars are all there and
+    valid, then months that are whole themselves or by their days, those of the first step
+    included, so that a month is complete in the run that completes its last day.
+
+    `manifest` holds one row an item (source_url, file_name, period, status and, where known,
+    fallback_parent_url); days without a parent are linked to the month of their file name.
+    """
+    links = link_fallback_parents(manifest).filter("NOT conflict").select(F.col("child").alias("source_url"), F.col("parent").alias("__parent"))
+    given = F.col("fallback_parent_url") if "fallback_parent_url" in manifest.columns else F.lit(None).cast("string")
+    linked = manifest.join(links, "source_url", "left").withColumn("fallback_parent_url", F.coalesce(given, "__parent")).drop("__parent")
+    kind = period_kind(F.col("period"))
+    days = complete_fallbacks(linked.filter(kind == "day"), candles).filter("complete").select("source_url", F.lit(True).alias("__done"))
+    after = linked.join(days, "source_url", "left").withColumn("status", F.when(F.col("__done"), "fallback_complete").otherwise(F.col("status"))).drop("__done")
+    months = complete_fallbacks(after, candles).filter(F.col("complete") & (kind == "month")).select("source_url")
+    event = lambda df, step: df.select("source_url", F.lit("fallback_complete").alias("status"), F.lit(step).alias("step"))
+    return event(days, 1).unionByName(event(months, 2))
+
+
 def archive_events(checked: DataFrame, imported: DataFrame, observed_at: Column) -> DataFrame:
     """Manifest events (file_name, status, error_message, observed_at) of an import: checksum_verified
     or failed for every landed file, then imported for those of which rows came in."""

@@ -351,6 +351,26 @@ def complete_fallbacks(spark, sf_dir):
     return manifest.complete_fallbacks(items, minutes.unionByName(minutes.withColumn("venue", F.lit("elsewhere"))))
 
 
+@query(sql("""SELECT source_url, status, step FROM (
+    SELECT 'd-' || symbol || d AS source_url, 'fallback_complete' AS status, 1 AS step FROM days WHERE n = 24 AND NOT held
+    UNION ALL SELECT 'm-' || symbol || left(d, 7), 'fallback_complete', 2 FROM days GROUP BY symbol, left(d, 7) HAVING count(*) FILTER (n = 24 OR held) >= day(last_day(CAST(left(any_value(d), 7) || '-01' AS DATE))))""", DENSE, SOLID, """
+days AS (SELECT symbol, strftime(open_time, '%Y-%m-%d') AS d, CAST(count(*) FILTER (day(open_time) % 5 <> 0) AS INTEGER) AS n, any_value(day(open_time) % 5 = 0) AS held FROM solid GROUP BY ALL)"""))
+def reconciled_fallbacks(spark, sf_dir):
+    """Days and months of gap-free bars as pending items without parents. Every fifth day has no bars but is validated
+    already; so months are whole by their days alone, in the run that completes the others."""
+    bars = solid_1h(spark, sf_dir)
+    fifth = F.dayofmonth(utc_date(F.col("open_time"))) % 5 == 0
+    items = []
+    for kind, form in (("d-", "yyyy-MM-dd"), ("m-", "yyyy-MM")):
+        status = F.when(fifth, "validated").otherwise("fallback_pending") if kind == "d-" else F.lit("fallback_pending")
+        rows = bars.select("symbol", F.date_format(utc_date(F.col("open_time")), form).alias("period"), status.alias("status")).distinct()
+        items.append(rows.select(F.concat(F.lit(kind), "symbol", "period").alias("source_url"), F.concat_ws("-", "symbol", F.lit("1m"), F.concat("period", F.lit(".zip"))).alias("file_name"), "period", "status"))
+    # the operator looks at one-minute bars: each hour stands for its sixty minutes
+    minutes = bars.filter(~fifth).withColumn("open_time", F.explode(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: add_seconds(F.col("open_time"), k * 60))))
+    minutes = minutes.withColumns({"interval": F.lit("1m"), "close_time": F.timestamp_micros(F.unix_micros("open_time") + 59_999_000)})
+    return manifest.reconcile_pending(items[0].unionByName(items[1]), minutes)
+
+
 @query(sql("""SELECT r.symbol AS range_symbol, m.symbol || '-' || m.period AS item FROM (SELECT DISTINCT symbol, strftime(open_time, '%Y-%m-%d') AS period, date_trunc('day', open_time) AS s FROM bars) m
     JOIN (SELECT symbol, min(open_time) + INTERVAL 36 HOUR AS a, min(open_time) + INTERVAL 240 HOUR AS b FROM bars GROUP BY symbol) r ON r.symbol = m.symbol AND m.s < r.b AND m.s + INTERVAL 1 DAY > r.a"""))
 def overlapping_ranges(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import touched_months
 from ..operators.merge import cell_diff, insert_only_merge, reconcile
-from ..operators.manifest import archive_events, missing_archives
+from ..operators.manifest import archive_events, missing_archives, reconcile_pending
 from ..operators.quality import clip_to_range, file_ranges, find_gaps, order_violations, split_by_file, split_repairable, validate_range, validate_repair
 from ..operators.resample import resample_complete
 from ..schemas import CANDLE, CANDLE_COLUMNS, KEY, PRICES, SCHEMA_VERSION, VOLUMES
@@ -105,6 +105,13 @@ def repair_from_pages(existing: DataFrame, pages: DataFrame, expected: DataFrame
     return insert_only_merge(existing, good), state
 
 
+def repair_and_reconcile(existing: DataFrame, pages: DataFrame, expected: DataFrame, manifest: DataFrame, work: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """repair_from_pages, and the manifest events of the pending days and months that the repaired bars complete."""
+    merged, state = repair_from_pages(existing, pages, expected)
+    merged = stage(merged, work)
+    return merged, state, reconcile_pending(manifest, merged)
+
+
 def resample_months(minutes: DataFrame, stored: DataFrame, work: str, levels: tuple[str, ...] = ("15m", "1h", "4h", "1d"), base: str = "1m") -> DataFrame:
     """Complete coarser bars of the bars of `base`, each level staged and built from the one below,
     merged into the stored ones."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.intervals import add_seconds, interval_seconds, touched_months, utc_date
+from ..operators.manifest import reconcile_pending
 from ..operators.merge import ConflictError, cell_diff, merge
 from ..operators.quality import find_gaps, interior_gaps, rule_codes
 from ..operators.resample import resample_ladder
@@ -94,7 +95,7 @@ def recover(spark: SparkSession, root: str, run_log: str) -> None:
         append_summary(stored_months(spark, root, spark.read.parquet(work)), path)
 
 
-def _merge_batch(batch: DataFrame, root: str, run_log: str, levels: tuple[str, ...], base: str, run: Run, windows: DataFrame | None) -> None:
+def _merge_batch(batch: DataFrame, root: str, run_log: str, levels: tuple[str, ...], base: str, run: Run, windows: DataFrame | None, manifest: str | None = None) -> None:
     spark = batch.sparkSession
     seen = Observation()
     ends = [F.struct(F.min(c), F.max(c)).alias(c) for c in KEY[:3]]
@@ -130,6 +131,10 @@ def _merge_batch(batch: DataFrame, root: str, run_log: str, levels: tuple[str, .
     whole = stored.unionByName(fresh)
     run.advance("validate")
     run.note(gaps_remaining=(interior_gaps(whole) if windows is None else find_gaps(whole, windows)).count())
+    if manifest:
+        run.advance("reconcile")
+        events = reconcile_pending(read_items(spark, manifest), whole).withColumn("observed_at", F.current_timestamp())
+        append_items(events, manifest)
     if added.get["rows"]:
         run.advance("aggregate")
         everything = stage(_with_levels(whole, levels, base), run_log)
@@ -145,6 +150,22 @@ def _merge_batch(batch: DataFrame, root: str, run_log: str, levels: tuple[str, .
         raise GapsRemain(f"{run.row['gaps_remaining']} gaps remain in the work range")
 
 
+#: Events of manifest items; an item is described by its first event, later ones only change its status.
+ITEMS = "source_url string, file_name string, period string, status string, fallback_parent_url string, step int, observed_at timestamp"
+
+
+def append_items(events: DataFrame, manifest: str) -> None:
+    names = [x.split()[0] for x in ITEMS.split(", ")]
+    events.select(*[F.col(n) if n in events.columns else F.lit(None).cast("string").alias(n) for n in names]).write.mode("append").parquet(manifest)
+
+
+def read_items(spark: SparkSession, manifest: str) -> DataFrame:
+    """One row an item: its newest status, and what its events tell of it."""
+    events = spark.read.schema(ITEMS).parquet(manifest)
+    told = [F.max(c).alias(c) for c in ("file_name", "period", "fallback_parent_url")]
+    return events.groupBy("source_url").agg(F.max_by("status", F.struct("observed_at", "step")).alias("status"), *told)
+
+
 def _with_levels(bars: DataFrame, levels: tuple[str, ...], base: str) -> DataFrame:
     out = bars
     for rolled in resample_ladder(bars, levels, base).values():
@@ -153,7 +174,7 @@ def _with_levels(bars: DataFrame, levels: tuple[str, ...], base: str) -> DataFra
 
 
 def sync(
-    spark: SparkSession, available: DataFrame, keys: DataFrame, root: str, run_log: str, end: datetime, days: int = 7, levels: tuple[str, ...] = ("15m", "1h", "4h", "1d"), base: str = "1m", on_stage: Callable[[str], None] | None = None
+    spark: SparkSession, available: DataFrame, keys: DataFrame, root: str, run_log: str, end: datetime, days: int = 7, levels: tuple[str, ...] = ("15m", "1h", "4h", "1d"), base: str = "1m", on_stage: Callable[[str], None] | None = None, manifest: str | None = None
 ) -> DataFrame:
     """One sync up to `end`: the work window of each key (from the first recent gap, else after the
     newest bar), the landed bars inside it, one merge. Returns the run's record.
@@ -161,7 +182,9 @@ def sync(
     Keys (venue, market_type, symbol, interval, start) without stored bars begin at `start`; where it is
     null they need a bootstrap first, and the run fails. Runs that died are closed as interrupted. A
     run is refused while stored bars of the last `days` days break a rule or repeat a key, and it fails
-    when its work range still has gaps at the end, with what could be merged in place.
+    when its work range still has gaps at the end, with what could be merged in place. With a `manifest`
+    (events of archive items) pending days and months that the touched months now hold whole are
+    completed in it.
     """
     recover(spark, root, run_log)
     limit_at = end.astimezone(timezone.utc) if end.tzinfo else end.replace(tzinfo=timezone.utc)
@@ -193,7 +216,7 @@ def sync(
         # older than `days` days from archives, the rest from pages; both have landed in `available`
         old, new = catchup_split(windows, days)
         rows = available.filter(F.col("interval") == base).join(old.unionByName(new), KEY).filter("open_time >= start AND open_time < end").select(*CANDLE_COLUMNS)
-        _merge_batch(rows, root, run_log, levels, base, run, windows)
+        _merge_batch(rows, root, run_log, levels, base, run, windows, manifest)
 
     return _logged(run, work)
 

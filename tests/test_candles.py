@@ -19,7 +19,8 @@ from barline.schemas import CANDLE, CANDLE_COLUMNS, KEY
 from barline.sources import archives, plan
 from barline.sources.tables import append_run_record, check_schema, page_candles, scan_candles, write_candles
 from barline.sources.summaries import append_summary, read_summary, stored_bars, stored_months
-from barline.streaming.runs import close_interrupted, read_runs
+from barline.streaming.runs import close_interrupted, read_runs, run_events
+from barline.streaming.sync import append_items, read_items
 from barline.streaming.sync import BadRowsError, BootstrapRequired, GapsRemain, apply_batch, catchup_split, incremental_sync, sync, sync_window
 
 from .oracle import rows_of, sql_rows
@@ -333,6 +334,20 @@ def test_merge_and_comparison_shuffle_each_side_once(spark):
             spark.conf.set(k, v)
 
 
+def test_sync_completes_a_month_with_its_last_day(spark, tmp_path):
+    root, log, held = (str(tmp_path / x) for x in ("table", "log", "items"))
+    day = lambda d: (f"d{d}", f"AAA-1m-2024-01-{d:02}.zip", f"2024-01-{d:02}", "fallback_pending" if d in (1, 2) else "validated")
+    items = spark.createDataFrame([day(d) for d in range(1, 32)] + [("m", "AAA-1m-2024-01.zip", "2024-01", "fallback_pending")], "source_url string, file_name string, period string, status string")
+    append_items(items.withColumns({"step": F.lit(0), "observed_at": F.lit(T0)}), held)
+    keys = bars(spark, [minute(0)]).groupBy(*KEY).agg(F.min("open_time").alias("start"))
+    states = lambda: {r.source_url: r.status for r in read_items(spark, held).filter("source_url IN ('d1', 'd2', 'm')").collect()}
+    for days_, want in ((1, ("fallback_complete", "fallback_pending", "fallback_pending")), (2, ("fallback_complete",) * 3)):
+        rows = bars(spark, [minute(i) for i in range(days_ * 1440)])
+        sync(spark, rows, keys, root, log, T0 + dt.timedelta(days=days_), levels=("1d",), manifest=held)
+        assert states() == dict(zip(("d1", "d2", "m"), want))
+    assert "reconcile" in [r.stage for r in run_events(spark, log).collect()]
+
+
 def test_imported_archives_are_not_read_again(spark, tmp_path):
     folder, log, work = (str(tmp_path / x) for x in ("landed", "manifest", "work"))
     os.mkdir(folder)
