@@ -403,7 +403,7 @@ def verification_report(spark, sf_dir):
 
 _SEVEN = "(SELECT count(*) FROM bars WHERE hour(open_time) = 7)"
 _OF = {
-    "clean": "0", "bar_only": _SEVEN, "stored_only": _SEVEN, "changed_cell": _SEVEN, "repeated": f"2 * {_SEVEN}", "reordered": f"(SELECT count(*) FROM bars) - {_PARTS}", "other_version": "(SELECT count(*) FROM bars)", "wrong_schema": _PARTS,
+    "clean": "0", "bar_only": _SEVEN, "stored_only": _SEVEN, "changed_cell": _SEVEN, "repeated": f"2 * {_SEVEN}", "reordered": f"(SELECT count(*) FROM bars) - {_PARTS}", "other_version": "(SELECT count(*) FROM bars)", "wrong_schema": _PARTS, "null_cells": "(SELECT count(DISTINCT (symbol, date_trunc('month', open_time))) FROM bars WHERE hour(open_time) = 7)",
     "missing_file": "(SELECT count(*) + count(DISTINCT date_trunc('month', open_time)) FROM bars WHERE symbol = 'click')",
     "extra_file": "(SELECT count(*) + count(DISTINCT (symbol, date_trunc('month', open_time + INTERVAL 400 DAY))) FROM bars WHERE hour(open_time) = 7)",
 }
@@ -419,7 +419,7 @@ def verification_faults(spark, sf_dir):
     changed = bars.withColumn("close", F.when(utc_hour(F.col("open_time")) == 7, F.col("close") + 1).otherwise(F.col("close")).cast("decimal(38,18)"))
     stored = {
         "clean": (bars, bars, {}), "bar_only": (bars, rest, {}), "stored_only": (rest, bars, {}), "changed_cell": (bars, changed, {}), "repeated": (bars, bars.unionByName(seven), {}), "reordered": (bars, bars, {"order": F.desc("open_time")}),
-        "other_version": (bars, bars, {"version": "9"}), "wrong_schema": (bars, bars.withColumn("close", F.col("close").cast("double")), {}), "missing_file": (bars, bars.filter("symbol <> 'click'"), {}), "extra_file": (bars, bars.unionByName(later), {}),
+        "other_version": (bars, bars, {"version": "9"}), "wrong_schema": (bars, bars.withColumn("close", F.col("close").cast("double")), {}), "null_cells": (bars, bars.withColumn("close", F.when(utc_hour(F.col("open_time")) != 7, F.col("close"))), {}), "missing_file": (bars, bars.filter("symbol <> 'click'"), {}), "extra_file": (bars, bars.unionByName(later), {}),
     }
     ranges, rows = _bar_ranges(bars), []
     for fault, (given, kept, options) in stored.items():

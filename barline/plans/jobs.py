@@ -140,7 +140,7 @@ def verification_issues(spark: SparkSession, bars: DataFrame, root: str, expecte
     keys = expected.select(*KEY).distinct()
     months = touched_months(expected.select(*KEY, "start", "end")).select(*KEY, "month")
     inventory = partition_inventory(spark, root, expected_partitions(keys, months))
-    schema = check_schema(spark, root, arrow_schema)
+    schema = check_schema(spark, root, arrow_schema, tuple(arrow_schema))
     issue = lambda df, *parts: df.select(F.concat_ws(" ", *parts).alias("issue"))
     at = F.concat_ws(" ", "symbol", "interval", F.unix_micros("open_time").cast("string"))
     found = issue(inventory.filter("status <> 'ok'"), F.lit("partition"), F.col("status"), F.col("partition")).unionByName(issue(schema, F.lit("schema"), F.col("path"), F.col("problem")))

@@ -26,6 +26,9 @@ def write_candles(df: DataFrame, root: str, version: str = SCHEMA_VERSION, order
     are stored in microseconds whatever the session writes otherwise."""
     day = utc_date(F.col("open_time"))
     rows = df.withColumns({"schema_version": F.lit(version), "year": F.date_format(day, "yyyy"), "month": F.date_format(day, "MM")})
+    # A key that is a literal in the plan would drop out of the sort, and the writer would then sort anew, without `order`.
+    nothing = F.substring(F.coalesce("year", F.lit("")), 1, 0)
+    rows = rows.withColumns({k: F.concat(k, nothing) for k in KEY})
     placed = rows.select("schema_version", *CANDLE_COLUMNS, "year", "month").repartition(*PARTITION).sortWithinPartitions(*PARTITION, order)
     writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
     conf, name = df.sparkSession.conf, "spark.sql.parquet.outputTimestampType"  # no writer option, only a setting
@@ -84,20 +87,34 @@ def partition_inventory(spark: SparkSession, root: str, expected: DataFrame) ->
     return both.select("partition", status.alias("status"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
-def _schema_fault(source, expected: dict[str, str]) -> str | None:
-    """What tells a file's footer from the expected column names and Arrow types."""
+def _nulls(file: pq.ParquetFile, column: str) -> int:
+    """Nulls of a column by the statistics of its row groups; one without statistics is read, that column alone."""
+    at = file.schema_arrow.get_field_index(column)
+    total = 0
+    for i in range(file.metadata.num_row_groups):
+        found = file.metadata.row_group(i).column(at).statistics
+        total += found.null_count if found is not None and found.has_null_count else file.read_row_group(i, columns=[column]).column(0).null_count
+    return total
+
+
+def _schema_fault(source, expected: dict[str, str], required: tuple[str, ...]) -> str | None:
+    """What tells a file from the expected column names and Arrow types, or which required columns hold nulls."""
     try:
-        have = {f.name: str(f.type) for f in pq.read_schema(source)}
+        file = pq.ParquetFile(source)
     except pa.ArrowInvalid as error:
         return str(error)
+    have = {f.name: str(f.type) for f in file.schema_arrow}
     wrong = sorted(k for k in have.keys() | expected.keys() if have.get(k) != expected.get(k))
-    return "; ".join(f"{k}: {have.get(k)} for {expected.get(k)}" for k in wrong) or None
+    faults = [f"{k}: {have.get(k)} for {expected.get(k)}" for k in wrong]
+    faults += [f"{k}: {n} nulls" for k in sorted(required) if k in have and (n := _nulls(file, k))]
+    return "; ".join(faults) or None
 
 
-def check_schema(spark: SparkSession, root: str, expected: dict[str, str]) -> DataFrame:
+def check_schema(spark: SparkSession, root: str, expected: dict[str, str], required: tuple[str, ...] = ()) -> DataFrame:
     """(path, problem) for each Parquet file whose column names and Arrow types differ from
-    `expected` (name: type), or that is no Parquet. Only footers are read, unless a file lies in a
-    store that Arrow cannot open: such files are read through Spark."""
+    `expected` (name: type), whose `required` columns hold nulls, or that is no Parquet. Only footers are
+    read (nulls are counted in their statistics), unless a file lies in a store that Arrow cannot open:
+    such files are read through Spark."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
 
     def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +124,7 @@ def check_schema(spark: SparkSession, root: str, expected: dict[str, str]) -> Da
                 try:
                     store, inside = pa.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
                     with store.open_input_file(inside) as source:
-                        rows.append((path, True, _schema_fault(source, expected)))
+                        rows.append((path, True, _schema_fault(source, expected, required)))
                 except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
                     rows.append((path, False, None))
             path, opened, problem = zip(*rows) if rows else ((), (), ())
@@ -115,7 +132,7 @@ def check_schema(spark: SparkSession, root: str, expected: dict[str, str]) -> Da
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            problem = [_schema_fault(pa.BufferReader(x.as_buffer()), expected) for x in batch.column("content")]
+            problem = [_schema_fault(pa.BufferReader(x.as_buffer()), expected, required) for x in batch.column("content")]
             yield pa.record_batch([batch.column("path"), pa.array(problem, pa.string())], names=["path", "problem"])
 
     seen = listed.select("path").mapInArrow(footers, "path string, opened boolean, problem string")

@@ -334,6 +334,31 @@ def test_merge_and_comparison_shuffle_each_side_once(spark):
             spark.conf.set(k, v)
 
 
+def test_nulls_are_found_in_footers(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.table({"a": [1, None, 3], "b": ["x", "y", None]})
+    for name, statistics in (("with", True), ("without", False)):
+        pq.write_table(table, tmp_path / f"{name}.parquet", write_statistics=statistics, row_group_size=2)
+    pq.write_table(table.slice(0, 1), tmp_path / "clean.parquet")
+    types = {"a": "int64", "b": "string"}
+    got = {r.path.rsplit("/", 1)[-1]: r.problem for r in check_schema(spark, str(tmp_path), types, ("a", "b")).collect()}
+    assert got == {"with.parquet": "a: 1 nulls; b: 1 nulls", "without.parquet": "a: 1 nulls; b: 1 nulls"}
+    assert check_schema(spark, str(tmp_path), types, ()).count() == 0
+
+
+def test_two_exports_have_the_same_bytes(spark, tmp_path):
+    """Rows in another order and other partitions give the same files, but for their names."""
+    rows = days(spark, 0, 40)
+    digests = []
+    for name, df in (("one", rows), ("two", rows.orderBy(F.desc("open_time")).repartition(5))):
+        write_candles(df, str(tmp_path / name))
+        files = sorted((tmp_path / name).rglob("*.parquet"), key=lambda p: str(p.parent))
+        digests.append([(str(p.parent.relative_to(tmp_path / name)), hashlib.sha256(p.read_bytes()).hexdigest()) for p in files])
+    assert digests[0] == digests[1] and len(digests[0]) == 2
+
+
 def test_sync_completes_a_month_with_its_last_day(spark, tmp_path):
     root, log, held = (str(tmp_path / x) for x in ("table", "log", "items"))
     day = lambda d: (f"d{d}", f"AAA-1m-2024-01-{d:02}.zip", f"2024-01-{d:02}", "fallback_pending" if d in (1, 2) else "validated")
