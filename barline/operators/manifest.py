@@ -46,15 +46,16 @@ def link_fallback_parents(manifest: DataFrame) -> DataFrame:
     return links.withColumn("conflict", F.col("parents") > 1)
 
 
-def complete_fallbacks(manifest: DataFrame, candles: DataFrame) -> DataFrame:
+def complete_fallbacks(manifest: DataFrame, candles: DataFrame, units: tuple[str, ...] = ("day", "month")) -> DataFrame:
     """Pending items (source_url, period, status, parent) with `complete`: the whole UTC period is
     present and valid in the 1-minute bars of the item's symbol (and venue and market_type, where
-    the manifest has them), or all days of a month are finished children."""
+    the manifest has them), or all days of a month are finished children. Bars are counted for the
+    named units only."""
     own = [c for c in ("venue", "market_type") if c in manifest.columns]
     pending = manifest.filter("status = 'fallback_pending'").withColumn("symbol", F.split("file_name", "-")[0]).withColumn("period_start", period_bounds(F.col("period"))["start"])
     minutes = candles.filter("interval = '1m'")
     whole = None
-    for unit in ("day", "month"):
+    for unit in units:
         c = period_coverage(minutes, unit).filter("valid").select(*own, "symbol", "period_start", F.lit(unit).alias("kind")).distinct()
         whole = c if whole is None else whole.unionByName(c)
     children = manifest.filter("fallback_parent_url IS NOT NULL AND status IN ('validated', 'fallback_complete')").groupBy(F.col("fallback_parent_url").alias("source_url")).agg(F.count_distinct("period").alias("finished_children"))
@@ -76,9 +77,9 @@ def reconcile_pending(manifest: DataFrame, candles: DataFrame) -> DataFrame:
     given = F.col("fallback_parent_url") if "fallback_parent_url" in manifest.columns else F.lit(None).cast("string")
     linked = manifest.join(links, "source_url", "left").withColumn("fallback_parent_url", F.coalesce(given, "__parent")).drop("__parent")
     kind = period_kind(F.col("period"))
-    days = complete_fallbacks(linked.filter(kind == "day"), candles).filter("complete").select("source_url", F.lit(True).alias("__done"))
+    days = complete_fallbacks(linked.filter(kind == "day"), candles, ("day",)).filter("complete").select("source_url", F.lit(True).alias("__done"))
     after = linked.join(days, "source_url", "left").withColumn("status", F.when(F.col("__done"), "fallback_complete").otherwise(F.col("status"))).drop("__done")
-    months = complete_fallbacks(after, candles).filter(F.col("complete") & (kind == "month")).select("source_url")
+    months = complete_fallbacks(after, candles, ("month",)).filter(F.col("complete") & (kind == "month")).select("source_url")
     event = lambda df, step: df.select("source_url", F.lit("fallback_complete").alias("status"), F.lit(step).alias("step"))
     return event(days, 1).unionByName(event(months, 2))
 
