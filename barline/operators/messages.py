@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.intervals import utc_date
-from ..functions.text import FORBIDDEN_KEYS, has_secret, is_canonical_uuid, is_utc_z, lease_expired, length_between, list_ok, normalize_key, uri_fault
+from ..functions.text import FORBIDDEN_KEYS, has_secret, is_canonical_uuid, is_utc_z, lease_expired, lease_until, length_between, list_ok, normalize_key, uri_fault
 
 #: The fields of an envelope, of its artifacts, and the closed value sets.
 FIELDS = ["schema_version", "id", "created_at", "sender", "recipient", "type", "subject", "body", "correlation_id", "artifacts", "metadata"]
@@ -264,6 +264,17 @@ def routed_queue(messages: DataFrame, now: Column, authority: str) -> DataFrame:
     return claimable_queue(tasks, now, "local_lane")
 
 
+def claims(messages: DataFrame, now: Column, worker: str, seconds: int = 300, lane: str = "lane") -> DataFrame:
+    """New state rows for the oldest claimable message of each lane: in work with `worker`, leased from now for
+    so many seconds. Equal times go by id; one lane's messages meet as partial minima, not as rows."""
+    if not worker or seconds < 1:
+        raise ValueError("a claim needs a worker and at least one second")
+    free = messages.filter((F.col("direction") == "inbound") & (F.col("status") == "received") & lease_expired(F.col("lease_until"), now))
+    rest = F.struct("created_at", "id", *[c for c in free.columns if c not in ("created_at", "id", lane)])
+    first = free.groupBy(lane).agg(F.min_by(rest, F.struct("created_at", "id")).alias("x")).select(lane, "x.*").select(*messages.columns)
+    return first.withColumns({"status": F.lit("processing"), "claimed_by": F.lit(worker), "claimed_at": now, "lease_until": lease_until(now, F.lit(seconds))})
+
+
 def expired_leases(messages: DataFrame, now: Column) -> DataFrame:
     """New state rows for messages whose lease has run out: received again, one revision on."""
     out = messages.filter((F.col("status") == "processing") & (F.col("lease_until") <= now))

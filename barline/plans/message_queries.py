@@ -164,6 +164,13 @@ def claimable_queue(spark, sf_dir):
     return messages.claimable_queue(q, now).select("id", "lane", "created_at", "place")
 
 
+@query("WITH " + _QUEUE + """ SELECT id, lane, 'processing' AS status, 'w1' AS claimed_by, now AS claimed_at, now + INTERVAL 300 SECOND AS lease_until FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY created_at, id) AS place FROM q, n WHERE status = 'received' AND (lease_until IS NULL OR lease_until <= now)) WHERE place = 1""")
+def lease_claims(spark, sf_dir):
+    """The oldest free event of each type, claimed."""
+    q, now = _queue(spark, sf_dir)
+    return messages.claims(q, now, "w1").select("id", "lane", "status", "claimed_by", "claimed_at", "lease_until")
+
+
 @query("WITH " + _QUEUE + " SELECT id, lane, 'received' AS status, revision + 1 AS revision FROM q, n WHERE status = 'processing' AND lease_until <= now")
 def expired_leases(spark, sf_dir):
     q, now = _queue(spark, sf_dir)
