@@ -29,7 +29,7 @@ class Rule:
         return self.host + self.path
 
 
-RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("block", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
+RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 
 
 def host_of(url: Column) -> Column:

@@ -377,6 +377,19 @@ def test_url_rules(spark):
     assert url_rules.filter_urls(pages.filter("false"), labels.filter("false")).count() == 0
 
 
+def test_url_rules_have_the_words_of_the_contract(spark):
+    """Every rule alone, and the longer one of two that contradict each other; a mined rule changes none of them."""
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://x.net/de/8": ("net/de/", "allow"),
+        "http://net/de/": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"), "http://example.net/de/8": ("example.net/de/8", "block"),
+        "http://a.example.net/de/81": ("example.net/de/8", "block"), "http://q.org/es/1": ("org/es/", "block"), "http://x.net/de": (None, "block"),
+    }
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    labels = spark.createDataFrame([(f"http://x.net/{i}", True) for i in range(10)] + [(f"http://y.io/{i}", False) for i in range(10)], "url string, bad boolean")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.filter_urls(pages, labels).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_url_rules_are_mined(spark):
     """Pages of one farm with a query key are bad; held-out ones are found, clean ones are left."""
     r = random.Random(5)
