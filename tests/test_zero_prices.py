@@ -34,6 +34,6 @@ def same(spark, name, folder):
     return got[1]
 
 
-@pytest.mark.parametrize("name", ["export_job"])
+@pytest.mark.parametrize("name", ["export_job", "full_build"])
 def test_exports(spark, made, name):
     assert same(spark, name, made["late"])
