@@ -37,3 +37,8 @@ def same(spark, name, folder):
 @pytest.mark.parametrize("name", ["export_job", "full_build"])
 def test_exports(spark, made, name):
     assert same(spark, name, made["late"])
+
+
+def test_fallbacks_with_broken_bars(spark, made):
+    rows = same(spark, "complete_fallbacks", made["late"])
+    assert {r[0] for r in rows if r[3].startswith("d-signup")} == {True, False}
