@@ -42,3 +42,7 @@ def test_exports(spark, made, name):
 def test_fallbacks_with_broken_bars(spark, made):
     rows = same(spark, "complete_fallbacks", made["late"])
     assert {r[0] for r in rows if r[3].startswith("d-signup")} == {True, False}
+
+
+def test_reconciled_with_broken_bars(spark, made):
+    assert same(spark, "reconciled_fallbacks", made["late"])
