@@ -46,3 +46,7 @@ def test_fallbacks_with_broken_bars(spark, made):
 
 def test_reconciled_with_broken_bars(spark, made):
     assert same(spark, "reconciled_fallbacks", made["late"])
+
+
+def test_repair_with_broken_bars(spark, made):
+    assert same(spark, "repair_job", made["late"])
