@@ -50,3 +50,9 @@ def test_reconciled_with_broken_bars(spark, made):
 
 def test_repair_with_broken_bars(spark, made):
     assert same(spark, "repair_job", made["late"])
+
+
+@pytest.mark.parametrize("name", ["import_job", "import_refusals", "import_events", "import_ranges"])
+def test_imports_with_broken_bars(spark, made, name):
+    rows = same(spark, name, made["late"])
+    assert name != "import_refusals" or ("broken rule or repeated key", "signup-1h-2024-01.zip") in rows
