@@ -56,3 +56,8 @@ def test_repair_with_broken_bars(spark, made):
 def test_imports_with_broken_bars(spark, made, name):
     rows = same(spark, name, made["late"])
     assert name != "import_refusals" or ("broken rule or repeated key", "signup-1h-2024-01.zip") in rows
+
+
+def test_import_again_with_broken_bars(spark, made):
+    rows = same(spark, "import_again", made["late"])
+    assert sorted(r[1:] for r in rows) == [(2, 2), (3, 3), (5, 1)]
