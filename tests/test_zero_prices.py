@@ -61,3 +61,10 @@ def test_imports_with_broken_bars(spark, made, name):
 def test_import_again_with_broken_bars(spark, made):
     rows = same(spark, "import_again", made["late"])
     assert sorted(r[1:] for r in rows) == [(2, 2), (3, 3), (5, 1)]
+
+
+@pytest.mark.parametrize("name", ["sync_runs", "sync_stages", "sync_table", "sync_summaries"])
+@pytest.mark.parametrize("bad", ["late", "early"])
+def test_syncs_with_broken_bars(spark, made, bad, name):
+    rows = same(spark, name, made[bad])
+    assert bool(rows) == (bad == "late" or name in ("sync_runs", "sync_stages"))
