@@ -18,23 +18,33 @@ SPARSE = 64
 NO_ID = (1 << 63) - 1
 #: Bytes of rows that Spark hands a Python worker at a time, however long the texts of a partition are.
 BATCH_BYTES = 4_000_000
+#: Bytes that Spark gathers in a task after a shuffle, where many short rows meet in hash tables and sorts.
+TASK_BYTES = 16_000_000
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of BATCH_BYTES while a table is written or a sketch is folded. A limit that the
-    session has set itself is kept, and an unset one is unset again afterwards."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _limited(spark: SparkSession, name: str, value: int) -> Iterator[None]:
+    """A limit that the session has set itself is kept, and an unset one is unset again afterwards."""
     if spark.conf.get(name, None):
         yield
         return
-    spark.conf.set(name, str(BATCH_BYTES))
+    spark.conf.set(name, str(value))
     try:
         yield
     finally:
         spark.conf.unset(name)
 
 
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_BYTES while a table is written or a sketch is folded."""
+    return _limited(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def narrow_tasks(spark: SparkSession):
+    """Tasks of about TASK_BYTES behind shuffles, for what is run meanwhile."""
+    return _limited(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a temporary one does for a
     local session only; a cluster must name one."""

@@ -310,3 +310,12 @@ def test_equal_rows_make_no_hot_bucket(spark, monkeypatch):
     got = suffix_array_dedup(df).collect()
     assert len(got) == len(rows) and {(x.doc_id, x.n_removed) for x in got} == {(1, 0), (5, 151), (9, 151)}  # with the space beside it
     assert made[0].count() < 100
+
+
+def test_suffix_dedup_scans_no_text_after_it_returns(spark):
+    """The last scan runs under the operator's own limits, which are gone afterwards."""
+    rows = [(i, "the same passage of some length, " * 8 + str(i % 3), "s") for i in range(20)]
+    got = suffix.suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 20
+    assert not any(spark.conf.get(f"spark.sql.{x}", None) for x in ("execution.arrow.maxBytesPerBatch", "adaptive.advisoryPartitionSizeInBytes"))
